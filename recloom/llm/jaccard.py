@@ -8,12 +8,13 @@ frequent ones of a prefix that is one longer: rare tokens are indexed singly, fr
 In steps:
 
 1. ``sketch``: one pass cuts each text to its token count, a 128-bit key of the set and its window, the tokens of lowest
-   hash (tau and a tenth of n; all up to 256).  Texts with equal keys are one node from here on.
+   hash (tau and ``SPARE`` percent of n; all up to ``WHOLE``).  Texts with equal keys are one node from here on.
 2. Tokens that several nodes have name their smallest and largest node as hubs; nodes that share enough of their window
    with a hub are verified with it.  This joins large groups of near copies at a cost linear in their size.
 3. Of the rest, only tokens count that occur in more than one component.  Those on more than ``FREQUENT`` nodes are the
-   frequent class.  Buckets of the index give pairs of nodes in different components; a pair goes on if it shares as many
-   rare tokens as the window of the one whose window ends first demands.
+   frequent class; a text whose window holds too few others is indexed by all its tokens.  Buckets of the index give pairs
+   of nodes in different components; a pair goes on if it shares as many rare tokens, and then as many in all, as the
+   window that ends first demands.
 4. Surviving pairs are verified on the whole texts; links and hubs' links give components.
 
 Links lost: none.  A pair that is not verified either cannot link or lies in one component already.
@@ -30,17 +31,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from recloom.llm.components import components
 from recloom.llm.store import Scratch
 
 FREQUENT = 32
 WHOLE = 256
+#: Percent of a longer text's tokens that its window holds beyond tau.
+SPARE = 7
 #: Ids that are broadcast at most (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: The end of a window that holds all tokens.
+ALL = (1 << 63) - 1
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(29)
 
@@ -68,7 +72,7 @@ def tokens(text: str | None, k: int) -> np.ndarray:
 
 
 def window_size(n: int, percent: int) -> int:
-    return n if n <= WHOLE else n + (percent * -n // 100) + n // 10
+    return n if n <= WHOLE else n + (percent * -n // 100) + SPARE * n // 100
 
 
 def sketch(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -127,8 +131,13 @@ def verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, label: str, k: i
     return links
 
 
-def similar_size(a: Column, b: Column, percent: int) -> Column:
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+def crossing(index: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """Pairs ``a`` < ``b`` of nodes of similar size in different components that share buckets, with their number ``c``."""
+    x, y = index.alias("x"), index.alias("y")
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in key]
+    near = F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n")
+    both = x.join(y, [*same, F.col("x.node") < F.col("y.node"), F.col("x.comp") != F.col("y.comp"), near])
+    return both.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"))
 
 
 def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUENT) -> DataFrame:
@@ -136,68 +145,71 @@ def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     over ``k``-word shingles reach."""
     scratch = Scratch(spark, "jaccard")
     docs = docs.select("doc_id", "text")
-    sig = scratch.save(sketch(docs, k, percent), "sketch")
-    nodes = sig.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
-    nodes = scratch.save(nodes, "nodes")
+    raw = scratch.save(sketch(docs, k, percent), "sketch")
+    sig = scratch.save(raw.select("doc_id", "n", "key"), "keys")
+    nodes = scratch.save(sig.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
+    own = raw.join(nodes, (raw["key"] == nodes["key"]) & (raw["doc_id"] == nodes["node"])).select("node", "n", "tokens")
     n = F.col("n")
     tau = n + F.floor(F.lit(-percent) * n / 100)
-    width = F.when(n <= WHOLE, n).otherwise(tau + F.floor(n / 10))
-    own = sig.join(nodes, (sig["key"] == nodes["key"]) & (sig["doc_id"] == nodes["node"])).select("node", "n", "tokens")
-    end = F.when(n <= WHOLE, F.lit((1 << 63) - 1)).otherwise(F.element_at("tokens", -1))
+    width = F.when(n <= WHOLE, n).otherwise(tau + F.floor(n * SPARE / 100))
+    end = F.when(n <= WHOLE, F.lit(ALL)).otherwise(F.element_at("tokens", -1))
     own = scratch.save(own.withColumn("end", end), "windows")
-    tok = own.select("node", "n", "end", F.explode("tokens").alias("h"))
+    scratch.drop("sketch")
+    sizes = own.select("node", "n", "end")
+    tok = own.select("node", F.explode("tokens").alias("h"))
 
     hubs = tok.groupBy("h").agg(F.min("node").alias("p"), F.max("node").alias("q")).filter("p != q")
     shared = scratch.save(tok.join(hubs, "h"), "shared")
-    to_hub = shared.select("node", "n", F.explode(F.array("p", "q")).alias("hub")).filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    pairs = to_hub.filter(F.col("c") >= 0.3 * width).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = verify(scratch, docs, pairs, "hub", k, percent)
+    to_hub = shared.select("node", F.explode(F.array("p", "q")).alias("hub")).filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
+    to_hub = to_hub.join(sizes.select("node", "n"), "node").filter(F.col("c") >= 0.3 * width)
+    links = verify(scratch, docs, to_hub.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "hub", k, percent)
     comp = scratch.save(components(scratch, links, "first"), "first")
 
     known = comp.withColumnRenamed("component", "comp")
-    live = scratch.save(shared.drop("p", "q").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "live")
+    live = scratch.save(shared.select("h", "node").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "live")
     scratch.drop("shared")
     mixed = live.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).filter("lo != hi").select("h", (F.col("df") > frequent).alias("often"))
-    live = scratch.save(live.join(mixed, "h"), "mixed")
+    mixed = scratch.save(mixed, "classes")
+    live = live.join(mixed, "h")
+    facts = live.groupBy("node").agg(F.count_if("often").alias("f"), F.first("comp").alias("comp")).join(sizes, "node")
+    facts = scratch.save(facts.withColumn("width", width).withColumn("short", width - F.col("f") < tau + 1), "facts")
+    live = live.select("node", "h", "often")
+
+    # texts whose window has too few rare tokens: all their tokens count, and whoever has one of those in a window
+    reach = facts.filter(F.col("short") & (n > WHOLE)).select("node", "end")
+    if not reach.isEmpty():
+        past = whole_sets(only_ids(docs, "doc_id", reach.select(F.col("node").alias("id"))), k).join(reach, "node").select("node", F.explode(F.filter("tokens", lambda x: x > F.col("end"))).alias("h"))
+        past = scratch.save(past.join(mixed, "h", "left").select("node", "h", F.coalesce("often", F.lit(False)).alias("often")), "past")
+        met = tok.join(past.filter("not often").select("h").distinct(), "h", "left_semi").select("node", "h", F.lit(False).alias("often"))
+        live = live.unionByName(past).unionByName(met).distinct()
+        more = past.groupBy("node").agg(F.count_if("often").alias("more"))
+        facts = met.select("node").distinct().join(sizes, "node").join(facts.select("node", "f", "comp"), "node", "left").join(known.withColumnRenamed("comp", "c2"), "node", "left")
+        facts = facts.select("node", "n", "end", F.coalesce("f", F.lit(0)).alias("f"), F.coalesce("comp", "c2", "node").alias("comp"), width.alias("width")).unionByName(scratch.spark.read.parquet(scratch.path("facts")).select("node", "n", "end", "f", "comp", "width")).distinct()
+        facts = facts.join(more, "node", "left").select("node", "n", "comp", F.when(F.col("more").isNotNull(), F.lit(ALL)).otherwise(F.col("end")).alias("end"), (F.col("f") + F.coalesce("more", F.lit(0))).alias("f"), F.when(F.col("more").isNotNull(), n).otherwise(F.col("width")).alias("width"))
+    facts = facts.select("node", "n", "comp", "end", "f", "width", tau.alias("tau")).withColumn("heavy", F.col("width") - F.col("f") < F.col("tau") + 1)
+    facts = scratch.save(facts, "all-facts")
+    live = scratch.save(live, "index")
     scratch.drop("live")
-    per = live.filter("often").groupBy("node").agg(F.count("*").alias("f"), F.first("n").alias("n"), F.first("end").alias("end"), F.first("comp").alias("comp"))
-    per = scratch.save(per.withColumn("heavy", width - F.col("f") < tau + 1), "counts")
-    rare = live.filter("not often").drop("often").join(per.select("node", "f", "heavy"), "node", "left").withColumn("f", F.coalesce("f", F.lit(0))).withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    need = F.when(F.col("heavy"), 1).otherwise(F.greatest(F.lit(1), width - tau - F.col("f")))
-    rare = rare.select("h", "node", "n", "comp", "end", need.alias("need"))
-
-    long_heavy = per.filter(F.col("heavy") & (n > WHOLE))
-    if not long_heavy.isEmpty():
-        # their prefix may reach past the window: the rest of their tokens, and who else has those in a window
-        ext = whole_sets(only_ids(docs, "doc_id", long_heavy.select(F.col("node").alias("id"))), k).join(long_heavy.select("node", "n", "comp", "end"), "node")
-        ext = scratch.save(ext.select(F.explode(F.filter("tokens", lambda x: x > F.col("end"))).alias("h"), "node", "n", "comp", F.lit((1 << 63) - 1).alias("end"), F.lit(1).cast("long").alias("need")), "past")
-        met = tok.join(ext.select("h").distinct(), "h", "left_semi").join(known, "node", "left")
-        met = met.select("h", "node", "n", F.coalesce("comp", "node").alias("comp"), "end", F.lit(1).cast("long").alias("need")).join(ext.select("node", "h"), ["node", "h"], "left_anti")
-        seen = rare.select("h", "node")
-        rare = rare.join(long_heavy.select("node", F.lit(True).alias("lh")), "node", "left").select("h", "node", "n", "comp", F.when(F.col("lh"), F.lit((1 << 63) - 1)).otherwise(F.col("end")).alias("end"), "need")
-        rare = rare.unionByName(ext).unionByName(met.join(seen, ["h", "node"], "left_anti"))
-        # a pair with such a text needs one shared token only
-        rare = rare.join(long_heavy.select("node", F.lit(True).alias("lh")), "node", "left").withColumn("lh", F.coalesce("lh", F.lit(False)))
-    else:
-        rare = rare.withColumn("lh", F.lit(False))
-
-    rare = scratch.save(rare, "rare")
-    x, y = rare.alias("x"), rare.alias("y")
-    found = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & similar_size(F.col("x.n"), F.col("y.n"), percent))
-    ask = F.when(F.col("x.lh") | F.col("y.lh"), 1).when(F.col("x.end") <= F.col("y.end"), F.col("x.need")).otherwise(F.col("y.need"))
-    found = found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), ask.alias("ask")).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("ask").alias("ask")).filter("c >= ask").select("a", "b")
-
-    heavy = per.filter("heavy").select("node", (tau + 2 - (n - F.col("f"))).alias("m"))
-    often = live.filter("often").join(heavy, "node").groupBy("node").agg(F.sort_array(F.collect_list("h")).alias("t"), F.first("m").alias("m"), F.first("n").alias("n"), F.first("comp").alias("comp"))
-    often = often.withColumn("t", F.slice("t", F.lit(1), F.least(F.size("t"), F.greatest(F.col("m").cast("int"), F.lit(2)))))
+
+    rare = live.filter("not often").join(facts.select("node", "n", "comp"), "node").select("h", "node", "n", "comp")
+    single = crossing(rare, ["h"], percent)
+    heavy = facts.filter("heavy").select("node", "n", "comp", (F.col("tau") + 2 - (F.col("width") - F.col("f"))).cast("int").alias("m"))
+    often = live.filter("often").join(heavy, "node").groupBy("node", "n", "comp", "m").agg(F.sort_array(F.collect_list("h")).alias("t"))
+    often = often.withColumn("t", F.slice("t", F.lit(1), F.least(F.size("t"), F.greatest("m", F.lit(2)))))
     two = often.select("node", "n", "comp", "t", F.posexplode("t").alias("i", "h1")).select("node", "n", "comp", "h1", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("h2"))
-    two = scratch.save(two, "combinations")
-    x, y = two.alias("x"), two.alias("y")
-    also = x.join(y, (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") == F.col("y.h2")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & similar_size(F.col("x.n"), F.col("y.n"), percent))
-    also = also.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    more = verify(scratch, docs, found.unionByName(also).distinct(), "rest", k, percent)
+    double = crossing(two, ["h1", "h2"], percent)
+    # a pair must share all of the window that ends first but tau tokens: of its rare ones by count, then of all
+    cols = ["n", "comp", "end", "f", "width", "tau", "heavy"]
+    side = lambda p: facts.select(F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in cols))
+    first = lambda c: F.when(F.col("a_end") <= F.col("b_end"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
+    asked = F.when(first("heavy"), 1).otherwise(first("width") - first("tau") - first("f"))
+    found = single.join(side("a"), "a").join(side("b"), "b").filter(F.col("c") >= asked).select("a", "b").unionByName(double.select("a", "b")).distinct()
+    lists = live.groupBy("node").agg(F.collect_list("h").alias("t"))
+    found = found.join(side("a").join(lists.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a"), "a").join(side("b").join(lists.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b"), "b")
+    found = found.filter(F.size(F.array_intersect("ta", "tb")) >= first("width") - first("tau")).select("a", "b")
+    more = verify(scratch, docs, found, "rest", k, percent)
     comp = scratch.save(components(scratch, links.unionByName(more), "last"), "last")
-    scratch.drop("windows", "mixed", "rare", "combinations")
+    scratch.drop("windows", "classes", "facts", "past", "all-facts", "index")
     label = nodes.join(comp, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     out = sig.select("doc_id", "n", "key").join(label, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

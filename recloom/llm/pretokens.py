@@ -1,32 +1,36 @@
 """Cutting text at places where a byte-level tokenizer's pattern always cuts, so that pieces can be kept in a cache.
 
-The pattern (see ``public_tokenizers.PATTERN``) lets a piece start at most one space before its letters, digits or marks.
-Between a character that is no white space, one space, and again one that is none, it therefore always cuts before the
-space, whatever stands around.  A text in which each space stands so falls into chunks (each but the first with its
-space) that are encoded alike wherever they occur.  Other texts are encoded whole.
+The pattern (see ``public_tokenizers.PATTERN``) lets a piece start with at most one space before its letters, digits or
+marks.  It therefore always cuts, whatever stands around,
+
+* before a space between two characters that are no white space,
+* before and after a line feed between two such characters,
+* between a letter or digit and a full stop or comma that is followed by a space or a line feed.
+
+Texts fall there into chunks that are encoded alike wherever they occur.  A text with other white space at such a place (or
+with the mark character) is encoded whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
-#: Bytes of text that are cut up at once, and chunks that a process keeps; both bound memory.
-SLICE, KEPT = 1 << 21, 400_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of text that are cut up at once, and chunks that a process keeps (some 200 bytes each); both bound memory.
+SLICE, KEPT = 1 << 22, 1_000_000
+#: Stands before a chunk that has no space before it.
+MARK = "\x02"
 
 
 class Chunks:
-    """Encodes texts to bytes of little-endian ids.  ``many`` encodes chunks or whole texts: strings in, bytes out."""
+    """Encodes texts to bytes of little-endian 32-bit ids.  ``many`` encodes strings, chunks or whole texts, to such bytes.
+    Arrow splits a slice of texts and numbers its distinct chunks, so that only those are seen by Python."""
 
     def __init__(self, many: Callable[[list[str]], list[bytes]]):
-        self.many, self.first, self.rest = many, {}, {}
-
-    def _fill(self, cache: dict[str, bytes], wanted: set[str], before: str) -> None:
-        new = [x for x in wanted - cache.keys() if x and not (x[0].isspace() or x[-1].isspace())]
-        if len(cache) + len(new) > KEPT:
-            cache.clear()
-            new = [x for x in wanted if x and not (x[0].isspace() or x[-1].isspace())]
-        cache.update(zip(new, self.many([before + x for x in new]), strict=True))
+        self.many, self.kept = many, {}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
@@ -38,28 +42,50 @@ class Chunks:
             yield from self._some(texts[at:end])
             at = end
 
+    def _ids(self, wanted: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """Ids of each chunk, and which of them don't stand as a chunk must."""
+        kept = self.kept
+        got = [kept.get(x) for x in wanted]
+        new = [i for i, x in enumerate(got) if x is None]
+        bad = np.zeros(len(wanted), bool)
+        texts, at = [], []
+        for i in new:
+            x = wanted[i]
+            text = x[1:] if x[:1] == MARK else " " + x
+            core = x.lstrip(MARK)
+            if core and (x == MARK + "\n" or not (core[0].isspace() or core[-1].isspace())):
+                texts.append(text)
+                at.append(i)
+            else:
+                bad[i], got[i] = True, b""
+        if len(kept) + len(texts) > KEPT:
+            kept.clear()
+        for i, ids in zip(at, self.many(texts), strict=True):
+            got[i] = kept[wanted[i]] = ids
+        return got, bad
+
     def _some(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [t.split(" ") for t in texts]
-        heads = [x[0] for x in cut]
-        for x in cut:
-            x[0] = x[-1]  # counts as seen with the others; the first chunk has no space before it
-        if texts and len(cut) == 1 and len(cut[0]) == 1:
-            yield self.many(texts)[0] if texts[0] else b""
-            return
-        self._fill(self.rest, set(chain.from_iterable(cut)), " ")
-        self._fill(self.first, set(heads), "")
-        whole = []
-        out: list[bytes | None] = []
-        get = self.rest.__getitem__
-        for head, chunks, text in zip(heads, cut, texts, strict=True):
-            try:
-                if len(chunks) == 1:
-                    out.append(self.first[head] if text else b"")
-                else:
-                    out.append(self.first[head] + b"".join(map(get, chunks[1:])))
-            except KeyError:  # some space stands otherwise
-                whole.append(len(out))
-                out.append(None)
-        for i, ids in zip(whole, self.many([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        yield from out
+        own = pa.array(texts, pa.large_string())
+        marked = pc.match_substring(own, MARK).to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring(pa.array([MARK + t for t in texts], pa.large_string()), "\n", f" {MARK}\n {MARK}")
+        cut = pc.replace_substring_regex(cut, r"([\pL\pN])([.,]) ", rf"\1 {MARK}\2 ")
+        cut = pc.split_pattern(cut, " ")
+        offsets = cut.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        coded = cut.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        blobs, bad = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        flat = np.frombuffer(b"".join(blobs), "<u4")
+        start = np.cumsum(size) - size
+        n = size[at]
+        done = np.cumsum(n)
+        ids = flat[np.repeat(start[at] - (done - n), n) + np.arange(int(done[-1]) if len(done) else 0)]
+        ends = done[offsets[1:] - 1].tolist()
+        odd = marked | (np.add.reduceat(bad[at].astype(np.int64), offsets[:-1]) > 0)
+        whole = np.flatnonzero(odd).tolist()
+        again = dict(zip(whole, self.many([texts[i] for i in whole]), strict=True)) if whole else {}
+        begin = 0
+        for i, end in enumerate(ends):
+            yield again[i] if i in again else ids[begin:end].tobytes()
+            begin = end

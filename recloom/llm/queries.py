@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recloom.llm import bpe, chat, decontam, jaccard, linededup, media, quality, sharding, tokenfile, warc
+from recloom.llm.oracle import ORACLE
 from recloom.llm.store import Scratch
 
 
@@ -15,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.convert_pages(spark, table(spark, sf_dir, "pages"), Scratch(spark, "warc").path("archives"))
-    return back.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").cast("long").alias("refers_to"), "record_id", "date", "uri", "intact")
+    return back.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").cast("long").alias("refers_to"))
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_media, op3_quality, op4_chat, op5_jaccard, op6_decontam, op7_bpe, op8_token_files, op9_line_dedup, op10_sharding)}
+__all__ = ["ORACLE", "QUERIES"]
 
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_media, op3_quality, op4_chat, op5_jaccard, op6_decontam, op7_bpe, op8_token_files, op9_line_dedup, op10_sharding)}

@@ -45,19 +45,19 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = 3,
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = 3) -> DataFrame:
-    """``docs`` with ``text`` cleaned, and ``n_lines`` and ``n_removed`` added."""
+    """``docs`` with ``text`` cleaned, and ``n_lines`` and ``n_removed`` added (columns of these names are replaced)."""
     bad = boilerplate(docs, min_sites, min_words)
     lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).filter(counts_as_line(F.col("line"), min_words))
     hits = lines.select("doc_id", line_hash(F.col("line")).alias("hash")).join(bad, "hash").filter("doc_id != keeper")
-    per_doc = hits.groupBy("doc_id").agg(F.collect_set("hash").alias("_bad")).withColumnRenamed("doc_id", "_id")
-    out = docs.join(per_doc, F.col("doc_id") == F.col("_id"), "left")
+    per_doc = hits.groupBy("doc_id").agg(F.collect_set("hash").alias("_recloom_bad")).withColumnRenamed("doc_id", "_recloom_id")
+    out = docs.join(per_doc, F.col("doc_id") == F.col("_recloom_id"), "left")
     every = F.split("text", "\n")
-    kept = F.filter(every, lambda s: ~(F.array_contains(F.col("_bad"), line_hash(s)) & counts_as_line(s, min_words)))
-    out = out.withColumn("_kept", F.when(F.col("_bad").isNotNull(), kept))
-    text = F.when(F.col("_bad").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text"))
+    kept = F.filter(every, lambda s: ~(F.array_contains(F.col("_recloom_bad"), line_hash(s)) & counts_as_line(s, min_words)))
+    out = out.withColumn("_recloom_kept", F.when(F.col("_recloom_bad").isNotNull(), kept))
+    text = F.when(F.col("_recloom_bad").isNotNull(), F.array_join("_recloom_kept", "\n")).otherwise(F.col("text"))
     n_lines = F.coalesce(F.size(every), F.lit(0))
     return out.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")),
         F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(F.col("_bad").isNotNull(), F.size(every) - F.size("_kept")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(F.col("_recloom_bad").isNotNull(), F.size(every) - F.size("_recloom_kept")).otherwise(0).cast("long").alias("n_removed"),
     )

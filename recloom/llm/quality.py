@@ -196,6 +196,14 @@ def scored(docs: DataFrame, model: Gam, keep: list[str]) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: list[str], threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``keep`` columns, ``held_out``, ``score`` and ``predicted`` (1 from ``threshold`` on)."""
-    out = scored(docs, train(spark, docs, labels, max_rows), list(dict.fromkeys(["doc_id", *keep])))
-    return out.select(*keep, F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    """``keep`` columns, ``held_out``, ``score`` and ``predicted`` (1 from ``threshold`` on).  Columns of these three names
+    are replaced."""
+    added = ("held_out", "score", "predicted")
+    return judged(spark, docs, labels, threshold, max_rows).select(*(F.col("row")[c].alias(c) for c in keep if c not in added), *added)
+
+
+def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
+    """As ``classify``, with all columns of ``docs`` in the struct ``row``."""
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    out = scored(packed, train(spark, docs, labels, max_rows), ["doc_id", "row"])
+    return out.select("row", F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -20,15 +20,16 @@ LEFT = 0.1
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return quality.classify(spark, docs, table(spark, sf_dir, "labels"), docs.columns).filter("predicted = 1").select(*docs.columns)
+    return quality.judged(spark, docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("row.*")
 
 
 def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines go; ``n_chars`` is counted anew."""
-    out = linededup.dedup_lines(docs.withColumn("_before", F.length("text")))
-    kept = (F.col("n_removed") == 0) | (F.length("text") >= LEFT * F.col("_before"))
-    kind = dict(docs.dtypes)["n_chars"]
-    return out.filter(kept).select(*(F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(kind).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    out = linededup.dedup_lines(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row")))
+    touched = F.col("n_removed") > 0
+    out = out.filter(~touched | (F.length("text") >= LEFT * F.length("row.text")))
+    n_chars = F.when(touched, F.length("text")).otherwise(F.col("row.n_chars")).cast(dict(docs.dtypes)["n_chars"])
+    return out.select(*({"text": F.col("text"), "n_chars": n_chars}.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -283,3 +283,11 @@ def decode_scores(trials: DataFrame, keys: Sequence[str], n_folds: int = 5, lam:
         return pd.DataFrame([[*(f[k].iloc[0] for k in keys), len(y), float(1 - ((y - pred) ** 2).sum() / tot) if ok else None]], columns=[*keys, "n_trials", "r2"])
 
     return trials.groupBy(*keys).applyInPandas(run, "".join(f"`{k}` {kinds[k]}, " for k in keys) + "n_trials long, r2 double")
+
+
+def per_group(scores: DataFrame, groups: DataFrame, best: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of scores over a grid of penalties the rows at each target group's own penalty.  ``groups``: ``target``,
+    ``grp`` (one row per target of the model); ``best``: keys, ``grp``, ``lam``.  A group without a penalty is an error."""
+    wanted = scores.join(F.broadcast(groups), "target", "left").join(best.select(*keys, "grp", F.col("lam").alias("_lam")), [*keys, "grp"], "left")
+    known = F.when(F.col("_lam").isNull(), F.raise_error(F.concat(F.lit("no penalty for group "), F.coalesce("grp", F.lit("?")))).cast("boolean")).otherwise(F.col("lam") == F.col("_lam"))
+    return wanted.filter(known).drop("_lam")

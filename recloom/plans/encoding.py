@@ -210,3 +210,20 @@ def decode_cv(s, d):
     own = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
     x = t(s, d, "lineitem").select(F.col("l_suppkey").alias("eid"), F.row_number().over(own).alias("trial"), F.col("l_quantity").cast("double").alias("target"), F.array(F.col("l_extendedprice") / 1000, (F.col("l_returnflag") == "R").cast("double"), F.col("l_linenumber").cast("double")).alias("counts"))
     return en.decode_scores(x, ["eid"])
+
+
+@query()
+def grouped_fit(s, d):
+    """Two groups of targets (gross and net price), each with the penalty that suits it, from one table of
+    statistics; with it a p-value against circular shifts scored at the same penalty."""
+    x = rows(s, d).filter("pid % 5 = 1").withColumn("y", F.array(F.col("y")[0], F.col("y")[0] * (1 - F.col("x")[1])))
+    groups = s.createDataFrame([(0, "gross"), (1, "net")], "target int, grp string")
+    grid = [1.0, 100.0, 10_000.0]
+    scores = en.solve(lagged_statistics(s, d, ("pid",), x), ["pid"], GROUPS, 3, 2, grid, drop=False)
+    best = en.pick_lambda_robust(scores.join(F.broadcast(groups), "target").select("pid", "grp", "lam", F.col("r2_cv").alias("r2")), ["pid", "grp"])
+    seen = en.per_group(scores, groups, best, ["pid"])
+    draws = en.shift_draws(x.groupBy("pid").agg(F.first("n").alias("n")), ["pid"], 4, 20)
+    null = en.solve(lagged_statistics(s, d, ("pid", "perm"), en.null_rows(x, ["pid"], draws)), ["pid", "perm"], GROUPS, 3, 2, grid, drop=False)
+    null = en.per_group(null, groups, best, ["pid"])
+    p = en.p_value(null.select("pid", "target", F.col("r2_cv").alias("r2")), seen.select("pid", "target", F.col("r2_cv").alias("r2")), ["pid", "target"])
+    return seen.select("pid", "target", "grp", "lam", "r2_full", "r2_cv").join(p, ["pid", "target"])

@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from recloom.functions.kernels import half_round_trip
 

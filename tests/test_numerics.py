@@ -223,3 +223,15 @@ def test_decoder(spark):
     df = spark.createDataFrame([("s", i, x[i].tolist(), float(y[i])) for i in range(60)] + [("z", 0, [1.0, 1.0, 1.0], 1.0)], "eid string, trial int, counts array<double>, target double")
     got = {r.eid: r.r2 for r in encoding.decode_scores(df, ["eid"]).collect()}
     assert got["s"] > 0.9 and got["z"] is None
+
+
+def test_one_group_equals_the_pooled_fit(spark):
+    df, *_ = recording(spark)
+    stats = encoding.statistics(df, ["pid"], np.eye(1), 0, 4)
+    scores = encoding.solve(stats, ["pid"], ["g", "h"], 1, 2, [1.0, 10.0], drop=False)
+    groups = spark.createDataFrame([(0, "all"), (1, "all")], "target int, grp string")
+    got = encoding.per_group(scores, groups, spark.createDataFrame([("a", "all", 10.0)], "pid string, grp string, lam double"), ["pid"])
+    pooled = encoding.solve(stats, ["pid"], ["g", "h"], 1, 2, [10.0], drop=False)
+    assert sorted((r.target, r.r2_cv) for r in got.collect()) == sorted((r.target, r.r2_cv) for r in pooled.collect())
+    with pytest.raises(Exception, match="no penalty for group all"):
+        encoding.per_group(scores, groups, spark.createDataFrame([("a", "other", 10.0)], "pid string, grp string, lam double"), ["pid"]).collect()

@@ -18,13 +18,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recloom.llm.store import Scratch
+
 WIDTH, COVERAGE, MIN_WORDS, BROADCAST_WINDOWS = 8, 0.5, 4, 2_000_000
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s sec min h hr hrs hour hours day days week weeks month months year years minute minutes second seconds meter meters metre metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents percent degree degrees".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*[%$€£]?")
@@ -41,7 +45,7 @@ class _Words(dict):
         low = core.lower()
         kind = 1 if _NUMBER.fullmatch(core) else 2 if low in UNITS else 0
         value = (xxhash.xxh64_intdigest(low.encode()), kind, core[:1].isupper() and core[1:2] != "" and core[1:].islower(), raw.rstrip("\"'”’)»")[-1:] in (".", "!", "?", ":"), low)
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         if len(raw) < 64:
             self[raw] = value
@@ -51,24 +55,42 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Hash per canonical word, kind (0 word, 1 number, 2 unit, 3 name) and the words' values.  Marks alone are no word."""
-    got = [w for w in map(_WORDS.__getitem__, (text or "").split()) if w[4]]
-    if not got:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), []
-    h, kind, cap, close, values = zip(*got, strict=True)
-    kind, cap, start = np.array(kind, np.int8), np.array(cap), np.concatenate(([True], np.array(close)[:-1]))
-    kind[cap & ~start & (kind == 0)] = 3
-    out = np.array(h, np.uint64)
+@dataclass
+class Canonical:
+    """Words of several texts in a row: hash, kind (0 word, 1 number, 2 unit, 3 name), text number, and the words' values by
+    ``word``.  Marks alone are no word."""
+
+    h: np.ndarray
+    kind: np.ndarray
+    text: np.ndarray
+    word: np.ndarray
+    values: list[str]
+
+
+def canonical(texts: list[str | None]) -> Canonical:
+    """Arrow splits the texts and numbers their distinct words, so that only those are looked at one by one."""
+    cut = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+    size = np.diff(cut.offsets.to_numpy())
+    coded = cut.flatten().dictionary_encode()
+    known = [_WORDS[w] for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    word = coded.indices.to_numpy()
+    h = np.array([k[0] for k in known], np.uint64)
+    flags = np.array([(k[1], k[2], k[3], k[4] != "") for k in known], np.int8).reshape(-1, 4)
+    text = np.repeat(np.arange(len(texts)), size)
+    real = flags[word, 3] == 1
+    word, text = word[real], text[real]
+    kind = flags[word, 0]
+    first = np.ones(len(word), bool)
+    first[1:] = (text[1:] != text[:-1]) | (flags[word[:-1], 2] == 1)
+    kind[(flags[word, 1] == 1) & ~first & (kind == 0)] = 3
+    out = h[word]
     for k in (1, 2, 3):
         out[kind == k] = _KIND[k]
-    return out, kind, list(values)
+    return Canonical(out, kind, text, word, [k[4] for k in known])
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    m = len(h) - width + 1
-    if m <= 0:
-        return np.zeros(0, np.int64)
+    m = max(0, len(h) - width + 1)
     out = np.full(m, np.uint64(width))
     for i in range(width):
         out ^= out >> _S
@@ -78,35 +100,46 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return (out * _A).view(np.int64)
 
 
-def _literal_enough(kind: np.ndarray, width: int) -> np.ndarray:
-    """Of each window, whether at least half of its words are words."""
-    c = np.concatenate(([0], np.cumsum(kind == 0)))
-    return 2 * (c[width:] - c[:-width]) >= width
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a MB of text, or one text.  What Arrow has put by goes back to the system between them."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+        yield b.slice(at, end - at)
+        pa.default_memory_pool().release_unused()
+        at = end
 
 
 def windows(df: DataFrame, key: str, widths: list[int] | None, width: int, known: np.ndarray | None) -> DataFrame:
-    """``key``, ``pos``, ``hash``, ``slots`` (kind and value of the window's placeholders) and, for a benchmark (``widths``
-    null), ``total``, the windows of the item.  ``known``: sorted hashes to which rows are kept."""
+    """``key``, ``pos``, ``hash``, ``slots`` (kind and value of the window's placeholders) and ``total``, the windows that a
+    text has.  At least half of a window's words are words.  ``widths`` null: each text's own, ``width`` or all its words if
+    they are fewer.  ``known``: sorted hashes to which rows are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            for k, text in zip(b.column(key).to_pylist(), b.column("text"), strict=True):
-                h, kind, values = canonical(text.as_py())
-                if len(h) < MIN_WORDS:
-                    continue
-                for w in widths if widths is not None else [min(width, len(h))]:
-                    hashes = window_hashes(h, w)
-                    if not len(hashes):
+        for batch in batches:
+            for b in _slices(batch):
+                c = canonical(b.column("text").to_pylist())
+                n = np.bincount(c.text, minlength=b.num_rows)
+                begin = np.cumsum(n) - n
+                literal = np.concatenate(([0], np.cumsum(c.kind == 0)))
+                keys, rows = b.column(key).to_pylist(), []
+                for w in widths if widths is not None else range(MIN_WORDS, width + 1):
+                    hashes = window_hashes(c.h, w)
+                    m = len(hashes)
+                    if not m:
                         continue
-                    ok = _literal_enough(kind, w)
-                    total = int(ok.sum())
+                    ok = (c.text[:m] == c.text[w - 1 : w - 1 + m]) & (n[c.text[:m]] >= MIN_WORDS) & (2 * (literal[w : w + m] - literal[:m]) >= w)
+                    if widths is None:
+                        ok &= np.minimum(n[c.text[:m]], width) == w
+                    total = np.bincount(c.text[:m][ok], minlength=b.num_rows)
                     if known is not None:
                         at = np.searchsorted(known, hashes)
                         ok &= known[np.minimum(at, len(known) - 1)] == hashes if len(known) else False
                     for p in np.flatnonzero(ok).tolist():
-                        rows.append((k, p, int(hashes[p]), [f"{kind[j]}{values[j]}" for j in range(p, p + w) if kind[j]], total))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (b.schema.field(key).type, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64()), strict=True)], names=[key, "pos", "hash", "slots", "total"])
+                        t = int(c.text[p])
+                        rows.append((keys[t], p - int(begin[t]), int(hashes[p]), [f"{c.kind[j]}{c.values[c.word[j]]}" for j in range(p, p + w) if c.kind[j]], int(total[t])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows, strict=True) if rows else [[]] * 5, (b.schema.field(key).type, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64()), strict=True)], names=[key, "pos", "hash", "slots", "total"])
 
     kind = dict(df.dtypes)[key]
     return df.select(key, "text").mapInArrow(run, f"`{key}` {kind}, pos long, hash long, slots array<string>, total long")
@@ -121,6 +154,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wid
     found = windows(docs.filter("doc_id is not null"), "doc_id", widths, width, known).select("doc_id", "pos", "hash", "slots")
     hits = found.join(F.broadcast(items) if few else items, "hash").select("doc_id", "item_id", "total", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), "slots", "islots")
     key = ["doc_id", "item_id", "shift"]
+    hits = Scratch(spark, "decontam").save(hits, "hits")
     pairs = hits.select(*key, F.explode_outer(F.arrays_zip("slots", "islots")).alias("s")).select(*key, F.col("s.slots").alias("d"), F.col("s.islots").alias("i"))
     pairs = pairs.filter("d is not null").groupBy(*key, "d", "i").agg(F.lit(1).alias("one"))
     fit = pairs.groupBy(*key).agg(F.count("*").alias("n"), F.countDistinct("d").alias("nd"), F.countDistinct("i").alias("ni"), F.bool_and(F.col("d") == F.col("i")).alias("same"))
@@ -136,6 +170,7 @@ def lengths(benchmark: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([min(width, len(canonical(t)[0])) for t in b.column("text").to_pylist()], pa.int64())], names=["n"])
+            n = np.bincount(canonical(b.column("text").to_pylist()).text, minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(n, width)), pa.int64())], names=["n"])
 
     return benchmark.select("text").mapInArrow(run, "n long").distinct()

@@ -1,21 +1,21 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A text's tokens are its distinct shingles of ``k`` words, as 64-bit hashes.  All texts order tokens alike: rare ones by
-hash, then frequent ones by hash.  A text of n tokens can miss at most tau = n - ceil(t n) of them in a partner of
-similarity t, so two partners share a rare token among their first tau + 1, or, where a text runs out of rare tokens, two
-frequent ones of a prefix that is one longer: rare tokens are indexed singly, frequent ones in pairs.
+A text's tokens are its distinct shingles of ``k`` words, as 64-bit hashes.  A text of n tokens can miss at most
+tau = n - ceil(t n) of them in a partner of similarity t.  If all texts order tokens alike, rarest first, two partners thus
+share one of the first tau + 1 tokens of either (the prefix).  Rare tokens of a prefix are indexed singly; where it reaches
+into the frequent ones, it is extended by one and these are indexed in pairs, which two partners then must share.
 
 In steps:
 
 1. ``sketch``: one pass cuts each text to its token count, a 128-bit key of the set and its window, the tokens of lowest
    hash (tau and ``SPARE`` percent of n; all up to ``WHOLE``).  Texts with equal keys are one node from here on.
-2. Tokens that several nodes have name their smallest and largest node as hubs; nodes that share enough of their window
-   with a hub are verified with it.  This joins large groups of near copies at a cost linear in their size.
-3. Of the rest, only tokens count that occur in more than one component.  Those on more than ``FREQUENT`` nodes are the
-   frequent class; a text whose window holds too few others is indexed by all its tokens.  Buckets of the index give pairs
-   of nodes in different components; a pair goes on if it shares as many rare tokens, and then as many in all, as the
-   window that ends first demands.
-4. Surviving pairs are verified on the whole texts; links and hubs' links give components.
+2. Tokens that several nodes have name a few of these as hubs; nodes that share enough of their window with a hub are
+   verified with it.  This joins large groups of near copies at a cost linear in their size.
+3. Of the rest, only tokens count that lie in more than one component; all others come first in the order.  A node whose
+   window has tau + 1 of the others can have no link that is still unknown.  The few that remain are dense in shared tokens.
+4. Dense nodes are looked at with all their tokens.  Once more each token names a hub, the node with the largest share of
+   tokens in common with others, which is what near copies are copies of.  Then the counts are made anew, prefixes indexed
+   as above, and nodes of different components that meet in the index are verified.  Their links and the hubs' links give components.
 
 Links lost: none.  A pair that is not verified either cannot link or lies in one component already.
 
@@ -43,8 +43,6 @@ WHOLE = 256
 SPARE = 7
 #: Ids that are broadcast at most (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
-#: The end of a window that holds all tokens.
-ALL = (1 << 63) - 1
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(29)
 
@@ -104,40 +102,41 @@ def only_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
 
 
-def verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, label: str, k: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (``a``, ``b``) those whose whole texts link."""
-    pairs = scratch.save(pairs.select("a", "b"), f"{label}-pairs")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    text = scratch.save(only_ids(docs.select("doc_id", "text"), "doc_id", ends), f"{label}-texts")
-    rows = pairs.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+def verify(scratch: Scratch, sets: DataFrame, pairs: DataFrame, label: str, percent: int) -> DataFrame:
+    """Of ``pairs`` (``a``, ``b``) those whose token sets (``node``, ``tokens``) link."""
+    rows = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
+
+    def lists(column: pa.Array) -> tuple[np.ndarray, list[int]]:
+        return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
         for batch in batches:
-            out = []
-            for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True):
-                if last != a:
-                    last, own = a, tokens(ta.as_py(), k)
-                other = tokens(tb.as_py(), k)
-                both = np.concatenate((own, other))
+            (va, oa), (vb, ob), keep = lists(batch.column("ta")), lists(batch.column("tb")), []
+            for i in range(batch.num_rows):
+                both = np.concatenate((va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]))
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
-                if same and 100 * same >= percent * (len(both) - same):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                keep.append(same > 0 and 100 * same >= percent * (len(both) - same))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            pa.default_memory_pool().release_unused()
+
+    return scratch.save(rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), f"{label}-links")
 
-    links = scratch.save(rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), f"{label}-links")
-    scratch.drop(f"{label}-pairs", f"{label}-texts")
-    return links
+
+def mixed(tokens: DataFrame) -> DataFrame:
+    """``h`` and ``df`` (nodes that have it) of the tokens that lie in more than one component."""
+    return tokens.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).filter("lo != hi").select("h", "df")
 
 
 def crossing(index: DataFrame, key: list[str], percent: int) -> DataFrame:
-    """Pairs ``a`` < ``b`` of nodes of similar size in different components that share buckets, with their number ``c``."""
+    """Pairs ``a`` < ``b`` of nodes in different components that share a bucket and could be similar enough if all their
+    tokens that lie in several components (``u`` of ``n``) were the same."""
     x, y = index.alias("x"), index.alias("y")
     same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in key]
-    near = F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n")
+    most = F.least("x.u", "y.u")
+    near = 100 * most >= F.lit(percent) * (F.col("x.n") + F.col("y.n") - most)
     both = x.join(y, [*same, F.col("x.node") < F.col("y.node"), F.col("x.comp") != F.col("y.comp"), near])
-    return both.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"))
+    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUENT) -> DataFrame:
@@ -152,64 +151,60 @@ def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     n = F.col("n")
     tau = n + F.floor(F.lit(-percent) * n / 100)
     width = F.when(n <= WHOLE, n).otherwise(tau + F.floor(n * SPARE / 100))
-    end = F.when(n <= WHOLE, F.lit(ALL)).otherwise(F.element_at("tokens", -1))
-    own = scratch.save(own.withColumn("end", end), "windows")
+    own = scratch.save(own, "windows")
     scratch.drop("sketch")
-    sizes = own.select("node", "n", "end")
+    sizes = own.select("node", "n")
     tok = own.select("node", F.explode("tokens").alias("h"))
 
-    hubs = tok.groupBy("h").agg(F.min("node").alias("p"), F.max("node").alias("q")).filter("p != q")
+    spread = F.xxhash64("node")
+    hubs = tok.groupBy("h").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.min_by("node", spread).alias("u"), F.max_by("node", spread).alias("v")).filter("p != q")
     shared = scratch.save(tok.join(hubs, "h"), "shared")
-    to_hub = shared.select("node", F.explode(F.array("p", "q")).alias("hub")).filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
+    to_hub = shared.select("node", F.explode(F.array_distinct(F.array("p", "q", "u", "v"))).alias("hub")).filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
     to_hub = to_hub.join(sizes.select("node", "n"), "node").filter(F.col("c") >= 0.3 * width)
-    links = verify(scratch, docs, to_hub.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "hub", k, percent)
+    pairs = scratch.save(to_hub.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "hub-pairs")
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    links = verify(scratch, scratch.save(whole_sets(only_ids(docs, "doc_id", ends), k), "hub-sets"), pairs, "hub", percent)
+    scratch.drop("hub-sets", "hub-pairs")
     comp = scratch.save(components(scratch, links, "first"), "first")
 
     known = comp.withColumnRenamed("component", "comp")
-    live = scratch.save(shared.select("h", "node").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "live")
+    own_comp = F.coalesce("comp", "node").alias("comp")
+    live = scratch.save(shared.select("h", "node").join(known, "node", "left").select("h", "node", own_comp), "live")
     scratch.drop("shared")
-    mixed = live.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).filter("lo != hi").select("h", (F.col("df") > frequent).alias("often"))
-    mixed = scratch.save(mixed, "classes")
-    live = live.join(mixed, "h")
-    facts = live.groupBy("node").agg(F.count_if("often").alias("f"), F.first("comp").alias("comp")).join(sizes, "node")
-    facts = scratch.save(facts.withColumn("width", width).withColumn("short", width - F.col("f") < tau + 1), "facts")
-    live = live.select("node", "h", "often")
-
-    # texts whose window has too few rare tokens: all their tokens count, and whoever has one of those in a window
-    reach = facts.filter(F.col("short") & (n > WHOLE)).select("node", "end")
-    if not reach.isEmpty():
-        past = whole_sets(only_ids(docs, "doc_id", reach.select(F.col("node").alias("id"))), k).join(reach, "node").select("node", F.explode(F.filter("tokens", lambda x: x > F.col("end"))).alias("h"))
-        past = scratch.save(past.join(mixed, "h", "left").select("node", "h", F.coalesce("often", F.lit(False)).alias("often")), "past")
-        met = tok.join(past.filter("not often").select("h").distinct(), "h", "left_semi").select("node", "h", F.lit(False).alias("often"))
-        live = live.unionByName(past).unionByName(met).distinct()
-        more = past.groupBy("node").agg(F.count_if("often").alias("more"))
-        facts = met.select("node").distinct().join(sizes, "node").join(facts.select("node", "f", "comp"), "node", "left").join(known.withColumnRenamed("comp", "c2"), "node", "left")
-        facts = facts.select("node", "n", "end", F.coalesce("f", F.lit(0)).alias("f"), F.coalesce("comp", "c2", "node").alias("comp"), width.alias("width")).unionByName(scratch.spark.read.parquet(scratch.path("facts")).select("node", "n", "end", "f", "comp", "width")).distinct()
-        facts = facts.join(more, "node", "left").select("node", "n", "comp", F.when(F.col("more").isNotNull(), F.lit(ALL)).otherwise(F.col("end")).alias("end"), (F.col("f") + F.coalesce("more", F.lit(0))).alias("f"), F.when(F.col("more").isNotNull(), n).otherwise(F.col("width")).alias("width"))
-    facts = facts.select("node", "n", "comp", "end", "f", "width", tau.alias("tau")).withColumn("heavy", F.col("width") - F.col("f") < F.col("tau") + 1)
-    facts = scratch.save(facts, "all-facts")
-    live = scratch.save(live, "index")
+    dense = live.join(mixed(live), "h").groupBy("node").agg(F.count("*").alias("m"), F.first("comp").alias("comp")).join(sizes.select("node", "n"), "node")
+    dense = scratch.save(dense.filter(F.col("m") >= width - tau).select("node", "n", "comp"), "dense")
+    sets = scratch.save(whole_sets(only_ids(docs, "doc_id", dense.select(F.col("node").alias("id"))), k), "dense-sets")
     scratch.drop("live")
 
-    rare = live.filter("not often").join(facts.select("node", "n", "comp"), "node").select("h", "node", "n", "comp")
-    single = crossing(rare, ["h"], percent)
-    heavy = facts.filter("heavy").select("node", "n", "comp", (F.col("tau") + 2 - (F.col("width") - F.col("f"))).cast("int").alias("m"))
-    often = live.filter("often").join(heavy, "node").groupBy("node", "n", "comp", "m").agg(F.sort_array(F.collect_list("h")).alias("t"))
-    often = often.withColumn("t", F.slice("t", F.lit(1), F.least(F.size("t"), F.greatest("m", F.lit(2)))))
-    two = often.select("node", "n", "comp", "t", F.posexplode("t").alias("i", "h1")).select("node", "n", "comp", "h1", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("h2"))
-    double = crossing(two, ["h1", "h2"], percent)
-    # a pair must share all of the window that ends first but tau tokens: of its rare ones by count, then of all
-    cols = ["n", "comp", "end", "f", "width", "tau", "heavy"]
-    side = lambda p: facts.select(F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in cols))
-    first = lambda c: F.when(F.col("a_end") <= F.col("b_end"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
-    asked = F.when(first("heavy"), 1).otherwise(first("width") - first("tau") - first("f"))
-    found = single.join(side("a"), "a").join(side("b"), "b").filter(F.col("c") >= asked).select("a", "b").unionByName(double.select("a", "b")).distinct()
-    lists = live.groupBy("node").agg(F.collect_list("h").alias("t"))
-    found = found.join(side("a").join(lists.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a"), "a").join(side("b").join(lists.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b"), "b")
-    found = found.filter(F.size(F.array_intersect("ta", "tb")) >= first("width") - first("tau")).select("a", "b")
-    more = verify(scratch, docs, found, "rest", k, percent)
+    def shared_by(facts: DataFrame) -> DataFrame:
+        every = sets.select("node", F.explode("tokens").alias("h")).join(facts, "node").select("h", "node", "n", "comp")
+        return every.join(mixed(every), "h")
+
+    # once more with the node as hub that has most of its tokens in common with others: what near copies are copies of
+    every = scratch.save(shared_by(dense), "dense-tokens")
+    share = every.groupBy("node").agg((F.count("*") / F.first("n") + F.pmod(F.xxhash64("node"), F.lit(1_000_003)) * 1e-12).alias("share"))
+    hubs = every.join(share, "node").groupBy("h").agg(F.max_by("node", "share").alias("hub"))
+    to_hub = every.join(hubs, "h").filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter("c >= 0.3 * n")
+    pairs = scratch.save(to_hub.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "best-pairs")
+    links = links.unionByName(verify(scratch, sets, pairs, "best", percent))
+    comp = scratch.save(components(scratch, links, "second"), "second")
+    dense = scratch.save(dense.drop("comp").join(comp.withColumnRenamed("component", "comp"), "node", "left").select("node", "n", own_comp), "dense-again")
+    scratch.drop("dense-tokens", "best-pairs", "first")
+
+    every = shared_by(dense)
+    per = every.groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
+    # p: how many of its shared tokens a prefix reaches, after all the others; r: how many of the shared ones are rare
+    per = per.withColumn("p", (tau + 1 - (n - F.size("t"))).cast("int")).filter("p >= 1").withColumn("u", F.size("t")).withColumn("r", F.size(F.filter("t", lambda x: x["df"] <= frequent)))
+    per = scratch.save(per, "prefixes")
+    hashes = lambda a: F.transform(a, lambda x: x["h"])
+    single = per.select("node", "n", "u", "comp", F.explode(hashes(F.slice("t", F.lit(1), F.greatest(F.lit(0), F.least("p", "r"))))).alias("h"))
+    often = per.filter("r < p").select("node", "n", "u", "comp", hashes(F.slice("t", F.col("r") + 1, F.greatest(F.lit(0), F.col("p") - F.col("r") + 1))).alias("t"))
+    two = often.select("node", "n", "u", "comp", "t", F.posexplode("t").alias("i", "x")).select("node", "n", "u", "comp", "x", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("y"))
+    two = two.select("node", "n", "u", "comp", F.least("x", "y").alias("h1"), F.greatest("x", "y").alias("h2"))
+    found = scratch.save(crossing(single, ["h"], percent).unionByName(crossing(two, ["h1", "h2"], percent)).distinct(), "rest-pairs")
+    more = verify(scratch, sets, found, "rest", percent)
     comp = scratch.save(components(scratch, links.unionByName(more), "last"), "last")
-    scratch.drop("windows", "classes", "facts", "past", "all-facts", "index")
+    scratch.drop("windows", "dense", "dense-again", "dense-sets", "prefixes", "rest-pairs", "second")
     label = nodes.join(comp, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     out = sig.select("doc_id", "n", "key").join(label, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -89,14 +89,14 @@ class Codec:
         self.find = regex.compile(pattern).findall
         chars = byte_chars()
         self.plain = {b: ord(c) for b, c in enumerate(chars)}
-        self.chunks = Chunks(self._many)
+        self.chunks = Chunks(self._many, 300_000)
         self.known: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         ids = self.known.get(piece)
         if ids is None:
             ids = np.array(self.model.EncodeAsIds(piece.encode().decode("latin-1").translate(self.plain)), "<u4").tobytes()
-            if len(self.known) >= 200_000:
+            if len(self.known) >= 100_000:
                 self.known.clear()
             if len(piece) < 64:
                 self.known[piece] = ids

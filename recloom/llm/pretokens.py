@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut up at once, and chunks that a process keeps (some 200 bytes each); both bound memory.
-SLICE, KEPT = 1 << 22, 1_000_000
+SLICE, KEPT = 1 << 21, 1_000_000
 #: Stands before a chunk that has no space before it.
 MARK = "\x02"
 
@@ -29,8 +29,8 @@ class Chunks:
     """Encodes texts to bytes of little-endian 32-bit ids.  ``many`` encodes strings, chunks or whole texts, to such bytes.
     Arrow splits a slice of texts and numbers its distinct chunks, so that only those are seen by Python."""
 
-    def __init__(self, many: Callable[[list[str]], list[bytes]]):
-        self.many, self.kept = many, {}
+    def __init__(self, many: Callable[[list[str]], list[bytes]], most: int | None = None):
+        self.many, self.kept, self.most = many, {}, most
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
@@ -40,6 +40,7 @@ class Chunks:
                 size += len(texts[end])
                 end += 1
             yield from self._some(texts[at:end])
+            pa.default_memory_pool().release_unused()
             at = end
 
     def _ids(self, wanted: list[str]) -> tuple[list[bytes], np.ndarray]:
@@ -58,7 +59,7 @@ class Chunks:
                 at.append(i)
             else:
                 bad[i], got[i] = True, b""
-        if len(kept) + len(texts) > KEPT:
+        if len(kept) + len(texts) > (self.most or KEPT):
             kept.clear()
         for i, ids in zip(at, self.many(texts), strict=True):
             got[i] = kept[wanted[i]] = ids

@@ -135,7 +135,10 @@ def crossing(index: DataFrame, key: list[str], percent: int) -> DataFrame:
     same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in key]
     most = F.least("x.u", "y.u")
     near = 100 * most >= F.lit(percent) * (F.col("x.n") + F.col("y.n") - most)
-    both = x.join(y, [*same, F.col("x.node") < F.col("y.node"), F.col("x.comp") != F.col("y.comp"), near])
+    on = [*same, F.col("x.node") < F.col("y.node"), F.col("x.comp") != F.col("y.comp"), near]
+    if "t" in index.columns:  # a pair is made once, by the first of the combinations that it shares
+        on.append(F.slice(F.array_intersect("x.t", "y.t"), 1, len(key)) == F.array(*(F.col(f"x.{k}") for k in key)))
+    both = x.join(y, on)
     return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -199,8 +202,7 @@ def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     hashes = lambda a: F.transform(a, lambda x: x["h"])
     single = per.select("node", "n", "u", "comp", F.explode(hashes(F.slice("t", F.lit(1), F.greatest(F.lit(0), F.least("p", "r"))))).alias("h"))
     often = per.filter("r < p").select("node", "n", "u", "comp", hashes(F.slice("t", F.col("r") + 1, F.greatest(F.lit(0), F.col("p") - F.col("r") + 1))).alias("t"))
-    two = often.select("node", "n", "u", "comp", "t", F.posexplode("t").alias("i", "x")).select("node", "n", "u", "comp", "x", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("y"))
-    two = two.select("node", "n", "u", "comp", F.least("x", "y").alias("h1"), F.greatest("x", "y").alias("h2"))
+    two = often.select("node", "n", "u", "comp", "t", F.posexplode("t").alias("i", "x")).select("node", "n", "u", "comp", "t", F.col("x").alias("h1"), F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("h2"))
     found = scratch.save(crossing(single, ["h"], percent).unionByName(crossing(two, ["h1", "h2"], percent)).distinct(), "rest-pairs")
     more = verify(scratch, sets, found, "rest", percent)
     comp = scratch.save(components(scratch, links.unionByName(more), "last"), "last")

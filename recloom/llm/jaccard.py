@@ -11,13 +11,23 @@ In steps:
    hash (tau and ``SPARE`` percent of n; all up to ``WHOLE``).  Texts with equal keys are one node from here on.
 2. Tokens that several nodes have name a few of these as hubs; nodes that share enough of their window with a hub are
    verified with it.  This joins large groups of near copies at a cost linear in their size.
-3. Of the rest, only tokens count that lie in more than one component; all others come first in the order.  A node whose
-   window has tau + 1 of the others can have no link that is still unknown.  The few that remain are dense in shared tokens.
+3. Of the rest, only tokens count that lie in more than one component; all others come first in the order.  A node that has
+   fewer of them than any partner in another component must share is done.  The few that remain are dense in shared tokens.
 4. Dense nodes are looked at with all their tokens.  Once more each token names a hub, the node with the largest share of
    tokens in common with others, which is what near copies are copies of.  Then the counts are made anew, prefixes indexed
    as above, and nodes of different components that meet in the index are verified.  Their links and the hubs' links give components.
 
-Links lost: none.  A pair that is not verified either cannot link or lies in one component already.
+Links lost: none.  A pair that is not verified either cannot link or lies in one component already.  For step 3, let A and B
+link, a >= b be their sizes, s(n) = floor(``SPARE`` n / 100) and the short window of n tokens be its lowest tau(n) + s(n).
+
+* A text with 100 n <= percent ``WHOLE`` has partners of at most ``WHOLE`` tokens, kept whole: n - tau(n) tokens are shared.
+* Any other may have a partner that keeps just its short window, so that only its own short window counts, be it kept
+  whole or not.  The shared tokens of either short window are the lowest shared ones.  At most tau(a) of A are not in B, and
+  tau(b) of B not in A, so B's window has at least s(b) shared ones, A's s(a) >= s(b): B counts s(b) or more.
+  Of A's s(a), B's window must reach as many: with d of B not in A, b - d >= t (a + d), it has tau(b) + s(b) - d shared
+  ones.  That less s(a) is linear in b; it is over (1 - t)(t - ``SPARE`` / 100) a at b = t a, where d = 0, and more at
+  b = a, rounding (under 2) apart, which texts of over ``WHOLE`` tokens exceed up to t = 0.99.  A partner that is kept whole
+  holds all of A's s(a).
 
 Edge cases: null and empty texts have no token and link with nothing; a text shorter than ``k`` words has one token;
 rows with a null id get a null component; repeated rows are one node; an empty table gives an empty one; extra columns are
@@ -153,16 +163,17 @@ def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     own = raw.join(nodes, (raw["key"] == nodes["key"]) & (raw["doc_id"] == nodes["node"])).select("node", "n", "tokens")
     n = F.col("n")
     tau = n + F.floor(F.lit(-percent) * n / 100)
-    width = F.when(n <= WHOLE, n).otherwise(tau + F.floor(n * SPARE / 100))
+    # a text that may have a partner over WHOLE counts with the window that it would have there, however much of it is kept
+    width = F.when(100 * n <= percent * WHOLE, n).otherwise(tau + F.floor(n * SPARE / 100))
     own = scratch.save(own, "windows")
     scratch.drop("sketch")
     sizes = own.select("node", "n")
-    tok = own.select("node", F.explode("tokens").alias("h"))
+    tok = own.select("node", width.alias("width"), F.posexplode("tokens").alias("at", "h")).select("node", "h", (F.col("at") < F.col("width")).alias("low"))
 
     spread = F.xxhash64("node")
     hubs = tok.groupBy("h").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.min_by("node", spread).alias("u"), F.max_by("node", spread).alias("v")).filter("p != q")
     shared = scratch.save(tok.join(hubs, "h"), "shared")
-    to_hub = shared.select("node", F.explode(F.array_distinct(F.array("p", "q", "u", "v"))).alias("hub")).filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
+    to_hub = shared.filter("low").select("node", F.explode(F.array_distinct(F.array("p", "q", "u", "v"))).alias("hub")).filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
     to_hub = to_hub.join(sizes.select("node", "n"), "node").filter(F.col("c") >= 0.3 * width)
     pairs = scratch.save(to_hub.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "hub-pairs")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -172,9 +183,9 @@ def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
 
     known = comp.withColumnRenamed("component", "comp")
     own_comp = F.coalesce("comp", "node").alias("comp")
-    live = scratch.save(shared.select("h", "node").join(known, "node", "left").select("h", "node", own_comp), "live")
+    live = scratch.save(shared.select("h", "node", "low").join(known, "node", "left").select("h", "node", "low", own_comp), "live")
     scratch.drop("shared")
-    dense = live.join(mixed(live), "h").groupBy("node").agg(F.count("*").alias("m"), F.first("comp").alias("comp")).join(sizes.select("node", "n"), "node")
+    dense = live.filter("low").join(mixed(live), "h").groupBy("node").agg(F.count("*").alias("m"), F.first("comp").alias("comp")).join(sizes.select("node", "n"), "node")
     dense = scratch.save(dense.filter(F.col("m") >= width - tau).select("node", "n", "comp"), "dense")
     sets = scratch.save(whole_sets(only_ids(docs, "doc_id", dense.select(F.col("node").alias("id"))), k), "dense-sets")
     scratch.drop("live")

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers as tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from recloom.llm import bpe, chat, components, decontam, jaccard, linededup, media, quality, sharding, tokenfile, warc
 from recloom.llm.queries import QUERIES, table
@@ -257,6 +258,21 @@ def test_jaccard_loses_no_link(spark, seed, k, percent, frequent, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == link_brute(texts, k, percent)
 
 
+@pytest.mark.parametrize(("k", "percent", "shorts"), [(4, 85, 1), (5, 80, 1), (4, 85, 3)])
+def test_jaccard_across_whole(spark, k, percent, shorts):
+    """Near copies on both sides of WHOLE; the short ones are no token's hub among the long ones."""
+    words = [f"w{i}" for i in range(jaccard.WHOLE + 8)]
+    short = [" ".join([*words[: jaccard.WHOLE - 6 - i], f"s{i}"]) for i in range(shorts)]
+    long = [" ".join([*words[: len(words) - i], *(f"x{i}y{j}" for j in range(i))]) for i in range(12 - shorts)]
+    by_hash = [r.id for r in spark.range(12).orderBy(F.xxhash64("id")).collect()]
+    middle = [i for i in by_hash[1:-1] if 0 < i < 11][:shorts]
+    texts = dict(zip([*middle, *(i for i in range(12) if i not in middle)], [*short, *long], strict=True)) | {20: "other words that link with nothing"}
+    want = link_brute(texts, k, percent)
+    assert {want[i][1] for i in range(12)} == {0} and all(want[i][0] <= jaccard.WHOLE for i in middle) and max(n for n, _ in want.values()) > jaccard.WHOLE
+    got = jaccard.join_components(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
 def test_jaccard_awkward(spark):
     docs = awkward(spark)
     want = link_brute({i: t for i, t in texts_of(docs).items() if i is not None}, 4, 85)

@@ -12,6 +12,8 @@ from recloom.plans.base import query, t
 
 GROUPS = ["move", "stim", "stim"]
 FOLDS = 5
+#: Draws of a null.
+DRAWS = 30
 _R = """r as (select l_suppkey pid, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) - 1 i, count(*) over (partition by l_suppkey) n,
 l_quantity::double q, l_discount::double d, l_tax::double x, l_extendedprice / 1000.0::double y from lineitem)"""
 
@@ -131,8 +133,8 @@ def drop_r2(s, d):
 @query()
 def null_r2(s, d):
     """Recordings x draws in one job; the observed score and the null share statistics code and grid."""
-    x = rows(s, d).filter("pid % 5 = 0")
-    draws = en.shift_draws(x.groupBy("pid").agg(F.first("n").alias("n")), ["pid"], 6, 20)
+    x = rows(s, d)
+    draws = en.shift_draws(x.groupBy("pid").agg(F.first("n").alias("n")), ["pid"], DRAWS, 20)
     null = en.solve(lagged_statistics(s, d, ("pid", "perm"), en.null_rows(x, ["pid"], draws)), ["pid", "perm"], GROUPS, 3, 1, [10.0], drop=False)
     seen = en.solve(lagged_statistics(s, d, ("pid",), x), ["pid"], GROUPS, 3, 1, [10.0], drop=False)
     return en.p_value(null.select("pid", F.col("r2_cv").alias("r2")), seen.select("pid", F.col("r2_cv").alias("r2")), ["pid"])
@@ -216,13 +218,13 @@ def decode_cv(s, d):
 def grouped_fit(s, d):
     """Two groups of targets (gross and net price), each with the penalty that suits it, from one table of
     statistics; with it a p-value against circular shifts scored at the same penalty."""
-    x = rows(s, d).filter("pid % 5 = 1").withColumn("y", F.array(F.col("y")[0], F.col("y")[0] * (1 - F.col("x")[1])))
+    x = rows(s, d).withColumn("y", F.array(F.col("y")[0], F.col("y")[0] * (1 - F.col("x")[1])))
     groups = s.createDataFrame([(0, "gross"), (1, "net")], "target int, grp string")
     grid = [1.0, 100.0, 10_000.0]
     scores = en.solve(lagged_statistics(s, d, ("pid",), x), ["pid"], GROUPS, 3, 2, grid, drop=False)
     best = en.pick_lambda_robust(scores.join(F.broadcast(groups), "target").select("pid", "grp", "lam", F.col("r2_cv").alias("r2")), ["pid", "grp"])
     seen = en.per_group(scores, groups, best, ["pid"])
-    draws = en.shift_draws(x.groupBy("pid").agg(F.first("n").alias("n")), ["pid"], 4, 20)
+    draws = en.shift_draws(x.groupBy("pid").agg(F.first("n").alias("n")), ["pid"], DRAWS, 20)
     null = en.solve(lagged_statistics(s, d, ("pid", "perm"), en.null_rows(x, ["pid"], draws)), ["pid", "perm"], GROUPS, 3, 2, grid, drop=False)
     null = en.per_group(null, groups, best, ["pid"])
     p = en.p_value(null.select("pid", "target", F.col("r2_cv").alias("r2")), seen.select("pid", "target", F.col("r2_cv").alias("r2")), ["pid", "target"])

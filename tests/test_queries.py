@@ -56,3 +56,13 @@ def test_entry_and_guard():
     assert set(e.oracle_sql()) <= set(e.queries())
     text = open(e.__file__).read()
     assert re.search("except ImportError", text)
+
+
+@pytest.mark.parametrize("name", ["null_r2", "grouped_fit"])
+def test_null_of_every_recording(spark, duck, name, monkeypatch):
+    from recloom.operators import encoding
+
+    draws, seen = encoding.shift_draws, []
+    monkeypatch.setattr(encoding, "shift_draws", lambda *a: seen.append(a[2]) or draws(*a))
+    got = {r.pid for r in QUERIES[name](spark, D).collect()}
+    assert got == {r[0] for r in duck.execute("select distinct l_suppkey from lineitem").fetchall()} and seen == [30]

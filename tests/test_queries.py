@@ -66,3 +66,7 @@ def test_null_of_every_recording(spark, duck, name, monkeypatch):
     monkeypatch.setattr(encoding, "shift_draws", lambda *a: seen.append(a[2]) or draws(*a))
     got = {r.pid for r in QUERIES[name](spark, D).collect()}
     assert got == {r[0] for r in duck.execute("select distinct l_suppkey from lineitem").fetchall()} and seen == [30]
+
+
+def test_low_rank_report_has_all_channels(spark):
+    assert {r.nc for r in QUERIES["low_rank_report"](spark, D).collect()} == {64}

@@ -208,7 +208,8 @@ def fit_all_sources(s, d):
 
 @query()
 def decode_cv(s, d):
-    """supplier's item quantity decoded from counts of flags, statuses and line numbers around it."""
+    """E19 in part: supplier's item quantity decoded from its own row's price, return flag and line number; the README lists
+    what is missing."""
     own = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
     x = t(s, d, "lineitem").select(F.col("l_suppkey").alias("eid"), F.row_number().over(own).alias("trial"), F.col("l_quantity").cast("double").alias("target"), F.array(F.col("l_extendedprice") / 1000, (F.col("l_returnflag") == "R").cast("double"), F.col("l_linenumber").cast("double")).alias("counts"))
     return en.decode_scores(x, ["eid"])

@@ -259,7 +259,8 @@ def channel_gram(s, d):
 
 @query()
 def feature_bundle(s, d):
-    """Re-referenced vectors with their RMS and band powers, one row per channel."""
+    """G29 in part: RMS of re-referenced vectors and band powers of the raw ones, one row per channel; the README lists what is
+    missing."""
     e = t(s, d, "embeddings")
     clean = sg.car(long_vectors(s, d), ["label", "pos"], "vec_id", "v").withColumnRenamed("channel", "vec_id")
     powers = sg.band_powers(e, ["label", "vec_id"], "embedding", 250.0, 32).groupBy("label", "vec_id").pivot("band", list(kernels.BANDS)).agg(F.first("db"))

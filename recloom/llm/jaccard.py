@@ -3,7 +3,8 @@
 A text's tokens are its distinct shingles of ``k`` words, as 64-bit hashes.  A text of n tokens can miss at most
 tau = n - ceil(t n) of them in a partner of similarity t.  If all texts order tokens alike, rarest first, two partners thus
 share one of the first tau + 1 tokens of either (the prefix).  Rare tokens of a prefix are indexed singly; where it reaches
-into the frequent ones, it is extended by one and these are indexed in pairs, which two partners then must share.
+into the frequent ones, it is extended so far that two partners must share two neighbours of it, and neighbours are indexed
+as combinations: as many as there are tokens, whatever the text's length.
 
 In steps:
 
@@ -29,6 +30,14 @@ link, a >= b be their sizes, s(n) = floor(``SPARE`` n / 100) and the short windo
   b = a, rounding (under 2) apart, which texts of over ``WHOLE`` tokens exceed up to t = 0.99.  A partner that is kept whole
   holds all of A's s(a).
 
+For step 4, let v of a node's n tokens lie in its component alone, r of the others be rare, m frequent.  If the first token
+that A and B share is rare, it is among the first tau + 1 of either and indexed singly.  Else all I shared tokens are frequent,
+I <= m, and of the (1 - t) / t I or fewer tokens that only one of the two has v + r of A's are none of its frequent ones:
+at most d = (1 - t) / t m - v - r unshared ones are left among the frequent ones of both (none: no link).  Between the first
+d + 2 shared tokens there are d + 1 gaps, so one gap holds no unshared token of either: two tokens that are neighbours in
+both.  A has these within d + 2 + min(d, tau - v - r) frequent tokens.  d + 2 tokens are shared, as I >= t / (1 - t) >= 3
+times the unshared ones, of which there is one at least; under t = 0.75 all tokens are indexed singly.
+
 Edge cases: null and empty texts have no token and link with nothing; a text shorter than ``k`` words has one token;
 rows with a null id get a null component; repeated rows are one node; an empty table gives an empty one; extra columns are
 left out.
@@ -47,8 +56,13 @@ from pyspark.sql import functions as F
 from recloom.llm.components import components
 from recloom.llm.store import Scratch
 
+#: Nodes that have it, from which on a token is a frequent one.
 FREQUENT = 32
 WHOLE = 256
+#: Nodes of one combination that a task pairs with all the others.
+BLOCK = 4096
+#: Combinations looked back at, so that a pair is not made anew by each of a run of shared ones.
+REPEATS = 8
 #: Percent of a longer text's tokens that its window holds beyond tau.
 SPARE = 7
 #: Ids that are broadcast at most (8 bytes each); beyond, the join shuffles.
@@ -138,18 +152,38 @@ def mixed(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).filter("lo != hi").select("h", "df")
 
 
-def crossing(index: DataFrame, key: list[str], percent: int) -> DataFrame:
-    """Pairs ``a`` < ``b`` of nodes in different components that share a bucket and could be similar enough if all their
-    tokens that lie in several components (``u`` of ``n``) were the same."""
-    x, y = index.alias("x"), index.alias("y")
-    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in key]
+def combinations(nodes: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """``node``, ``n``, ``comp``, ``u`` (shared tokens) and ``t`` (these as ``df``, ``h``, rarest first) to an index row per
+    combination: ``h`` and ``before``, the ``REPEATS`` combinations in front of it.  See the module's proof for the lengths."""
+    at_most = lambda x: F.greatest(F.lit(0), x).cast("int")
+    n, u, r, p = (F.col(c) for c in "nurp")
+    tau = n + F.floor(F.lit(-percent) * n / 100)
+    x = nodes.withColumn("p", tau + 1 - (n - u)).filter("p >= 1").withColumn("r", F.size(F.filter("t", lambda t: t["df"] <= frequent)))
+    own = F.transform("t", lambda t: t["h"])
+    single = F.slice(own, F.lit(1), at_most(F.least(p, r)))
+    spare = F.floor(F.lit(100 - percent) * (u - r) / percent) - (n - u) - r
+    run = F.slice(own, r + 1, F.when((r < p) & (spare >= 0), at_most(spare + 2 + F.least(spare, p - 1 - r))).otherwise(0))
+    pairs = F.zip_with(F.slice(run, F.lit(1), at_most(F.size(run) - 1)), F.slice(run, F.lit(2), at_most(F.size(run) - 1)), lambda a, b: F.xxhash64(a, b))
+    x = x.select("node", "n", "u", "comp", F.concat(single, pairs).alias("all"))
+    back = lambda i: F.greatest(i - REPEATS, F.lit(0))
+    rows = F.transform("all", lambda h, i: F.struct(h.alias("h"), F.slice("all", back(i) + 1, i - back(i)).alias("before")))
+    return x.select("node", "n", "u", "comp", F.explode(rows).alias("x")).select("node", "n", "u", "comp", "x.h", "x.before")
+
+
+def crossing(index: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a`` < ``b`` of nodes in different components that share a combination and could be similar enough if all their
+    tokens that lie in several components (``u`` of ``n``) were the same.  A combination of more than ``BLOCK`` nodes is cut:
+    each part of its nodes meets all of them in a task of its own.  Both sides are shuffled and sorted, which spills."""
+    sizes = index.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo != hi")
+    index = index.join(sizes.select("h", F.ceil(F.col("c") / BLOCK).alias("parts")).hint("merge"), "h")
+    x = index.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("x")
+    y = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
     most = F.least("x.u", "y.u")
     near = 100 * most >= F.lit(percent) * (F.col("x.n") + F.col("y.n") - most)
-    on = [*same, F.col("x.node") < F.col("y.node"), F.col("x.comp") != F.col("y.comp"), near]
-    if "t" in index.columns:  # a pair is made once, by the first of the combinations that it shares
-        on.append(F.slice(F.array_intersect("x.t", "y.t"), 1, len(key)) == F.array(*(F.col(f"x.{k}") for k in key)))
-    both = x.join(y, on)
-    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    # of combinations that two nodes share one after the other, only the first makes the pair
+    again = F.arrays_overlap("x.before", "y.before")
+    on = (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & near & ~again
+    return x.join(y.hint("merge"), on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUENT) -> DataFrame:
@@ -206,18 +240,12 @@ def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     scratch.drop("dense-tokens", "best-pairs", "first")
 
     every = shared_by(dense)
-    per = every.groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
-    # p: how many of its shared tokens a prefix reaches, after all the others; r: how many of the shared ones are rare
-    per = per.withColumn("p", (tau + 1 - (n - F.size("t"))).cast("int")).filter("p >= 1").withColumn("u", F.size("t")).withColumn("r", F.size(F.filter("t", lambda x: x["df"] <= frequent)))
-    per = scratch.save(per, "prefixes")
-    hashes = lambda a: F.transform(a, lambda x: x["h"])
-    single = per.select("node", "n", "u", "comp", F.explode(hashes(F.slice("t", F.lit(1), F.greatest(F.lit(0), F.least("p", "r"))))).alias("h"))
-    often = per.filter("r < p").select("node", "n", "u", "comp", hashes(F.slice("t", F.col("r") + 1, F.greatest(F.lit(0), F.col("p") - F.col("r") + 1))).alias("t"))
-    two = often.select("node", "n", "u", "comp", "t", F.posexplode("t").alias("i", "x")).select("node", "n", "u", "comp", "t", F.col("x").alias("h1"), F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("h2"))
-    found = scratch.save(crossing(single, ["h"], percent).unionByName(crossing(two, ["h1", "h2"], percent)).distinct(), "rest-pairs")
+    per = every.groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t")).withColumn("u", F.size("t"))
+    index = scratch.save(combinations(per, percent, frequent if percent >= 75 else 1 << 62), "index")
+    found = scratch.save(crossing(index, percent), "rest-pairs")
     more = verify(scratch, sets, found, "rest", percent)
     comp = scratch.save(components(scratch, links.unionByName(more), "last"), "last")
-    scratch.drop("windows", "dense", "dense-again", "dense-sets", "prefixes", "rest-pairs", "second")
+    scratch.drop("windows", "dense", "dense-again", "dense-sets", "index", "rest-pairs", "second")
     label = nodes.join(comp, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     out = sig.select("doc_id", "n", "key").join(label, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -253,6 +253,8 @@ def families(seed, n=260):
 def test_jaccard_loses_no_link(spark, seed, k, percent, frequent, monkeypatch):
     if seed == 3:
         monkeypatch.setattr(jaccard, "WHOLE", 40)  # more texts have a window, some run out of rare tokens in it
+    if seed == 2:
+        monkeypatch.setattr(jaccard, "BLOCK", 3)  # combinations cut into many parts
     texts = families(seed)
     got = jaccard.join_components(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k, percent, frequent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == link_brute(texts, k, percent)
@@ -273,6 +275,35 @@ def test_jaccard_across_whole(spark, k, percent, shorts):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
+def revisions(seed, n, size, apart):
+    """Long texts that share a template; each differs from it, in single words spread over it, by a share of ``apart``."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(size)]
+    out = {}
+    for i in range(n):
+        t = list(base)
+        for at in rng.sample(range(size), int(rng.choice(apart) * size / 4)):  # a word is in up to 4 shingles
+            t[at] = f"v{rng.randrange(3)}x{at}" if rng.random() < 0.5 else f"o{i}x{at}"
+        out[i] = " ".join(t)
+    return out
+
+
+@pytest.mark.parametrize(("seed", "frequent"), [(11, 4), (12, 2), (13, 32)])
+def test_jaccard_long_texts_of_one_template(spark, seed, frequent):
+    texts = revisions(seed, 44, 900, (0.07, 0.08, 0.09, 0.1, 0.11))
+    want = link_brute(texts, 4, 85)
+    assert 3 < len({c for _, c in want.values()})  # some link, most don't
+    got = jaccard.join_components(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), frequent=frequent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
+def test_jaccard_index_is_linear_in_text_length(spark):
+    for m in (300, 3000):
+        t = [(100, h) for h in range(m)]
+        row = spark.createDataFrame([(1, m, 1, t, m)], "node long, n long, comp long, t array<struct<df:long,h:long>>, u int")
+        assert jaccard.combinations(row, 85, 32).count() < 0.4 * m
+
+
 def test_jaccard_awkward(spark):
     docs = awkward(spark)
     want = link_brute({i: t for i, t in texts_of(docs).items() if i is not None}, 4, 85)

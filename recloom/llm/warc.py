@@ -4,13 +4,16 @@ An ARC file starts with a version block (``filedesc://``) whose second line name
 one header line of five (version 1) or ten (version 2) fields, the last of which is the declared length of what follows.
 The converter walks the declared lengths and never searches the content for record starts.  For each record it makes a
 WARC identifier (name-based UUID of URL, date, offset and digest, so that a rerun gives the same), an ISO date from the
-14-digit one, a record type and SHA-1 digests.
+14-digit one, a record type and SHA-1 digests.  The version block becomes a ``warcinfo`` record, a record with an HTTP
+status line a ``response`` (or ``revisit``), any other (such as ``text/dns``) a ``resource``.
 
-Archives are written with Spark's text sink, whose line separator closes each record: the commit protocol then keeps out
-files of lost or doubled tasks, and any store that Spark writes to will do.
+WARC files hold a gzip member per record and are cut at ``FILE_BYTES``.  A task writes under names of its own attempt, and
+the manifest, a table, holds the files of the tasks that Spark committed.  Files are read as streams, one record at a time,
+so neither a file's size nor its number of members matters.
 
-Edge cases: a null or empty body gives a record of length 0; a truncated or unreadable ARC record ends its archive with a
-row whose ``error`` is set; repeated rows give repeated records; an empty table gives no record; extra columns are kept.
+Edge cases: a null or empty body gives a record of length 0; a truncated, damaged or unreadable record, or gzip member, ends
+its archive with a row whose ``error`` is set, after all records before it; repeated rows give repeated records; an empty
+table gives no record; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -18,15 +21,25 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recloom.llm.store import Scratch, file_system, put_whole
+
+FILE_BYTES = 256 << 20
+#: Rows (page and response) that are broadcast at most, some 100 bytes each; beyond, the pages are shuffled.
+BROADCAST_MARKS = 300_000
+#: A header block or line that is longer than this is none.
+HEADER_BYTES = 1 << 20
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
@@ -53,37 +66,98 @@ def arc_record(version: int, url: str, content: bytes, offset: int, name: str, d
     return head.encode() + content + b"\n"
 
 
-def parse_arc(data: bytes) -> Iterator[dict]:
-    """Records of one archive, by the version that its first block declares.  ``data`` may be gzip members or plain."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at, version = 0, 0
-    while at < len(data):
-        if data[at : at + 1] == b"\n":  # the separator between records
-            at += 1
-            continue
-        end = data.find(b"\n", at)
-        fields = data[at:end].decode("utf-8", "replace").split(" ") if end >= 0 else []
+class Source:
+    """Bytes of a stream on demand, plain or a row of gzip members.  What can't be unpacked ends it, with ``error`` set."""
+
+    def __init__(self, stream):
+        self.stream, self.ready, self.at, self.error = stream, bytearray(), 0, None
+        self.packed = stream.read(1 << 16)
+        self.member = zlib.decompressobj(31) if self.packed[:2] == b"\x1f\x8b" else None
+        self.gzip = self.member is not None
+
+    def _more(self) -> bool:
+        if self.error:
+            return False
+        raw = self.packed or self.stream.read(1 << 16)
+        self.packed = b""
+        if not self.gzip:
+            self.ready += raw
+            return bool(raw)
+        if not raw:
+            if self.member is not None:
+                self.error = "truncated gzip member"
+            return False
         try:
-            length = int(fields[-1])
-            whole = len(data) >= end + 1 + length and length >= 0
-        except (IndexError, ValueError):
-            whole = False
-        if not whole:
-            yield {"offset": at, "error": "header or declared length unreadable"}
+            if self.member is None:
+                raw = raw.lstrip(b"\0")  # padding between members
+                self.member = zlib.decompressobj(31) if raw else None
+            if self.member is not None:
+                self.ready += self.member.decompress(raw)
+                if self.member.eof:
+                    self.packed, self.member = self.member.unused_data, None
+        except zlib.error as e:
+            self.error = f"gzip: {e}"
+        return True
+
+    def take(self, n: int) -> bytes:
+        """The next ``n`` bytes, fewer at the end."""
+        while len(self.ready) < n and self._more():
+            pass
+        out = bytes(self.ready[:n])
+        del self.ready[:n]
+        self.at += len(out)
+        return out
+
+    def until(self, mark: bytes) -> bytes | None:
+        """The bytes up to ``mark`` and it; null (and nothing taken) if it doesn't come within ``HEADER_BYTES``."""
+        start = 0
+        while (found := self.ready.find(mark, start)) < 0:
+            start = max(0, len(self.ready) - len(mark) + 1)
+            if len(self.ready) > HEADER_BYTES or not self._more():
+                return None
+        return self.take(found + len(mark))
+
+    def ended(self) -> bool:
+        while not self.ready:
+            if not self._more():
+                return True
+        return False
+
+
+def opened(data) -> Source:
+    return Source(io.BytesIO(data) if isinstance(data, bytes) else data)
+
+
+def parse_arc(data) -> Iterator[dict]:
+    """Records of one archive (bytes or a stream, plain or gzip members), by the version that its first block declares; that
+    block comes first, with ``kind`` warcinfo."""
+    source, version = opened(data), 0
+    while True:
+        while not source.ended() and source.ready[:1] == b"\n":  # separators between records
+            source.take(1)
+        if source.ended():
+            if source.error:
+                yield {"offset": source.at, "error": source.error}
+            return
+        at = source.at
+        line = source.until(b"\n")
+        fields = (line or b"").decode("utf-8", "replace").rstrip("\n").split(" ")
+        length = int(fields[-1]) if fields[-1].isascii() and fields[-1].isdigit() and len(fields[-1]) < 19 else -1
+        body = source.take(length) if length >= 0 else b""
+        if length < 0 or len(body) < length:
+            yield {"offset": at, "error": source.error or "header or declared length unreadable"}
             return
-        body = data[end + 1 : end + 1 + length]
+        kind = "record"
         if not version:
-            version = int(body.split(b" ", 1)[0]) if fields[0].startswith("filedesc://") and body[:2] in (b"1 ", b"2 ") else 0
+            version = int(body[:1]) if fields[0].startswith("filedesc://") and body[:2] in (b"1 ", b"2 ") else 0
+            kind = "warcinfo"
             if not version:
                 yield {"offset": at, "error": "no version block"}
                 return
-        elif len(fields) != (5 if version == 1 else 10):
+        if len(fields) != (5 if version == 1 else 10):
             yield {"offset": at, "error": f"{len(fields)} fields in a version {version} header"}
             return
-        else:
-            yield {"version": version, "url": fields[0], "ip": fields[1], "date": fields[2], "mime": fields[3], "offset": at, "content": body, "error": None}
-        at = end + 1 + length
+        yield {"kind": kind, "version": version, "url": fields[0], "ip": fields[1], "date": fields[2], "mime": fields[3], "offset": at, "content": body, "error": None}
 
 
 def split_http(content: bytes) -> tuple[bytes, bytes]:
@@ -119,40 +193,46 @@ def warc_id(digest: str, key: str) -> str:
 
 
 def warc_record(rec: dict, refers_to: str | None = None) -> bytes:
-    """A response record, or with ``refers_to`` (key of the record with the same payload) a revisit that holds only the
-    HTTP headers.  Its last CR LF is left to the sink's line separator."""
+    """One record with the blank lines that end it; with ``refers_to`` (key of the record with the same payload) a revisit
+    that holds only the HTTP headers."""
     http, payload = split_http(rec["content"])
     digest, date = sha1_label(payload), warc_date(rec["date"])
-    block = http if refers_to else rec["content"]
-    head = [
-        "WARC/1.0",
-        f"WARC-Type: {'revisit' if refers_to else 'response'}",
-        f"WARC-Record-ID: {warc_id(digest, rec.get('key') or rec['url'] + ' ' + date)}",
-        f"WARC-Date: {date}",
-        f"WARC-Target-URI: {rec['url']}",
-        f"WARC-IP-Address: {rec['ip']}",
-        f"WARC-Payload-Digest: {digest}",
-        f"WARC-Block-Digest: {sha1_label(block)}",
-        f"Content-Type: {'application/http; msgtype=response' if http else rec['mime']}",
-    ]
+    kind = "warcinfo" if rec.get("kind") == "warcinfo" else "revisit" if refers_to else "response" if http else "resource"
+    block, mime = http if refers_to else rec["content"], "application/http; msgtype=response" if http else rec["mime"]
+    if kind == "warcinfo":
+        names = rec["content"].decode("utf-8", "replace").split("\n")[1:2]
+        block, mime = f"format: WARC File Format 1.0\r\nconverted-from: ARC version {rec['version']}\r\narc-fields: {''.join(names)}\r\n".encode(), "application/warc-fields"
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {warc_id(digest, rec.get('key') or rec['url'] + ' ' + date)}", f"WARC-Date: {date}"]
+    if kind == "warcinfo":
+        head.append(f"WARC-Filename: {rec['url'].removeprefix('filedesc://')}")
+    else:
+        head += [f"WARC-Target-URI: {rec['url']}", f"WARC-IP-Address: {rec['ip']}", f"WARC-Payload-Digest: {digest}"]
+    head += [f"WARC-Block-Digest: {sha1_label(block)}", f"Content-Type: {mime}"]
     if refers_to:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {warc_id(digest, refers_to)}", f"X-Refers-To-Key: {refers_to}"]
     head.append(f"Content-Length: {len(block)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n"
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """Headers (lower-case names) and block of each record, by declared lengths."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if end < 0 or not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+def parse_warc(data) -> Iterator[tuple[dict, bytes, str | None]]:
+    """Headers (lower-case names), block and error of each record of an archive (bytes or a stream, plain or gzip members), by
+    declared lengths.  A record that can't be read ends it: no headers, and the error."""
+    source = opened(data)
+    while not source.ended():
+        at = source.at
+        lines = (source.until(b"\r\n\r\n") or b"").decode("utf-8", "replace").split("\r\n")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        length = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + length]
-        at = end + 4 + length + 4
+        length = head.get("content-length", "")
+        if not lines[0].startswith("WARC/") or not (length.isascii() and length.isdigit() and len(length) < 19):
+            yield {}, b"", source.error or f"no WARC record at byte {at}"
+            return
+        block, end = source.take(int(length)), source.take(4)
+        if len(block) < int(length) or end != b"\r\n\r\n":
+            yield {}, b"", source.error or f"record at byte {at} is not as long as it declares"
+            return
+        yield head, block, None
+    if source.error:
+        yield {}, b"", source.error
 
 
 CONVERTED = T.StructType([T.StructField("key", T.StringType()), T.StructField("record", T.BinaryType()), T.StructField("error", T.StringType())])
@@ -175,7 +255,8 @@ def arc_to_warc(archives: DataFrame) -> DataFrame:
                         continue
                     key = http_field(split_http(rec["content"])[0], b"x-record-key")
                     rows.append((key, warc_record(rec | {"key": key}, refs.get(key)), None))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+                cols = zip(*rows, strict=True) if rows else [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, schema.types, strict=True)], schema=schema)
 
     return archives.select("content", "refs").mapInArrow(run, CONVERTED)
 
@@ -216,59 +297,100 @@ def pages_to_arc(pages: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
 
 def assign_revisits(pages: DataFrame, min_bytes: int = 1000, salts: int = 16) -> DataFrame:
     """Adds ``ref_key``: of pages (``page_id`` long, ``html``) with equal payloads of at least ``min_bytes``, the largest
-    page_id; null for itself, for smaller payloads and for payloads that occur once.  Rows of one payload go to ``salts``
-    tasks, so that a payload held by a third of all pages is no single task's work."""
+    page_id; null for itself, for smaller payloads and for payloads that occur once.  Digests alone are grouped; rows of one
+    go to ``salts`` tasks, so that a payload held by a third of all pages is no single task's work.  The pages are joined
+    with what they refer to by broadcast while that is ``BROADCAST_MARKS`` rows at most."""
+    scratch = Scratch(pages.sparkSession, "revisits")
     body = F.coalesce(F.col("html"), F.lit(""))
-    own = pages.select(F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("bytes"), "page_id").filter(F.col("bytes") >= min_bytes)
+    digest = F.sha1(body.cast("binary"))
+    own = scratch.save(pages.filter(F.octet_length(body) >= min_bytes).select("page_id", digest.alias("digest")), "digests")
     top = own.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1 and top is not null")
     top = top.select("digest", "top", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    keyed = pages.withColumn("digest", F.sha1(body.cast("binary"))).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
-    joined = keyed.join(top, ["digest", "salt"], "left")
-    return joined.withColumn("ref_key", F.when(~F.col("top").eqNullSafe(F.col("page_id")), F.col("top"))).drop("digest", "salt", "top")
+    later = own.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(top, ["digest", "salt"])
+    later = later.filter(~F.col("top").eqNullSafe(F.col("page_id"))).select(F.col("page_id").alias("m_id"), F.col("digest").alias("m_digest"), F.col("top").alias("ref_key"))
+    marks = scratch.save(later.distinct(), "marks")
+    if marks.count() <= BROADCAST_MARKS:
+        marks = F.broadcast(marks)
+    return pages.join(marks, F.col("page_id").eqNullSafe(F.col("m_id")) & (digest == F.col("m_digest")), "left").drop("m_id", "m_digest")
+
 
+def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """WARC files with a gzip member per record, and their manifest: ``file``, ``records``, ``bytes``.  To be saved, which
+    runs it: a row stands for a file of a task that was committed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (x.as_py() for b in batches for x in b.column("record"))
+        part, attempt, n = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
+        while (first := next(rows, None)) is not None:
+            count = 0
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """WARC files of gzip text parts; each record's last CR LF is the sink's line separator."""
-    records.filter("record is not null").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+            def members() -> Iterator[bytes]:
+                nonlocal count
+                size = 0
+                for record in chain([first], rows):
+                    packed = gzip.compress(record, 6, mtime=0)
+                    count, size = count + 1, size + len(packed)
+                    yield packed
+                    if size >= file_bytes:
+                        return
+
+            file = f"{path}/{part:05d}-{n:05d}-{attempt}.warc.gz"
+            size = put_whole(file, members())
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], names=["file", "records", "bytes"])
+            n += 1
+
+    return records.filter("record is not null").select("record").mapInArrow(run, "file string, records long, bytes long")
 
 
 READ = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("date", T.StringType()),
-    T.StructField("uri", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("refers_to_key", T.StringType()), T.StructField("intact", T.BooleanType()),
+    T.StructField("uri", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("refers_to_key", T.StringType()),
+    T.StructField("intact", T.BooleanType()), T.StructField("error", T.StringType()),
 ])
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archives below ``path``.  ``payload_digest`` is bare hex; ``intact`` tells that block and payload
-    digests fit what was read.  A revisit's payload size is the Content-Length of the HTTP headers it keeps."""
+def list_archives(spark: SparkSession, path: str, glob: str = "*.warc*") -> DataFrame:
+    """``file`` of each archive below a folder that no manifest describes; the files' contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return found.select(F.col("path").alias("file"))
+
+
+def read_archives(files: DataFrame) -> DataFrame:
+    """Records of the archives named in ``file``, each file a stream in one task.  ``payload_digest`` is bare hex; ``intact``
+    tells that block and payload digests fit what was read.  A revisit's payload size is the Content-Length of the HTTP
+    headers it keeps.  A damaged archive gives the records before the damage and a row with ``error``."""
+
+    def read(head: dict, block: bytes, error: str | None) -> tuple:
+        if error:
+            return (*[None] * 8, False, error)
+        http, payload = split_http(block)
+        kind, digest = head.get("warc-type"), head.get("warc-payload-digest")
+        revisit = kind == "revisit"
+        ok = head.get("warc-block-digest") in (None, sha1_label(block)) and (revisit or digest in (None, sha1_label(payload)))
+        size = http_field(http, b"content-length") if revisit else None
+        size = (int(size) if (size or "").isdigit() else None) if revisit else len(payload)
+        try:
+            bare = None if digest is None else base64.b32decode(digest.removeprefix("sha1:")).hex()
+        except ValueError:
+            bare, ok = None, False
+        return http_field(http, b"x-record-key"), head.get("warc-record-id"), kind, head.get("warc-date"), head.get("warc-target-uri"), size, bare, head.get("x-refers-to-key"), ok, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = READ.names
-        types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+        types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string()]
         for b in batches:
-            for content in b.column("content"):
-                data = content.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    data = zlib.decompress(data, 31)
-                rows = []
-                for head, block in parse_warc(data):
-                    http, payload = split_http(block)
-                    revisit = head["warc-type"] == "revisit"
-                    digest, label = head["warc-payload-digest"], sha1_label(block)
-                    ok = label == head["warc-block-digest"] and (revisit or sha1_label(payload) == digest)
-                    size = int(http_field(http, b"content-length") or 0) if revisit else len(payload)
-                    hex_digest = base64.b32decode(digest.removeprefix("sha1:")).hex()
-                    rows.append((http_field(http, b"x-record-key"), head["warc-record-id"], head["warc-type"], head["warc-date"], head["warc-target-uri"], size, hex_digest, head.get("x-refers-to-key"), ok))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, READ)
+            for file in b.column("file").to_pylist():
+                fs, own = file_system(file)
+                with fs.open_input_stream(own, compression=None) as stream:
+                    records = (read(*x) for x in parse_warc(stream))
+                    while rows := [r for _, r in zip(range(2000), records)]:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=READ.names)
+
+    return files.select("file").repartition(max(1, files.count()), "file").mapInArrow(run, READ)
 
 
 def convert_pages(spark: SparkSession, pages: DataFrame, path: str, min_bytes: int = 1000) -> DataFrame:
-    """Pages to ARC archives, those to WARC archives below ``path``, and these read back (see ``read_archives``)."""
+    """Pages to ARC archives, those to WARC archives below ``path``, and the pages' records read back (see ``read_archives``)."""
     marked = assign_revisits(pages.select("page_id", "url", "html"), min_bytes)
     arc = pages_to_arc(marked.select(F.col("page_id").cast("string").alias("key"), "url", "html", F.col("ref_key").cast("string").alias("ref_key")))
-    write_archives(arc_to_warc(arc), path)
-    return read_archives(spark, path)
+    manifest = Scratch(spark, "warc").save(write_archives(arc_to_warc(arc), path), "manifest")
+    return read_archives(manifest).filter("record_type is distinct from 'warcinfo'")

@@ -1,8 +1,11 @@
 """Media columns: Netpbm and BMP bytes to numpy arrays, area resizing by integral images, NPY tiles, difference hashes.
 
 Every step is a function of one row, so the work is a scan with no shuffle; what an image needs in memory is bounded by
-the row itself.  Edge cases: null bytes or bytes in no known format give null features and an ``error``; an image with a
-side of 0 is an error; repeated rows give equal features; an empty table an empty one; extra columns are kept.
+the row itself: sizes that a header declares are held against the bytes that are there before anything is allocated.
+
+Edge cases: null bytes, bytes in no known format, truncated ones, sizes or samples out of range and a side of 0 give null
+features and an ``error``; repeated rows give equal features; an empty table an empty one; columns named in ``keep`` pass
+through, others are left out.
 """
 
 from __future__ import annotations
@@ -37,6 +40,10 @@ def encode_bmp(a: np.ndarray) -> bytes:
     return head + palette.tobytes() + rows.tobytes()
 
 
+#: What the decoders raise on bytes that are no image.
+BROKEN = (ValueError, IndexError, OverflowError, MemoryError, struct.error)
+
+
 def _netpbm(data: bytes) -> np.ndarray:
     kind, at, fields = data[:2], 2, []
     while len(fields) < (2 if kind in (b"P1", b"P4") else 3):
@@ -46,25 +53,32 @@ def _netpbm(data: bytes) -> np.ndarray:
             at = data.index(b"\n", at)
             continue
         end = at
-        while data[end : end + 1].isdigit():
+        while end - at < 10 and data[end : end + 1].isdigit():
             end += 1
-        if end == at:
+        if not data[at:end] or data[end : end + 1].isdigit():
             raise ValueError("Netpbm header")
         fields.append(int(data[at:end]))
         at = end
-    w, h = fields[:2]
-    top = fields[2] if len(fields) > 2 else 1
+    w, h, top = (*fields, 1)[:3]
     planes = 3 if kind in (b"P3", b"P6") else 1
+    if not 1 <= top <= 65535:
+        raise ValueError(f"a largest sample of {top}")
+    if w * h * planes > 8 * len(data):
+        raise ValueError(f"{w} x {h} pixels in {len(data)} bytes")
     if kind in (b"P2", b"P3"):
-        a = np.array(data[at:].split()[: w * h * planes], np.int64)
+        a = np.array([int(x) for x in data[at:].split()[: w * h * planes]])
     elif kind == b"P1":
-        a = 1 - np.array([c - 48 for c in data[at:] if c in b"01"][: w * h], np.int64)
+        a = 1 - np.array([c - 48 for c in data[at:] if c in b"01"][: w * h])
     elif kind == b"P4":
         a = 1 - np.unpackbits(np.frombuffer(data, np.uint8, (w + 7) // 8 * h, at + 1).reshape(h, -1), axis=1)[:, :w]
     else:
         a = np.frombuffer(data, ">u2" if top > 255 else np.uint8, w * h * planes, at + 1)
     a = a.reshape((h, w, 3) if planes == 3 else (h, w))
-    return a if top == 255 else (a.astype(np.int64) * 255 // max(top, 1)).astype(np.uint8)
+    if top == 255 and a.dtype == np.uint8:
+        return a
+    if a.size and not 0 <= a.min() <= a.max() <= top:
+        raise ValueError(f"samples from {a.min()} to {a.max()}, {top} being the largest allowed")
+    return (a.astype(np.int64) * 255 // top).astype(np.uint8)
 
 
 def _bmp(data: bytes) -> np.ndarray:
@@ -72,6 +86,8 @@ def _bmp(data: bytes) -> np.ndarray:
     if packing or bits not in (8, 24, 32):
         raise ValueError(f"BMP of {bits} bits, compression {packing}")
     n = bits // 8
+    if w < 1 or w * abs(h) * n > len(data):
+        raise ValueError(f"{w} x {h} pixels in {len(data)} bytes")
     stride = (w * n + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(h), start).reshape(abs(h), stride)[:, : w * n]
     rows = rows[::-1] if h > 0 else rows
@@ -160,28 +176,32 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
 
 
+TILE = [T.StructField("tile_y", T.IntegerType()), T.StructField("tile_x", T.IntegerType()), T.StructField("npy", T.BinaryType()), T.StructField("dhash", T.StringType())]
 FEATURES = T.StructType([
     T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()),
-    T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()), T.StructField("thumbnail_npy", T.BinaryType()), T.StructField("error", T.StringType()),
+    T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()), T.StructField("tiles", T.ArrayType(T.StructType(TILE))), T.StructField("error", T.StringType()),
 ])
 
 
-def media_features(media: DataFrame, keep: list[str], thumb: int = 16) -> DataFrame:
-    """``media`` binary to digests of its decoded samples, a difference hash and an NPY tile of ``thumb`` x ``thumb`` area
-    means.  Columns in ``keep`` pass through."""
+def media_features(media: DataFrame, keep: list[str], size: int = 32, side: int = 16) -> DataFrame:
+    """``media`` binary to digests of its decoded samples, a difference hash of the whole (``feature``) and ``tiles``: its area
+    means on ``size`` x ``size`` cells, cut into NPY tiles of ``side``, each with its own difference hash.  Columns in
+    ``keep`` pass through."""
 
     def one(data: bytes | None) -> tuple:
         try:
             if data is None:
                 raise ValueError("no media")
             a = decode(data)
-        except (ValueError, IndexError, struct.error) as e:
-            return None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None, None, str(e)
+        except BROKEN as e:
+            return None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None, None, str(e) or type(e).__name__
         raw = a.tobytes()
-        small = np.clip(np.rint(np.round(area_resize(a, thumb, thumb), 3)), 0, 255).astype(np.uint8)
-        return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(a), npy_bytes(small), None
+        small = np.clip(np.rint(np.round(area_resize(a, size, size), 3)), 0, 255).astype(np.uint8)
+        parts = [{"tile_y": y, "tile_x": x, "npy": npy_bytes(t), "dhash": difference_hash(t)} for y, x, t in tiles(small, side)]
+        return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(a), parts, None
 
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+    tile = pa.struct([("tile_y", pa.int32()), ("tile_x", pa.int32()), ("npy", pa.binary()), ("dhash", pa.string())])
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(tile), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,7 +214,7 @@ def media_features(media: DataFrame, keep: list[str], thumb: int = 16) -> DataFr
 
 
 def media_tiles(media: DataFrame, key: str, side: int = 64) -> DataFrame:
-    """One row per tile of each decodable image: ``key``, ``tile_y``, ``tile_x``, ``npy`` (NPY bytes), ``dhash``."""
+    """One row per tile, at full size, of each decodable image: ``key``, ``tile_y``, ``tile_x``, ``npy`` (NPY bytes), ``dhash``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32(), pa.int32(), pa.binary(), pa.string()]
@@ -202,10 +222,9 @@ def media_tiles(media: DataFrame, key: str, side: int = 64) -> DataFrame:
             for k, data in zip(b.column(key), b.column("media"), strict=True):
                 try:
                     a = decode(data.as_py() or b"")
-                except (ValueError, IndexError, struct.error):
+                except BROKEN:
                     continue
                 rows = [(y, x, npy_bytes(t), difference_hash(t)) for y, x, t in tiles(a, side)]
                 yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), b.schema.field(key).type), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=[key, "tile_y", "tile_x", "npy", "dhash"])
 
-    fields = [T.StructField("tile_y", T.IntegerType()), T.StructField("tile_x", T.IntegerType()), T.StructField("npy", T.BinaryType()), T.StructField("dhash", T.StringType())]
-    return media.select(key, "media").mapInArrow(run, T.StructType([media.schema[key], *fields]))
+    return media.select(key, "media").mapInArrow(run, T.StructType([media.schema[key], *TILE]))

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recloom.llm.draws import lowest
+
 MEASURES = ("log_bytes", "pipe", "symbol", "upper", "digit", "non_ascii", "repeat_next", "distinct_words", "distinct_lines", "word_length", "stop", "line_words")
 MAX_ROWS = 20_000
 
@@ -176,7 +178,10 @@ def remainder() -> F.Column:
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Gam:
     """Fits on labelled rows outside the held-out fifth (crc32 of the id as text, modulo 5, is 0)."""
     picked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 0)).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    picked = picked.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    picked = picked.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    drawn = picked.withColumn("draw", F.xxhash64("doc_id") / float(1 << 64) + 0.5)
+    n = picked.count()
+    picked = lowest(drawn, "draw", ["doc_id"], max_rows, n, n).drop("draw")
     # at most max_rows ids of two numbers each: the size that is broadcast is bounded by the parameter
     rows = measured(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text"), ["doc_id", "quality"])
     got = sorted(rows.collect())

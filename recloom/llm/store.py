@@ -1,27 +1,16 @@
-"""Shared storage for what an operator writes between two steps.
-
-Executors and driver have no common local folder on a cluster, so everything goes below ``spark.checkpoint.dir``.  Where
-that setting is absent (a single machine, as in tests) a folder of this process is taken and put into the setting.
-"""
+"""Shared storage for what an operator writes between two steps, below ``spark.checkpoint.dir`` (see ``sources.scratch``)."""
 
 from __future__ import annotations
 
 import contextlib
 import os
-import tempfile
 import urllib.parse
 import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="recloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from recloom.sources import scratch
 
 
 class Scratch:
@@ -29,7 +18,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = scratch.folder(spark, label)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -40,10 +29,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Removes tables that no later step reads."""
-        jvm = self.spark._jvm
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            scratch.remove(self.spark, self.path(name))
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:

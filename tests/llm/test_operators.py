@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on the awkward tables: nulls, empty and long texts, repeated rows, no
 rows, extra columns."""
 
+import gzip
 import hashlib
 import io
 import itertools
@@ -13,7 +14,7 @@ import public_tokenizers as tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from recloom.llm import bpe, chat, components, decontam, jaccard, linededup, media, quality, sharding, tokenfile, warc
+from recloom.llm import bpe, chat, components, decontam, draws, jaccard, linededup, media, quality, sharding, tokenfile, warc
 from recloom.llm.queries import QUERIES, table
 from recloom.llm.store import Scratch
 from tests.session import TESTDATA
@@ -49,17 +50,49 @@ def test_arc_versions_lengths_and_errors():
     for v in (1, 2):
         data = warc.arc_version_block(v, "f") + warc.arc_record(v, url, body, 0, "f") + warc.arc_record(v, None, b"", 0, "f")
         got = list(warc.parse_arc(data))
-        assert [(r["version"], r["content"], r["error"]) for r in got] == [(v, body, None), (v, b"", None)]
-        assert got[0]["url"] == "http://a%20b/%0A"
+        assert [(r["version"], r["content"], r["error"]) for r in got[1:]] == [(v, body, None), (v, b"", None)]
+        assert got[0]["kind"] == "warcinfo" and got[1]["url"] == "http://a%20b/%0A"
+        assert list(warc.parse_arc(gzip.compress(data))) == list(warc.parse_arc(gzip.compress(data[:40]) + gzip.compress(data[40:]))) == got
         assert [r["error"] is None for r in warc.parse_arc(data[:-10])][-1:] == [True] or list(warc.parse_arc(data[:-10]))[-1]["error"]
     assert list(warc.parse_arc(data[: len(data) // 2]))[-1]["error"]
     assert list(warc.parse_arc(b"http://x 0 0 t 1\na"))[0]["error"] == "no version block"
     assert list(warc.parse_arc(b"")) == []
     mixed = warc.arc_version_block(2, "f") + warc.arc_record(1, "u", b"a", 0, "f")
-    assert "fields" in list(warc.parse_arc(mixed))[0]["error"]
+    assert "fields" in list(warc.parse_arc(mixed))[1]["error"]
+    for cut in (1, 9, 30):  # truncated and damaged gzip
+        some = list(warc.parse_arc(gzip.compress(data)[:-cut]))
+        assert some[-1]["error"] and all(r["error"] is None for r in some[:-1])
+    assert list(warc.parse_arc(b"\x1f\x8b not gzip at all"))[0]["error"].startswith("gzip")
     assert warc.warc_date("19970102") == "1997-01-02T00:00:00Z"
 
 
+def test_record_types_and_members():
+    arc = warc.arc_version_block(1, "f.arc") + warc.arc_record(1, "http://a/", b"HTTP/1.1 200 OK\r\n\r\nx", 0, "f") + b"dns:a 0.0.0.0 20200101000000 text/dns 3\nabc\n"
+    records = [warc.warc_record(r) for r in warc.parse_arc(arc)]
+    kinds = ["warcinfo", "response", "resource"]
+    for data in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records)), b"".join(gzip.compress(r) + b"\0" * 5 for r in records)):
+        got = list(warc.parse_warc(data))
+        assert [h["warc-type"] for h, _, _ in got] == kinds and [e for *_, e in got] == [None] * 3
+        assert got[2][0]["content-type"] == "text/dns" and got[2][1] == b"abc" and got[0][0]["warc-filename"] == "f.arc"
+    assert [bool(e) for *_, e in warc.parse_warc(data[:-40])] == [False, False, True]
+    assert [bool(e) for *_, e in warc.parse_warc(b"".join(records)[:-40])] == [False, False, True]
+    assert [e for *_, e in warc.parse_warc(b"")] == [] and list(warc.parse_warc(b"junk"))[0][2]
+
+
+def test_archive_files(spark, tmp_path):
+    """Files are cut by size, damaged ones end in an error row, and a folder without a manifest can be read."""
+    big = [(f"k{i}", warc.warc_record({"content": b"HTTP/1.1 200 OK\r\n\r\n" + random.Random(i).randbytes(3000), "date": "20200101", "url": f"http://h/{i}", "ip": "0.0.0.0", "mime": "text/html"}), None) for i in range(20)]
+    files = Scratch(spark, "t").save(warc.write_archives(spark.createDataFrame(big, warc.CONVERTED).repartition(2), f"file://{tmp_path}/w", file_bytes=10_000), "m")
+    rows = files.collect()
+    assert sum(r.records for r in rows) == 20 and len(rows) >= 5 and all(r.bytes < 14_000 for r in rows)
+    assert warc.read_archives(warc.list_archives(spark, f"file://{tmp_path}/w")).filter("intact and error is null").count() == 20
+    (tmp_path / "w" / "cut.warc.gz").write_bytes(gzip.compress(big[0][1]) + gzip.compress(big[1][1])[:-200])
+    got = warc.read_archives(warc.list_archives(spark, f"file://{tmp_path}/w")).collect()
+    assert sum(r.intact for r in got) == 21 and [r.error for r in got if r.error] == ["truncated gzip member"]
+    bad = spark.createDataFrame([(bytearray(gzip.compress(warc.arc_version_block(1, "f"))[:-3]), {})], "content binary, refs map<string,string>")
+    assert [r.error for r in warc.arc_to_warc(bad).collect()][-1]
+
+
 def page_results(pages):
     best = {}
     for i, h in pages:
@@ -112,6 +145,37 @@ def test_netpbm_kinds():
     assert media.decode(b"P4\n3 1\n\xa0").tolist() == [[0, 255, 0]]
     assert media.decode(b"P6 1 1 255\n\x01\x02\x03").tolist() == [[[1, 2, 3]]]
     assert media.decode(b"P5 1 1 65535\n\xff\xff").tolist() == [[255]]
+    for plain in (b"P2 2 1 255 7 9", b"P3 1 1 255 1 2 3", b"P1 1 1 0", b"P4 1 1\n\x00", b"P5 1 1 7\n\x07"):
+        assert media.decode(plain).dtype == np.uint8
+
+
+BAD_IMAGES = [None, b"GIF8", b"P5 0 0 255\n", b"P5 9 9 255\nxx", b"BM", b"P2 1 1 255 99999999999999999999", b"P2 2 1 255 -5 3", b"P2 2 1 255 70000 3", b"P2 1 1 0 0"]
+BAD_IMAGES += [b"P5 9999999999 9999999999 255\n", b"P5 99999999999 1 255\n", b"P4 4000000000 4000000000\n", b"P2 2 1 255 1", b"P5 1 1 7\n\x08", b"P2 1 1 70000 1", b"BM" + bytes(60), b"P6 1 1"]
+
+
+def fits_hash(a, code):
+    """Area means by loops over pixels that are cut into 8 x 9 cells; bits are looked at where neighbours differ clearly."""
+    h, w = a.shape
+    fine = np.kron(a.astype(float), np.ones((8, 9))).reshape(8, h, 9, w).mean((1, 3))
+    bits = f"{int(code, 16):064b}"
+    steps = [(bits[8 * y + x], fine[y, x + 1] - fine[y, x]) for y in range(8) for x in range(8)]
+    return all(abs(d) < 0.002 or (b == "1") == (d > 0) for b, d in steps)
+
+
+def test_op2_features_by_hand(spark):
+    docs = {r.doc_id: r.text for r in table(spark, SMALL, "documents").collect()}
+    rows = QUERIES["op2_media"](spark, SMALL).collect()
+    assert len(rows) == len(docs) and len({r.feature for r in rows}) > 100
+    for r in rows:
+        raw = (docs[r.doc_id] or "").encode()
+        a = np.frombuffer(raw + bytes(r.payload_bytes - len(raw)), np.uint8).reshape(-1, 64)
+        assert len(r.tiles) == 4
+        if len(a) < 60:
+            assert fits_hash(a, r.feature)
+            cells = np.kron(a.astype(float), np.ones((32, 1))).reshape(32, len(a), 32, 2).mean((1, 3))
+            for t in r.tiles:
+                tile = np.load(io.BytesIO(t.npy))
+                assert fits_hash(tile, t.dhash) and np.abs(tile - cells[16 * t.tile_y : 16 * t.tile_y + 16, 16 * t.tile_x : 16 * t.tile_x + 16]).max() <= 0.51
 
 
 def test_media_features(spark):
@@ -124,8 +188,8 @@ def test_media_features(spark):
         raw = (want[r.doc_id] or "").encode()
         pad = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.error) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]), None)
-    bad = spark.createDataFrame([(1, None), (2, bytearray(b"GIF8")), (3, bytearray(b"P5 0 0 255\n")), (4, bytearray(b"P5 9 9 255\nxx")), (5, bytearray(b"BM"))], "doc_id long, media binary")
-    assert all(r.error and r.feature is None for r in media.media_features(bad, ["doc_id"]).collect())
+    bad = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in enumerate(BAD_IMAGES)], "doc_id long, media binary")
+    assert media.media_features(bad, ["doc_id"]).count() == len(BAD_IMAGES) and all(r.error and r.feature is None for r in media.media_features(bad, ["doc_id"]).collect())
     assert media.media_tiles(bad, "doc_id").count() == 0
     assert media.media_tiles(stored, "doc_id").count() > docs.count()
     assert media.media_features(media.store_texts(none(spark)), ["doc_id"]).count() == 0
@@ -142,6 +206,45 @@ def test_gam_learns_interactions():
     assert (0, 1) in [(f, g) for f, g, _ in m.pairs]
 
 
+def naive_measures(text):
+    if not text:
+        return [0.0] * 12
+    raw, words, lines = text.encode(), text.split(), text.split("\n")
+    n, m = max(1, len(words)), max(1, len(lines))
+    of = lambda which: sum(chr(c) in which for c in raw if c < 128)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    again = sum(words[i] == words[i + 1] for i in range(len(words) - 1))
+    shares = [of("|") / n, of("*%$#&@^~<>{}[]\\=+_") / n, of(upper) / len(raw), of(digits) / len(raw), sum(c > 127 for c in raw) / len(raw)]
+    return [np.log(1 + len(raw)), *shares, again / n, len(set(words)) / n**0.9, len(set(lines)) / m, len(raw) / n, of(".") / n, n / m]
+
+
+def test_quality_by_hand(spark):
+    """Measures by plain counting, and scores by looking each measure and pair up in the model's tables."""
+    texts = [*(r.text for r in table(spark, SMALL, "documents").collect()), None, "", " ", "|", "A1é.\n\nb b b", "x" * 70]
+    x = quality.measures(texts)
+    assert np.allclose(x, [naive_measures(t) for t in texts])
+    model = quality.train(spark, table(spark, f"{TESTDATA}/sf0.01", "documents"), table(spark, f"{TESTDATA}/sf0.01", "labels"))
+    assert model.pairs and all(len(t) == len(c) + 1 for t, c in zip(model.tables, model.cuts, strict=True))
+
+    def look_up(row):
+        at = lambda cuts, v: sum(v >= c for c in cuts)
+        z = model.prior + sum(t[at(c, v)] for t, c, v in zip(model.tables, model.cuts, row, strict=True))
+        z += sum(t[at(model.coarse[f], row[f]), at(model.coarse[g], row[g])] for f, g, t in model.pairs)
+        return 1 / (1 + np.exp(-min(30, max(-30, z))))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(quality.scored(docs, model, ["doc_id"]))
+    assert np.allclose([got[i].score for i in range(len(texts))], [look_up(r) for r in x])
+
+
+def test_lowest_draws(spark):
+    rows = [(i, (i * 7919 % 1009) / 1009) for i in range(1009)]
+    df = spark.createDataFrame(rows, "id long, u double")
+    for n, weight in ((10, 1009), (10, 3), (300, 1e9), (2000, 1009)):
+        got = draws.lowest(df, "u", ["id"], n, 1009, weight)
+        assert {r.id for r in got.collect()} == {i for i, _ in sorted(rows, key=lambda r: r[1])[:n]}
+
+
 def test_quality_held_out(spark):
     d = f"{TESTDATA}/sf0.01"
     got = by_id(QUERIES["op3_quality"](spark, d))
@@ -342,14 +445,58 @@ def test_canonical_and_slots(spark):
     rows = [(1, f"Before it. {item}. After it."), (2, f"xx yy zz. {changed}! More"), (3, f"words, {mixed}"), (4, " ".join(item.split()[:6])), (5, item.upper().lower()), (6, None), (7, ""), (1, f"Before it. {item}. After it.")]
     docs = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, item_id string, pos int")
     bench = spark.createDataFrame([(0, item), (1, None), (2, "short one"), (3, "1 2 3 4 5 6 7 8 9"), (4, "exactly five words stand here")], "item_id long, text string")
-    for most in (1000, 0):
-        got = {(r.doc_id, r.item_id): r.same_slots for r in decontam.contaminated(spark, docs, bench, broadcast_windows=most).collect()}
-        assert got == {(1, 0): True, (2, 0): False}
+    for most in (1 << 20, 0):
+        got = {(r.doc_id, r.item_id): r.same_slots for r in decontam.contaminated(spark, docs, bench, broadcast_bytes=most).collect()}
+        assert got == {(1, 0): True, (2, 0): False, (5, 0): True}
     five = spark.createDataFrame([(9, "it is so that exactly five words stand here then")], "doc_id long, text string")
     assert [tuple(r)[:2] for r in decontam.contaminated(spark, five, bench).collect()] == [(9, 4)]
     assert decontam.contaminated(spark, docs.limit(0), bench).count() == 0 and decontam.contaminated(spark, docs, bench.limit(0)).count() == 0
 
 
+def test_items_of_few_words(spark):
+    items = ["Solve 3 x + 5 = 20", "Compute 12 * 15 / 3", "Convert 5 km to miles", "10 km in 2 h, 30 km in 6 h", "yes indeed", "1 2 3 4 5 6 7 8 9 10"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(i, f"some text\n{t}.\nand more") for i, t in enumerate(items)] + [(10, "he said yes indeed to it"), (11, "Solve 4 x + 5 = 20"), (12, "Compute 1 * 2 / 9"), (13, "-- YES, indeed!"), (None, items[0])]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, i) for i in range(len(items))} | {(13, 4)}
+
+
+def test_decontam_slots(spark):
+    item = "A shop sells 12 red pens and 3 blue pens to every child who comes before 9 in the morning on a school day"
+    docs = [(0, item.replace("12", "7").replace(" 3 ", " 7 ").replace("9", "8")), (1, item.replace("12", "15")), (2, "so " + item.lower())]
+    twice = "Give 5 apples to each boy and 5 apples to each girl and keep 5 apples for the old man in the house"
+    docs += [(3, twice.replace("5", "8")), (4, twice.replace("5", "8", 1).replace("5", "9")), (5, twice.replace("5", "6", 1))]
+    bench = spark.createDataFrame([(0, item), (1, twice)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(0, 0), (1, 0), (2, 0), (3, 1), (5, 1)}  # 4: one value stands for three; 5: most of it is verbatim
+
+
+def problems(seed, n, start=0):
+    """Word problems of made-up words with numbers, names and units; another ``seed`` gives the same with other values, each
+    value having one other in its place."""
+    out, rng = [], random.Random(seed)
+    for i in range(start, start + n):
+        own, to = random.Random(i), {}
+        words = ["".join(own.choice("aeiou") + own.choice("bcdfglmnprst") for _ in range(own.randrange(2, 4))) for _ in range(own.randrange(12, 40))]
+        for at in own.sample(range(1, len(words)), len(words) // 6):
+            kind = own.randrange(3)
+            value = (own.randrange(2, 99), own.randrange(4), own.randrange(5))[kind]
+            new = (str(rng.randrange(2, 999)), rng.choice(("km", "miles", "hours", "kg")), rng.choice(("Anna", "Bob", "Carla", "Dan", "Eve")))[kind]
+            words[at] = to.setdefault((kind, value), new)
+        out.append(" ".join(words) + "?")
+    return out
+
+
+def test_decontam_recall_of_new_values(spark):
+    """Items with all numbers, names and units drawn anew, inside other text: at least 0.9 found, and nothing else."""
+    n = 120
+    items, anew, other = problems(1, n), problems(2, n), problems(3, n, start=n)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(i, f"Words before it. {t} words after it.") for i, t in enumerate(anew)] + [(1000 + i, t) for i, t in enumerate(other)]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert len(got & {(i, i) for i in range(n)}) >= 0.9 * n and all(d == i for d, i in got)
+
+
 def test_decontam_against_brute_force(spark):
     d = f"{TESTDATA}/sf0.01"
     docs, bench = texts_of(table(spark, d, "documents")), {r.item_id: r.text for r in table(spark, d, "benchmark").collect()}
@@ -395,6 +542,18 @@ def test_bpe_tables(spark):
     assert bpe.round_trip(none(spark), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN).count() == 0
 
 
+def test_op7_is_tiktoken(spark):
+    import tiktoken
+
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks={p: i for i, p in enumerate(bpe.read_ranks(path))}, special_tokens={})
+    want = {}
+    for i, t in texts_of(table(spark, SMALL, "documents")).items():
+        ids = enc.encode_ordinary(t or "")
+        want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op7_bpe"](spark, SMALL).collect()} == want
+
+
 def test_chunk_cache_stays_right_when_it_is_full(corpus, monkeypatch):
     from recloom.llm import pretokens
 
@@ -468,6 +627,13 @@ def test_line_dedup(spark, sites):
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=str) == lines_brute(rows, sites, 3)
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "source", "row", "kept", "bad", "salt", "site", "hash", "keeper", "n_lines", "n_removed"]
+    df = spark.createDataFrame([(i, f"the shared line of all\nown {i}", f"s{i}", *range(9)) for i in range(9)], ", ".join(f"{n} {'string' if n in ('text', 'source') else 'long'}" for n in names))
+    got = linededup.dedup_lines(df).collect()
+    assert sum(r.n_removed for r in got) == 8 and all([r[c] for c in names[3:10]] == list(range(7)) for r in got)
+
+
 def test_line_dedup_awkward(spark):
     docs = awkward(spark)
     got = linededup.dedup_lines(docs)

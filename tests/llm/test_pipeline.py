@@ -31,6 +31,23 @@ def test_each_stage_takes_awkward_and_empty_tables(spark):
         assert stage(spark, none(spark), SMALL).count() == 0
 
 
+def test_lines_stage_keeps_what_is_left(spark):
+    """A document of boilerplate and a few words of its own stays with these; one of boilerplate alone goes."""
+    shared = "\n".join(f"a line of boilerplate number {i} that stands on very many sites" for i in range(30))
+    rows = [(i, f"{shared}\nown {i}") for i in range(1, 12)] + [(20, shared), (21, f"\n{shared}\n \n"), (22, None), (23, ""), (24, "   ")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in cp.by_lines(spark, docs, SMALL).collect()}
+    assert set(got) == {*range(1, 12), 22, 23, 24}
+    assert got[1].text == rows[0][1] and all(got[i].text == f"own {i}" and got[i].n_chars == len(got[i].text) for i in range(2, 12))
+
+
+def test_benchmark_stage_looks_at_rows_without_an_id(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    rows = [(None, f"before it {item} after it"), (None, "clean words of its own"), (1, item), (2, "clean too"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in cp.by_benchmark(spark, docs, SMALL).collect()} == {rows[1], rows[3], rows[4]}
+
+
 def test_planted_cases(spark):
     base = " ".join(f"word{i} thing{i * 7 % 50}" for i in range(60))
     near = base.replace("word30 ", "other ")

@@ -62,7 +62,7 @@ WHOLE = 256
 #: Nodes of one combination that a task pairs with all the others.
 BLOCK = 4096
 #: Combinations looked back at, so that a pair is not made anew by each of a run of shared ones.
-REPEATS = 8
+REPEATS = 4
 #: Percent of a longer text's tokens that its window holds beyond tau.
 SPARE = 7
 #: Ids that are broadcast at most (8 bytes each); beyond, the join shuffles.
@@ -201,12 +201,13 @@ def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     width = F.when(100 * n <= percent * WHOLE, n).otherwise(tau + F.floor(n * SPARE / 100))
     own = scratch.save(own, "windows")
     scratch.drop("sketch")
-    sizes = own.select("node", "n")
+    sizes = scratch.save(own.select("node", "n"), "sizes")
     tok = own.select("node", width.alias("width"), F.posexplode("tokens").alias("at", "h")).select("node", "h", (F.col("at") < F.col("width")).alias("low"))
 
     spread = F.xxhash64("node")
     hubs = tok.groupBy("h").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.min_by("node", spread).alias("u"), F.max_by("node", spread).alias("v")).filter("p != q")
     shared = scratch.save(tok.join(hubs, "h"), "shared")
+    scratch.drop("windows")
     to_hub = shared.filter("low").select("node", F.explode(F.array_distinct(F.array("p", "q", "u", "v"))).alias("hub")).filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
     to_hub = to_hub.join(sizes.select("node", "n"), "node").filter(F.col("c") >= 0.3 * width)
     pairs = scratch.save(to_hub.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "hub-pairs")
@@ -245,7 +246,7 @@ def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     found = scratch.save(crossing(index, percent), "rest-pairs")
     more = verify(scratch, sets, found, "rest", percent)
     comp = scratch.save(components(scratch, links.unionByName(more), "last"), "last")
-    scratch.drop("windows", "dense", "dense-again", "dense-sets", "index", "rest-pairs", "second")
+    scratch.drop("sizes", "dense", "dense-again", "dense-sets", "index", "rest-pairs", "second")
     label = nodes.join(comp, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     out = sig.select("doc_id", "n", "key").join(label, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -47,13 +47,15 @@ def welch(v: np.ndarray, fs: float, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def low_pass(v: np.ndarray, fs: float, cut: float) -> np.ndarray:
-    """First-order gain of a Butterworth low-pass run both ways, by FFT with odd reflection at the ends."""
+    """Gain 1 / (1 + (f / cut) ** 32), by FFT with odd reflection at the ends: half at ``cut``, under a thousandth from 1.25
+    times ``cut`` on."""
     v = np.asarray(v, float)
     if len(v) < 3:
         return v
     x = np.concatenate((2 * v[0] - v[:0:-1], v, 2 * v[-1] - v[-2::-1]))
     f = np.fft.rfftfreq(len(x), 1 / fs)
-    return np.fft.irfft(np.fft.rfft(x) / (1 + (f / cut) ** 4), len(x))[len(v) - 1 : 2 * len(v) - 1]
+    with np.errstate(over="ignore"):
+        return np.fft.irfft(np.fft.rfft(x) / (1 + (f / cut) ** 32), len(x))[len(v) - 1 : 2 * len(v) - 1]
 
 
 def waveform_shape(w: np.ndarray, fs: float, recovery: int = 16) -> dict[str, float]:
@@ -84,7 +86,7 @@ def half_round_trip(v: np.ndarray) -> np.ndarray:
         return np.asarray(v, np.float32).astype(np.float16).astype(np.float32)
 
 
-def ridge(gram: np.ndarray, cross: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-    """(gram + penalty) w = cross by Cholesky; raises ``LinAlgError`` where that is not positive definite."""
-    low = np.linalg.cholesky(gram + penalty)
+def ridge(system: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """System w = cross by Cholesky; raises ``LinAlgError`` where that is not positive definite."""
+    low = np.linalg.cholesky(system)
     return np.linalg.solve(low.T, np.linalg.solve(low, cross))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recloom.sources.scratch import folder
+
 
 def keep_not_equal(df: DataFrame, column: str, value) -> DataFrame:
     """Rows whose value differs, missing ones included."""
@@ -39,11 +41,17 @@ def every_nth(df: DataFrame, order: str, n: int, k: int) -> DataFrame:
 
 
 def ranked(df: DataFrame, order: str) -> DataFrame:
-    """Rank from 0 in the total order of a unique key, without a window over all rows."""
+    """Rank from 0 in the total order of a unique key, without a window over all rows.  The range partitions are written
+    once, with each row's place in its own, so that counting and joining see the same ones whatever runs again."""
+    spark = df.sparkSession
+    path = folder(spark, "ranked")
     parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
-    parts = parts.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1))
-    base = parts.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return parts.join(F.broadcast(base.select("_part", "_base")), "_part").withColumn("rank", F.col("_base") + F.col("_at")).drop("_id", "_part", "_at", "_base")
+    parts = parts.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
+    parts.write.parquet(path)
+    parts = spark.read.schema(parts.schema).parquet(path)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    base = parts.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return parts.join(F.broadcast(base.select("_part", "_base")), "_part").withColumn("rank", F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
 
 
 def first_n(df: DataFrame, n: int, *order: str) -> DataFrame:

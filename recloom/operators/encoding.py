@@ -7,14 +7,16 @@ penalties, dropped groups) is small linear algebra on these statistics, one reco
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recloom.functions.kernels import ridge
+from recloom.operators.qc import quantiles
 
 
 def fold_label(i: Column, n: Column, k: int) -> Column:
@@ -84,31 +86,38 @@ def unpack(s: np.ndarray, p: int, m: int) -> dict[str, np.ndarray]:
     return {"n": n[0], "x": sx, "y": sy, "yy": sq, "xx": g + np.triu(g, 1).T, "xy": xy.reshape(p, m)}
 
 
-def statistics(rows: DataFrame, keys: Sequence[str], b: np.ndarray, n_pre: int, n_folds: int, size: int = 15_000) -> DataFrame:
-    """Packed statistics per key and fold.  ``rows``: keys, ``i``, ``n``, ``x`` (array of base regressors), ``y`` (array of
-    targets).  A group of the numpy step is one chunk of ``size`` samples with its halo."""
+def chunk_packs(rows: DataFrame, keys: Sequence[str], b: np.ndarray, n_pre: int, n_folds: int, size: int = 15_000) -> DataFrame:
+    """Packed statistics (``s``) per key, fold and chunk; those of a key and fold add up.  ``rows``: keys, ``i``, ``n``,
+    ``x`` (array of base regressors), ``y`` (array of targets).  A group of the numpy step is one chunk of ``size`` samples
+    with its halo, which comes and goes as flat Arrow buffers."""
     n_post = len(b) - 1 - n_pre
     first, last = F.floor((F.col("i") - n_pre) / size), F.floor((F.col("i") + n_post) / size)
     top = F.floor((F.col("n") - 1) / size)
-    spread = rows.withColumn("_c", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, top))))
+    spread = rows.select(*keys, "i", "n", "x", "y", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, top))).alias("_c"))
     kinds = dict(rows.dtypes)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("i")
-        i, n, c = f.i.to_numpy(), int(f.n.iloc[0]), int(f._c.iloc[0])
-        base = np.stack([np.asarray(v, float) for v in f.x])
-        lo = int(i[0])
-        full = np.zeros((int(i[-1]) - lo + 1, base.shape[1]))
-        full[i - lo] = base
-        x = expand(full, b, n_pre)[i - lo]
-        y = np.stack([np.asarray(v, float) for v in f.y])
+    def run(t: pa.Table) -> pa.Table:
+        i, n, c = t.column("i").to_numpy(), t.column("n")[0].as_py(), t.column("_c")[0].as_py()
+        order = np.argsort(i)
+        flat = lambda name: t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(i), -1)[order]
+        i, base, y = i[order], flat("x"), flat("y")
+        full = np.zeros((int(i[-1] - i[0]) + 1, base.shape[1]))
+        full[i - i[0]] = base
+        x = expand(full, b, n_pre)[i - i[0]]
         own = (i >= c * size) & (i < (c + 1) * size)
         fold = ((i + 1) * n_folds - 1) // n
-        out = [(int(k), pack(x[own & (fold == k)], y[own & (fold == k)]).tolist()) for k in np.unique(fold[own])]
-        return pd.DataFrame([[*(f[k].iloc[0] for k in keys), k2, s] for k2, s in out], columns=[*keys, "fold", "s"])
+        some = np.unique(fold[own])
+        packs = [pack(x[at], y[at]) for at in (own & (fold == k) for k in some)]
+        columns = [t.column(k).slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(some), np.int64))) for k in keys]
+        return pa.Table.from_arrays([*columns, pa.array(some, pa.int32()), pa.array(packs, pa.list_(pa.float64()))], names=[*keys, "fold", "s"])
 
     schema = "".join(f"`{k}` {kinds[k]}, " for k in keys)
-    parts = spread.groupBy(*keys, "_c").applyInPandas(run, schema + "fold int, s array<double>")
+    return spread.groupBy(*keys, "_c").applyInArrow(run, schema + "fold int, s array<double>")
+
+
+def statistics(rows: DataFrame, keys: Sequence[str], b: np.ndarray, n_pre: int, n_folds: int, size: int = 15_000) -> DataFrame:
+    """The sums of ``chunk_packs`` in long form: keys, ``fold``, ``at`` (place in the pack), ``v``."""
+    parts = chunk_packs(rows, keys, b, n_pre, n_folds, size)
     return parts.select(*keys, "fold", F.posexplode("s").alias("at", "v")).groupBy(*keys, "fold", "at").agg(F.sum("v").alias("v"))
 
 
@@ -130,25 +139,72 @@ def second_difference(m: int) -> np.ndarray:
     return d.T @ d
 
 
-def penalty(groups: Sequence[str], n_basis: int, lam: dict[str, float] | float) -> np.ndarray:
-    """E5: a block per base regressor with its group's strength, 0 where the group has none."""
-    return np.kron(np.diag([lam.get(g, 0.0) if isinstance(lam, dict) else float(lam) for g in groups]), second_difference(n_basis))
+def penalty(groups: Sequence[str], n_basis: int, strength: Mapping[str, float]) -> np.ndarray:
+    """E5: along the diagonal, a smoothness block for each base regressor whose group has a strength."""
+    block, out = second_difference(n_basis), np.zeros((len(groups) * n_basis,) * 2)
+    for r, group in enumerate(groups):
+        own = slice(r * n_basis, (r + 1) * n_basis)
+        out[own, own] = strength.get(group, 0.0) * block
+    return out
 
 
-def fit_weights(a: dict, pen: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights on the kept columns (0 elsewhere) and intercepts from centred cross-products."""
-    mx, my = a["x"] / a["n"], a["y"] / a["n"]
-    sxx, sxy = a["xx"] - a["n"] * np.outer(mx, mx), a["xy"] - a["n"] * np.outer(mx, my)
-    w = np.zeros_like(sxy)
-    w[keep] = ridge(sxx[np.ix_(keep, keep)], sxy[keep], pen[np.ix_(keep, keep)])
-    return w, my - mx @ w
+def scatter(stats: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Centred products of regressors and targets in one matrix, and their means.  Of two different targets the product is
+    not among the statistics: 0."""
+    whole = np.block([[stats["xx"], stats["xy"]], [stats["xy"].T, np.diag(stats["yy"])]])
+    mean = np.concatenate((stats["x"], stats["y"])) / stats["n"]
+    p = len(stats["x"])
+    shift = stats["n"] * np.outer(mean, mean)
+    shift[p:, p:] *= np.eye(len(mean) - p)
+    return whole - shift, mean
+
+
+def fit_weights(train: dict, pen: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts.  A column that is left out keeps its place in the system, where it is tied to
+    nothing and its weight is 0."""
+    s, mean = scatter(train)
+    p = len(train["x"])
+    live = np.isin(np.arange(p), keep)
+    system = np.where(np.outer(live, live), s[:p, :p] + pen, np.eye(p))
+    w = ridge(system, live[:, None] * s[:p, p:])
+    return w, mean[p:] - mean[:p] @ w
+
+
+def r2(scored: dict, w: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """From the scored statistics alone.  A target's residual is a linear form of regressors and target, so its sum of
+    squares is the form's square in ``scatter`` and n times its squared mean.  NaN where the target doesn't vary."""
+    s, mean = scatter(scored)
+    form = np.vstack((-w, np.eye(w.shape[1])))
+    rest = np.einsum("it,ij,jt->t", form, s, form) + scored["n"] * (mean @ form - c) ** 2
+    spread = np.diag(s)[len(w) :]
+    varies = spread > 1e-12 * np.maximum(scored["yy"], 1e-300)
+    return np.where(varies, 1 - rest / np.where(varies, spread, 1), np.nan)
+
+
+def by_fold(t: pa.Table) -> np.ndarray:
+    """One summed pack per fold, in order."""
+    fold = t.column("fold").to_numpy()
+    flat = t.column("s").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(fold), -1)
+    out = np.zeros((len(np.unique(fold)), flat.shape[1]))
+    np.add.at(out, np.unique(fold, return_inverse=True)[1], flat)
+    return out
 
 
-def r2(a: dict, w: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """From the scored statistics alone; NaN where the target doesn't vary."""
-    res = a["yy"] - 2 * (c * a["y"] + (w * a["xy"]).sum(0)) + a["n"] * c**2 + 2 * c * (a["x"] @ w) + (w * (a["xx"] @ w)).sum(0)
-    tot = a["yy"] - a["y"] ** 2 / a["n"]
-    return np.where(tot > 1e-12 * np.maximum(a["yy"], 1e-300), 1 - res / np.where(tot == 0, 1, tot), np.nan)
+def per_key(packs: DataFrame, keys: Sequence[str], columns: dict[str, str], rows: Callable[[np.ndarray], list[tuple]]) -> DataFrame:
+    """``rows`` of each key's packs by fold, with the key before them.  ``packs``: ``chunk_packs`` or ``statistics``."""
+    kinds = dict(packs.dtypes)
+    packs = gathered(packs, keys) if "at" in packs.columns else packs
+    names = [*keys, *columns]
+    types = {"double": pa.float64(), "string": pa.string(), "int": pa.int32()}
+
+    def run(t: pa.Table) -> pa.Table:
+        got = rows(by_fold(t))
+        own = [t.column(k).slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(got), np.int64))) for k in keys]
+        cols = zip(*got, strict=True) if got else [[]] * len(columns)
+        return pa.Table.from_arrays([*own, *(pa.array(c, types[k]) for c, k in zip(cols, columns.values(), strict=True))], names=names)
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{c} {k}" for c, k in columns.items())])
+    return packs.groupBy(*keys).applyInArrow(run, schema)
 
 
 def solve(stats: DataFrame, keys: Sequence[str], groups: Sequence[str], n_basis: int, n_targets: int, lambdas: Sequence[float], drop: bool = True) -> DataFrame:
@@ -157,28 +213,26 @@ def solve(stats: DataFrame, keys: Sequence[str], groups: Sequence[str], n_basis:
     p = len(groups) * n_basis
     cols = np.repeat(np.array(groups), n_basis)
     variants = ["", *dict.fromkeys(groups)] if drop else [""]
-    kinds = dict(stats.dtypes)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        packs = [np.asarray(s, float) for s in f.sort_values("fold").s]
-        total, rows = sum(packs), []
+    def rows(packs: np.ndarray) -> list[tuple]:
+        out, total = [], packs.sum(0)
+        every, parts, rests = unpack(total, p, n_targets), [unpack(s, p, n_targets) for s in packs], [unpack(total - s, p, n_targets) for s in packs]
         for lam in lambdas:
-            pen = penalty(groups, n_basis, lam)
+            pen = penalty(groups, n_basis, dict.fromkeys(groups, lam))
             for gone in variants:
                 keep = np.flatnonzero(cols != gone)
+                full = cv = np.full(n_targets, np.nan)
+                status = "ok"
                 try:
-                    every = unpack(total, p, n_targets)
                     full = r2(every, *fit_weights(every, pen, keep))
-                    cv = np.mean([r2(unpack(s, p, n_targets), *fit_weights(unpack(total - s, p, n_targets), pen, keep)) for s in packs], axis=0) if len(packs) > 1 else np.full(n_targets, np.nan)
-                    status = "ok"
+                    if len(packs) > 1:
+                        cv = np.mean([r2(s, *fit_weights(rest, pen, keep)) for s, rest in zip(parts, rests, strict=True)], axis=0)
                 except np.linalg.LinAlgError as e:
-                    full = cv = np.full(n_targets, np.nan)
-                    status = str(e)
-                rows += [[*(f[k].iloc[0] for k in keys), float(lam), gone, t, none(full[t]), none(cv[t]), status] for t in range(n_targets)]
-        return pd.DataFrame(rows, columns=[*keys, "lam", "dropped", "target", "r2_full", "r2_cv", "status"])
+                    full, status = np.full(n_targets, np.nan), str(e)
+                out += [(float(lam), gone, t, none(full[t]), none(cv[t]), status) for t in range(n_targets)]
+        return out
 
-    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys)
-    return gathered(stats, keys).groupBy(*keys).applyInPandas(run, schema + "lam double, dropped string, target int, r2_full double, r2_cv double, status string")
+    return per_key(stats, keys, {"lam": "double", "dropped": "string", "target": "int", "r2_full": "double", "r2_cv": "double", "status": "string"}, rows)
 
 
 def none(x: float) -> float | None:
@@ -186,20 +240,17 @@ def none(x: float) -> float | None:
 
 
 def weights(stats: DataFrame, keys: Sequence[str], groups: Sequence[str], n_basis: int, n_targets: int, lam: float) -> DataFrame:
-    """K9: basis weights per (regressor, bump, target) of the fit on all samples."""
+    """K9: basis weights per (regressor, bump, target) of the fit on all samples; none for a key that can't be fitted."""
     p = len(groups) * n_basis
-    kinds = dict(stats.dtypes)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        a = unpack(sum(np.asarray(s, float) for s in f.s), p, n_targets)
+    def rows(packs: np.ndarray) -> list[tuple]:
         try:
-            w, c = fit_weights(a, penalty(groups, n_basis, lam), np.arange(p))
+            w, _ = fit_weights(unpack(packs.sum(0), p, n_targets), penalty(groups, n_basis, dict.fromkeys(groups, lam)), np.arange(p))
         except np.linalg.LinAlgError:
-            return pd.DataFrame(columns=[*keys, "r", "k", "target", "w"])
-        return pd.DataFrame([[*(f[q].iloc[0] for q in keys), i // n_basis, i % n_basis, t, float(w[i, t])] for i in range(p) for t in range(n_targets)], columns=[*keys, "r", "k", "target", "w"])
+            return []
+        return [(i // n_basis, i % n_basis, t, float(w[i, t])) for i in range(p) for t in range(n_targets)]
 
-    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys)
-    return gathered(stats, keys).groupBy(*keys).applyInPandas(run, schema + "r int, k int, target int, w double")
+    return per_key(stats, keys, {"r": "int", "k": "int", "target": "int", "w": "double"}, rows)
 
 
 def kernels(w: DataFrame, basis: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -215,7 +266,7 @@ def drop_scores(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def pick_lambda(scores: DataFrame, group: Sequence[str]) -> DataFrame:
     """Penalty of the best median score, the smaller at a tie."""
-    m = scores.groupBy(*group, "lam").agg(F.median("r2").alias("objective"))
+    m = quantiles(scores, [*group, "lam"], "r2", [0.5]).withColumn("objective", F.col("q")[0])
     return first_best(m, group, "objective", "lam").select(*group, "lam", "objective")
 
 
@@ -276,7 +327,7 @@ def decode_scores(trials: DataFrame, keys: Sequence[str], n_folds: int = 5, lam:
             if tr.sum() < 2:
                 continue
             mx, my = x[tr].mean(0), y[tr].mean()
-            w = ridge((x[tr] - mx).T @ (x[tr] - mx), (x[tr] - mx).T @ (y[tr] - my), lam * np.eye(x.shape[1]))
+            w = ridge((x[tr] - mx).T @ (x[tr] - mx) + lam * np.eye(x.shape[1]), (x[tr] - mx).T @ (y[tr] - my))
             pred[~tr] = (x[~tr] - mx) @ w + my
         tot = ((y - y.mean()) ** 2).sum()
         ok = np.isfinite(pred).all() and tot > 0

@@ -7,6 +7,7 @@ looked for in its own and the next bucket, so the join has an equality key and a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import erfc, exp, lgamma, log, sqrt
 
 import numpy as np
 import pandas as pd
@@ -77,7 +78,8 @@ def normalised(counts: DataFrame, totals: DataFrame, unit: Sequence[str], n: str
 def acg_by_rate_decile(df: DataFrame, unit: Sequence[str], time: str, tie: str, half_window: float, bin_size: float, window: float, bins: int = 100, trim: float = 1e-3) -> DataFrame:
     """Local rate of each event (events of the unit within +-``half_window``), its decile in the unit, and counts by
     decile of the first event and signed log-lag bin (-bins..bins, 0 for lags under ``trim``) per event of the decile."""
-    near = F.count("*").over(Window.partitionBy(*unit).orderBy(time).rangeBetween(-int(half_window), int(half_window)))
+    half = round(half_window * 1e6)  # a range frame takes whole numbers: microseconds
+    near = F.count("*").over(Window.partitionBy(*unit).orderBy(F.round(F.col(time) * 1e6).cast("long")).rangeBetween(-half, half))
     x = df.withColumn("_rate", near)
     x = x.withColumn("decile", F.ntile(10).over(Window.partitionBy(*unit).orderBy("_rate", time, tie)))
     size = x.groupBy(*unit, "decile").agg(F.count("*").alias("events"))
@@ -121,23 +123,44 @@ def sliding_rp(df: DataFrame, unit: Sequence[str], time: str, duration: float, t
 
 
 def poisson_cdf(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """P(X <= k) by summing terms in logs; k and mean broadcast."""
+    """P(X <= k), as the upper regularised incomplete gamma function of (k + 1, mean): its power series under the mean, its
+    continued fraction over it, and the normal approximation of the cube root (Wilson and Hilferty 1931) from 10,000 on.
+    The number of steps is bounded whatever the counts are; k and mean broadcast."""
     k, mean = np.broadcast_arrays(np.asarray(k, float), np.asarray(mean, float))
-    out = np.zeros(k.shape)
-    top = int(k.max()) if k.size else 0
-    # far beyond the mean the rest is nothing: no more terms than mean + 40 sd are summed
-    stop = int(min(top, (mean + 40 * np.sqrt(mean + 1)).max())) if k.size else 0
-    logs, log_mean = np.zeros(k.shape), np.log(np.maximum(mean, 1e-300))
-    for i in range(stop + 1):
-        if i:
-            logs = logs + log_mean - np.log(i)
-        out += np.where(i <= k, np.exp(logs - mean), 0)
-    return np.minimum(np.where(mean == 0, 1.0, out), 1.0)
-
-
-def capped_events(df: DataFrame, unit: Sequence[str], key: str, most: int, seed: int = 0) -> DataFrame:
-    """T5: at most ``most`` events per unit, drawn by a seeded hash of the event's key."""
-    own = Window.partitionBy(*unit).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    a, x = np.ravel(k) + 1, np.ravel(mean)
+    out = np.where(x <= 0, 1.0, 0.0)
+    large = (x > 0) & (a >= 1e4)
+    z = (np.cbrt(x / a) - (1 - 1 / (9 * a))) * 3 * np.sqrt(a)
+    out[large] = [0.5 * erfc(v / sqrt(2)) for v in z[large]]
+    for i in np.flatnonzero((x > 0) & ~large):
+        scale = exp(a[i] * log(x[i]) - x[i] - lgamma(a[i]))
+        if x[i] < a[i] + 1:
+            term = total = 1 / a[i]
+            n = a[i]
+            while term > total * 1e-16:
+                n += 1
+                term *= x[i] / n
+                total += term
+            out[i] = 1 - scale * total
+        else:
+            b = x[i] + 1 - a[i]
+            c, d = 1e300, 1 / b
+            h = d
+            for n in range(1, 2000):
+                step = -n * (n - a[i])
+                b += 2
+                d = 1 / (step * d + b or 1e-300)
+                c = b + step / c or 1e-300
+                h *= c * d
+                if abs(c * d - 1) < 1e-15:
+                    break
+            out[i] = scale * h
+    return np.clip(out, 0, 1).reshape(k.shape)
+
+
+def capped_events(df: DataFrame, unit: Sequence[str], key: str, most: int = 256, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """T5: at most ``most`` events per unit, drawn by a seeded hash of the event's key, or those lowest in ``draw``."""
+    own = Window.partitionBy(*unit).orderBy(F.xxhash64(key, F.lit(seed)) if draw is None else draw, key)
     return df.withColumn("_rn", F.row_number().over(own)).filter(F.col("_rn") <= most).drop("_rn")
 
 

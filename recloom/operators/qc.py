@@ -13,6 +13,40 @@ def nan_to_null(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], cells: int = 4096) -> DataFrame:
+    """``by`` and ``q``, an array of the exact quantiles (linear between neighbours) of ``value`` at ``probs``; missing values
+    are left out, and groups without others.  Made for a few large groups: values are counted before the shuffle, counts per
+    cell of equal width tell which cells hold the wanted ranks, and only these cells are sorted, each by itself."""
+    x = df.select(F.struct(*by).alias("_k"), F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    counts = x.groupBy("_k", "v").agg(F.count("*").alias("c"))
+    edges = counts.groupBy("_k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n")).withColumnRenamed("_k", "_e")
+    cell = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells), F.lit(cells - 1)))
+    placed = counts.join(edges, F.col("_k").eqNullSafe(F.col("_e"))).select("_k", "v", "c", "n", cell.cast("int").alias("cell"))
+    own = Window.partitionBy("_k").orderBy("cell")
+    sizes = placed.groupBy("_k", "cell").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
+    sizes = sizes.withColumn("before", F.sum("c").over(own) - F.col("c"))
+    ranks = [F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"), (F.lit(float(p)) * (F.col("n") - 1)).alias("at")) for i, p in enumerate(probs) for s in (0, 1)]
+    wanted = sizes.withColumn("w", F.explode(F.array(*ranks))).withColumn("r", F.when(F.col("w.s") == 0, F.floor("w.at")).otherwise(F.ceil("w.at")))
+    wanted = wanted.filter((F.col("before") <= F.col("r")) & (F.col("r") < F.col("before") + F.col("c")))
+    wanted = wanted.groupBy("_k", "cell", "before").agg(F.collect_list(F.struct("w.i", "w.s", "w.at", "r")).alias("ws")).withColumnsRenamed({"_k": "_w", "cell": "_cell"})
+    hit = placed.join(wanted, F.col("_k").eqNullSafe(F.col("_w")) & (F.col("cell") == F.col("_cell")))
+    hit = hit.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("_k", "cell").orderBy("v")))
+    hit = hit.select("_k", "v", "upto", "c", F.explode("ws").alias("w")).filter((F.col("upto") - F.col("c") <= F.col("w.r")) & (F.col("w.r") < F.col("upto")))
+    low, high = F.max(F.when(F.col("w.s") == 0, F.col("v"))), F.max(F.when(F.col("w.s") == 1, F.col("v")))
+    part = F.max("w.at") - F.floor(F.max("w.at"))
+    one = hit.groupBy("_k", F.col("w.i").alias("i")).agg((low * (1 - part) + high * part).alias("x"))
+    out = one.groupBy("_k").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("q"))
+    return out.select(*(F.col("_k")[k].alias(k) for k in by), "q")
+
+
+def with_medians(out: DataFrame, df: DataFrame, by: str, names: dict[str, str]) -> DataFrame:
+    """``out`` (a row per ``by``) with the median of each column of ``df`` under its new name."""
+    for value, name in names.items():
+        q = quantiles(df, [by], value, [0.5]).select(F.col(by).alias("_by"), F.col("q")[0].alias(name))
+        out = out.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+    return out
+
+
 def label_counts(df: DataFrame, keys: Sequence[str], label: str, names: dict, good) -> DataFrame:
     """A1: rows per key with each label, and those whose label is not ``good``; counts are 0, never missing."""
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *(F.count_if(F.col(label) == v).alias(f"n_{k}") for k, v in names.items()), F.count_if(F.col(label) != good).alias("n_bad"))
@@ -36,9 +70,12 @@ def ratio(a: Column, b: Column) -> Column:
 
 def pass_summary(df: DataFrame, by: str, key: str, per_row: Sequence[str], per_key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Medians and maxima per pass; ``per_row`` measures use all rows, ``per_key`` ones a row per recording."""
-    rows = df.groupBy(by).agg(F.count("*").alias("n_rows"), *(F.median(m).alias(f"{m}_median") for m in per_row), *(F.max(m).alias(f"{m}_max") for m in per_row))
-    once = first_per_key(df, [by, key], order).groupBy(by).agg(F.count("*").alias("n_keys"), *(F.median(m).alias(f"{m}_median") for m in per_key), *(F.max(m).alias(f"{m}_max") for m in per_key))
-    return rows.join(once, by)
+    first = first_per_key(df, [by, key], order)
+    rows = df.groupBy(by).agg(F.count("*").alias("n_rows"), *(F.max(m).alias(f"{m}_max") for m in per_row))
+    once = first.groupBy(by).agg(F.count("*").alias("n_keys"), *(F.max(m).alias(f"{m}_max") for m in per_key))
+    rows = with_medians(rows, df, by, {m: f"{m}_median" for m in per_row})
+    once = with_medians(once, first, by, {m: f"{m}_median" for m in per_key})
+    return rows.join(once.withColumnRenamed(by, "_once"), F.col(by).eqNullSafe(F.col("_once"))).drop("_once")
 
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -57,7 +94,9 @@ def histogram(df: DataFrame, value: str, bins: int = 40, by: Sequence[str] = ())
 def box_stats(df: DataFrame, by: str, measures: Sequence[str]) -> DataFrame:
     """Quartiles per label and measure, after unpivoting."""
     long = df.select(by, *measures).unpivot([by], list(measures), "measure", "v")
-    q = long.groupBy(by, "measure").agg(F.percentile("v", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ends = long.groupBy(by, "measure").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    q = quantiles(long, [by, "measure"], "v", [0.25, 0.5, 0.75]).select(F.col(by).alias("_by"), F.col("measure").alias("_m"), "q")
+    q = ends.join(q, F.col(by).eqNullSafe(F.col("_by")) & (F.col("measure") == F.col("_m")), "left")
     return q.select(by, "measure", "lo", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "hi")
 
 
@@ -73,7 +112,9 @@ def status_counts(df: DataFrame, status: str, deviation: str | None = None) -> D
 
 def run_time_stats(df: DataFrame, by: str, seconds: str) -> DataFrame:
     """Mean, median and number of run times; zero and missing ones are skipped."""
-    return df.filter(F.col(seconds) != 0).groupBy(by).agg(F.avg(seconds).alias("mean_s"), F.median(seconds).alias("median_s"), F.count("*").alias("n"))
+    ran = df.filter(F.col(seconds) != 0)
+    out = ran.groupBy(by).agg(F.avg(seconds).alias("mean_s"), F.count("*").alias("n"))
+    return with_medians(out, ran, by, {seconds: "median_s"}).select(by, "mean_s", "median_s", "n")
 
 
 def progress_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -20,27 +20,46 @@ def event_to_grid(events: DataFrame, grid: DataFrame, keys: Sequence[str], time:
     return grid.join(hit, [*keys, "i"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
 
 
-def as_of_next(events: DataFrame, grid: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+def _running(df: DataFrame, keys: Sequence[str], value: str, up: bool) -> Column:
+    """Largest (``up``: of the buckets before, else smallest of those after) ``value`` per key over the rows of ``_b``."""
+    order = F.col("_b").asc() if up else F.col("_b").desc()
+    own = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (F.max if up else F.min)(value).over(own)
+
+
+def as_of_next(events: DataFrame, grid: DataFrame, keys: Sequence[str], time: str, width: float | None = None) -> DataFrame:
     """J9 on an irregular grid (``keys``, ``i``, ``t``): union of both sides and the next grid row, no nested loop; events
-    after the last sample take the last."""
+    after the last sample take the last.  With ``width``, a key's time is cut into buckets of it that are sorted apart; what
+    lies beyond a bucket's end comes from one row per bucket."""
     both = events.select(*keys, F.col(time).alias("t"), F.lit(None).cast("long").alias("i"), F.lit(0).alias("_o"), F.struct(*[c for c in events.columns if c not in keys]).alias("_e"))
     kind = both.schema["_e"].dataType
     both = both.unionByName(grid.select(*keys, "t", F.col("i").cast("long").alias("i"), F.lit(1).alias("_o"), F.lit(None).cast(kind).alias("_e")))
-    own = Window.partitionBy(*keys).orderBy("t", "_o")
-    x = both.withColumn("_next", F.first("i", ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing))).withColumn("_last", F.max("i").over(Window.partitionBy(*keys)))
-    return x.filter("_o = 0").select(*keys, "_e.*", F.coalesce("_next", "_last").alias("i"))
-
-
-def resample(samples: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Linear interpolation of (``t``, ``v``) at the grid's ``t``; missing values are left out, ends held."""
+    both = both.withColumn("_b", F.lit(0).cast("long") if width is None else F.floor(F.col("t") / width))
+    edges = both.groupBy(*keys, "_b").agg(F.min(F.when(F.col("i").isNotNull(), F.struct("t", "i"))).alias("_lo"), F.max("i").alias("_hi"))
+    edges = edges.withColumn("_after", _running(edges, keys, "_lo", False)).withColumn("_last", F.max("_hi").over(Window.partitionBy(*keys)))
+    # backwards in time, so that the frame only ever grows and each row is looked at once
+    own = Window.partitionBy(*keys, "_b").orderBy(F.col("t").desc(), F.col("_o").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    x = both.withColumn("_next", F.last("i", ignorenulls=True).over(own)).filter("_o = 0")
+    x = x.join(edges.select(*keys, "_b", F.col("_after.i").alias("_after"), "_last"), [*keys, "_b"], "left")
+    return x.select(*keys, "_e.*", F.coalesce("_next", "_after", "_last").alias("i"))
+
+
+def resample(samples: DataFrame, grid: DataFrame, keys: Sequence[str], width: float | None = None) -> DataFrame:
+    """Linear interpolation of (``t``, ``v``) at the grid's ``t``; missing values are left out, ends held.  With ``width``,
+    a key's time is cut into buckets of it that are sorted apart; neighbours beyond a bucket come from one row per bucket."""
     good = samples.filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    both = good.select(*keys, "t", "v", F.col("t").alias("s"), F.lit(None).cast("long").alias("i"), F.lit(0).alias("_o")).unionByName(grid.select(*keys, "t", F.lit(None).cast("double").alias("v"), F.lit(None).cast("double").alias("s"), F.col("i").cast("long").alias("i"), F.lit(1).alias("_o")))
-    before = Window.partitionBy(*keys).orderBy("t", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy("t", "_o").rowsBetween(0, Window.unboundedFollowing)
-    last, first = (lambda c: F.last(c, ignorenulls=True).over(before)), (lambda c: F.first(c, ignorenulls=True).over(after))
-    x = both.select(*keys, "i", "t", "_o", last("v").alias("v0"), last("s").alias("t0"), first("v").alias("v1"), first("s").alias("t1")).filter("_o = 1")
-    v = F.when(F.col("t1") == F.col("t0"), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0")))
-    return x.select(*keys, "i", "t", F.coalesce(v, "v0", "v1").alias("v"))
+    none = F.lit(None).cast("struct<t:double,v:double>")
+    both = good.select(*keys, F.col("t").cast("double").alias("t"), F.struct(F.col("t").cast("double").alias("t"), F.col("v").cast("double").alias("v")).alias("s"), F.lit(None).cast("long").alias("i"), F.lit(0).alias("_o"))
+    both = both.unionByName(grid.select(*keys, F.col("t").cast("double").alias("t"), none.alias("s"), F.col("i").cast("long").alias("i"), F.lit(1).alias("_o")))
+    both = both.withColumn("_b", F.lit(0).cast("long") if width is None else F.floor(F.col("t") / width))
+    edges = both.groupBy(*keys, "_b").agg(F.min("s").alias("_lo"), F.max("s").alias("_hi"))
+    edges = edges.select(*keys, "_b", _running(edges, keys, "_hi", True).alias("_before"), _running(edges, keys, "_lo", False).alias("_after"))
+    own = Window.partitionBy(*keys, "_b")
+    grow = lambda *order: F.last("s", ignorenulls=True).over(own.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    x = both.select(*keys, "_b", "i", "t", "_o", grow("t", "_o").alias("p"), grow(F.col("t").desc(), "_o").alias("q")).filter("_o = 1").join(edges, [*keys, "_b"])
+    x = x.select(*keys, "i", "t", F.coalesce("p", "_before").alias("p"), F.coalesce("q", "_after").alias("q"))
+    v = F.when(F.col("q.t") == F.col("p.t"), F.col("p.v")).otherwise(F.col("p.v") + (F.col("q.v") - F.col("p.v")) * (F.col("t") - F.col("p.t")) / (F.col("q.t") - F.col("p.t")))
+    return x.select(*keys, "i", "t", F.coalesce(v, "p.v", "q.v").alias("v"))
 
 
 def coverage(source: DataFrame, grid: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
@@ -109,16 +128,16 @@ def saturated_samples(df: DataFrame, keys: Sequence[str], i: str, v: str, limit:
 
 
 def overlapping(events: DataFrame, spans: DataFrame, keys: Sequence[str], t: str, lo: float, hi: float, width: float, how: str = "left_anti") -> DataFrame:
-    """Events whose window (t + lo, t + hi) overlaps an interval (``start``, ``end``) go (or stay, with left_semi).
-    Both sides are spread over buckets of ``width``, so the join has an equality key."""
-    e = events.withColumn("_b", F.explode(F.sequence(F.floor((F.col(t) + lo) / width), F.floor((F.col(t) + hi) / width))))
-    s = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    on = [e[k].eqNullSafe(s[k]) for k in keys] + [e["_b"] == s["_b"], s["start"] < e[t] + hi, s["end"] > e[t] + lo]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    hit = e.join(s, cond, "left_semi").drop("_b").distinct()
-    return hit if how == "left_semi" else events.join(hit, events.columns, "left_anti")
+    """Events whose window (t + lo, t + hi) overlaps an interval (``start``, ``end``) go (or stay, with left_semi).  An
+    interval is spread over the buckets of ``width`` in which the times of such events lie, so the join has an equality key
+    and an event one bucket.  Events without a time overlap nothing; null columns and keys and repeated rows make no difference."""
+    buckets = F.sequence(F.floor((F.col("start") - hi) / width), F.floor((F.col("end") - lo) / width))
+    s = spans.select(*(F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)), "start", "end", F.explode(buckets).alias("_b"))
+    s = s.withColumnsRenamed({"start": "_start", "end": "_end"})
+    on = (F.floor(F.col(t) / width) == F.col("_b")) & (F.col("_start") < F.col(t) + hi) & (F.col("_end") > F.col(t) + lo)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_s{i}"))
+    return events.join(s, on, how)
 
 
 def muted(df: DataFrame, spans: DataFrame, keys: Sequence[str], i: str, v: str) -> DataFrame:
@@ -201,7 +220,7 @@ def spectrogram(df: DataFrame, keys: Sequence[str], v: str, fs: float, size: int
 
 
 def decimated(df: DataFrame, keys: Sequence[str], v: str, fs: float, q: int) -> DataFrame:
-    """Low-pass below the new Nyquist rate, every q-th sample."""
+    """Low-pass well below the new Nyquist rate, every q-th sample."""
     def run(frames):
         for f in frames:
             out = f.copy()

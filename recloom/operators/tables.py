@@ -32,6 +32,12 @@ def strict_lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return found.filter(ok).drop("_found")
 
 
+def settings_of(df: DataFrame, settings: DataFrame, key: str) -> DataFrame:
+    """Rows with the settings of their kind; a kind without any is an error while it runs.  Settings are a table that a
+    person wrote down."""
+    return strict_lookup(df, F.broadcast(settings), key)
+
+
 def fallback(preferred: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """All rows of the preferred source, and of the other one for keys that the first lacks."""
     return preferred.withColumn("priority", F.lit(0)).unionByName(other.join(preferred.select(key).distinct(), key, "left_anti").withColumn("priority", F.lit(1)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recloom.functions import text
-from recloom.operators import catalog
+from recloom.operators import catalog, tables
 from recloom.plans.base import query, t
 
 
@@ -194,7 +194,7 @@ SETTINGS = [("click", -0.5, 0.0), ("view", 0.0, 0.1), ("purchase", -0.1, 0.4)]
 @query("""select event_id, event_type, lo, hi from events join (values ('click', -0.5, 0.0), ('view', 0.0, 0.1), ('purchase', -0.1, 0.4)) c(event_type, lo, hi) using (event_type)""".replace("-0.5, 0.0)", "-0.5::double, 0.0::double)").replace("0.0, 0.1)", "0.0::double, 0.1::double)").replace("-0.1, 0.4)", "-0.1::double, 0.4::double)"))
 def settings_join(s, d):
     conf = s.createDataFrame(SETTINGS, "event_type string, lo double, hi double")
-    return t(s, d, "events").join(F.broadcast(conf), "event_type").select("event_id", "event_type", "lo", "hi")
+    return tables.settings_of(t(s, d, "events").filter("event_type in ('click', 'view', 'purchase')"), conf, "event_type").select("event_id", "event_type", "lo", "hi")
 
 
 @query("""select o_orderkey, case when n >= 4 then 'Done' when n >= 2 then 'Started' else 'Not started' end status from orders left join (select l_orderkey, count(*) n from lineitem group by 1) on o_orderkey = l_orderkey""")

@@ -33,7 +33,7 @@ def long_rows(s, d):
 
 def lagged_statistics(s, d, keys=("pid",), data=None):
     b = en.basis_matrix(en.basis_table(s, 1.0, 1.0, 2.0, 3))
-    return en.statistics(rows(s, d) if data is None else data, list(keys), b, 1, FOLDS, 200)
+    return en.chunk_packs(rows(s, d) if data is None else data, list(keys), b, 1, FOLDS)
 
 
 _B = """b as (select j, (j - 3) / 2.0::double tau, k, case when abs((j - k * 3.0) / 3.0) <= 1 then 0.5 * (1 + cos(pi() * (j - k * 3.0) / 3.0)) else 0 end v from (select unnest(range(10)) j), (select unnest(range(4))::integer k))"""

@@ -15,6 +15,11 @@ def spikes(s, d):
     return t(s, d, "events").select("event_id", "user_id", "event_type", "value", ev.seconds(F.col("ts")).alias("tm"))
 
 
+def draw():
+    """An order of events that SQL can follow, for draws."""
+    return (F.col("event_id") * 7919) % 10007
+
+
 @query(f"with {E} select event_id, user_id, round(tm - lag(tm) over (partition by user_id order by tm, event_id), 6) isi from e")
 def isi_stats(s, d):
     return ev.intervals(spikes(s, d), ["user_id"], "tm", "event_id").select("event_id", "user_id", F.round("isi", 6).alias("isi"))
@@ -101,20 +106,18 @@ def hourly(s, d):
 
 
 @query(f"""with {E}, {_H}, g as (select i, coalesce(v, 0) v from (select unnest(range((select min(i) from h), (select max(i) + 1 from h))) i) left join h using (i)),
-k as (select user_id, floor(tm / 3600)::bigint a from e qualify row_number() over (partition by user_id order by (event_id * 7919) % 10007, event_id) <= 16),
+k as (select user_id, floor(tm / 3600)::bigint a from e qualify row_number() over (partition by user_id order by (event_id * 7919) % 10007, event_id) <= 256),
 w as (select * from k where a - 2 >= (select min(i) from g) and a + 3 <= (select max(i) from g))
 select user_id, o.o::integer as "offset", round(avg(v), 6) v, count(*) n from w cross join (select unnest(range(-2, 4)) o) o join g on g.i = w.a + o.o group by 1, 2""")
 def cutout_average(s, d):
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("user_id").orderBy((F.col("event_id") * 7919) % 10007, "event_id")
-    x = spikes(s, d).withColumn("a", F.floor(F.col("tm") / HOUR)).withColumn("rn", F.row_number().over(own)).filter("rn <= 16")
+    x = ev.capped_events(spikes(s, d), ["user_id"], "event_id", draw=draw()).withColumn("a", F.floor(F.col("tm") / HOUR))
     return ev.window_average(x, hourly(s, d), [], "a", ["user_id"], -2, 3).withColumn("v", F.round("v", 6))
 
 
-@query("select user_id, least(count(*), 8) n from events group by 1")
+@query("select event_type, event_id from events qualify row_number() over (partition by event_type order by (event_id * 7919) % 10007, event_id) <= 256")
 def capped_events(s, d):
-    return ev.capped_events(spikes(s, d), ["user_id"], "event_id", 8).groupBy("user_id").agg(F.count("*").alias("n"))
+    """The events drawn, 256 of each type."""
+    return ev.capped_events(spikes(s, d), ["event_type"], "event_id", draw=draw()).select("event_type", "event_id")
 
 
 _C = f"""{E}, b as (select 1 pid, event_type unit, floor(tm / 3600)::bigint i, count(*) n from e group by all), a as (select i, sum(n) al from b group by 1), own as (select unit, sum(n) events from b group by 1),

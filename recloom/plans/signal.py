@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recloom.functions import kernels
 from recloom.operators import signal as sg
 from recloom.plans.base import query, t
-from recloom.plans.events import HOUR, E, hourly, spikes
+from recloom.plans.events import DAY, HOUR, E, hourly, spikes
 
 _G = "h as (select floor(tm / 3600)::bigint i, sum(value) v from e group by 1), g as (select i, coalesce(v, 0) v from (select unnest(range((select min(i) from h), (select max(i) + 1 from h))) i) left join h using (i))"
 _X = "x as (select vec_id, label, u.p::integer pos, embedding[u.p + 1]::double v from embeddings, (select unnest(range(64)) p) u)"
@@ -37,16 +37,16 @@ def as_of_next(s, d):
     e = spikes(s, d).select("event_type", "event_id", "tm")
     own = Window.partitionBy("event_type").orderBy("tm", "event_id")
     g = e.filter("event_id % 10 = 0").select("event_type", F.row_number().over(own).cast("long").alias("i"), F.col("tm").alias("t"))
-    return sg.as_of_next(e, g, ["event_type"], "tm").select("event_id", "i")
+    return sg.as_of_next(e, g, ["event_type"], "tm", width=DAY).select("event_id", "i")
 
 
 @query(f"""with {E}, sm as (select tm t, avg(value) v from e where event_type = 'click' group by 1), {_G}, gr as (select i, i * 3600.0::double t from g),
 b as (select gr.i, gr.t, (select max(t) from sm where sm.t <= gr.t) t0, (select min(t) from sm where sm.t >= gr.t) t1 from gr)
 select b.i, round(case when t0 is null then y.v when t1 is null or t1 = t0 then z.v else z.v + (y.v - z.v) * (b.t - t0) / (t1 - t0) end, 4) v from b left join sm z on z.t = t0 left join sm y on y.t = t1""")
 def resample_grid(s, d):
-    sm = spikes(s, d).filter("event_type = 'click'").groupBy(F.lit(1).alias("k"), F.col("tm").alias("t")).agg(F.avg("value").alias("v"))
-    g = grid(s, d).select(F.lit(1).alias("k"), "i", (F.col("i") * HOUR).alias("t"))
-    return sg.resample(sm, g, ["k"]).select("i", F.round("v", 4).alias("v"))
+    sm = spikes(s, d).filter("event_type = 'click'").groupBy("event_type", F.col("tm").alias("t")).agg(F.avg("value").alias("v"))
+    g = grid(s, d).select(F.lit("click").alias("event_type"), "i", (F.col("i") * HOUR).alias("t"))
+    return sg.resample(sm, g, ["event_type"], width=DAY).select("i", F.round("v", 4).alias("v"))
 
 
 @query(f"""with {E}, a as (select event_type, min(tm) g0, max(tm) g1 from e group by 1), b as (select event_type, min(tm) s0, max(tm) s1 from e where value > 95 group by 1)
@@ -251,9 +251,9 @@ def low_rank_report(s, d):
     return sg.low_rank_report(x, ["label"], "pos", "v", 0.5)
 
 
-@query(f"with {_X}, c as (select * from x where pos < 16) select a.label, a.pos a, b.pos b, round(sum(a.v * b.v), 6) g, count(*) n from c a join c b on a.vec_id = b.vec_id and a.pos <= b.pos group by 1, 2, 3")
+@query(f"with {_X}, c as (select * from x) select a.label, a.pos a, b.pos b, round(sum(a.v * b.v), 6) g, count(*) n from c a join c b on a.vec_id = b.vec_id and a.pos <= b.pos group by 1, 2, 3")
 def channel_gram(s, d):
-    x = long_vectors(s, d).filter("pos < 16").select("label", F.col("vec_id").alias("i"), "pos", "v")
+    x = long_vectors(s, d).select("label", F.col("vec_id").alias("i"), "pos", "v")
     return sg.channel_gram(x, ["label"], "pos", "v").withColumn("g", F.round("g", 6))
 
 

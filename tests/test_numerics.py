@@ -85,7 +85,15 @@ def test_penalty_and_groups():
     assert np.linalg.matrix_rank(encoding.second_difference(10)) == 8
     p = encoding.penalty(["a", "b"], 4, {"a": 2.0})
     assert np.array_equal(p[:4, :4], 2 * encoding.second_difference(4)) and not p[4:].any()
-    assert np.array_equal(encoding.penalty(["a", "b"], 4, 3.0), encoding.penalty(["a", "b"], 4, {"a": 3.0, "b": 3.0}))
+    assert np.array_equal(encoding.penalty(["a", "a"], 1, {"a": 3.0}), 3 * np.eye(2))
+
+
+def test_left_out_columns_are_as_if_never_there():
+    x, y = RNG.normal(size=(90, 4)), RNG.normal(size=(90, 2))
+    keep = np.array([0, 3])
+    w, c = encoding.fit_weights(encoding.unpack(encoding.pack(x, y), 4, 2), np.eye(4), keep)
+    few, c2 = encoding.fit_weights(encoding.unpack(encoding.pack(x[:, keep], y), 2, 2), np.eye(2), np.arange(2))
+    assert np.allclose(w[keep], few) and not w[[1, 2]].any() and np.allclose(c, c2)
 
 
 def test_selection_rules(spark):
@@ -136,6 +144,75 @@ def test_poisson():
         assert events.poisson_cdf(np.array([k]), np.array([m]))[0] == pytest.approx(sum(exp(-m) * m**i / factorial(i) for i in range(k + 1)) if m else 1.0)
 
 
+def test_poisson_of_large_counts():
+    for k, m in ((500, 480.0), (50, 90.0), (9000, 9100.0)):
+        i = np.arange(k + 1)
+        logs = i * np.log(m) - m - np.concatenate(([0], np.cumsum(np.log(np.arange(1, k + 1)))))
+        assert events.poisson_cdf(np.array([k]), np.array([m]))[0] == pytest.approx(np.exp(logs).sum(), rel=1e-8)
+    assert events.poisson_cdf(np.array([10**7]), np.array([1e7]))[0] == pytest.approx(0.5, abs=1e-3)
+    assert events.poisson_cdf(np.array([10**7, 10]), np.array([1e6, 1e9])).tolist() == [1.0, 0.0]
+
+
+def test_quantiles_are_exact(spark):
+    skew = np.concatenate((RNG.normal(size=400), [1e6, -1e9], np.zeros(300)))
+    rows = [("a", float(v)) for v in skew] + [("b", 2.5)] * 7 + [("c", 1.0), ("c", 4.0), (None, 3.0), (None, 5.0), ("d", None), ("d", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    for cells in (1, 5, 4096):
+        got = {r.g: r.q for r in qc.quantiles(df, ["g"], "v", probs, cells).collect()}
+        assert set(got) == {"a", "b", "c", None}
+        for g in got:
+            assert np.allclose(got[g], np.quantile([v for k, v in rows if k == g], probs))
+
+
+def test_low_pass_keeps_tones_below_and_removes_those_above():
+    t = np.arange(4000) / 1000
+    tone = lambda f: np.abs(kernels.low_pass(np.sin(2 * np.pi * f * t), 1000, 0.4 * 250)[500:-500]).max()
+    assert tone(60) > 0.99 and tone(130) < 0.001 and tone(400) < 1e-6
+
+
+def test_interval_exclusion_with_nulls(spark):
+    ev = spark.createDataFrame([(1, 5.0, None), (1, 50.0, "x"), (1, None, "y"), (None, 5.0, None), (1, 5.0, None), (1, -3.0, "z"), (1, 10.5, "w")], "k int, t double, note string")
+    spans = spark.createDataFrame([(1, 4.0, 6.0), (None, 100.0, 101.0), (1, 9.0, 10.0)], "k int, start double, end double")
+    for width in (0.7, 3.0, 1000.0):
+        out = sorted((tuple(r) for r in signal.overlapping(ev, spans, ["k"], "t", -1.0, 0.5, width).collect()), key=str)
+        assert out == sorted([(1, 50.0, "x"), (1, None, "y"), (None, 5.0, None), (1, -3.0, "z")], key=str)
+        hit = [tuple(r) for r in signal.overlapping(ev, spans, ["k"], "t", -1.0, 0.5, width, "left_semi").collect()]
+        assert sorted(hit, key=str) == sorted([(1, 5.0, None)] * 2 + [(1, 10.5, "w")], key=str)
+
+
+def test_rates_within_parts_of_a_second(spark):
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate((0.0, 0.3, 0.45, 0.9, 2.0, 2.6))], "u int, id int, tm double")
+    out = events.acg_by_rate_decile(df, ["u"], "tm", "id", 0.5, 0.01, 1.0, 10, 0.05)
+    got = sum(r.n for r in out.collect())
+    assert got == 2 * sum(1 for a in (0.0, 0.3, 0.45, 0.9, 2.0, 2.6) for b in (0.0, 0.3, 0.45, 0.9, 2.0, 2.6) if 0 < b - a <= 1.0)
+    many = spark.createDataFrame([(1, i, t) for i, t in enumerate([0.0] + [10 + 0.1 * k for k in range(9)])], "u int, tm_id int, tm double")
+    first = events.acg_by_rate_decile(many, ["u"], "tm", "tm_id", 0.5, 0.01, 1.0, 10, 0.05).filter("decile = 1")
+    assert first.count() == 0  # the lone event has the lowest rate and no pair
+
+
+@pytest.mark.parametrize("width", [None, 0.5, 3.0, 100.0])
+def test_as_of_and_resample_in_buckets(spark, width):
+    ts, at = np.sort(RNG.uniform(0, 20, 60)).round(2), np.sort(RNG.uniform(-2, 25, 40)).round(2)
+    ts[10:13] = ts[10]
+    grid = spark.createDataFrame([(k, i, float(t)) for k in (1, 2) for i, t in enumerate(at)], "k int, i long, t double")
+    ev = spark.createDataFrame([(1, float(t), j) for j, t in enumerate(ts)], "k int, tm double, id long")
+    got = {r.id: r.i for r in signal.as_of_next(ev, grid, ["k"], "tm", width).collect()}
+    firsts = np.minimum(np.searchsorted(at, ts, "left"), len(at) - 1)
+    assert [at[got[j]] for j in range(60)] == [at[i] for i in firsts]
+    uniq = np.unique(ts)
+    src = spark.createDataFrame([(1, float(t), float(np.sin(t))) for t in uniq], "k int, t double, v double")
+    v = {r.i: r.v for r in signal.resample(src, grid, ["k"], width).collect() if r.k == 1}
+    assert np.allclose([v[i] for i in range(40)], np.interp(at, uniq, np.sin(uniq)))
+
+
+def test_unknown_kinds_have_no_settings(spark):
+    ev, conf = spark.createDataFrame([(1, "a"), (2, "b")], "id int, kind string"), spark.createDataFrame([("a", 0.5)], "kind string, lo double")
+    assert tables.settings_of(ev.filter("id = 1"), conf, "kind").first().lo == 0.5
+    with pytest.raises(Exception, match="no kind b"):
+        tables.settings_of(ev, conf, "kind").collect()
+
+
 def test_pairs_are_all_pairs(spark):
     t = np.sort(RNG.uniform(0, 50, 80)).round(3)
     df = spark.createDataFrame([(1, float(x)) for x in t] + [(2, 5.0), (2, 5.0), (3, 1.0)], "u int, tm double")

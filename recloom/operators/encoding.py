@@ -207,15 +207,24 @@ def per_key(packs: DataFrame, keys: Sequence[str], columns: dict[str, str], rows
     return packs.groupBy(*keys).applyInArrow(run, schema)
 
 
-def solve(stats: DataFrame, keys: Sequence[str], groups: Sequence[str], n_basis: int, n_targets: int, lambdas: Sequence[float], drop: bool = True) -> DataFrame:
+def columns_of(size: int, n_targets: int) -> int:
+    """How many columns a pack of ``size`` numbers is about."""
+    return next(p for p in range(size) if 1 + p + 2 * n_targets + p * (p + 1) // 2 + p * n_targets >= size)
+
+
+def solve(stats: DataFrame, keys: Sequence[str], groups: Sequence[str] | Mapping[int, Sequence[str]], n_basis: int, n_targets: int, lambdas: Sequence[float], drop: bool = True) -> DataFrame:
     """Per key, penalty, dropped group (empty: none) and target the R2 on all samples and its mean over
-    held-out folds.  A key whose matrix is singular gives rows with a ``status`` and no numbers, and the others go on."""
-    p = len(groups) * n_basis
-    cols = np.repeat(np.array(groups), n_basis)
-    variants = ["", *dict.fromkeys(groups)] if drop else [""]
+    held-out folds.  ``groups``: the group of each base regressor, or, where recordings differ, these lists by how many
+    regressors a recording has.  A key whose matrix is singular gives rows with a ``status`` and no numbers, and the others
+    go on."""
+    lists = groups if isinstance(groups, Mapping) else {len(groups): groups}
 
     def rows(packs: np.ndarray) -> list[tuple]:
         out, total = [], packs.sum(0)
+        p = columns_of(len(total), n_targets)
+        groups = lists[p // n_basis]
+        cols = np.repeat(np.array(groups), n_basis)
+        variants = ["", *dict.fromkeys(groups)] if drop else [""]
         every, parts, rests = unpack(total, p, n_targets), [unpack(s, p, n_targets) for s in packs], [unpack(total - s, p, n_targets) for s in packs]
         for lam in lambdas:
             pen = penalty(groups, n_basis, dict.fromkeys(groups, lam))
@@ -239,11 +248,13 @@ def none(x: float) -> float | None:
     return None if np.isnan(x) else float(x)
 
 
-def weights(stats: DataFrame, keys: Sequence[str], groups: Sequence[str], n_basis: int, n_targets: int, lam: float) -> DataFrame:
+def weights(stats: DataFrame, keys: Sequence[str], groups: Sequence[str] | Mapping[int, Sequence[str]], n_basis: int, n_targets: int, lam: float) -> DataFrame:
     """K9: basis weights per (regressor, bump, target) of the fit on all samples; none for a key that can't be fitted."""
-    p = len(groups) * n_basis
+    lists = groups if isinstance(groups, Mapping) else {len(groups): groups}
 
     def rows(packs: np.ndarray) -> list[tuple]:
+        p = columns_of(packs.shape[1], n_targets)
+        groups = lists[p // n_basis]
         try:
             w, _ = fit_weights(unpack(packs.sum(0), p, n_targets), penalty(groups, n_basis, dict.fromkeys(groups, lam)), np.arange(p))
         except np.linalg.LinAlgError:
@@ -264,6 +275,25 @@ def drop_scores(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scores.filter("dropped != ''").join(whole, [*keys, "lam", "target"]).select(*keys, "lam", "target", "dropped", (F.col("_all") - F.col("r2_cv")).alias("dr2"))
 
 
+def score_table(scores: DataFrame, keys: Sequence[str], groups: Sequence[str], floor: float = -0.3) -> DataFrame:
+    """One row per key, way of choosing the penalty (``mode``: ``pooled`` over a key's targets or one ``per_target``)
+    and target, with that penalty, both R2, what each group adds (``dr2_*``, null where a key lacks the group), whether it
+    has the group (``has_*``), and ``status``."""
+    whole = scores.filter("dropped = ''").select(*keys, "target", "lam", F.col("r2_cv").alias("r2"))
+    pooled = pick_lambda_robust(whole, keys, floor).withColumn("mode", F.lit("pooled"))
+    own = pick_lambda_robust(whole, [*keys, "target"], floor).withColumn("mode", F.lit("per_target"))
+    is_whole = F.col("dropped") == ""
+    wide = scores.groupBy(*keys, "target", "lam").agg(
+        *(F.max(F.when(is_whole, F.col(c))).alias(c) for c in ("r2_full", "r2_cv", "status")),
+        *(F.max(F.when(F.col("dropped") == g, F.col("r2_cv"))).alias(f"_{g}") for g in groups),
+        *(F.max(F.col("dropped") == g).alias(f"has_{g}") for g in groups),
+    )
+    wide = wide.withColumns({f"dr2_{g}": F.col("r2_cv") - F.col(f"_{g}") for g in groups}).drop(*(f"_{g}" for g in groups))
+    chosen = wide.join(pooled, [*keys, "lam"]).unionByName(wide.join(own, [*keys, "target", "lam"]))
+    first = [*keys, "mode", "target", "lam", "fell_back"]
+    return chosen.select(*first, *(c for c in chosen.columns if c not in first))
+
+
 def pick_lambda(scores: DataFrame, group: Sequence[str]) -> DataFrame:
     """Penalty of the best median score, the smaller at a tie."""
     m = quantiles(scores, [*group, "lam"], "r2", [0.5]).withColumn("objective", F.col("q")[0])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recloom.functions.kernels import half_round_trip
 
@@ -66,3 +67,11 @@ def per_key(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], dic
 
     out = df.groupBy(*keys).applyInPandas(run, "".join(f"`{k}` {kinds[k]}, " for k in keys) + schema + ", status string, error string")
     return out.filter("status = 'ok'").drop("status", "error"), out.filter("status != 'ok'").select(*keys, "status", "error")
+
+
+def run_settings(spark: SparkSession, path: str, numbers: Mapping[str, float], lists: Mapping[str, Sequence[str]], basis: DataFrame) -> None:
+    """K8: what all results of a run share, once: one row of settings (``numbers`` and ``lists`` as maps) and the lag basis."""
+    as_map = lambda m, of: F.create_map(*(x for k, v in m.items() for x in (F.lit(k), of(v))))
+    row = spark.range(1).select(as_map(numbers, F.lit).alias("numbers"), as_map(lists, lambda v: F.array(*map(F.lit, v))).alias("lists"))
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+    basis.coalesce(1).write.mode("overwrite").parquet(f"{path}/basis")

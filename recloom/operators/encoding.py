@@ -342,6 +342,56 @@ def null_rows(rows: DataFrame, keys: Sequence[str], draws: DataFrame) -> DataFra
     return base.join(rows.select(*keys, "i", "y"), [*keys, "i"])
 
 
+def null_packs(rows: DataFrame, keys: Sequence[str], draws: DataFrame, b: np.ndarray, n_pre: int, n_folds: int, size: int = 15_000, batch: int = 10) -> DataFrame:
+    """What ``chunk_packs`` gives for ``null_rows``, keyed by ``perm`` too, without a join of samples: they are laid into
+    blocks of ``size`` once, and a block of targets meets, for ``batch`` draws at a time, the blocks of base regressors that
+    roll onto it and its halo.  ``draws``: keys, ``perm``, ``shift``.  Where a recording lacks samples, a target without a
+    regressor on it is left out, and a regressor without a target on it still reaches its neighbours'."""
+    n_post, kinds = len(b) - 1 - n_pre, dict(rows.dtypes)
+    blocks = rows.select(*keys, "i", "n", "x", "y", F.floor(F.col("i") / size).alias("_c")).groupBy(*keys, "n", "_c")
+    blocks = blocks.agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("s")).select(*keys, "n", "_c", "s.i", F.flatten("s.x").alias("x"), F.flatten("s.y").alias("y"))
+    some = draws.withColumn("_g", F.floor(F.col("perm") / batch)).groupBy(*keys, "_g").agg(F.collect_list(F.struct("perm", "shift")).alias("_d"))
+    own = blocks.select(*keys, "n", "_c", "i", "y").join(some, list(keys))
+    low = F.greatest(F.lit(0), F.col("_c") * size - n_post)
+    high = F.least(F.col("n"), (F.col("_c") + 1) * size + n_pre) - 1
+    from_ = F.pmod(low - F.col("shift"), F.col("n"))
+    to = from_ + high - low
+    # the source runs on past the recording's end into its beginning
+    around = F.when(to >= F.col("n"), F.sequence(F.lit(0).cast("long"), F.floor((to - F.col("n")) / size))).otherwise(F.array().cast("array<bigint>"))
+    sources = F.array_union(F.sequence(F.floor(from_ / size), F.floor(F.least(to, F.col("n") - 1) / size)), around)
+    wanted = own.select(*keys, "n", "_c", "_g", F.explode("_d.shift").alias("shift")).select(*keys, "_c", "_g", F.explode(sources).alias("_src")).distinct()
+    base = wanted.join(blocks.select(*keys, F.col("_c").alias("_src"), "i", "x"), [*keys, "_src"]).drop("_src")
+    both = own.unionByName(base, allowMissingColumns=True)
+
+    def run(t: pa.Table) -> pa.Table:
+        is_own = t.column("y").is_valid().to_numpy(zero_copy_only=False)
+        flat = lambda name, at: t.column(name).filter(pa.array(at)).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        mine = t.filter(pa.array(is_own)).slice(0, 1)
+        n, c = mine.column("n")[0].as_py(), mine.column("_c")[0].as_py()
+        i, there = flat("i", is_own), flat("i", ~is_own)
+        y, x = flat("y", is_own).astype(float).reshape(len(i), -1), flat("x", ~is_own).astype(float).reshape(len(there), -1)
+        order = np.argsort(there)
+        there, x = there[order], x[order]
+        lo, hi = max(0, c * size - n_post), min(n, (c + 1) * size + n_pre)
+        fold = ((i + 1) * n_folds - 1) // n
+        out = []
+        for draw in mine.column("_d")[0].as_py():
+            source = (np.arange(lo, hi) - draw["shift"]) % n
+            at = np.minimum(np.searchsorted(there, source), len(there) - 1)
+            known = there[at] == source
+            full = expand(np.where(known[:, None], x[at], 0.0), b, n_pre)[i - lo]
+            for k in np.unique(fold):
+                rows_of = (fold == k) & known[i - lo]
+                if rows_of.any():
+                    out.append((draw["perm"], int(k), pack(full[rows_of], y[rows_of])))
+        own_keys = [mine.column(k).combine_chunks().take(pa.array(np.zeros(len(out), np.int64))) for k in keys]
+        perm, folds, packs = zip(*out, strict=True) if out else ((), (), ())
+        return pa.Table.from_arrays([*own_keys, pa.array(perm, pa.int32()), pa.array(folds, pa.int32()), pa.array(packs, pa.list_(pa.float64()))], names=[*keys, "perm", "fold", "s"])
+
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys)
+    return both.groupBy(*keys, "_c", "_g").applyInArrow(run, schema + "perm int, fold int, s array<double>")
+
+
 def decode_scores(trials: DataFrame, keys: Sequence[str], n_folds: int = 5, lam: float = 1.0) -> DataFrame:
     """Cross-validated R2 of a linear decoder of a per-trial target from binned counts (``counts`` array), per key (a
     session and pseudo-session).  A group is one session's trials."""

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recloom.functions.numbers import correlation
+
 
 def seconds(ts: Column) -> Column:
     """Timestamps as seconds since 1970, in UTC."""
@@ -36,7 +38,7 @@ def burstiness_memory(df: DataFrame, unit: Sequence[str], time: str, tie: str, l
     events (definitions: Goh and Barabasi 2008)."""
     own = Window.partitionBy(*unit).orderBy(time, tie)
     x = intervals(df, unit, time, tie).withColumn("nxt", F.lead("isi").over(own))
-    x = x.groupBy(*unit).agg(F.count("*").alias("n"), F.avg("isi").alias("m"), F.stddev_pop("isi").alias("sd"), F.corr("isi", "nxt").alias("c"))
+    x = x.groupBy(*unit).agg(F.count("*").alias("n"), F.avg("isi").alias("m"), F.stddev_pop("isi").alias("sd"), correlation("isi", "nxt").alias("c"))
     enough = F.col("n") >= least
     return x.select(*unit, "n", F.when(enough, F.try_divide(F.col("sd") - F.col("m"), F.col("sd") + F.col("m"))).alias("burstiness"), F.when(enough & ~F.isnan("c"), F.col("c")).alias("memory"))
 

@@ -159,11 +159,13 @@ def sync_affine(df: DataFrame, keys: Sequence[str], sample: str, t: str, limit:
 
 
 def geometry_check(stored: DataFrame, computed: DataFrame, keys: Sequence[str], axes: Sequence[str], tolerance: float) -> DataFrame:
-    """Worst difference per recording and its status: changed, unchanged, no-map (no computed positions)."""
+    """Worst difference per recording and its status: changed, unchanged, no-map (no computed positions), skip
+    (no stored ones)."""
     j = stored.join(computed.select(*keys, *(F.col(a).alias(f"_{a}") for a in axes)), list(keys), "left")
     worst = F.max(F.greatest(*(F.abs(F.col(a) - F.col(f"_{a}")) for a in axes))) if len(axes) > 1 else F.max(F.abs(F.col(axes[0]) - F.col(f"_{axes[0]}")))
-    x = j.groupBy(keys[0]).agg(worst.alias("dmax"))
-    return x.withColumn("status", F.when(F.col("dmax").isNull(), "no-map").when(F.col("dmax") > tolerance, "changed").otherwise("unchanged"))
+    stored_any = F.max(F.coalesce(*(F.when(F.col(a).isNotNull(), 1) for a in axes)))
+    x = j.groupBy(keys[0]).agg(worst.alias("dmax"), stored_any.alias("_any"))
+    return x.withColumn("status", F.when(F.col("_any").isNull(), "skip").when(F.col("dmax").isNull(), "no-map").when(F.col("dmax") > tolerance, "changed").otherwise("unchanged")).drop("_any")
 
 
 def chunks_of(df: DataFrame, keys: Sequence[str], i: str, v: str) -> DataFrame:

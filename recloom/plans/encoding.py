@@ -36,6 +36,11 @@ def lagged_statistics(s, d, keys=("pid",), data=None):
     return en.chunk_packs(rows(s, d) if data is None else data, list(keys), b, 1, FOLDS)
 
 
+def lagged_null(s, x, draws):
+    b = en.basis_matrix(en.basis_table(s, 1.0, 1.0, 2.0, 3))
+    return en.null_packs(x, ["pid"], draws, b, 1, FOLDS)
+
+
 _B = """b as (select j, (j - 3) / 2.0::double tau, k, case when abs((j - k * 3.0) / 3.0) <= 1 then 0.5 * (1 + cos(pi() * (j - k * 3.0) / 3.0)) else 0 end v from (select unnest(range(10)) j), (select unnest(range(4))::integer k))"""
 
 
@@ -135,7 +140,7 @@ def null_r2(s, d):
     """Recordings x draws in one job; the observed score and the null share statistics code and grid."""
     x = rows(s, d)
     draws = en.shift_draws(x.groupBy("pid").agg(F.first("n").alias("n")), ["pid"], DRAWS, 20)
-    null = en.solve(lagged_statistics(s, d, ("pid", "perm"), en.null_rows(x, ["pid"], draws)), ["pid", "perm"], GROUPS, 3, 1, [10.0], drop=False)
+    null = en.solve(lagged_null(s, x, draws), ["pid", "perm"], GROUPS, 3, 1, [10.0], drop=False)
     seen = en.solve(lagged_statistics(s, d, ("pid",), x), ["pid"], GROUPS, 3, 1, [10.0], drop=False)
     return en.p_value(null.select("pid", F.col("r2_cv").alias("r2")), seen.select("pid", F.col("r2_cv").alias("r2")), ["pid"])
 
@@ -226,7 +231,7 @@ def grouped_fit(s, d):
     best = en.pick_lambda_robust(scores.join(F.broadcast(groups), "target").select("pid", "grp", "lam", F.col("r2_cv").alias("r2")), ["pid", "grp"])
     seen = en.per_group(scores, groups, best, ["pid"])
     draws = en.shift_draws(x.groupBy("pid").agg(F.first("n").alias("n")), ["pid"], DRAWS, 20)
-    null = en.solve(lagged_statistics(s, d, ("pid", "perm"), en.null_rows(x, ["pid"], draws)), ["pid", "perm"], GROUPS, 3, 2, grid, drop=False)
+    null = en.solve(lagged_null(s, x, draws), ["pid", "perm"], GROUPS, 3, 2, grid, drop=False)
     null = en.per_group(null, groups, best, ["pid"])
     p = en.p_value(null.select("pid", "target", F.col("r2_cv").alias("r2")), seen.select("pid", "target", F.col("r2_cv").alias("r2")), ["pid", "target"])
     return seen.select("pid", "target", "grp", "lam", "r2_full", "r2_cv").join(p, ["pid", "target"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recloom.functions.numbers import correlation
 from recloom.operators import events as ev
 from recloom.plans.base import query, t
 
@@ -45,7 +46,7 @@ def memory_corr(s, d):
 
     own = Window.partitionBy("user_id").orderBy("tm", "event_id")
     x = ev.intervals(spikes(s, d), ["user_id"], "tm", "event_id").withColumn("nxt", F.lead("isi").over(own))
-    return x.agg(F.round(F.corr("isi", "nxt"), 6).alias("memory"), F.count("nxt").alias("n"))
+    return x.agg(F.round(correlation("isi", "nxt"), 6).alias("memory"), F.count("nxt").alias("n"))
 
 
 _P = "p as (select a.user_id, b.tm - a.tm lag from e a join e b on a.user_id = b.user_id and b.tm > a.tm and b.tm - a.tm <= 86400)"

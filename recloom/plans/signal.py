@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recloom.functions import kernels
+from recloom.operators import events as ev
 from recloom.operators import signal as sg
+from recloom.operators import spikes as sp
 from recloom.plans.base import query, t
-from recloom.plans.events import DAY, HOUR, E, hourly, spikes
+from recloom.plans.events import DAY, HOUR, E, draw, hourly, spikes
+from recloom.sources import writers
+from recloom.sources.scratch import folder
 
 _G = "h as (select floor(tm / 3600)::bigint i, sum(value) v from e group by 1), g as (select i, coalesce(v, 0) v from (select unnest(range((select min(i) from h), (select max(i) + 1 from h))) i) left join h using (i))"
 _X = "x as (select vec_id, label, u.p::integer pos, embedding[u.p + 1]::double v from embeddings, (select unnest(range(64)) p) u)"
@@ -242,7 +246,7 @@ def decimate(s, d):
 @query()
 def bad_channels(s, d):
     x = sg.bad_channels(t(s, d, "embeddings").withColumnRenamed("label", "pid").withColumn("chunk", F.col("vec_id") % 5), ["pid", "chunk"], "vec_id", "embedding")
-    return x
+    return sp.outside_labels(x, ["pid", "chunk"], "vec_id")
 
 
 @query()
@@ -259,9 +263,66 @@ def channel_gram(s, d):
 
 @query()
 def feature_bundle(s, d):
-    """G29 in part: RMS of re-referenced vectors and band powers of the raw ones, one row per channel; the README lists what is
-    missing."""
-    e = t(s, d, "embeddings")
-    clean = sg.car(long_vectors(s, d), ["label", "pos"], "vec_id", "v").withColumnRenamed("channel", "vec_id")
-    powers = sg.band_powers(e, ["label", "vec_id"], "embedding", 250.0, 32).groupBy("label", "vec_id").pivot("band", list(kernels.BANDS)).agg(F.first("db"))
-    return sg.rms(clean, ["label", "vec_id"], "v").join(powers, ["label", "vec_id"], "full")
+    """Of re-referenced vectors, one row per channel: RMS, largest correlation with a neighbour, band powers, power of the
+    current-source density, and number and mean depth of spikes.  A channel is a vector's place in its recording (label)."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    x = t(s, d, "embeddings").withColumn("ch", place).select("label", "vec_id", "ch", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+    path = folder(s, "bundle")
+    writers.table(sg.car(x.drop("vec_id"), ["label", "pos"], "ch", "v"), path)
+    clean = s.read.parquet(path)
+    keys = ["label", "channel"]
+    arrays = sg.chunks_of(clean, keys, "pos", "v").drop("i")
+    powers = sg.band_powers(arrays, keys, "v", 250.0, 32).groupBy(*keys).pivot("band", list(kernels.BANDS)).agg(F.first("db"))
+    events = sp.separate(sg.detect_spikes(clean, keys, "pos", "v", 1.5), ["label"], "channel", "pos", "v", 2, 3)
+    counts = events.groupBy(*keys).agg(F.count("*").alias("n_spikes"), F.avg("v").alias("spike_depth"))
+    out = sg.rms(clean, keys, "v")
+    for part in (sp.neighbour_correlation(clean, ["label"], "channel", "pos", "v", 2), powers, sp.csd_power(arrays, ["label"], "channel", "v", 250.0, 2, 0.02), counts):
+        out = out.join(part, keys, "left")
+    return out.fillna(0, ["n_spikes"])
+
+
+@query(f"""with {_X}, p as (select label, vec_id, pos, v, abs(v - lag(v) over (partition by label, pos order by vec_id)) j, lag(vec_id) over (partition by label, pos order by vec_id) k from x),
+f as (select label, vec_id, count(*) filter (abs(v) >= 0.25 or (k = vec_id - 1 and j >= 0.3)) / count(*) > 0.1 sat from p group by 1, 2),
+g as (select label, vec_id, vec_id - row_number() over (partition by label order by vec_id) g from f where sat), sp as (select label, min(vec_id) a, max(vec_id) + 1 b from g group by label, g.g),
+sz as (select label, count(*) n from f group by 1) select label, count(a) n_intervals, round(coalesce(sum(b - a), 0) / 250.0, 6) as seconds, round(coalesce(sum(b - a), 0) / n, 9) fraction, n % 2 = 0 muted from sz left join sp using (label) group by label, n""")
+def saturation_report(s, d):
+    """Vectors are samples, positions channels, labels recordings."""
+    flags = sp.saturation(long_vectors(s, d), ["label"], "pos", "vec_id", "v", 0.25, 0.3, 0.1)
+    spans = sg.islands(flags, ["label"], "vec_id", F.col("saturated"))
+    x = sp.saturation_report(spans, flags.groupBy("label").agg(F.count("*").alias("n")), ["label"], 250.0, F.col("n") % 2 == 0)
+    return x.withColumns({"seconds": F.round("seconds", 6), "fraction": F.round("fraction", 9)})
+
+
+@query(f"""with {_X}, r as (select a.label, a.pos, b.pos q, case when stddev_pop(a.v) > 0 and stddev_pop(b.v) > 0 then corr(a.v, b.v) end r from x a join x b on a.vec_id = b.vec_id and a.pos <> b.pos and abs(a.pos - b.pos) <= 2 group by 1, 2, 3)
+select label, pos channel, round(max(r), 6) correlation from r group by 1, 2""")
+def neighbour_correlation(s, d):
+    """G23."""
+    return sp.neighbour_correlation(long_vectors(s, d), ["label"], "pos", "vec_id", "v", 2).withColumn("correlation", F.round("correlation", 6))
+
+
+@query(f"""with {_X}, y as (select label, vec_id // 10 ch, (vec_id % 10) * 64 + pos i, v, vec_id from x), sd as (select vec_id, median(abs(v)) / 0.6745 sd from y group by 1),
+l as (select *, lag(v) over w p, lead(v) over w n from y join sd using (vec_id) window w as (partition by vec_id order by i)), c as (select label, ch, i, v from l where v < -1.5 * sd and v <= coalesce(p, v) and v < coalesce(n, 'infinity'::double))
+select label, ch, i, round(v, 6) v from c where not exists (select 1 from c o where o.label = c.label and abs(o.ch - c.ch) <= 1 and abs(o.i - c.i) <= 6 and (o.v < c.v or o.v = c.v and (o.ch < c.ch or o.ch = c.ch and o.i < c.i)))""")
+def separate_spikes(s, d):
+    """Minima over neighbouring channels with a dead time.  Ten vectors in a row are one channel."""
+    x = long_vectors(s, d).select("label", F.floor(F.col("vec_id") / 10).alias("ch"), ((F.col("vec_id") % 10) * 64 + F.col("pos")).alias("i"), "v", "vec_id")
+    found = sg.detect_spikes(x, ["vec_id"], "i", "v", 1.5)
+    return sp.separate(found, ["label"], "ch", "i", "v", 1, 6).select("label", "ch", "i", F.round("v", 6).alias("v"))
+
+
+@query(f"""with {E}, h as (select event_type, floor(tm / 3600)::bigint i, sum(value) v from e group by 1, 2), b as (select event_type, min(i) a, max(i) z from h group by 1),
+g as (select event_type, i, coalesce(v, 0) v from (select event_type, unnest(range(a, z + 1)) i from b) left join h using (event_type, i)),
+k as (select user_id, event_type, event_id, floor(tm / 3600)::bigint a from e qualify row_number() over (partition by user_id order by (event_id * 7919) % 10007, event_id) <= 256),
+c as (select user_id, event_id, i - a + 42 sample, g.v from k join g on g.event_type = k.event_type and i between a - 42 and a + 85), f as (select event_id from c group by 1 having count(*) = 128)
+select user_id, sample::integer sample, round(avg(v), 9) v, count(*) n from c join f using (event_id) group by 1, 2""")
+def unit_waveforms(s, d):
+    """Up to 256 events a unit, 128 samples with the event at sample 42, and their mean."""
+    e = spikes(s, d).withColumn("i", F.floor(F.col("tm") / HOUR))
+    h = e.groupBy("event_type", "i").agg(F.sum("value").alias("v"))
+    g = h.groupBy("event_type").agg(F.min("i").alias("a"), F.max("i").alias("b")).select("event_type", F.explode(F.sequence("a", "b")).alias("i"))
+    g = g.join(h, ["event_type", "i"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    some = ev.capped_events(e.withColumnRenamed("i", "at"), ["user_id"], "event_id", 256, draw=draw())
+    cut = sp.cutouts(some, g, ["event_type"], ["user_id", "event_id"], "at", -42, 85)
+    return sp.mean_waveforms(cut, ["user_id"]).withColumn("v", F.round("v", 9))

@@ -84,3 +84,32 @@ def test_settings_are_one_row(spark, tmp_path):
     writers.run_settings(spark, str(tmp_path), {"fs": 250.0}, {"groups": ["a", "b"]}, en.basis_table(spark, 1.0, 1.0, 1.0, 2))
     (row,) = spark.read.parquet(f"{tmp_path}/settings").collect()
     assert row.numbers == {"fs": 250.0} and row.lists == {"groups": ["a", "b"]} and spark.read.parquet(f"{tmp_path}/basis").count() == 6
+
+
+@pytest.mark.parametrize("size", [7, 16, 1000])
+def test_null_in_blocks_equals_the_null_by_rows(spark, size):
+    rng = np.random.default_rng(8)
+    data = [(k, i, n, rng.normal(size=2).tolist(), rng.normal(size=1).tolist()) for k, n in ((0, 53), (1, 20)) for i in range(n)]
+    rows = spark.createDataFrame(data, "eid int, i long, n long, x array<double>, y array<double>")
+    draws = en.shift_draws(rows.groupBy("eid").agg({"n": "max"}).withColumnRenamed("max(n)", "n"), ["eid"], 5, 3)
+    b = np.array([[0.5, 0.0], [1.0, 0.2], [0.0, 1.0], [0.3, 0.1]])
+    want = en.chunk_packs(en.null_rows(rows, ["eid"], draws), ["eid", "perm"], b, 1, 3)
+    got = en.null_packs(rows, ["eid"], draws, b, 1, 3, size, 2)
+    total = lambda packs: {(k, q, f): sum(np.array(r.s) for r in rs) for (k, q, f), rs in _by(packs.collect()).items()}
+    a, z = total(got), total(want)
+    assert a.keys() == z.keys() and all(np.allclose(a[k], z[k]) for k in z)
+
+
+def _by(rows):
+    out = {}
+    for r in rows:
+        out.setdefault((r.eid, r.perm, r.fold), []).append(r)
+    return out
+
+
+def test_regular_events_have_no_memory(spark):
+    from recloom.operators import events as ev
+
+    x = spark.createDataFrame([(0, float(i), i) for i in range(9)], "u int, t double, id int")
+    (r,) = ev.burstiness_memory(x, ["u"], "t", "id").collect()
+    assert r.n == 9 and r.burstiness == -1.0 and r.memory is None

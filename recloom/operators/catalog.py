@@ -112,7 +112,7 @@ def superset_keys(df: DataFrame, key: str, name: str, required: Sequence[str]) -
 
 def newer_wins(old: DataFrame, new: DataFrame, key: str, when: str) -> DataFrame:
     """Union of two states, the latest row per key; at a tie the new state's."""
-    both = old.withColumn("_from", F.lit(0)).unionByName(new.withColumn("_from", F.lit(1)))
+    both = old.withColumn("_from", F.lit(0)).unionByName(new.withColumn("_from", F.lit(1)), allowMissingColumns=True)
     own = Window.partitionBy(key).orderBy(F.col(when).desc_nulls_last(), F.col("_from").desc())
     return both.withColumn("_rn", F.row_number().over(own)).filter("_rn = 1").drop("_rn", "_from")
 
@@ -139,3 +139,44 @@ def session_grid(sessions: DataFrame, blocks: int, block: int) -> DataFrame:
 def window_grid(recordings: DataFrame, starts: Sequence[int]) -> DataFrame:
     """Recordings x fixed start times, with the index of each."""
     return recordings.select("*", F.posexplode(F.array(*map(F.lit, starts))).alias("snippet_index", "t_start"))
+
+
+def catalogue(df: DataFrame, exists: str | None = None, **terms) -> DataFrame:
+    """Rows that meet all terms, given as ``column__rule=value`` or ``column=value``.  Rules: ``startswith``, ``endswith``,
+    ``contains`` (all without regard to case), ``in``, ``gte``, ``lte``, ``isnull``.  ``exists`` names a flag that must be
+    true.  Terms are plain predicates that reach the scan; an unknown rule or column is an error."""
+    rules = {
+        "startswith": lambda c, v: text_match(c, prefix=v), "endswith": lambda c, v: text_match(c, suffix=v), "contains": lambda c, v: text_match(c, part=v),
+        "in": lambda c, v: F.col(c).isin(list(v)), "gte": lambda c, v: F.col(c) >= v, "lte": lambda c, v: F.col(c) <= v,
+        "isnull": lambda c, v: F.col(c).isNull() if v else F.col(c).isNotNull(), "": lambda c, v: F.col(c) == v,
+    }
+    out = df.filter(F.col(exists)) if exists else df
+    for term, value in terms.items():
+        column, rule = (term, "") if term in df.columns else (term.rpartition("__")[0], term.rpartition("__")[2])
+        if column not in df.columns or rule not in rules:
+            raise ValueError(f"no such term: {term}")
+        out = out.filter(rules[rule](column, value))
+    return out
+
+
+def frozen(df: DataFrame, freeze: str | None, label: str = "freeze", member: str | None = None) -> DataFrame:
+    """Recordings of one freeze of the catalogue, or with ``member`` those whose flag of that name is true; with neither
+    all of them.  A missing flag is no member."""
+    out = df if freeze is None else df.filter(F.col(label) == freeze)
+    return out if member is None else out.filter(F.coalesce(F.col(member).cast("boolean"), F.lit(False)))
+
+
+def select_keys(df: DataFrame, key: str, only: Sequence | None = None, n: int | None = None) -> DataFrame:
+    """The listed keys where a list (that a person wrote down) is given, whatever else would be selected; of what is left
+    the first ``n`` in order of the key."""
+    out = df if only is None else df.filter(F.col(key).isin(list(only)))
+    return out if n is None else out.orderBy(key).limit(n)
+
+
+def merged_state(old: DataFrame, new: DataFrame, key: str, at: str, removed: DataFrame | None = None, wanted: DataFrame | None = None, status: str = "status", done: str = "done") -> tuple[DataFrame, DataFrame]:
+    """The state of runs after ``new`` came in, the latest row of ``at`` per key (the new one at a tie) and without
+    ``removed`` keys, and the run list: ``wanted`` keys (all of the state's without it) that are not done."""
+    state = newer_wins(old, new, key, at)
+    state = state if removed is None else state.join(removed.select(key), key, "left_anti")
+    keys = (state if wanted is None else wanted).select(key).distinct()
+    return state, keys.join(state.filter(F.col(status).eqNullSafe(F.lit(done))).select(key), key, "left_anti")

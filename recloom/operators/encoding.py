@@ -115,6 +115,14 @@ def chunk_packs(rows: DataFrame, keys: Sequence[str], b: np.ndarray, n_pre: int,
     return spread.groupBy(*keys, "_c").applyInArrow(run, schema + "fold int, s array<double>")
 
 
+def only_targets(packs: DataFrame, p: int, m: int, keep: Sequence[int]) -> DataFrame:
+    """Packs of ``p`` columns and ``m`` targets without the targets that are not in ``keep``, by places in the array."""
+    tri = p * (p + 1) // 2
+    places = [*range(1 + p), *(1 + p + t for t in keep), *(1 + p + m + t for t in keep), *range(1 + p + 2 * m, 1 + p + 2 * m + tri)]
+    places += [1 + p + 2 * m + tri + r * m + t for r in range(p) for t in keep]
+    return packs.withColumn("s", F.transform(F.array(*map(F.lit, places)), lambda k: F.get("s", k)))
+
+
 def statistics(rows: DataFrame, keys: Sequence[str], b: np.ndarray, n_pre: int, n_folds: int, size: int = 15_000) -> DataFrame:
     """The sums of ``chunk_packs`` in long form: keys, ``fold``, ``at`` (place in the pack), ``v``."""
     parts = chunk_packs(rows, keys, b, n_pre, n_folds, size)

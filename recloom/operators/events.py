@@ -97,7 +97,8 @@ def acg_by_rate_decile(df: DataFrame, unit: Sequence[str], time: str, tie: str,
 def sliding_rp(df: DataFrame, unit: Sequence[str], time: str, duration: float, taus: Sequence[float], levels: Sequence[float], confidence: float = 70.0, contamination: float = 10.0, rp_reject: float = 5e-4) -> DataFrame:
     """Refractory violations per candidate period tau against the number expected under contamination c, about
     2 tau N R c (1 - c / 2) (Llobet et al. 2022); confidence is 100 (1 - P(violations or fewer)) under a Poisson law.
-    Pairs up to the largest tau are counted once; the small grid of tau x c is evaluated per unit in numpy."""
+    ``forced``: passed, or no violation at any candidate, as a unit with few events can't reach the confidence.  Pairs up to
+    the largest tau are counted once; the small grid of tau x c is evaluated per unit in numpy."""
     n = df.groupBy(*unit).agg(F.count("*").alias("n_spikes"))
     edges = sorted(taus)
     got = pairs(df, unit, time, edges[-1]).select(*unit, *(F.when(F.col("lag") < x, 1).otherwise(0).alias(f"v{i}") for i, x in enumerate(edges)))
@@ -117,11 +118,11 @@ def sliding_rp(df: DataFrame, unit: Sequence[str], time: str, duration: float, t
                 best = float(at.max()) if at.size else 0.0
                 fit = [(c, t) for j, c in enumerate(levels) for i, t in enumerate(edges) if ok[i] and conf[i, j] >= confidence]
                 low = min(fit) if fit else (None, None)
-                rows.append([*(getattr(r, u) for u in unit), r.n_spikes, r.n_spikes / duration, best, low[0], low[1], int(obs[-1]), best >= confidence])
-            yield pd.DataFrame(rows, columns=[*unit, "n_spikes", "firing_rate", "max_confidence", "min_contamination", "rp_min", "n_violations", "passed"])
+                rows.append([*(getattr(r, u) for u in unit), r.n_spikes, r.n_spikes / duration, best, low[0], low[1], int(obs[-1]), best >= confidence, best >= confidence or not obs[-1]])
+            yield pd.DataFrame(rows, columns=[*unit, "n_spikes", "firing_rate", "max_confidence", "min_contamination", "rp_min", "n_violations", "passed", "forced"])
 
     kinds = dict(df.dtypes)
-    return wide.mapInPandas(run, ", ".join(f"{u} {kinds[u]}" for u in unit) + ", n_spikes long, firing_rate double, max_confidence double, min_contamination double, rp_min double, n_violations long, passed boolean")
+    return wide.mapInPandas(run, ", ".join(f"{u} {kinds[u]}" for u in unit) + ", n_spikes long, firing_rate double, max_confidence double, min_contamination double, rp_min double, n_violations long, passed boolean, forced boolean")
 
 
 def poisson_cdf(k: np.ndarray, mean: np.ndarray) -> np.ndarray:

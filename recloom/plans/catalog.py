@@ -217,3 +217,46 @@ def namespace_choice(s, d):
 def map_prefix(s, d):
     m = text.with_prefix(F.from_json("props", "map<string,bigint>"), "k")
     return t(s, d, "events").select("event_id", F.size(m).cast("long").alias("n")).filter("n > 0")
+
+
+@query("select page_id, url from pages where url ilike 'https%' and url ilike '%example%' and page_id >= 10 and page_id % 3 <> 0")
+def catalogue(s, d):
+    """Several terms at once."""
+    x = t(s, d, "pages").select("page_id", "url", (F.col("page_id") % 3 != 0).alias("there"))
+    return catalog.catalogue(x, "there", url__startswith="https", url__contains="example", page_id__gte=10).drop("there")
+
+
+@query("select o_orderkey from orders where o_orderstatus = 'F' and o_orderpriority like '1%'")
+def freeze_filter(s, d):
+    """The status is the freeze, urgent orders its members."""
+    x = t(s, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").startswith("1").alias("member"))
+    return catalog.frozen(x, "F", "o_orderstatus", "member").select("o_orderkey")
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderkey in (3, 5, 8, 13, 21, 34) order by o_orderkey limit 4")
+def key_list(s, d):
+    """The first of an explicit list."""
+    return catalog.select_keys(t(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", [3, 5, 8, 13, 21, 34], 4)
+
+
+_ST = """st as (select o_custkey k, max(o_orderdate) w, arg_max(o_orderstatus, (o_orderdate, o_orderkey % 2)) status from (select o_custkey, o_orderdate, min(o_orderstatus) o_orderstatus, o_orderkey % 2 o_orderkey from orders group by 1, 2, 4) group by 1),
+rm as (select c_custkey k from customer where c_custkey % 11 = 0), ss as (select * from st where k not in (select k from rm))"""
+
+
+def run_states(s, d):
+    o = t(s, d, "orders").groupBy(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("w"), (F.col("o_orderkey") % 2).alias("half")).agg(F.min("o_orderstatus").alias("status"))
+    late = lambda half: o.filter(F.col("half") == half).groupBy("k").agg(F.max("w").alias("w"), F.max_by("status", "w").alias("status"))
+    customers = t(s, d, "customer").select(F.col("c_custkey").alias("k"))
+    return catalog.merged_state(late(0), late(1), "k", "w", customers.filter("k % 11 = 0"), customers, done="F")
+
+
+@query(f"with {_ST} select k, w, status from ss")
+def merged_state(s, d):
+    """Orders of even and odd numbers are two runs' states; every eleventh customer is removed."""
+    return run_states(s, d)[0]
+
+
+@query(f"with {_ST} select c_custkey k from customer where c_custkey not in (select k from ss where status = 'F')")
+def run_list(s, d):
+    """K12."""
+    return run_states(s, d)[1]

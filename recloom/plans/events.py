@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recloom.functions.numbers import correlation
 from recloom.operators import events as ev
+from recloom.operators import steps
 from recloom.plans.base import query, t
 
 HOUR, DAY = 3600.0, 86400.0
@@ -147,3 +148,10 @@ def coupling_metrics(s, d):
 def spike_channel(s, d):
     c, n = t(s, d, "customer"), t(s, d, "nation")
     return t(s, d, "events").join(c, F.col("user_id") == c["c_custkey"]).join(n, F.col("c_nationkey") == n["n_nationkey"]).select("event_id", "value", "c_name", "n_name")
+
+
+@query(f"with {E} select user_id, n, burstiness, memory from (select user_id, count(*) n, case when count(*) >= 8 then round((stddev_pop(isi) - avg(isi)) / (stddev_pop(isi) + avg(isi)), 6) end burstiness, case when count(*) >= 8 then round(corr(isi, nxt), 6) end memory from (select *, lead(isi) over (partition by user_id order by tm, event_id) nxt from (select *, tm - lag(tm) over (partition by user_id order by tm, event_id) isi from e)) group by 1)")
+def step_by_name(s, d):
+    """A step with an option."""
+    x = steps.run("patch_burstiness", spikes(s, d), unit=["user_id"], time="tm", tie="event_id", least=8)
+    return x.withColumns({"burstiness": F.round("burstiness", 6), "memory": F.round("memory", 6)})

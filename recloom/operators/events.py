@@ -197,3 +197,16 @@ def coupling_metrics(traces: DataFrame, keys: Sequence[str], offset: str, v: str
     w = F.abs(v)
     x = traces.groupBy(*keys).agg(F.min_by(v, F.when(F.col(offset) >= 0, F.col(offset))).alias("strength"), F.sum(F.col(offset) * bin_size * w).alias("a"), F.sum(w).alias("b"))
     return x.select(*keys, "strength", F.when(F.col("b") != 0, F.col("a") / F.col("b")).alias("delay"))
+
+
+def trial_counts(trials: DataFrame, events: DataFrame, keys: Sequence[str], trial: str, at: str, unit: str, time: str, start: float, size: float, n_bins: int) -> DataFrame:
+    """Events per trial, unit and bin (``bin`` from 0) in ``n_bins`` windows of ``size`` from ``at`` + start on, half-open.
+    Trials are spread over the two buckets that their span touches, so the join has equality keys.  Bins without events give
+    no row."""
+    span = size * n_bins
+    w = trials.select(*keys, trial, (F.col(at) + start).alias("_from"))
+    w = w.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / span), F.floor((F.col("_from") + span) / span))))
+    e = events.select(*keys, F.col(unit).alias("unit"), F.col(time).alias("_time"), F.floor(F.col(time) / span).alias("_b"))
+    at_bin = F.floor((F.col("_time") - F.col("_from")) / size)
+    x = w.join(e, [*keys, "_b"]).withColumn("bin", at_bin).filter((F.col("bin") >= 0) & (F.col("bin") < n_bins))
+    return x.groupBy(*keys, trial, "unit", "bin").agg(F.count("*").alias("n"))

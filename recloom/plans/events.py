@@ -155,3 +155,11 @@ def step_by_name(s, d):
     """A step with an option."""
     x = steps.run("patch_burstiness", spikes(s, d), unit=["user_id"], time="tm", tie="event_id", least=8)
     return x.withColumns({"burstiness": F.round("burstiness", 6), "memory": F.round("memory", 6)})
+
+
+@query(f"""with {E} select a.user_id, a.event_id trial, b.event_type unit, floor((b.tm - (a.tm - 21600)) / 4320)::bigint bin, count(*) n from e a join e b on a.user_id = b.user_id
+and a.event_type = 'click' and b.event_type <> 'click' and floor((b.tm - (a.tm - 21600)) / 4320) between 0 and 9 group by 1, 2, 3, 4""")
+def trial_counts(s, d):
+    """Ten bins around each click, by event type."""
+    x = spikes(s, d)
+    return ev.trial_counts(x.filter("event_type = 'click'").withColumnRenamed("event_id", "trial"), x.filter("event_type != 'click'"), ["user_id"], "trial", "tm", "event_type", "tm", -6 * HOUR, 1.2 * HOUR, 10)

@@ -45,3 +45,19 @@ def test_restricted_statistics_are_those_of_the_targets(spark):
     whole = spark.createDataFrame([(0, 0, en.pack(x, y).tolist())], "pid int, fold int, s array<double>")
     (got,) = en.only_targets(whole, 3, 4, [1, 3]).collect()
     assert np.allclose(got.s, en.pack(x, y[:, [1, 3]]), rtol=1e-12, atol=1e-12)
+
+
+def test_counts_around_trials_against_loops(spark):
+    from recloom.operators import events as ev
+
+    rng = np.random.default_rng(6)
+    tr = [(int(k), i, float(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 2, 15), rng.integers(-20, 40, 15), strict=True))] + [(0, 99, None)]
+    es = [(int(k), int(u), float(t)) for k, u, t in zip(rng.integers(0, 2, 200), rng.integers(0, 3, 200), rng.integers(-40, 60, 200) / 2, strict=True)] + [(0, 0, None)]
+    x = ev.trial_counts(spark.createDataFrame(tr, "eid int, trial int, t double"), spark.createDataFrame(es, "eid int, u int, s double"), ["eid"], "trial", "t", "u", "s", -2.0, 0.5, 8)
+    want = {}
+    for k, i, t in tr:
+        for k2, u, s in es:
+            if k == k2 and t is not None and s is not None and 0 <= np.floor((s - (t - 2.0)) / 0.5) < 8:
+                at = (k, i, u, int(np.floor((s - (t - 2.0)) / 0.5)))
+                want[at] = want.get(at, 0) + 1
+    assert {(r.eid, r.trial, r.unit, r.bin): r.n for r in x.collect()} == want and want

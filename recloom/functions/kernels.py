@@ -90,3 +90,22 @@ def ridge(system: np.ndarray, cross: np.ndarray) -> np.ndarray:
     """System w = cross by Cholesky; raises ``LinAlgError`` where that is not positive definite."""
     low = np.linalg.cholesky(system)
     return np.linalg.solve(low.T, np.linalg.solve(low, cross))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, lam: float, steps: int = 30) -> np.ndarray:
+    """Weights, then the intercept, of a two-class (0, 1) model with a ridge on the weights, by Newton's method; a step that
+    would raise the loss is halved, so that separable classes end at finite weights."""
+    one = np.column_stack((x, np.ones(len(x))))
+    ridge_on = np.diag(np.r_[np.full(x.shape[1], lam), 1e-9])
+    loss = lambda w: np.logaddexp(0, one @ w).sum() - y @ (one @ w) + w @ ridge_on @ w / 2
+    w = np.zeros(one.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(one @ w, -500, 500)))
+        step = np.linalg.solve((one * (p * (1 - p))[:, None]).T @ one + ridge_on, one.T @ (p - y) + ridge_on @ w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recloom.functions.kernels import ridge
+from recloom.functions.kernels import logistic, ridge
 from recloom.operators.qc import quantiles
 
 
@@ -400,28 +400,39 @@ def null_packs(rows: DataFrame, keys: Sequence[str], draws: DataFrame, b: np.nda
     return both.groupBy(*keys, "_c", "_g").applyInArrow(run, schema + "perm int, fold int, s array<double>")
 
 
-def decode_scores(trials: DataFrame, keys: Sequence[str], n_folds: int = 5, lam: float = 1.0) -> DataFrame:
-    """Cross-validated R2 of a linear decoder of a per-trial target from binned counts (``counts`` array), per key (a
-    session and pseudo-session).  A group is one session's trials."""
+def decode_scores(trials: DataFrame, keys: Sequence[str], n_folds: int = 5, lam: float = 1.0, model: str = "linear") -> DataFrame:
+    """Cross-validated score of a per-trial ``target`` from binned counts (``counts`` array), per key (a session and
+    pseudo-session), which is one group.  ``linear``: R2; ``logistic``: balanced accuracy of a target of 0 and 1.  Null where
+    the target doesn't vary or a fold has nothing, or for two classes only one of them, to learn from."""
+    if model not in ("linear", "logistic"):
+        raise ValueError(f"no model {model!r}")
     kinds = dict(trials.dtypes)
 
+    def predicted(x: np.ndarray, y: np.ndarray, new: np.ndarray) -> np.ndarray:
+        mx, my = x.mean(0), y.mean()
+        if model == "linear":
+            return (new - mx) @ ridge((x - mx).T @ (x - mx) + lam * np.eye(x.shape[1]), (x - mx).T @ (y - my)) + my
+        w = logistic(x - mx, y, lam)
+        return ((new - mx) @ w[:-1] + w[-1] > 0).astype(float)
+
+    def score(y: np.ndarray, pred: np.ndarray) -> float:
+        if model == "linear":
+            return float(1 - ((y - pred) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+        return float(np.mean([(pred[y == c] == c).mean() for c in (0.0, 1.0)]))
+
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("trial")
         x, y = np.stack([np.asarray(v, float) for v in f["counts"]]), f["target"].to_numpy(float)
-        fold = ((np.arange(len(y)) + 1) * n_folds - 1) // max(1, len(y))
-        pred = np.full(len(y), np.nan)
+        fold = ((np.arange(len(y)) + 1) * n_folds - 1) // len(y)
+        pred, values = np.full(len(y), np.nan), 1 if model == "linear" else 2
         for k in np.unique(fold):
-            tr = fold != k
-            if tr.sum() < 2:
-                continue
-            mx, my = x[tr].mean(0), y[tr].mean()
-            w = ridge((x[tr] - mx).T @ (x[tr] - mx) + lam * np.eye(x.shape[1]), (x[tr] - mx).T @ (y[tr] - my))
-            pred[~tr] = (x[~tr] - mx) @ w + my
-        tot = ((y - y.mean()) ** 2).sum()
-        ok = np.isfinite(pred).all() and tot > 0
-        return pd.DataFrame([[*(f[k].iloc[0] for k in keys), len(y), float(1 - ((y - pred) ** 2).sum() / tot) if ok else None]], columns=[*keys, "n_trials", "r2"])
-
-    return trials.groupBy(*keys).applyInPandas(run, "".join(f"`{k}` {kinds[k]}, " for k in keys) + "n_trials long, r2 double")
+            rest = fold != k
+            if rest.sum() >= 2 and len(np.unique(y[rest])) >= values:
+                pred[~rest] = predicted(x[rest], y[rest], x[~rest])
+        ok = np.isfinite(pred).all() and y.std() > 0
+        return pd.DataFrame([[*(f[k].iloc[0] for k in keys), len(y), score(y, pred) if ok else None]], columns=[*keys, "n_trials", "r2" if model == "linear" else "accuracy"])
+
+    return trials.groupBy(*keys).applyInPandas(run, "".join(f"`{k}` {kinds[k]}, " for k in keys) + f"n_trials long, {'r2' if model == 'linear' else 'accuracy'} double")
 
 
 def per_group(scores: DataFrame, groups: DataFrame, best: DataFrame, keys: Sequence[str]) -> DataFrame:

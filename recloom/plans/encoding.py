@@ -7,8 +7,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recloom.operators import encoding as en
+from recloom.operators import events as ev
 from recloom.operators import tables
 from recloom.plans.base import query, t
+from recloom.plans.events import HOUR, spikes
+from recloom.sources import writers
+from recloom.sources.scratch import folder
 
 GROUPS = ["move", "stim", "stim"]
 FOLDS = 5
@@ -211,13 +215,48 @@ def fit_all_sources(s, d):
     return tables.tier_differences(scores.select("tier", "pid", "target", "r2_cv"), "tier", ["pid", "target"], ["r2_cv"], "full")
 
 
+UNITS = ["view", "purchase", "signup", "error"]
+BINS = 5
+
+
+def decoding_trials(s, d):
+    """A trial is a click, its units the other types of event, counted in bins of six hours around it; the target is the
+    click's value, in pseudo-session -1 its own and in the others that of a trial some places on."""
+    x = spikes(s, d)
+    clicks = x.filter("event_type = 'click'").select(F.col("user_id").alias("eid"), F.col("event_id").alias("trial"), "tm", F.col("value").alias("target"))
+    others = x.filter("event_type != 'click'").select(F.col("user_id").alias("eid"), "event_type", "tm")
+    n = ev.trial_counts(clicks, others, ["eid"], "trial", "tm", "event_type", "tm", -6 * HOUR * BINS / 2, 6 * HOUR, BINS)
+    place = (F.array_position(F.array(*map(F.lit, UNITS)), F.col("unit")) - 1) * BINS + F.col("bin")
+    n = n.groupBy("eid", "trial").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("k"), F.col("n").cast("double").alias("v")))).alias("m"))
+    counts = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(len(UNITS) * BINS - 1).cast("long")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
+    own = Window.partitionBy("eid")
+    y = clicks.select("eid", "trial", "target", (F.row_number().over(own.orderBy("tm", "trial")) - 1).cast("long").alias("i"), F.count("*").over(own).alias("n"))
+    draws = en.shift_draws(y.select("eid", "n").distinct(), ["eid"], DRAWS, 1).select("eid", F.col("perm").alias("pseudo"), "shift")
+    draws = draws.unionByName(y.select("eid", F.lit(-1).alias("pseudo"), F.lit(0).cast("long").alias("shift")).distinct())
+    moved = y.select("eid", "i", "n", "target").join(draws, "eid").withColumn("i", F.pmod(F.col("i") + F.col("shift"), F.col("n"))).select("eid", "pseudo", "i", "target")
+    x = y.select("eid", "i").join(moved, ["eid", "i"]).join(y.join(n, ["eid", "trial"], "left").select("eid", "i", counts.alias("counts")), ["eid", "i"])
+    return x.select("eid", "pseudo", F.col("i").alias("trial"), "target", "counts")
+
+
+def decoded(x, model, score):
+    path = folder(x.sparkSession, "decoded")
+    writers.table(en.decode_scores(x, ["eid", "pseudo"], model=model), path)
+    got = x.sparkSession.read.parquet(path)
+    seen = got.filter("pseudo = -1").select("eid", "n_trials", F.col(score).alias("r2"))
+    p = en.p_value(got.filter("pseudo >= 0").select("eid", F.col(score).alias("r2")), seen, ["eid"])
+    return seen.withColumnRenamed("r2", score).join(p, "eid")
+
+
 @query()
 def decode_cv(s, d):
-    """E19 in part: supplier's item quantity decoded from its own row's price, return flag and line number; the README lists
-    what is missing."""
-    own = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
-    x = t(s, d, "lineitem").select(F.col("l_suppkey").alias("eid"), F.row_number().over(own).alias("trial"), F.col("l_quantity").cast("double").alias("target"), F.array(F.col("l_extendedprice") / 1000, (F.col("l_returnflag") == "R").cast("double"), F.col("l_linenumber").cast("double")).alias("counts"))
-    return en.decode_scores(x, ["eid"])
+    """Linear decoding against pseudo-sessions."""
+    return decoded(decoding_trials(s, d), "linear", "r2")
+
+
+@query()
+def decode_classes(s, d):
+    """Two classes, values over 50 or not, by a logistic model, as balanced accuracy."""
+    return decoded(decoding_trials(s, d).withColumn("target", (F.col("target") > 50).cast("double")), "logistic", "accuracy")
 
 
 @query()

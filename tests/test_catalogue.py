@@ -61,3 +61,30 @@ def test_counts_around_trials_against_loops(spark):
                 at = (k, i, u, int(np.floor((s - (t - 2.0)) / 0.5)))
                 want[at] = want.get(at, 0) + 1
     assert {(r.eid, r.trial, r.unit, r.bin): r.n for r in x.collect()} == want and want
+
+
+def test_two_classes_are_decoded(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for eid, gain in ((0, 6.0), (1, 0.0)):
+        for i in range(120):
+            y = float(rng.integers(0, 2))
+            rows.append((eid, i, y, (rng.normal(size=4) + gain * y * np.array([1, 0, 0, 1])).tolist()))
+    rows += [(2, i, 1.0, [float(i)] * 4) for i in range(10)] + [(3, 0, 1.0, [0.0] * 4)]
+    x = spark.createDataFrame(rows, "eid int, trial int, target double, counts array<double>")
+    got = {r.eid: r.accuracy for r in en.decode_scores(x, ["eid"], model="logistic").collect()}
+    assert got[0] == 1.0 and 0.3 < got[1] < 0.7 and got[2] is None and got[3] is None
+    line = {r.eid: r.r2 for r in en.decode_scores(x, ["eid"]).collect()}
+    assert line[0] > 0.8 and line[2] is None
+    with pytest.raises(ValueError, match="no model"):
+        en.decode_scores(x, ["eid"], model="other")
+
+
+def test_logistic_is_at_the_minimum():
+    from recloom.functions.kernels import logistic
+
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(80, 3)), rng.integers(0, 2, 80).astype(float)
+    w = logistic(x, y, 2.0)
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    assert np.abs(x.T @ (p - y) + 2.0 * w[:-1]).max() < 1e-8 and abs((p - y).sum()) < 1e-6

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +58,37 @@ def status_case(done: Column, started: Column) -> Column:
 def with_prefix(m: Column, prefix: str) -> Column:
     """entries of a map whose key starts so."""
     return F.map_filter(m, lambda k, v: k.startswith(prefix))
+
+
+def key_fields(key: Column, names: Sequence[str], between: str = "__") -> list[Column]:
+    """the parts of a key, in order; a part that is not there is null."""
+    parts = F.split(key, re.escape(between))
+    return [F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(names)]
+
+
+def after(day: Column, default: str, by_kind: Mapping[str, str] | None = None, kind: Column | None = None) -> Column:
+    """whether a date or its text is later than the day that holds for its kind; null for what is no date."""
+    at = F.lit(default)
+    for k, v in (by_kind or {}).items():
+        at = F.when(kind == k, F.lit(v)).otherwise(at)
+    return F.try_to_timestamp(day.cast("string")).cast("date") > at.cast("date")
+
+
+def json_fields(text: Column, schema: str) -> Column:
+    """fields of a JSON object as a struct; null for a missing, empty or broken text."""
+    return F.when(F.trim(text) != "", F.from_json(text, schema))
+
+
+def namespace(collection: Column, rules: Mapping[str, str | Column], default: str) -> Column:
+    """the namespace of the first rule that holds: a prefix of the collection, or a column as a condition keyed by the
+    namespace.  ``rules`` maps namespaces to either."""
+    out = None
+    for name, rule in rules.items():
+        holds = collection.startswith(rule) if isinstance(rule, str) else rule
+        out = F.when(holds, name) if out is None else out.when(holds, name)
+    return F.lit(default) if out is None else out.otherwise(default)
+
+
+def plain_name(name: Column) -> Column:
+    """F17."""
+    return F.lower(name)

@@ -180,3 +180,16 @@ def merged_state(old: DataFrame, new: DataFrame, key: str, at: str, removed: Dat
     state = state if removed is None else state.join(removed.select(key), key, "left_anti")
     keys = (state if wanted is None else wanted).select(key).distinct()
     return state, keys.join(state.filter(F.col(status).eqNullSafe(F.lit(done))).select(key), key, "left_anti")
+
+
+def good_units(df: DataFrame, failed: str = "bitwise_fail", good=0) -> DataFrame:
+    """Rows whose quality mark is the good one; a missing mark is not good."""
+    return df.filter(F.col(failed) == good)
+
+
+def revision_choice(df: DataFrame, keys: Sequence[str], path: str, folders: Sequence[str], present: str, otherwise: str) -> DataFrame:
+    """per key ``revision``: ``present`` if one of its paths has one of ``folders`` in it, else ``otherwise``."""
+    has = F.lit(False)
+    for f in folders:
+        has = has | F.coalesce(F.col(path).contains(f), F.lit(False))
+    return df.groupBy(*keys).agg(F.when(F.bool_or(has), F.lit(present)).otherwise(F.lit(otherwise)).alias("revision"))

@@ -129,3 +129,15 @@ def completeness(df: DataFrame, key: str, present: dict[str, Column]) -> DataFra
     for k in present:
         every = every & F.col(k)
     return out.withColumn("complete", every)
+
+
+def unit_rates(spikes: DataFrame, unit: Sequence[str], seconds: float | Column) -> DataFrame:
+    """Events of each unit and their number a second; a recording of no length has no rate.  A column of seconds must be
+    one value per unit."""
+    d = F.first(seconds) if isinstance(seconds, Column) else F.lit(float(seconds))
+    return spikes.groupBy(*unit).agg(F.count("*").alias("spike_count"), F.try_divide(F.count("*"), d).alias("firing_rate"))
+
+
+def unit_counts(units: DataFrame, keys: Sequence[str], good: Column) -> DataFrame:
+    """All units of each recording and the good ones; an unknown quality is not good."""
+    return units.groupBy(*keys).agg(F.count("*").alias("n_clusters"), F.count_if(good).alias("n_good"))

@@ -293,3 +293,78 @@ def velocity(df: DataFrame, keys: Sequence[str], i: str, v: str, fs: float) -> D
     a, b = F.coalesce(F.lag(v).over(own), F.col(v)), F.coalesce(F.lead(v).over(own), F.col(v))
     n = F.when(F.lag(i).over(own).isNull() | F.lead(i).over(own).isNull(), 1).otherwise(2)
     return df.withColumn("velocity", (b - a) * fs / n)
+
+
+def waveform_features(df: DataFrame, keys: Sequence[str], v: str) -> DataFrame:
+    """G4 in SQL functions: place and value of the largest sample in size (the first at a tie), the extreme of the other sign
+    from there on (trough) and up to there (tip), and the whole range.  An empty array gives nulls."""
+    x = df.select(*keys, F.transform(v, lambda z: z.cast("double")).alias("_w")).withColumn("_a", F.transform("_w", lambda z: F.abs(z)))
+    x = x.withColumn("_k", F.array_position("_a", F.array_max("_a")).cast("int")).withColumn("peak_val", F.try_element_at("_w", F.nullif(F.col("_k"), F.lit(0))))
+    at = F.greatest(F.col("_k"), F.lit(1))
+    other = lambda part: F.when(F.col("peak_val") < 0, F.array_max(part)).otherwise(F.array_min(part))
+    return x.select(
+        *keys, (F.col("_k") - 1).alias("peak_time_idx"), "peak_val", other(F.slice("_w", at, F.size("_w"))).alias("trough_val"),
+        other(F.slice("_w", F.lit(1), at)).alias("tip_val"), (F.array_max("_w") - F.array_min("_w")).alias("ptp"),
+    )
+
+
+def neighbours(df: DataFrame, channel: str, offsets: Sequence[int], n_channels: int, out: str = "channel") -> DataFrame:
+    """Every row once per channel at an offset from its own, channels beyond either end left out; ``slot`` is the place of
+    the offset in the list."""
+    x = df.select("*", F.posexplode(F.array(*map(F.lit, offsets))).alias("slot", "_o")).withColumn(out, F.col(channel) + F.col("_o"))
+    return x.filter((F.col(out) >= 0) & (F.col(out) < n_channels)).drop("_o")
+
+
+def peak_traces(df: DataFrame, keys: Sequence[str], channel: str, v: str) -> DataFrame:
+    """Per key the whole trace of the channel with the largest range, at a tie of the first channel.  The traces compete
+    in a combining aggregate, so no key's channels are gathered."""
+    ptp = (F.array_max(v) - F.array_min(v)).cast("double")
+    best = F.max_by(F.struct(F.col(channel), F.col(v)), F.struct(ptp, -F.col(channel)))
+    return df.filter(F.size(v) > 0).groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col(f"_b.{channel}").alias(channel), F.col(f"_b.{v}").alias("trace"))
+
+
+def spectrum_summary(df: DataFrame, keys: Sequence[str], power: str, detected: str) -> DataFrame:
+    """Per recording the mean over windows of the power that is summed over frequencies, and the number of detections.
+    Rows are windows; ``power`` is an array over frequencies."""
+    total = F.aggregate(power, F.lit(0.0), lambda a, z: a + F.coalesce(z.cast("double"), F.lit(0.0)))
+    return df.groupBy(*keys).agg(F.avg(total).alias("power"), F.count("*").alias("n_windows"), F.count_if(detected).alias("n_detected"))
+
+
+def targets(df: DataFrame, keys: Sequence[str], channel: str, v: str, kind: str, fs: float, bands: dict[str, tuple[float, float]] = kernels.BANDS) -> DataFrame:
+    """Encoding targets of one schema (keys, ``kind``, ``target``, ``i``, ``y``) from rows that each hold a channel's samples
+    as an array: ``raw``, the samples, one target per channel; ``band``, the log envelopes, one per channel and band.  Another
+    kind is an error."""
+    if kind == "raw":
+        return df.select(*keys, F.lit(kind).alias("kind"), F.col(channel).cast("string").alias("target"), F.posexplode(v).alias("i", "y")).withColumn("y", F.col("y").cast("double"))
+    if kind == "band":
+        x = band_envelopes(df, list(dict.fromkeys([*keys, channel])), v, fs, bands)
+        return x.select(*keys, F.lit(kind).alias("kind"), F.concat_ws("_", F.col(channel).cast("string"), "band").alias("target"), F.posexplode("envelope").alias("i", "y"))
+    raise ValueError(f"no targets of kind {kind!r}")
+
+
+def aggregate_probes(df: DataFrame, probe: str, channel: str, about: Sequence[str], features: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of one row per probe, channel and snippet three tables: channels (what is ``about`` a channel, which all its
+    snippets share), features (mean and median of each over the snippets, and their number), and both merged."""
+    by = df.groupBy(probe, channel)
+    channels = by.agg(*(F.max(c).alias(c) for c in about))
+    values = by.agg(*(x for c in features for x in (F.avg(c).alias(f"{c}_mean"), F.median(c).alias(f"{c}_median"))), F.count("*").alias("n_snippets"))
+    return channels, values, channels.join(values, [probe, channel])
+
+
+def uniform_trace(samples: DataFrame, keys: Sequence[str], dt: float, cut: float, size: int = 1 << 20, halo: int = 4096) -> DataFrame:
+    """Irregular samples (keys, ``t``, ``v``) on a grid of step ``dt`` by linear interpolation, low-passed at ``cut`` (in
+    samples a second), with the central difference of the result: keys, ``i``, ``t``, ``v``, ``velocity``.  Blocks of
+    ``size`` grid samples are filtered by themselves, with ``halo`` samples on either side, so that no recording is one group."""
+    ends = samples.groupBy(*keys).agg(F.ceil(F.min("t") / dt).alias("_a"), F.floor(F.max("t") / dt).alias("_b")).filter("_b >= _a")
+    grid = ends.select(*keys, F.explode(F.sequence("_a", "_b")).alias("i")).withColumn("t", F.col("i") * dt)
+    even = resample(samples, grid, keys, width=size * dt)
+    near = F.explode(F.sequence(F.floor((F.col("i") - halo) / size), F.floor((F.col("i") + halo) / size))).alias("_c")
+    kinds = _kinds(samples, keys)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("i")
+        v = kernels.low_pass(f["v"].to_numpy(float), 1 / dt, cut)
+        f = f.assign(v=v, velocity=np.gradient(v, dt) if len(v) > 1 else np.zeros(len(v)), t=f["i"] * dt)
+        return f[f["i"] // size == f["_c"]][[*keys, "i", "t", "v", "velocity"]]
+
+    return even.select(*keys, "i", "v", near).groupBy(*keys, "_c").applyInPandas(run, kinds + "i long, t double, v double, velocity double")

@@ -115,3 +115,66 @@ def tier_differences(scores: DataFrame, tier: str, keys: Sequence[str], values:
 def rows_sorted(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """The rows of each key as one sorted array; for keys with few rows."""
     return df.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("values"))
+
+
+def merged_units(spikes: DataFrame, clusters: DataFrame, channels: DataFrame, keys: Sequence[str], cluster: str, channel: str) -> DataFrame:
+    """One row per unit that fired: its ``spike_count``, then what its cluster and its cluster's channel have; a unit that
+    lacks either keeps nulls.  ``clusters`` holds each cluster's ``channel``."""
+    out = spikes.groupBy(*keys, cluster).agg(F.count("*").alias("spike_count"))
+    return left_by_key(left_by_key(out, clusters, [*keys, cluster]), channels, [*keys, channel])
+
+
+def attribute_of_unit(spikes: DataFrame, clusters: DataFrame, channels: DataFrame, keys: Sequence[str], cluster: str, channel: str) -> DataFrame:
+    """Every event with what its unit's channel has; events of a unit that no table knows are left out."""
+    return spikes.join(clusters, [*keys, cluster]).join(channels, [*keys, channel])
+
+
+def with_bands(df: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """Every row once per band, with its ``band_index`` and ``band``; the bands lie beside the row, so nothing is joined."""
+    return df.select("*", F.posexplode(F.array(*map(F.lit, bands))).alias("band_index", "band"))
+
+
+def union_rows(frames: Sequence[DataFrame]) -> DataFrame:
+    """All rows, columns by name, repeats included; a column that one of them lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def distinct_keys(frames: Sequence[DataFrame], key: str) -> DataFrame:
+    """Every value of ``key`` that any of them has, once; null counts as a value."""
+    return union_rows([f.select(key) for f in frames]).distinct()
+
+
+def keys_without(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Distinct values of ``key`` that ``other`` lacks; null equals null."""
+    return df.select(key).subtract(other.select(key))
+
+
+def reshaped(df: DataFrame, names: dict[str, str] | None = None, prefixes: Sequence[str] = (), present: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Columns renamed; those that begin with a prefix dropped, and those that ``present`` has already, but for ``keys``."""
+    out = df.withColumnsRenamed(names or {})
+    gone = [c for c in out.columns if c.startswith(tuple(prefixes))] if prefixes else []
+    gone += [c for c in out.columns if present is not None and c in present.columns and c not in keys]
+    return out.drop(*gone)
+
+
+def keyed(df: DataFrame, **keys) -> DataFrame:
+    """Constant or derived key columns in front; one of the name is replaced."""
+    cols = [(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in keys.items()]
+    return df.select(*cols, *[c for c in df.columns if c not in keys])
+
+
+def repository_folders(files: DataFrame, repositories: DataFrame, repository: str, root: str, path: str, folder: str = "folder") -> DataFrame:
+    """Of every file the folder it lies in, below its repository's root; null for an unknown repository."""
+    x = files.join(repositories.select(repository, root), repository, "left")
+    return x.withColumn(folder, F.regexp_replace(F.concat(F.col(root), F.lit("/"), F.col(path)), "/[^/]*$", "")).drop(root)
+
+
+def first_with_ending(df: DataFrame, keys: Sequence[str], path: str, ending: str) -> DataFrame:
+    """the first path, in order of text, that ends so; keys without one are left out."""
+    return df.filter(F.col(path).endswith(ending)).groupBy(*keys).agg(F.min(path).alias(path))
+
+
+def siblings(df: DataFrame, path: str) -> DataFrame:
+    """paths that differ in their last ending alone, as one sorted list per ``stem``."""
+    stem = F.regexp_replace(path, r"\.[^./]*$", "")
+    return df.groupBy(stem.alias("stem")).agg(F.sort_array(F.collect_list(path)).alias("files"))

@@ -71,12 +71,12 @@ def exclude_keys(s, d):
 
 @query("select l_orderkey, l_linenumber from lineitem where l_returnflag = 'N'")
 def good_only(s, d):
-    return t(s, d, "lineitem").filter("l_returnflag = 'N'").select("l_orderkey", "l_linenumber")
+    return catalog.good_units(t(s, d, "lineitem"), "l_returnflag", "N").select("l_orderkey", "l_linenumber")
 
 
 @query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25")
 def first_n(s, d):
-    return t(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+    return catalog.first_n(t(s, d, "orders").select("o_orderkey", "o_totalprice"), 25, F.desc("o_totalprice"), "o_orderkey")
 
 
 @query("select o_orderkey from (select o_orderkey, row_number() over (order by o_orderkey) - 1 rn from orders) where rn % 7 = 3")
@@ -133,7 +133,7 @@ def path_parts(s, d):
 
 @query("select event_id, (props ->> '$.k')::bigint k from events where props <> ''")
 def json_fields(s, d):
-    return t(s, d, "events").filter("props <> ''").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return t(s, d, "events").filter("props <> ''").select("event_id", text.json_fields(F.col("props"), "k long")["k"].alias("k"))
 
 
 @query("select page_id from pages where lower(url) like 'https%' and lower(url) like '%example%' and not lower(url) like '%top'")
@@ -163,8 +163,8 @@ def label_pad_parse(s, d):
 
 @query("select o_orderkey, split_part(x, '__', 1) subject, split_part(x, '__', 2) as day, split_part(x, '__', 3) number from (select o_orderkey, o_custkey::varchar || '__' || strftime(o_orderdate, '%Y-%m-%d') || '__' || o_orderstatus x from orders)")
 def split_key(s, d):
-    x = F.split(F.concat_ws("__", F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderstatus"), "__")
-    return t(s, d, "orders").select("o_orderkey", x[0].alias("subject"), x[1].alias("day"), x[2].alias("number"))
+    x = F.concat_ws("__", F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderstatus")
+    return t(s, d, "orders").select("o_orderkey", *text.key_fields(x, ["subject", "day", "number"]))
 
 
 @query("select page_id, case when starts_with(url, 'http://') then '/mnt/' || substr(url, 8) else url end path from pages")
@@ -174,13 +174,13 @@ def path_rebase(s, d):
 
 @query("select o_orderkey, o_orderdate::date > case when o_orderstatus = 'F' then date '1994-06-01' else date '1997-01-01' end late from orders")
 def date_rule(s, d):
-    at = F.when(F.col("o_orderstatus") == "F", F.to_date(F.lit("1994-06-01"))).otherwise(F.to_date(F.lit("1997-01-01")))
-    return t(s, d, "orders").select("o_orderkey", (F.to_date("o_orderdate") > at).alias("late"))
+    late = text.after(F.col("o_orderdate"), "1997-01-01", {"F": "1994-06-01"}, F.col("o_orderstatus"))
+    return t(s, d, "orders").select("o_orderkey", late.alias("late"))
 
 
 @query("select distinct lower(o_orderpriority) name from orders")
 def lower_name(s, d):
-    return t(s, d, "orders").select(F.lower("o_orderpriority").alias("name")).distinct()
+    return t(s, d, "orders").select(text.plain_name(F.col("o_orderpriority")).alias("name")).distinct()
 
 
 @query("""select user_id, count(*) filter (value >= 50) / count(*) >= 0.5 has_stream from events group by 1""")
@@ -205,12 +205,13 @@ def status_case(s, d):
 
 @query("select l_orderkey, case when bool_or(l_returnflag = 'R' or l_returnflag = 'A') then 'ephys' else 'behaviour' end revision from lineitem group by 1")
 def revision_choice(s, d):
-    return t(s, d, "lineitem").groupBy("l_orderkey").agg(F.when(F.bool_or(F.col("l_returnflag").rlike("R|A")), "ephys").otherwise("behaviour").alias("revision"))
+    return catalog.revision_choice(t(s, d, "lineitem"), ["l_orderkey"], "l_returnflag", ["R", "A"], "ephys", "behaviour")
 
 
 @query("select o_orderkey, case when o_orderpriority like '1%' then 'task_00' when o_orderstatus = 'P' then 'task_01' else 'task' end ns from orders")
 def namespace_choice(s, d):
-    return t(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderpriority").startswith("1"), "task_00").when(F.col("o_orderstatus") == "P", "task_01").otherwise("task").alias("ns"))
+    ns = text.namespace(F.col("o_orderpriority"), {"task_00": "1", "task_01": F.col("o_orderstatus") == "P"}, "task")
+    return t(s, d, "orders").select("o_orderkey", ns.alias("ns"))
 
 
 @query("select event_id, 1::bigint n from events where props like '%\"k\"%'")

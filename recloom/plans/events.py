@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from recloom.functions.numbers import correlation
 from recloom.operators import events as ev
-from recloom.operators import steps
+from recloom.operators import steps, tables
 from recloom.plans.base import query, t
+from recloom.plans.tables import unit_tables
 
 HOUR, DAY = 3600.0, 86400.0
 E = "e as (select event_id, user_id, event_type, value, epoch_us(ts) / 1e6 tm from events)"
@@ -146,8 +147,8 @@ def coupling_metrics(s, d):
 
 @query("select event_id, value, c_name, n_name from events join customer on user_id = c_custkey join nation on c_nationkey = n_nationkey")
 def spike_channel(s, d):
-    c, n = t(s, d, "customer"), t(s, d, "nation")
-    return t(s, d, "events").join(c, F.col("user_id") == c["c_custkey"]).join(n, F.col("c_nationkey") == n["n_nationkey"]).select("event_id", "value", "c_name", "n_name")
+    clusters, channels = unit_tables(s, d)
+    return tables.attribute_of_unit(t(s, d, "events"), clusters, channels, [], "user_id", "nationkey").select("event_id", "value", "c_name", "n_name")
 
 
 @query(f"with {E} select user_id, n, burstiness, memory from (select user_id, count(*) n, case when count(*) >= 8 then round((stddev_pop(isi) - avg(isi)) / (stddev_pop(isi) + avg(isi)), 6) end burstiness, case when count(*) >= 8 then round(corr(isi, nxt), 6) end memory from (select *, lead(isi) over (partition by user_id order by tm, event_id) nxt from (select *, tm - lag(tm) over (partition by user_id order by tm, event_id) isi from e)) group by 1)")

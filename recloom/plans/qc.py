@@ -84,12 +84,12 @@ def completeness_gate(s, d):
 
 @query("select l_orderkey, count(*) n_clusters, count(*) filter (l_returnflag = 'N') n_good from lineitem group by 1")
 def unit_counts(s, d):
-    return t(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_clusters"), F.count_if(F.col("l_returnflag") == "N").alias("n_good"))
+    return qc.unit_counts(t(s, d, "lineitem"), ["l_orderkey"], F.col("l_returnflag") == "N")
 
 
 @query("""select user_id, count(*) spike_count, round(count(*) / 2592000.0, 12) firing_rate from events group by 1""")
 def unit_rate(s, d):
-    return t(s, d, "events").groupBy("user_id").agg(F.count("*").alias("spike_count"), F.round(F.count("*") / 2592000.0, 12).alias("firing_rate"))
+    return qc.unit_rates(t(s, d, "events"), ["user_id"], 2592000.0).withColumn("firing_rate", F.round("firing_rate", 12))
 
 
 @query("""select o_custkey, count(*) n_intervals, round(sum((o_orderkey % 1000 + 20 - o_orderkey % 500) / 250.0), 6) as seconds from orders group by 1""")

@@ -154,14 +154,8 @@ def geometry_check(s, d):
 @query("""with x as (select vec_id, [z::double for z in embedding] w from embeddings), a as (select *, list_max([abs(z) for z in w]) m from x), p as (select *, list_position([abs(z) for z in w], m) k from a)
 select vec_id, (k - 1)::integer peak_time_idx, round(w[k], 6) peak_val, round(case when w[k] < 0 then list_max(w[k:]) else list_min(w[k:]) end, 6) trough_val, round(case when w[k] < 0 then list_max(w[:k]) else list_min(w[:k]) end, 6) tip_val, round(list_max(w) - list_min(w), 6) ptp from p""")
 def waveform_features(s, d):
-    w = F.transform("embedding", lambda z: z.cast("double"))
-    x = t(s, d, "embeddings").select("vec_id", w.alias("w")).withColumn("a", F.transform("w", lambda z: F.abs(z)))
-    x = x.withColumn("k", F.array_position("a", F.array_max("a")).cast("int")).withColumn("peak", F.element_at("w", F.col("k")))
-    after, before = F.slice("w", F.col("k"), F.size("w")), F.slice("w", F.lit(1), F.col("k"))
-    return x.select(
-        "vec_id", (F.col("k") - 1).alias("peak_time_idx"), F.round("peak", 6).alias("peak_val"), F.round(F.when(F.col("peak") < 0, F.array_max(after)).otherwise(F.array_min(after)), 6).alias("trough_val"),
-        F.round(F.when(F.col("peak") < 0, F.array_max(before)).otherwise(F.array_min(before)), 6).alias("tip_val"), F.round(F.array_max("w") - F.array_min("w"), 6).alias("ptp"),
-    )
+    x = sg.waveform_features(t(s, d, "embeddings"), ["vec_id"], "embedding")
+    return x.withColumns({c: F.round(c, 6) for c in ("peak_val", "trough_val", "tip_val", "ptp")})
 
 
 @query()
@@ -179,18 +173,16 @@ def waveform_shape(s, d):
 
 @query(f"with {_X} select vec_id, pos, (pos + o.o)::integer channel, round(v, 6) v from x cross join (select unnest([-1, 0, 1, 2]) o) o where pos + o.o >= 0 and pos + o.o < 64")
 def neighbour_explode(s, d):
-    x = long_vectors(s, d).select("vec_id", "pos", F.round("v", 6).alias("v"), F.explode(F.array(*map(F.lit, (-1, 0, 1, 2)))).alias("o"))
-    return x.withColumn("channel", F.col("pos") + F.col("o")).filter("channel >= 0 and channel < 64").drop("o")
+    return sg.neighbours(long_vectors(s, d).select("vec_id", "pos", F.round("v", 6).alias("v")), "pos", (-1, 0, 1, 2), 64).drop("slot")
 
 
-@query("""with x as (select vec_id, label, list_max([z::double for z in embedding]) - list_min([z::double for z in embedding]) ptp, embedding from embeddings)
-select label, vec_id, round(embedding[1]::double, 6) v0 from x qualify row_number() over (partition by label order by ptp desc, vec_id) = 1""")
+@query("""with x as (select vec_id, label, list_max(embedding) - list_min(embedding) ptp, embedding from embeddings),
+p as (select label, vec_id, embedding from x qualify row_number() over (partition by label order by ptp desc, vec_id) = 1)
+select label, vec_id, u.i::integer pos, round(embedding[u.i + 1]::double, 6) v from p, (select unnest(range(64)) i) u""")
 def peak_trace(s, d):
-    from pyspark.sql import Window
-
-    ptp = F.array_max("embedding").cast("double") - F.array_min("embedding").cast("double")
-    own = Window.partitionBy("label").orderBy(ptp.desc(), "vec_id")
-    return t(s, d, "embeddings").withColumn("rn", F.row_number().over(own)).filter("rn = 1").select("label", "vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("v0"))
+    """The whole trace."""
+    x = sg.peak_traces(t(s, d, "embeddings"), ["label"], "vec_id", "embedding")
+    return x.select("label", "vec_id", F.posexplode("trace").alias("pos", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6))
 
 
 @query("select vec_id, round(list_sum([z::double for z in embedding]) / 64, 6) mean, len(embedding)::integer n, len([z for z in embedding if z > 0.2])::integer detected from embeddings")
@@ -207,9 +199,39 @@ def uniform_trace(s, d):
 
 @query(f"with {_X} select vec_id, 'raw' kind, pos::integer i, round(v, 6) y from x union all select vec_id, 'abs', pos::integer, round(abs(v), 6) from x")
 def target_family(s, d):
-    x = long_vectors(s, d)
-    one = lambda kind, y: x.select("vec_id", F.lit(kind).alias("kind"), F.col("pos").alias("i"), F.round(y, 6).alias("y"))
-    return one("raw", F.col("v")).unionByName(one("abs", F.abs("v")))
+    x = sg.targets(t(s, d, "embeddings"), ["vec_id"], "vec_id", "embedding", "raw", 250.0).drop("target")
+    both = x.unionByName(x.withColumns({"kind": F.lit("abs"), "y": F.abs("y")}))
+    return both.withColumn("y", F.round("y", 6))
+
+
+@query()
+def target_bands(s, d):
+    """The other family, of every vector and band."""
+    return sg.targets(t(s, d, "embeddings"), ["label"], "vec_id", "embedding", "band", 250.0)
+
+
+@query("""with x as (select vec_id, label, vec_id % 7 ch, sqrt(list_sum([z::double * z::double for z in embedding]) / 64) rms, list_max(embedding)::double top from embeddings)
+select label, ch, max(label * 100 + ch)::bigint as place, round(avg(rms), 6) rms_mean, round(median(rms), 6) rms_median, round(avg(top), 6) top_mean, round(median(top), 6) top_median, count(*) n_snippets from x group by 1, 2""")
+def probe_tables(s, d):
+    """Labels are probes, vectors snippets of seven channels; the merged table."""
+    rms = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, z: a + z.cast("double") * z.cast("double")) / 64)
+    x = t(s, d, "embeddings").withColumn("ch", F.col("vec_id") % 7).select("label", "ch", (F.col("label") * 100 + F.col("ch")).alias("place"), rms.alias("rms"), F.array_max("embedding").cast("double").alias("top"))
+    merged = sg.aggregate_probes(x, "label", "ch", ["place"], ["rms", "top"])[2]
+    return merged.withColumns({c: F.round(c, 6) for c in merged.columns if c.endswith(("_mean", "_median"))})
+
+
+@query("""with x as (select label, [z::double for z in embedding] w from embeddings) select label, round(avg(list_sum(w)), 6) power, count(*) n_windows, count(*) filter (list_max(w) > 0.25) n_detected from x group by 1""")
+def spectrum_summary(s, d):
+    """Labels are recordings, vectors the spectra of their windows."""
+    x = t(s, d, "embeddings").withColumn("hit", F.array_max("embedding") > 0.25)
+    return sg.spectrum_summary(x, ["label"], "embedding", "hit").withColumn("power", F.round("power", 6))
+
+
+@query()
+def wheel_trace(s, d):
+    """Each user's values on a grid of an hour, low-passed, with their velocity."""
+    x = spikes(s, d).groupBy("user_id", F.col("tm").alias("t")).agg(F.avg("value").alias("v"))
+    return sg.uniform_trace(x, ["user_id"], HOUR, 0.1 / HOUR)
 
 
 @query(f"with {_X} select label, pos, round(avg(v), 6) mean, round(median(v), 6) med, count(*) n from x group by 1, 2")

@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recloom.operators import tables
+from recloom.functions import numbers, text
+from recloom.operators import behaviour as bh
 from recloom.plans.base import query, t
 
 
+def unit_tables(s, d):
+    """Units are customers, whose nation is their channel."""
+    clusters = t(s, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name", F.col("c_nationkey").alias("nationkey"))
+    return clusters, t(s, d, "nation").select(F.col("n_nationkey").alias("nationkey"), "n_name")
+
+
 @query("""with a as (select l_partkey k, sum(l_quantity) v from lineitem where l_returnflag = 'A' group by 1), b as (select l_partkey k, sum(l_quantity) v from lineitem where l_returnflag = 'N' group by 1),
 c as (select l_partkey k, count(*) n from lineitem where l_returnflag = 'R' group by 1)
 select k, a.v v_x, b.v v_y, n from a full join b using (k) full join c using (k)""")
@@ -90,14 +98,13 @@ def search_path(s, d):
 
 @query("""select user_id, spike_count, c_name, n_name from (select user_id, count(*) spike_count from events group by 1) left join customer on user_id = c_custkey left join nation on c_nationkey = n_nationkey""")
 def merged_units(s, d):
-    spikes = t(s, d, "events").groupBy("user_id").agg(F.count("*").alias("spike_count"))
-    c, n = t(s, d, "customer"), t(s, d, "nation")
-    return spikes.join(c, F.col("user_id") == c["c_custkey"], "left").join(n, F.col("c_nationkey") == n["n_nationkey"], "left").select("user_id", "spike_count", "c_name", "n_name")
+    clusters, channels = unit_tables(s, d)
+    return tables.merged_units(t(s, d, "events"), clusters, channels, [], "user_id", "nationkey").drop("nationkey")
 
 
 @query("select p_partkey, b.i::integer band_index, (['delta', 'theta', 'beta', 'gamma'])[b.i + 1] band from part, (select unnest(range(4)) i) b")
 def band_channel_cross(s, d):
-    return t(s, d, "part").select("p_partkey", F.posexplode(F.array(*map(F.lit, ("delta", "theta", "beta", "gamma")))).alias("band_index", "band"))
+    return tables.with_bands(t(s, d, "part").select("p_partkey"), ("delta", "theta", "beta", "gamma"))
 
 
 @query("""with g as (select l_orderkey, l_linenumber, l_quantity from lineitem), h as (select l_orderkey, l_linenumber, l_tax from lineitem where l_linenumber <= 3) select * from g join h using (l_orderkey, l_linenumber)""")
@@ -120,29 +127,28 @@ def rows_sorted_per_key(s, d):
 
 @query("select c_custkey k, c_name name from customer union all select s_suppkey, s_name from supplier")
 def union_all(s, d):
-    return t(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")).unionByName(t(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")))
+    return tables.union_rows([t(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), t(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))])
 
 
 @query("select c_nationkey k from customer union select s_nationkey from supplier")
 def distinct_keys(s, d):
-    return t(s, d, "customer").select(F.col("c_nationkey").alias("k")).union(t(s, d, "supplier").select("s_nationkey")).distinct()
+    return tables.distinct_keys([t(s, d, "customer").withColumnRenamed("c_nationkey", "k"), t(s, d, "supplier").withColumnRenamed("s_nationkey", "k")], "k")
 
 
 @query("select distinct c_custkey k from customer where c_custkey not in (select s_suppkey from supplier)")
 def set_difference(s, d):
-    return t(s, d, "customer").select(F.col("c_custkey").alias("k")).subtract(t(s, d, "supplier").select("s_suppkey"))
+    return tables.keys_without(t(s, d, "customer").withColumnRenamed("c_custkey", "k"), t(s, d, "supplier").withColumnRenamed("s_suppkey", "k"), "k")
 
 
 @query("select l_orderkey, l_linenumber, coalesce(case when l_returnflag = 'R' then l_discount end, 0) - coalesce(case when l_returnflag = 'A' then l_tax end, 0) signed from lineitem")
 def signed_difference(s, d):
-    x = F.coalesce(F.when(F.col("l_returnflag") == "R", F.col("l_discount")), F.lit(0.0)) - F.coalesce(F.when(F.col("l_returnflag") == "A", F.col("l_tax")), F.lit(0.0))
-    return t(s, d, "lineitem").select("l_orderkey", "l_linenumber", x.alias("signed"))
+    x = t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", F.col("l_discount")).alias("right"), F.when(F.col("l_returnflag") == "A", F.col("l_tax")).alias("left"))
+    return x.select("l_orderkey", "l_linenumber", bh.signed_difference("right", "left").alias("signed"))
 
 
 @query("select l_orderkey as order_id, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag from lineitem")
 def rename_drop(s, d):
-    x = t(s, d, "lineitem").withColumnRenamed("l_orderkey", "order_id")
-    return x.drop(*[c for c in x.columns if c.startswith(("l_ship", "l_part", "l_supp", "l_linestatus"))])
+    return tables.reshaped(t(s, d, "lineitem"), {"l_orderkey": "order_id"}, ("l_ship", "l_part", "l_supp", "l_linestatus"))
 
 
 @query("select l_orderkey, l_linenumber, case l_returnflag when 'N' then 0.1 when 'R' then 10.0 end::double lam from lineitem")
@@ -152,7 +158,7 @@ def map_lookup(s, d):
 
 @query("select l_orderkey, l_linenumber, 'run1' pid, l_orderkey * 100 + l_linenumber t0 from lineitem")
 def constant_key(s, d):
-    return t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit("run1").alias("pid"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("t0"))
+    return tables.keyed(t(s, d, "lineitem").select("l_orderkey", "l_linenumber"), pid="run1", t0=F.col("l_orderkey") * 100 + F.col("l_linenumber"))
 
 
 @query("select o_orderkey, o_totalprice price, null::double missing from orders")
@@ -163,7 +169,7 @@ def column_by_suffix(s, d):
 @query("""select l_orderkey, l_linenumber, round(ln(l_extendedprice), 6) log_price, greatest(-1, least(1, l_discount * 20 - 1)) clipped, ceil(l_quantity)::bigint up, round(cos(l_quantity), 6) cosine, round_even(l_quantity / 2, 0) half from lineitem""")
 def scalar_math(s, d):
     return t(s, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.round(F.log("l_extendedprice"), 6).alias("log_price"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("l_discount") * 20 - 1)).alias("clipped"),
+        "l_orderkey", "l_linenumber", F.round(numbers.log_size(F.col("l_extendedprice")), 6).alias("log_price"), numbers.clipped(F.col("l_discount") * 20 - 1).alias("clipped"),
         F.ceil("l_quantity").alias("up"), F.round(F.cos("l_quantity"), 6).alias("cosine"), F.bround(F.col("l_quantity") / 2, 0).alias("half"),
     )
 
@@ -173,9 +179,10 @@ def repo_paths(s, d):
     roots = s.createDataFrame([(True, "/mobile"), (False, "/desktop")], "mobile boolean, root string")
     host, rel = F.split_part("url", F.lit("/"), F.lit(3)), F.concat_ws("/", F.split_part("url", F.lit("/"), F.lit(4)), F.split_part("url", F.lit("/"), F.lit(5)))
     x = t(s, d, "pages").select("page_id", host.startswith("m.").alias("mobile"), rel.alias("rel"))
-    return x.join(F.broadcast(roots), "mobile").select("page_id", F.concat("root", F.lit("/"), F.regexp_replace("rel", "/[^/]*$", "")).alias("folder"))
+    return tables.repository_folders(x, roots, "mobile", "root", "rel").select("page_id", "folder")
 
 
 @query("select lower(split_part(url, '/', 3)) host, min(url) first_url from pages where url like '%top' group by 1")
 def first_by_suffix(s, d):
-    return t(s, d, "pages").filter(F.col("url").endswith("top")).groupBy(F.lower(F.split_part("url", F.lit("/"), F.lit(3))).alias("host")).agg(F.min("url").alias("first_url"))
+    x = t(s, d, "pages").select(text.plain_name(F.split_part("url", F.lit("/"), F.lit(3))).alias("host"), "url")
+    return tables.first_with_ending(x, ["host"], "url", "top").withColumnRenamed("url", "first_url")

@@ -93,19 +93,31 @@ def ridge(system: np.ndarray, cross: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, lam: float, steps: int = 30) -> np.ndarray:
-    """Weights, then the intercept, of a two-class (0, 1) model with a ridge on the weights, by Newton's method; a step that
-    would raise the loss is halved, so that separable classes end at finite weights."""
+    """Weights, then the intercept, of two-class (0, 1) models with a ridge on the weights, by Newton's method; a step that
+    would raise the loss is halved, so that separable classes end at finite weights.  Columns of ``y`` are targets that are
+    fitted side by side, each with its own step; a ``y`` of one dimension gives weights of one."""
+    many = y.reshape(len(y), -1)
     one = np.column_stack((x, np.ones(len(x))))
-    ridge_on = np.diag(np.r_[np.full(x.shape[1], lam), 1e-9])
-    loss = lambda w: np.logaddexp(0, one @ w).sum() - y @ (one @ w) + w @ ridge_on @ w / 2
-    w = np.zeros(one.shape[1])
+    ridge_on = np.r_[np.full(x.shape[1], float(lam)), 1e-9][:, None]
+
+    def loss(w: np.ndarray) -> np.ndarray:
+        z = one @ w
+        return np.logaddexp(0, z).sum(0) - (many * z).sum(0) + (ridge_on * w * w).sum(0) / 2
+
+    w = np.zeros((one.shape[1], many.shape[1]))
+    now, live = loss(w), np.ones(many.shape[1], bool)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(one @ w, -500, 500)))
-        step = np.linalg.solve((one * (p * (1 - p))[:, None]).T @ one + ridge_on, one.T @ (p - y) + ridge_on @ w)
-        size = 1.0
-        while size > 1e-6 and loss(w - size * step) > loss(w):
-            size /= 2
-        w = w - size * step
-        if np.abs(step).max() < 1e-9:
+        curve = np.matmul((p * (1 - p)).T[:, None, :] * one.T, one) + np.diag(ridge_on[:, 0])
+        slope = one.T @ (p - many) + ridge_on * w
+        step = np.where(live, np.linalg.solve(curve, slope.T[:, :, None])[:, :, 0].T, 0.0)
+        size = np.ones(many.shape[1])
+        new = loss(w - size * step)
+        while (worse := live & (new > now) & (size > 1e-6)).any():
+            size[worse] /= 2
+            new = loss(w - size * step)
+        w, now = w - size * step, new
+        live &= np.abs(step).max(0) >= 1e-9
+        if not live.any():
             break
-    return w
+    return w if y.ndim > 1 else w[:, 0]

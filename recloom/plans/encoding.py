@@ -6,9 +6,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from recloom.operators import behaviour as bh
+from recloom.operators import decoding as de
 from recloom.operators import encoding as en
+from recloom.operators import events as ev
 from recloom.operators import tables
 from recloom.plans.base import query, t
+from recloom.plans.events import HOUR, spikes
 
 GROUPS = ["move", "stim", "stim"]
 FOLDS = 5
@@ -211,13 +215,41 @@ def fit_all_sources(s, d):
     return tables.tier_differences(scores.select("tier", "pid", "target", "r2_cv"), "tier", ["pid", "target"], ["r2_cv"], "full")
 
 
+#: Bins of counts around a trial, null series, and runs of a decoder.
+BINS, NULLS, RUNS = 10, 30, 3
+
+
+def decoding_rows(s, d):
+    """Sessions are users, trials their clicks, units the other event types; a null series is another user's clicks."""
+    e = spikes(s, d)
+    clicks = e.filter("event_type = 'click'").withColumnRenamed("event_id", "trial")
+    counts = ev.trial_counts(clicks, e.filter("event_type != 'click'"), ["user_id"], "trial", "tm", "event_type", "tm", -6 * HOUR, 1.2 * HOUR, BINS)
+    x = de.features(counts, clicks, ["user_id"], "trial", BINS)
+    return x.join(de.other_sessions(clicks, "user_id", "trial", "tm", "value", NULLS), ["user_id", "trial"])
+
+
 @query()
 def decode_cv(s, d):
-    """E19 in part: supplier's item quantity decoded from its own row's price, return flag and line number; the README lists
-    what is missing."""
-    own = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
-    x = t(s, d, "lineitem").select(F.col("l_suppkey").alias("eid"), F.row_number().over(own).alias("trial"), F.col("l_quantity").cast("double").alias("target"), F.array(F.col("l_extendedprice") / 1000, (F.col("l_returnflag") == "R").cast("double"), F.col("l_linenumber").cast("double")).alias("counts"))
-    return en.decode_scores(x, ["eid"])
+    """The value of a click from ten bins of every unit's counts around it, over three runs, against thirty null series."""
+    return de.against_null(de.decode(decoding_rows(s, d), ["user_id"], "trial", NULLS + 1, RUNS), ["user_id"])
+
+
+@query()
+def decode_two_class(s, d):
+    """Whether a click's value is over 50, by a logistic model."""
+    x = decoding_rows(s, d).withColumn("y", F.transform("y", lambda v: (v > 50).cast("double")))
+    return de.against_null(de.decode_classes(x, ["user_id"], "trial", NULLS + 1, RUNS), ["user_id"])
+
+
+@query("""with c as (select user_id, event_id trial, value, row_number() over (partition by user_id order by epoch_us(ts), event_id) - 1 j, count(*) over (partition by user_id) n from events where event_type = 'click'),
+ss as (select user_id, any_value(n) n_of, row_number() over (order by user_id) - 1 r, count(*) over () n_all from c group by 1),
+w as (select ss.user_id, k, (r + 1 + (k - 1) % (n_all - 1)) % n_all src from ss, (select unnest(range(1, 31)) k))
+select c.user_id, c.trial, w.k::integer series, o.value v from c join w using (user_id) join ss on ss.r = w.src join c o on o.user_id = ss.user_id and o.j = c.j % ss.n_of
+union all select user_id, trial, 0, value from c""")
+def null_series(s, d):
+    """The target of every trial and its null series, in long form."""
+    clicks = spikes(s, d).filter("event_type = 'click'").withColumnRenamed("event_id", "trial")
+    return de.other_sessions(clicks, "user_id", "trial", "tm", "value", NULLS).select("user_id", "trial", F.posexplode("y").alias("series", "v"))
 
 
 @query()

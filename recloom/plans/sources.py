@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recloom.plans.base import query, t
-from recloom.sources import readers, writers
+from recloom.plans.events import DAY, spikes
+from recloom.sources import files, readers, writers
 from recloom.sources.scratch import folder
 
 
@@ -91,3 +92,95 @@ def latest_label(s, d):
 def sample_window(s, d):
     x = t(s, d, "embeddings").select(F.col("vec_id").alias("channel"), F.posexplode("embedding").alias("i", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6))
     return readers.window(x, "i", 10.0, 2.0, 20, 3, [0, 1])
+
+
+def packed(df, fn):
+    """One file per ``name``: ``fn`` makes its bytes of the name's rows, which are one recording's."""
+    import pandas as pd
+
+    def run(f):
+        return pd.DataFrame({"name": [f["name"].iloc[0]], "content": [fn(f)]})
+
+    return df.groupBy("name").applyInPandas(run, "name string, content binary")
+
+
+def parquet_bytes(f):
+    import io
+
+    out = io.BytesIO()
+    f.drop(columns="name").to_parquet(out, index=False)
+    return out.getvalue()
+
+
+def vector_bytes(f, kind=None):
+    import io
+
+    import numpy as np
+
+    a = np.stack(list(f.sort_values("vec_id")["embedding"]))
+    if kind:
+        return a.astype(kind).tobytes()
+    out = io.BytesIO()
+    np.save(out, a)
+    return out.getvalue()
+
+
+@query("""with e as (select event_type, user_id, event_id, value, epoch_us(ts) // 86400000000 dd from events) select event_type subject, 'p' || (user_id % 10)::varchar pid, dd * 86400.0::double t0, event_id, value from e""")
+def keyed_tree(s, d):
+    """S3: a folder per event type, tenth of the users and day, in it that day's events."""
+    root, day = folder(s, "tree"), F.floor(F.col("tm") / DAY).cast("long")
+    x = spikes(s, d).select(F.concat_ws("/", "event_type", F.concat(F.lit("p"), (F.col("user_id") % 10).cast("string")), F.concat(F.lit("T"), (day * 86_400_000).cast("string")), F.lit("ap.pqt")).alias("name"), "event_id", "value")
+    files.write(packed(x, parquet_bytes), root)
+    return readers.keyed_tree(s, root, "ap.pqt").select("subject", "pid", "t0", "event_id", "value")
+
+
+@query("""with x as (select 'set_' || label::varchar || '.npy' as file, row_number() over (partition by label order by vec_id) - 1 r, count(*) over (partition by label) n, embedding from embeddings)
+select file, n rows, 64::bigint columns, round(sum((r + 1) * list_sum([z::double for z in embedding])), 5) weighted from x group by 1, 2""")
+def npy_files(s, d):
+    """An array per label, read by ranges; a value's row is its place over 64."""
+    root = folder(s, "npy")
+    x = t(s, d, "embeddings").select(F.concat(F.lit("set_"), F.col("label").cast("string"), F.lit(".npy")).alias("name"), "vec_id", "embedding")
+    files.write(packed(x, vector_bytes), root)
+    v = files.npy(s, root, values=1000).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "shape", "at", F.posexplode("values").alias("k", "v"))
+    row = F.floor((F.col("at") + F.col("k")) / 64) + 1
+    return v.groupBy("file", F.col("shape")[0].alias("rows"), F.col("shape")[1].alias("columns")).agg(F.round(F.sum(row * F.col("v")), 5).alias("weighted"))
+
+
+@query("""with x as (select 'rec_' || label::varchar || '.bin' as file, row_number() over (partition by label order by vec_id) - 1 i, embedding from embeddings)
+select file, i, round(list_sum([z::double for z in embedding]), 5) total, round(embedding[1]::double, 6) first from x""")
+def raw_files(s, d):
+    """A flat file per label, samples of 64 channels, read by ranges."""
+    root = folder(s, "raw")
+    x = t(s, d, "embeddings").select(F.concat(F.lit("rec_"), F.col("label").cast("string"), F.lit(".bin")).alias("name"), "vec_id", "embedding")
+    files.write(packed(x, lambda f: vector_bytes(f, "float32")), root)
+    v = files.raw(s, root, 64, "float32", samples=16)
+    total = F.aggregate("v", F.lit(0.0), lambda a, z: a + z)
+    return v.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "i", F.round(total, 5).alias("total"), F.round(F.col("v")[0], 6).alias("first"))
+
+
+@query("select 'lab' || c_nationkey::varchar lab, c_name subject, '2020-01-0' || (c_custkey % 9 + 1)::varchar as date, lpad((c_custkey % 4)::varchar, 3, '0') number from customer")
+def path_list(s, d):
+    """A list of paths, with remarks between them."""
+    root, k = folder(s, "list"), F.col("c_custkey")
+    path = F.concat(F.lit("/mnt/lab"), F.col("c_nationkey").cast("string"), F.lit("/Subjects/"), F.col("c_name"), F.lit("/2020-01-0"), (k % 9 + 1).cast("string"), F.lit("/"), F.lpad((k % 4).cast("string"), 3, "0"), F.lit("/raw"))
+    t(s, d, "customer").select(F.explode(F.array(F.lit("# one more"), path, F.lit(""))).alias("value")).write.text(root)
+    return readers.path_list(s, root).select("lab", "subject", "date", "number")
+
+
+@query("select o_custkey, case when o_custkey % 5 > 0 then round(max(o_totalprice) / 3600, 2) end as hours from orders group by 1")
+def log_files(s, d):
+    """A log per customer; each fifth was killed before its last line."""
+    root = folder(s, "logs")
+    x = t(s, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("x"), F.count("*").alias("n"))
+    last = F.when(F.col("o_custkey") % 5 > 0, F.concat(F.lit("done in "), F.format_string("%.2f", "x"), F.lit(" s\n"))).otherwise("no more space\n")
+    text = F.concat(F.lit("start\n"), F.format_string("read %d in 3 s\n", "n"), last)
+    files.write(x.select(F.concat(F.lit("run_"), F.col("o_custkey").cast("string"), F.lit(".log")).alias("name"), F.encode(text, "UTF-8").alias("content")), root)
+    got = readers.log_durations(s, f"{root}/*.log")
+    return got.select(F.regexp_extract("path", r"run_(\d+)\.log$", 1).cast("long").alias("o_custkey"), "hours")
+
+
+@query("select page_id, case when lower(f) like '%page=1%' then 'first' else 'later' end pass, case when lower(f) like '%ref%' then 'linked' when lower(f) like '%page%' then 'paged' end subset from (select page_id, regexp_extract(url, '[^/]*$') f from pages)")
+def name_tags(s, d):
+    """S4."""
+    tags = {"pass": {"PAGE=1": "first", "": "later"}, "subset": {"ref": "linked", "page": "paged"}}
+    return readers.with_tags(t(s, d, "pages"), tags, "url").select("page_id", "pass", "subset")

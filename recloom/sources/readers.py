@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +26,16 @@ def keyed_tree(spark: SparkSession, root: str, name: str) -> DataFrame:
     return x.select("*", part(-4).alias("subject"), part(-3).alias("pid"), (F.substring(part(-2), 2, 20).cast("double") / 1000).alias("t0"))
 
 
-def with_tags(df: DataFrame, path: str = "path") -> DataFrame:
-    """Pass and subset from a file's name."""
-    p = F.lower(path)
-    return df.withColumn("pass", F.when(p.contains("aggressive"), "aggressive").otherwise("standard")).withColumn("subset", F.when(p.contains("bwm"), "bwm").otherwise("full"))
+def with_tags(df: DataFrame, tags: Mapping[str, Mapping[str, str]], path: str = "path") -> DataFrame:
+    """Columns from a file's name: each takes the first of its values whose word is in the name (without regard to case; the
+    empty word is in every name), null if none is.  ``tags``: column -> word -> value."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    for column, words in tags.items():
+        out = F.lit(None).cast("string")
+        for word, value in reversed(words.items()):
+            out = F.when(name.contains(word.lower()), F.lit(value)).otherwise(out)
+        df = df.withColumn(column, out)
+    return df
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
@@ -40,29 +43,6 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
-def npy(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFrame:
-    """One row per array file: ``path``, ``shape``, ``values`` (row-major).  A file is one recording's array."""
-    def run(frames):
-        for f in frames:
-            got = [np.load(io.BytesIO(c), allow_pickle=False) for c in f["content"]]
-            yield pd.DataFrame({"path": f["path"], "shape": [list(a.shape) for a in got], "values": [a.astype(float).ravel().tolist() for a in got]})
-
-    return _files(spark, path, glob).mapInPandas(run, "path string, shape array<long>, values array<double>")
-
-
-def raw(spark: SparkSession, path: str, n_channels: int, dtype: str = "float16", glob: str = "*.bin") -> DataFrame:
-    """Flat binary of samples x channels; a size that is no whole number of samples is an error."""
-    def run(frames):
-        for f in frames:
-            for p, c in zip(f["path"], f["content"], strict=True):
-                if len(c) % (np.dtype(dtype).itemsize * n_channels):
-                    raise ValueError(f"{p}: {len(c)} bytes are no whole number of samples")
-                a = np.frombuffer(c, dtype).reshape(-1, n_channels).astype(float)
-                yield pd.DataFrame({"path": p, "i": np.arange(len(a)), "v": list(a)})
-
-    return _files(spark, path, glob).mapInPandas(run, "path string, i long, v array<double>")
-
-
 def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "content")
 
@@ -84,9 +64,9 @@ def path_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_durations(spark: SparkSession, path: str) -> DataFrame:
-    """Hours from the seconds at the end of each log's last line, null if it has none.  Line order comes from ids that
-    ascend inside a file's only partition, as logs are read whole."""
-    x = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.filter(F.split("value", "\n"), lambda s: s != "").alias("lines"))
+    """Hours from the seconds at the end of each log's last line, null if it has none.  Logs are read whole; an empty file
+    has no row."""
+    x = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.filter(F.split("value", "\n"), lambda s: s != "").alias("lines"))
     s = F.regexp_extract(F.try_element_at("lines", F.lit(-1)), r"([0-9.]+)\s*s\s*$", 1)
     return x.select("path", F.round(F.when(s != "", s.cast("double")) / 3600, 2).alias("hours"))
 

@@ -3,23 +3,32 @@
 import numpy as np
 import pytest
 
-from recloom.sources import readers, writers
+from recloom.sources import files, readers, writers
 from recloom.streaming import incremental
 
 
 def test_arrays(spark, tmp_path):
     np.save(tmp_path / "a.npy", np.arange(6.0).reshape(2, 3))
     np.save(tmp_path / "b.npy", np.zeros((0, 3)))
-    got = {r.path.rsplit("/", 1)[1]: (r.shape, r["values"]) for r in readers.npy(spark, str(tmp_path)).collect()}
+    got = {r.path.rsplit("/", 1)[1]: (r.shape, r["values"]) for r in files.npy(spark, str(tmp_path)).collect()}
     assert got == {"a.npy": ([2, 3], [0, 1, 2, 3, 4, 5]), "b.npy": ([0, 3], [])}
+    got = sorted((r.at, r["values"]) for r in files.npy(spark, str(tmp_path), "a.npy", values=4).collect())
+    assert got == [(0, [0, 1, 2, 3]), (4, [4, 5])]
+    np.save(tmp_path / "c.npy", np.asfortranarray(np.arange(6.0).reshape(2, 3)))
+    with pytest.raises(Exception, match="column order"):
+        files.npy(spark, str(tmp_path), "c.npy").collect()
 
 
 def test_raw(spark, tmp_path):
     np.arange(8, dtype="float16").tofile(tmp_path / "x.bin")
-    got = sorted((r.i, r.v) for r in readers.raw(spark, str(tmp_path), 2).collect())
+    got = sorted((r.i, r.v) for r in files.raw(spark, str(tmp_path), 2).collect())
     assert got == [(i, [2.0 * i, 2.0 * i + 1]) for i in range(4)]
+    got = sorted((r.i, r.v) for r in files.raw(spark, str(tmp_path), 2, samples=3).collect())
+    assert got == [(i, [2.0 * i, 2.0 * i + 1]) for i in range(4)]
+    (tmp_path / "empty.bin").write_bytes(b"")
+    assert files.raw(spark, str(tmp_path), 2).count() == 4
     with pytest.raises(Exception, match="no whole number"):
-        readers.raw(spark, str(tmp_path), 3).collect()
+        files.raw(spark, str(tmp_path), 3).collect()
 
 
 def test_tree_tags_and_checksums(spark, tmp_path):
@@ -29,8 +38,9 @@ def test_tree_tags_and_checksums(spark, tmp_path):
     assert got == [("s1", "p1", 200.0, 1), ("s1", "p2", 800.0, 1)]
     files, folders = readers.checksums(spark, str(tmp_path), "*.pqt")
     assert files.count() == 2 and folders.select("md5").distinct().count() == 1
-    tags = readers.with_tags(spark.createDataFrame([("x_aggressive_bwm.h5",), ("y.h5",)], "path string")).collect()
-    assert [(r["pass"], r.subset) for r in tags] == [("aggressive", "bwm"), ("standard", "full")]
+    words = {"pass": {"hard": "hard", "": "plain"}, "subset": {"some": "part", "all": "full"}}
+    tags = readers.with_tags(spark.createDataFrame([("hard/x_HARD_some.h5",), ("hard/y.h5",)], "path string"), words).collect()
+    assert [(r["pass"], r.subset) for r in tags] == [("hard", "part"), ("plain", None)]
 
 
 def _made(p):
@@ -45,7 +55,10 @@ def test_lists_and_logs(spark, tmp_path):
     (tmp_path / "a.log").write_text("start\nend after 7200.0s\n")
     (tmp_path / "b.log").write_text("start 3s\nkilled\n")
     (tmp_path / "c.log").write_text("")
-    got = {r.path.rsplit("/", 1)[1]: r.hours for r in readers.log_durations(spark, str(tmp_path / "*.log")).collect()}
+    (tmp_path / "d.log").write_text("step 1 s\nstep 3600 s")
+    found = readers.log_durations(spark, str(tmp_path / "*.log")).collect()
+    got = {r.path.rsplit("/", 1)[1]: r.hours for r in found}
+    assert len(found) == len(got) and got.pop("d.log") == 1.0  # one row a file, however many lines it has
     assert got.pop("c.log", None) is None and got == {"a.log": 2.0, "b.log": None}
 
 

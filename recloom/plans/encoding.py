@@ -3,6 +3,7 @@ base regressors, price (in thousands) the target."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,15 +19,16 @@ GROUPS = ["move", "stim", "stim"]
 FOLDS = 5
 #: Draws of a null.
 DRAWS = 30
-_R = """r as (select l_suppkey pid, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) - 1 i, count(*) over (partition by l_suppkey) n,
+_R = """r as (select l_suppkey pid, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax) - 1 i, count(*) over (partition by l_suppkey) n,
 l_quantity::double q, l_discount::double d, l_tax::double x, l_extendedprice / 1000.0::double y from lineitem)"""
 
 
 def rows(s, d):
-    """One row per sample: a window per recording, which is as long as a recording."""
+    """One row per sample: a window per recording, which is as long as a recording.  Items of an order can have one number, so
+    their other columns order them."""
     own = Window.partitionBy("l_suppkey")
     return t(s, d, "lineitem").select(
-        F.col("l_suppkey").alias("pid"), (F.row_number().over(own.orderBy("l_orderkey", "l_linenumber")) - 1).cast("long").alias("i"), F.count("*").over(own).alias("n"),
+        F.col("l_suppkey").alias("pid"), (F.row_number().over(own.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")) - 1).cast("long").alias("i"), F.count("*").over(own).alias("n"),
         F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double"), F.col("l_tax").cast("double")).alias("x"), F.array(F.col("l_extendedprice") / 1000.0).alias("y"),
     )
 
@@ -48,9 +50,13 @@ def lagged_null(s, x, draws):
 _B = """b as (select j, (j - 3) / 2.0::double tau, k, case when abs((j - k * 3.0) / 3.0) <= 1 then 0.5 * (1 + cos(pi() * (j - k * 3.0) / 3.0)) else 0 end v from (select unnest(range(10)) j), (select unnest(range(4))::integer k))"""
 
 
-@query(f"with {_B} select j, round(tau, 6) tau, k, round(v, 9) v from b")
+@query(f"""with {_B}, i as (select user_id, floor((epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 3.6e9)::bigint j from events),
+c as (select user_id, j, count(*) n from i where j between 0 and 9 group by 1, 2) select user_id, k, round(sum(n * v), 6) weight from c join b using (j) where v <> 0 group by 1, 2""")
 def basis_table(s, d):
-    return en.basis_table(s, 2.0, 1.5, 3.0, 4).select("j", F.round("tau", 6).alias("tau"), "k", F.round("v", 9).alias("v"))
+    """How much of a user's gaps between events, in hours, lies under each bump."""
+    gaps = ev.intervals(spikes(s, d), ["user_id"], "tm", "event_id").groupBy("user_id", F.floor(F.col("isi") / HOUR).alias("j")).agg(F.count("*").alias("n"))
+    b = en.basis_table(s, 2.0, 1.5, 3.0, 4).filter("v != 0")
+    return gaps.join(F.broadcast(b), "j").groupBy("user_id", "k").agg(F.round(F.sum(F.col("n") * F.col("v")), 6).alias("weight"))
 
 
 _D = "dt as (select o_orderdate::date dd, sum(o_totalprice) v from orders group by 1), db as (select row_number() over (order by dd) - 1 i, count(*) over () n, v / 100000 v from dt)"
@@ -111,11 +117,14 @@ def base_regressors(s, d):
     return x.groupBy("pid", "name", tables.map_lookup(F.col("name"), {"q": "move", "d": "stim", "x": "stim"}).alias("grp")).agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("sd"))
 
 
-@query("select r, k, nm || '@b' || k::varchar name, grp, (r * 4 + k)::bigint col from (select unnest([0, 1, 2]) r, unnest(['q', 'd', 'x']) nm, unnest(['move', 'stim', 'stim']) grp), (select unnest(range(4))::integer k)")
+@query("""with h as (select user_id, event_type nm, case when event_type in ('purchase', 'signup') then 'buy' else 'look' end grp, row_number() over (partition by user_id order by event_type) - 1 r from (select distinct user_id, event_type from events)),
+c as (select user_id, r, k, nm || '@b' || k::varchar name, grp, r * 4 + k col from h, (select unnest(range(4))::integer k)) select user_id, r, k, name, grp, col, min(col) over (partition by user_id, grp) as "first", max(col) over (partition by user_id, grp) as "last" from c""")
 def design_columns(s, d):
-    x = s.createDataFrame([(0, "q", "move"), (1, "d", "stim"), (2, "x", "stim")], "r int, nm string, grp string")
-    x = x.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    return x.select("r", "k", F.concat("nm", F.lit("@b"), F.col("k").cast("string")).alias("name"), "grp", (F.col("r") * 4 + F.col("k")).cast("long").alias("col"))
+    """The columns of designs whose regressors are the event types that a user has."""
+    kinds = t(s, d, "events").select("user_id", F.col("event_type").alias("name")).distinct()
+    r = F.row_number().over(Window.partitionBy("user_id").orderBy("name")) - 1
+    grp = F.when(F.col("name").isin("purchase", "signup"), "buy").otherwise("look")
+    return bh.design_columns(kinds.select("user_id", "name", r.cast("long").alias("r"), grp.alias("grp")), 4, ["user_id"])
 
 
 @query("""with w as (select vec_id, u.k::integer k, embedding[u.k + 1]::double w from embeddings, (select unnest(range(4)) k) u), """ + _B + """ select vec_id, j, round(sum(v * w), 6) kernel from w join b using (k) group by 1, 2""")
@@ -124,6 +133,44 @@ def kernel_expand(s, d):
     return en.kernels(w, en.basis_table(s, 2.0, 1.5, 3.0, 4), ["vec_id"]).select("vec_id", "j", F.round("kernel", 6).alias("kernel"))
 
 
+def _one(table: str, keys: str, lam: float) -> str:
+    """Closed form of a ridge on one regressor: weight, R2 on all samples, mean R2 over held-out folds."""
+    fit = lambda a: f"({a}qy - {a}sq * {a}sy / {a}n) / ({a}qq - {a}sq * {a}sq / {a}n + {lam})"
+    scored = lambda w, c: f"1 - (syy - 2 * {w} * qy - 2 * {c} * sy + {w} * {w} * qq + 2 * {w} * {c} * sq + n * {c} * {c}) / (syy - sy * sy / n)"
+    sums = "count(*)::double n, sum(q) sq, sum(y) sy, sum(y * y) syy, sum(q * q) qq, sum(q * y) qy"
+    rest = ", ".join(f"sum({c}) over (partition by {keys}) - {c} r{c}" for c in ("n", "sq", "sy", "qq", "qy"))
+    return f"""f1 as (select {keys}, (((i + 1) * 5 - 1) // n)::integer fold, {sums} from {table} group by {keys}, fold), f2 as (select *, {rest} from f1),
+f3 as (select *, {fit("r")} w from f2), f4 as (select *, (rsy - w * rsq) / rn c from f3), f5 as (select {keys}, count(*) folds, min(syy - sy * sy / n) least, avg({scored("w", "c")}) r2_cv from f4 group by {keys}),
+a1 as (select {keys}, sum(n) n, sum(sq) sq, sum(sy) sy, sum(syy) syy, sum(qq) qq, sum(qy) qy from f1 group by {keys}), a2 as (select *, {fit("")} w from a1), a3 as (select *, (sy - w * sq) / n c from a2)
+select {keys}, round(w, 7) w, round({scored("w", "c")}, 6) r2_full, round(case when folds > 1 and least > 1e-6 then r2_cv end, 6) r2_cv from a3 join f5 using ({keys})"""
+
+
+def one_regressor(x):
+    return x.withColumn("x", F.slice("x", 1, 1))
+
+
+def _one_fit(packs, keys):
+    w = en.weights(packs, keys, ["q"], 1, 1, 10.0).select(*keys, F.round("w", 7).alias("w"))
+    fit = en.solve(packs, keys, ["q"], 1, 1, [10.0], drop=False)
+    return w.join(fit.select(*keys, F.round("r2_full", 6).alias("r2_full"), F.round("r2_cv", 6).alias("r2_cv")), keys)
+
+
+@query(f"with {_R}, {_one('r', 'pid', 10.0)}")
+def ridge_one(s, d):
+    """Statistics per fold, weight and scores of one regressor without lags."""
+    return _one_fit(en.chunk_packs(one_regressor(rows(s, d)), ["pid"], np.eye(1), 0, FOLDS), ["pid"])
+
+
+@query(f"""with {_R}, sh as (select pid, p.perm::integer perm, ((p.perm * 7 + 5) % any_value(n))::bigint k from r, (select unnest(range(3)) perm) p group by pid, p.perm),
+z as (select t.pid, sh.perm, t.i, t.n, b.q, t.y from r t join sh using (pid) join r b on b.pid = t.pid and b.i = (t.i - sh.k + t.n) % t.n), {_one('z', 'pid, perm', 10.0)}""")
+def null_one(s, d):
+    """The same, with the regressor rolled by 5, 12 and 19 samples."""
+    x = one_regressor(rows(s, d))
+    draws = x.groupBy("pid").agg(F.first("n").alias("n")).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    draws = draws.withColumn("shift", F.pmod((F.col("perm") * 7 + 5).cast("long"), F.col("n")))
+    return _one_fit(en.null_packs(x, ["pid"], draws, np.eye(1), 0, FOLDS), ["pid", "perm"])
+
+
 @query()
 def ridge_fit(s, d):
     return en.weights(lagged_statistics(s, d), ["pid"], GROUPS, 3, 1, 10.0)

@@ -90,6 +90,13 @@ def sliding_rp(s, d):
     return ev.sliding_rp(spikes(s, d), ["user_id"], "tm", 30 * DAY, [60.0 * k for k in range(1, 31)], [1, 2, 5, 10, 15, 20], rp_reject=120.0)
 
 
+@query(f"""with {E}, k as (select user_id, count(*) n_spikes from e group by 1), p as (select a.user_id, count(*) n from e a join e b on a.user_id = b.user_id and (b.tm > a.tm or b.tm = a.tm and b.event_id > a.event_id) and b.tm - a.tm < 1800 group by 1)
+select user_id, n_spikes, round(n_spikes / 2592000.0, 12) firing_rate, coalesce(n, 0) n_violations from k left join p using (user_id)""")
+def refractory_counts(s, d):
+    """What the confidences are computed from."""
+    return sliding_rp(s, d).select("user_id", "n_spikes", F.round("firing_rate", 12).alias("firing_rate"), "n_violations")
+
+
 _H = "h as (select floor(tm / 3600)::bigint i, sum(value) v from e group by 1)"
 
 

@@ -49,11 +49,13 @@ def roundtrip_vectors(s, d):
     return x.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, z: a + z.cast("double")), 5).alias("total"), F.size("embedding").alias("n"))
 
 
-@query()
+@query("""with x as (select vec_id, u.i::integer pos, embedding[u.i + 1]::double v from embeddings, (select unnest(range(64)) i) u),
+y as (select *, pow(2::double, case when v = 0 then -24 else greatest(floor(log2(abs(v))), -14) - 10 end) unit from x) select vec_id, pos, round_even(v / unit, 0) * unit v from y""")
 def half_precision(s, d):
+    """K5: ten bits after the leading one, halves to even."""
     path = folder(s, "halves")
     writers.both_precisions(t(s, d, "embeddings").select("vec_id", "embedding"), path, ["embedding"])
-    return readers.parquet(s, f"{path}/float16")
+    return readers.parquet(s, f"{path}/float16").select("vec_id", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
 
 
 @query("select 'n' || n_nationkey::varchar k, n_name from nation where n_nationkey % 3 <> 2")

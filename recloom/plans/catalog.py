@@ -214,7 +214,7 @@ def namespace_choice(s, d):
     return t(s, d, "orders").select("o_orderkey", ns.alias("ns"))
 
 
-@query("select event_id, 1::bigint n from events where props like '%\"k\"%'")
+@query("select event_id, len(list_filter(json_keys(props), lambda x: starts_with(x, 'k'))) n from events where props <> '' and n > 0")
 def map_prefix(s, d):
     m = text.with_prefix(F.from_json("props", "map<string,bigint>"), "k")
     return t(s, d, "events").select("event_id", F.size(m).cast("long").alias("n")).filter("n > 0")

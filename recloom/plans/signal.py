@@ -21,10 +21,23 @@ def long_vectors(s, d):
     return t(s, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
 
 
+_GT = """ht as (select event_type, floor(tm / 3600)::bigint i, sum(value) v from e group by 1, 2), bt as (select event_type, min(i) a, max(i) z from ht group by 1),
+g as (select event_type, i, coalesce(v, 0) v from (select event_type, unnest(range(a, z + 1)) i from bt) left join ht using (event_type, i))"""
+#: An hour whose sum is over this is saturated.
+LIMIT = 120
+
+
 def grid(s, d):
     return hourly(s, d).select("i")
 
 
+def hourly_by_type(s, d):
+    """A recording per event type: summed values an hour, 0 where nothing was."""
+    h = spikes(s, d).groupBy("event_type", F.floor(F.col("tm") / HOUR).alias("i")).agg(F.sum("value").alias("v"))
+    g = h.groupBy("event_type").agg(F.min("i").alias("a"), F.max("i").alias("b")).select("event_type", F.explode(F.sequence("a", "b")).alias("i"))
+    return g.join(h, ["event_type", "i"], "left").select("event_type", "i", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
 @query(f"""with {E}, {_G}, a as (select least(greatest(ceil(tm / 3600), (select min(i) from g)), (select max(i) from g))::bigint i, sum(value) w from e where event_type = 'click' group by 1)
 select g.i, round(coalesce(w, 0), 4) w from g left join a using (i)""")
 def event_to_grid(s, d):
@@ -99,9 +112,9 @@ def rms_by_channel(s, d):
     return sg.rms(long_vectors(s, d), ["label", "pos"], "v").withColumn("rms", F.round("rms", 6))
 
 
-@query(f"with {E}, {_G}, q as (select i, i - row_number() over (order by i) k from g where v > 700) select min(i) as start, max(i) + 1 as \"end\" from q group by k")
+@query(f"with {E}, {_GT}, q as (select event_type, i, i - row_number() over (partition by event_type order by i) k from g where v > {LIMIT}) select event_type, min(i) as start, max(i) + 1 as \"end\" from q group by event_type, k")
 def saturation_islands(s, d):
-    return sg.islands(hourly(s, d).withColumn("k", F.lit(1)), ["k"], "i", F.col("v") > 700).select("start", "end")
+    return _bad_spans(s, d).select("event_type", "start", "end")
 
 
 @query(f"with {_X} select pos, (count(*) filter (abs(v) >= 0.2)) / count(*) > 0.1 saturated from x group by 1")
@@ -110,20 +123,21 @@ def saturated_samples(s, d):
 
 
 def _bad_spans(s, d):
-    return sg.islands(hourly(s, d).withColumn("k", F.lit(1)), ["k"], "i", F.col("v") > 700)
+    return sg.islands(hourly_by_type(s, d), ["event_type"], "i", F.col("v") > LIMIT)
 
 
-@query(f"""with {E}, {_G}, q as (select i, i - row_number() over (order by i) k from g where v > 700), sp as (select min(i) * 3600.0::double a, (max(i) + 1) * 3600.0::double b from q group by k)
-select event_id from e where not exists (select 1 from sp where a < tm + 600 and b > tm - 300)""")
+@query(f"""with {E}, {_GT}, q as (select event_type, i, i - row_number() over (partition by event_type order by i) k from g where v > {LIMIT}),
+sp as (select event_type, min(i) * 3600.0::double a, (max(i) + 1) * 3600.0::double b from q group by event_type, k)
+select event_id from e where not exists (select 1 from sp where sp.event_type = e.event_type and a < tm + 600 and b > tm - 300)""")
 def interval_exclusion(s, d):
-    spans = _bad_spans(s, d).select("k", (F.col("start") * HOUR).alias("start"), (F.col("end") * HOUR).alias("end"))
-    e = spikes(s, d).select("event_id", F.lit(1).alias("k"), "tm")
-    return sg.overlapping(e, spans, ["k"], "tm", -300.0, 600.0, 4 * HOUR).select("event_id")
+    spans = _bad_spans(s, d).select("event_type", (F.col("start") * HOUR).alias("start"), (F.col("end") * HOUR).alias("end"))
+    e = spikes(s, d).select("event_id", "event_type", "tm")
+    return sg.overlapping(e, spans, ["event_type"], "tm", -300.0, 600.0, 4 * HOUR).select("event_id")
 
 
-@query(f"with {E}, {_G} select i, round(case when v > 700 then 0 else v end, 4) v from g")
+@query(f"with {E}, {_GT} select event_type, i, round(case when v > {LIMIT} then 0 else v end, 4) v from g")
 def mute(s, d):
-    return sg.muted(hourly(s, d).withColumn("k", F.lit(1)), _bad_spans(s, d), ["k"], "i", "v").select("i", F.round("v", 4).alias("v"))
+    return sg.muted(hourly_by_type(s, d), _bad_spans(s, d), ["event_type"], "i", "v").select("event_type", "i", F.round("v", 4).alias("v"))
 
 
 @query("select l_orderkey, l_linenumber, case when l_discount >= 0.05 then l_quantity end v from lineitem")
@@ -191,10 +205,10 @@ def array_summary(s, d):
     return t(s, d, "embeddings").select("vec_id", F.round(total / 64, 6).alias("mean"), F.size("embedding").alias("n"), F.size(F.filter("embedding", lambda z: z > 0.2)).alias("detected"))
 
 
-@query(f"""with {E}, {_G}, v as (select i, v, lag(v) over (order by i) p, lead(v) over (order by i) n from g)
-select i, round((coalesce(n, v) - coalesce(p, v)) / 3600 / case when p is null or n is null then 1 else 2 end, 8) velocity from v""")
+@query(f"""with {E}, {_GT}, v as (select event_type, i, v, lag(v) over w p, lead(v) over w n from g window w as (partition by event_type order by i))
+select event_type, i, round((coalesce(n, v) - coalesce(p, v)) / 3600 / case when p is null or n is null then 1 else 2 end, 8) velocity from v""")
 def uniform_trace(s, d):
-    return sg.velocity(hourly(s, d).withColumn("k", F.lit(1)), ["k"], "i", "v", 1 / HOUR).select("i", F.round("velocity", 8).alias("velocity"))
+    return sg.velocity(hourly_by_type(s, d), ["event_type"], "i", "v", 1 / HOUR).select("event_type", "i", F.round("velocity", 8).alias("velocity"))
 
 
 @query(f"with {_X} select vec_id, 'raw' kind, pos::integer i, round(v, 6) y from x union all select vec_id, 'abs', pos::integer, round(abs(v), 6) from x")
@@ -342,9 +356,7 @@ select user_id, sample::integer sample, round(avg(v), 9) v, count(*) n from c jo
 def unit_waveforms(s, d):
     """Up to 256 events a unit, 128 samples with the event at sample 42, and their mean."""
     e = spikes(s, d).withColumn("i", F.floor(F.col("tm") / HOUR))
-    h = e.groupBy("event_type", "i").agg(F.sum("value").alias("v"))
-    g = h.groupBy("event_type").agg(F.min("i").alias("a"), F.max("i").alias("b")).select("event_type", F.explode(F.sequence("a", "b")).alias("i"))
-    g = g.join(h, ["event_type", "i"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    g = hourly_by_type(s, d)
     some = ev.capped_events(e.withColumnRenamed("i", "at"), ["user_id"], "event_id", 256, draw=draw())
     cut = sp.cutouts(some, g, ["event_type"], ["user_id", "event_id"], "at", -42, 85)
     return sp.mean_waveforms(cut, ["user_id"]).withColumn("v", F.round("v", 9))

@@ -167,10 +167,17 @@ def scatter(stats: dict) -> tuple[np.ndarray, np.ndarray]:
     return whole - shift, mean
 
 
+def centred(stats: dict) -> tuple[np.ndarray, np.ndarray]:
+    """``scatter``, kept with the statistics, as every penalty and dropped group asks for it again."""
+    if "centred" not in stats:
+        stats["centred"] = scatter(stats)
+    return stats["centred"]
+
+
 def fit_weights(train: dict, pen: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and intercepts.  A column that is left out keeps its place in the system, where it is tied to
     nothing and its weight is 0."""
-    s, mean = scatter(train)
+    s, mean = centred(train)
     p = len(train["x"])
     live = np.isin(np.arange(p), keep)
     system = np.where(np.outer(live, live), s[:p, :p] + pen, np.eye(p))
@@ -181,9 +188,9 @@ def fit_weights(train: dict, pen: np.ndarray, keep: np.ndarray) -> tuple[np.ndar
 def r2(scored: dict, w: np.ndarray, c: np.ndarray) -> np.ndarray:
     """From the scored statistics alone.  A target's residual is a linear form of regressors and target, so its sum of
     squares is the form's square in ``scatter`` and n times its squared mean.  NaN where the target doesn't vary."""
-    s, mean = scatter(scored)
+    s, mean = centred(scored)
     form = np.vstack((-w, np.eye(w.shape[1])))
-    rest = np.einsum("it,ij,jt->t", form, s, form) + scored["n"] * (mean @ form - c) ** 2
+    rest = (form * (s @ form)).sum(0) + scored["n"] * (mean @ form - c) ** 2
     spread = np.diag(s)[len(w) :]
     varies = spread > 1e-12 * np.maximum(scored["yy"], 1e-300)
     return np.where(varies, 1 - rest / np.where(varies, spread, 1), np.nan)

@@ -14,6 +14,8 @@ from recloom.operators import events as ev
 from recloom.operators import tables
 from recloom.plans.base import query, t
 from recloom.plans.events import HOUR, spikes
+from recloom.sources import writers
+from recloom.sources.scratch import folder
 
 GROUPS = ["move", "stim", "stim"]
 FOLDS = 5
@@ -244,7 +246,10 @@ def score_rows(s, d):
 @query()
 def fit_all(s, d):
     """Every recording, the penalty picked per recording, with a status row where the fit is impossible."""
+    path = folder(s, "fit_all")
     scores = en.solve(lagged_statistics(s, d), ["pid"], GROUPS, 3, 1, [1.0, 10.0, 100.0, 1000.0])
+    writers.table(scores, path)
+    scores = s.read.schema(scores.schema).parquet(path)
     best = en.pick_lambda_robust(scores.filter("dropped = ''").select("pid", "lam", F.col("r2_cv").alias("r2")), ["pid"])
     return scores.join(best, ["pid", "lam"])
 

@@ -32,4 +32,27 @@ j as (select k.*, b.keeper is not null and ok and k.doc_id <> keeper gone from k
 g as (select doc_id, string_agg(line, chr(10) order by i) filter (not gone) txt, count(*) n, count(*) filter (gone) x from j group by 1)
 select d.doc_id, case when d.text is null then null else coalesce(g.txt, '') end text, coalesce(g.n, 0)::bigint n_lines, coalesce(g.x, 0)::bigint n_removed from documents d left join g using (doc_id)"""
 
-ORACLE = {"op1_warc": OP1, "op4_chat": OP4, "op5_jaccard": OP5, "op9_line_dedup": OP9}
+OP11 = r"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') ws from documents),
+d as (select doc_id, len(ws) n from w where len(ws) > 0), c as (select count(*) cn, sum(n)::bigint cl from d),
+tf as (select doc_id, term, count(*) tf from (select doc_id, unnest(ws) term from w) group by 1, 2), df as (select term, count(*) df from tf group by 1),
+i as (select item_id, term, count(*) q from (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark) group by 1, 2),
+x as (select item_id, term, q * floor(1000 * ln((2 * cn + 2) / (2 * df + 1)))::bigint qw from i join df using (term), c),
+s as (select item_id, doc_id, sum(qw * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * cn) // cl))))::bigint score from x join tf using (term) join d using (doc_id), c group by 1, 2),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 10"""
+
+OP12 = r"""
+with t as (select doc_id, coalesce(source, '') part, coalesce(text, '') t from documents), w as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from t),
+f as (select part, (len(ws) < 200)::int + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * (doc_id > min(doc_id) over (partition by t))::int m,
+    exists (select 1 from labels l where l.doc_id = w.doc_id and quality = 1)::int g, exists (select 1 from labels l where l.doc_id = w.doc_id and toxic = 1)::int x from w),
+s as (select part, m, count(*) n, sum(g) g, sum(x) x from f group by 1, 2), l as (select unnest(['A', 'B', 'C', 'D', 'E']) c),
+o as (select a.c || b.c || d.c || e.c || f.c o from l a, l b, l d, l e, l f where len(list_distinct([a.c, b.c, d.c, e.c, f.c])) = 5),
+p as (select o, i step, 1 << (ascii(o[i]) - 65) own, coalesce(list_sum(list_transform(range(1, i), lambda j: 1 << (ascii(o[j]) - 65))), 0)::int before from (select o, unnest(range(1, 6)) i from o)),
+r as (select part, o filter_order, step::int step, own, coalesce(sum(n) filter (m & (before | own) = 0), 0)::bigint kept, coalesce(sum(n) filter (m & before = 0 and m & own <> 0), 0)::bigint removed,
+    coalesce(sum(n) filter (m & before <> 0 and m & own <> 0), 0)::bigint redundant, coalesce(sum(n) filter (m = own), 0)::bigint unique_fails,
+    coalesce(sum(g) filter (m & before = 0 and m & own <> 0), 0)::bigint good_lost, coalesce(sum(x) filter (m & before = 0 and m & own <> 0), 0)::bigint toxic_lost from s, p group by 1, 2, 3, 4)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint shapley from r"""
+
+ORACLE = {"op1_warc": OP1, "op4_chat": OP4, "op5_jaccard": OP5, "op9_line_dedup": OP9, "op11_lexical": OP11, "op12_audit": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recloom.llm import bpe, chat, decontam, jaccard, linededup, media, quality, sharding, tokenfile, warc
+from recloom.llm import audit, bpe, chat, decontam, fingerprint, jaccard, lexical, linededup, media, quality, sharding, tokenfile, warc
 from recloom.llm.oracle import ORACLE
 from recloom.llm.store import Scratch
 
@@ -65,6 +65,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(spark, table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLE", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_media, op3_quality, op4_chat, op5_jaccard, op6_decontam, op7_bpe, op8_token_files, op9_line_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_media, op3_quality, op4_chat, op5_jaccard, op6_decontam, op7_bpe, op8_token_files, op9_line_dedup, op10_sharding, op11_lexical, op12_audit, op13_fingerprints)}

@@ -12,7 +12,7 @@ D = f"{TESTDATA}/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, name):
     c = duckdb.connect()
-    for t in ("pages", "documents", "conversations"):
+    for t in ("pages", "documents", "conversations", "benchmark", "labels"):
         c.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
     want = c.execute(ORACLE[name])
     names = [x[0] for x in want.description]

@@ -6,11 +6,11 @@ looked for in its own and the next bucket, so the join has an equality key and a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from math import erfc, exp, lgamma, log, sqrt
+from collections.abc import Iterator, Sequence
+from math import erfc, sqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,69 +98,97 @@ def sliding_rp(df: DataFrame, unit: Sequence[str], time: str, duration: float, t
     """Refractory violations per candidate period tau against the number expected under contamination c, about
     2 tau N R c (1 - c / 2) (Llobet et al. 2022); confidence is 100 (1 - P(violations or fewer)) under a Poisson law.
     ``forced``: passed, or no violation at any candidate, as a unit with few events can't reach the confidence.  Pairs up to
-    the largest tau are counted once; the small grid of tau x c is evaluated per unit in numpy."""
+    the largest tau are counted once; the grid of tau x c is evaluated for a batch of units at a time in numpy."""
     n = df.groupBy(*unit).agg(F.count("*").alias("n_spikes"))
     edges = sorted(taus)
     got = pairs(df, unit, time, edges[-1]).select(*unit, *(F.when(F.col("lag") < x, 1).otherwise(0).alias(f"v{i}") for i, x in enumerate(edges)))
     got = got.groupBy(*unit).agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(len(edges))))
     wide = n.join(got, list(unit), "left").fillna(0)
 
-    def run(frames):
-        grid_c = np.array(levels) / 100
-        for f in frames:
-            rows = []
-            for r in f.itertuples(index=False):
-                obs = np.array([getattr(r, f"v{i}") for i in range(len(edges))], float)
-                mean = 2 * np.array(edges)[:, None] * r.n_spikes * (r.n_spikes / duration) * grid_c * (1 - grid_c / 2)
-                conf = 100 * (1 - poisson_cdf(obs[:, None], mean))
-                ok = np.array(edges) >= rp_reject
-                at = conf[ok][:, grid_c <= contamination / 100]
-                best = float(at.max()) if at.size else 0.0
-                fit = [(c, t) for j, c in enumerate(levels) for i, t in enumerate(edges) if ok[i] and conf[i, j] >= confidence]
-                low = min(fit) if fit else (None, None)
-                rows.append([*(getattr(r, u) for u in unit), r.n_spikes, r.n_spikes / duration, best, low[0], low[1], int(obs[-1]), best >= confidence, best >= confidence or not obs[-1]])
-            yield pd.DataFrame(rows, columns=[*unit, "n_spikes", "firing_rate", "max_confidence", "min_contamination", "rp_min", "n_violations", "passed", "forced"])
-
+    tau, grid_c = np.array(edges), np.array(levels) / 100
+    ok, low = tau >= rp_reject, grid_c <= contamination / 100
+    order = np.lexsort((np.tile(tau, len(levels)), np.repeat(levels, len(tau))))  # least contamination first, then least period
     kinds = dict(df.dtypes)
-    return wide.mapInPandas(run, ", ".join(f"{u} {kinds[u]}" for u in unit) + ", n_spikes long, firing_rate double, max_confidence double, min_contamination double, rp_min double, n_violations long, passed boolean, forced boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                size, n = b.num_rows, b.column("n_spikes").to_numpy(zero_copy_only=False)
+                obs = np.stack([b.column(f"v{i}").to_numpy(zero_copy_only=False) for i in range(len(tau))], 1).astype(float)
+                mean = 2 * tau[:, None] * (n * (n / duration))[:, None, None] * (grid_c * (1 - grid_c / 2))
+                conf = 100 * (1 - poisson_cdf(obs[:, :, None], mean))
+                best = conf[:, ok][:, :, low].reshape(size, -1).max(1, initial=0.0)
+                fits = ((conf >= confidence) & ok[:, None]).transpose(0, 2, 1).reshape(size, -1)[:, order]
+                first, some = order[fits.argmax(1)], fits.any(1)
+                passed = best >= confidence
+                found = [n, n / duration, best, pa.array(np.array(levels, float)[first // len(tau)], mask=~some), pa.array(tau[first % len(tau)], mask=~some), obs[:, -1].astype(np.int64), passed, passed | (obs[:, -1] == 0)]
+                yield pa.RecordBatch.from_arrays([*(b.column(u) for u in unit), *map(pa.array, found)], names=[*unit, "n_spikes", "firing_rate", "max_confidence", "min_contamination", "rp_min", "n_violations", "passed", "forced"])
+
+    return wide.mapInArrow(run, ", ".join(f"`{u}` {kinds[u]}" for u in unit) + ", n_spikes long, firing_rate double, max_confidence double, min_contamination double, rp_min double, n_violations long, passed boolean, forced boolean")
+
+
+#: Counts from which on the normal approximation stands for the Poisson law.
+LARGE = 10_000
 
 
 def poisson_cdf(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """P(X <= k), as the upper regularised incomplete gamma function of (k + 1, mean): its power series under the mean, its
-    continued fraction over it, and the normal approximation of the cube root (Wilson and Hilferty 1931) from 10,000 on.
-    The number of steps is bounded whatever the counts are; k and mean broadcast."""
+    """P(X <= k) for whole numbers k, as the upper regularised incomplete gamma function of (k + 1, mean): its power series
+    under the mean, its continued fraction over it, and the normal approximation of the cube root (Wilson and Hilferty 1931)
+    from ``LARGE`` on.  All cells take a step at once and leave as they have converged; k and mean broadcast."""
     k, mean = np.broadcast_arrays(np.asarray(k, float), np.asarray(mean, float))
     a, x = np.ravel(k) + 1, np.ravel(mean)
     out = np.where(x <= 0, 1.0, 0.0)
-    large = (x > 0) & (a >= 1e4)
-    z = (np.cbrt(x / a) - (1 - 1 / (9 * a))) * 3 * np.sqrt(a)
-    out[large] = [0.5 * erfc(v / sqrt(2)) for v in z[large]]
-    for i in np.flatnonzero((x > 0) & ~large):
-        scale = exp(a[i] * log(x[i]) - x[i] - lgamma(a[i]))
-        if x[i] < a[i] + 1:
-            term = total = 1 / a[i]
-            n = a[i]
-            while term > total * 1e-16:
-                n += 1
-                term *= x[i] / n
-                total += term
-            out[i] = 1 - scale * total
-        else:
-            b = x[i] + 1 - a[i]
-            c, d = 1e300, 1 / b
-            h = d
-            for n in range(1, 2000):
-                step = -n * (n - a[i])
-                b += 2
-                d = 1 / (step * d + b or 1e-300)
-                c = b + step / c or 1e-300
-                h *= c * d
-                if abs(c * d - 1) < 1e-15:
-                    break
-            out[i] = scale * h
+    large, small = (x > 0) & (a >= LARGE), (x > 0) & (a < LARGE)
+    if large.any():
+        z = (np.cbrt(x[large] / a[large]) - (1 - 1 / (9 * a[large]))) * 3 * np.sqrt(a[large])
+        out[large] = [0.5 * erfc(v / sqrt(2)) for v in z]
+    if small.any():
+        log_factorial = np.concatenate(([0.0, 0.0], np.cumsum(np.log(np.arange(1, a[small].max())))))  # of a - 1, at a
+        out[small] = np.exp(a[small] * np.log(x[small]) - x[small] - log_factorial[a[small].astype(np.int64)])
+        under = x < a + 1
+        series, fraction = np.flatnonzero(small & under), np.flatnonzero(small & ~under)
+        out[series] = 1 - out[series] * gamma_series(a[series], x[series])
+        out[fraction] *= gamma_fraction(a[fraction], x[fraction])
     return np.clip(out, 0, 1).reshape(k.shape)
 
 
+def gamma_series(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """1 / a + x / (a (a + 1)) + ..., for x < a + 1."""
+    out = 1 / a
+    live, term, total, n = np.arange(len(a)), out.copy(), out.copy(), a.copy()
+    while len(live):
+        n += 1
+        term *= x / n
+        total += term
+        go = term > total * 1e-16
+        out[live[~go]] = total[~go]
+        live, term, total, n, x = (v[go] for v in (live, term, total, n, x))
+    return out
+
+
+def gamma_fraction(a: np.ndarray, x: np.ndarray, steps: int = 2000) -> np.ndarray:
+    """The continued fraction for x >= a + 1, by Lentz's method."""
+    b = x + 1 - a
+    c, d = np.full(len(a), 1e300), 1 / b
+    h = d.copy()
+    out, live = h.copy(), np.arange(len(a))
+    for n in range(1, steps):
+        if not len(live):
+            break
+        step = -n * (n - a)
+        b = b + 2
+        d = step * d + b
+        d = 1 / np.where(d == 0, 1e-300, d)
+        c = b + step / c
+        c[c == 0] = 1e-300
+        h = h * (c * d)
+        out[live] = h
+        go = np.abs(c * d - 1) >= 1e-15
+        live, a, b, c, d, h = (v[go] for v in (live, a, b, c, d, h))
+    return out
+
+
 def capped_events(df: DataFrame, unit: Sequence[str], key: str, most: int = 256, seed: int = 0, draw: Column | None = None) -> DataFrame:
     """T5: at most ``most`` events per unit, drawn by a seeded hash of the event's key, or those lowest in ``draw``."""
     own = Window.partitionBy(*unit).orderBy(F.xxhash64(key, F.lit(seed)) if draw is None else draw, key)

@@ -7,44 +7,56 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recloom.sources import scratch
+
 
 def nan_to_null(df: DataFrame, *columns: str) -> DataFrame:
     """NaN to NULL at ingest, so that aggregates skip it."""
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], cells: int = 4096) -> DataFrame:
-    """``by`` and ``q``, an array of the exact quantiles (linear between neighbours) of ``value`` at ``probs``; missing values
-    are left out, and groups without others.  Made for a few large groups: values are counted before the shuffle, counts per
-    cell of equal width tell which cells hold the wanted ranks, and only these cells are sorted, each by itself."""
-    x = df.select(F.struct(*by).alias("_k"), F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = x.groupBy("_k", "v").agg(F.count("*").alias("c"))
-    edges = counts.groupBy("_k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n")).withColumnRenamed("_k", "_e")
-    cell = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells), F.lit(cells - 1)))
-    placed = counts.join(edges, F.col("_k").eqNullSafe(F.col("_e"))).select("_k", "v", "c", "n", cell.cast("int").alias("cell"))
-    own = Window.partitionBy("_k").orderBy("cell")
-    sizes = placed.groupBy("_k", "cell").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
-    sizes = sizes.withColumn("before", F.sum("c").over(own) - F.col("c"))
-    ranks = [F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"), (F.lit(float(p)) * (F.col("n") - 1)).alias("at")) for i, p in enumerate(probs) for s in (0, 1)]
-    wanted = sizes.withColumn("w", F.explode(F.array(*ranks))).withColumn("r", F.when(F.col("w.s") == 0, F.floor("w.at")).otherwise(F.ceil("w.at")))
-    wanted = wanted.filter((F.col("before") <= F.col("r")) & (F.col("r") < F.col("before") + F.col("c")))
-    wanted = wanted.groupBy("_k", "cell", "before").agg(F.collect_list(F.struct("w.i", "w.s", "w.at", "r")).alias("ws")).withColumnsRenamed({"_k": "_w", "cell": "_cell"})
-    hit = placed.join(wanted, F.col("_k").eqNullSafe(F.col("_w")) & (F.col("cell") == F.col("_cell")))
+def cell_of(v: Column, cells: int) -> Column:
+    """A whole number that doesn't fall as ``v`` rises: ``cells`` steps a factor of e, mirrored for negative values."""
+    size = F.greatest(F.ln(F.abs(v)), F.lit(-750.0))
+    step = (F.least(F.floor(size * cells), F.lit(750 * cells)) + 751 * cells).cast("long")
+    return F.when(v > 0, step).when(v < 0, -step).otherwise(F.lit(0).cast("long"))
+
+
+def value_counts(long: DataFrame, by: Sequence[str], value: str, cells: int = 4096) -> DataFrame:
+    """The stored table that quantiles are read from: ``by``, ``v``, ``c`` (rows with that value) and ``cell``.  Missing values
+    are kept as one null; values are counted before the shuffle."""
+    v = F.col(value).cast("double")
+    counts = long.select(*by, F.when(~F.isnan(v), v).alias("v")).groupBy(*by, "v").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("cell", cell_of(F.col("v"), cells))
+    path = scratch.folder(long.sparkSession, "counts")
+    counts.write.parquet(path)
+    return long.sparkSession.read.schema(counts.schema).parquet(path)
+
+
+def quantiles_of(counts: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """``by`` and ``q``, an array of the exact quantiles (linear between neighbours) at ``probs``; groups without a value are
+    left out.  Sums per cell tell which cells hold the wanted ranks, and only these cells are sorted, each by itself."""
+    counts = counts.filter("v is not null").select(F.struct(*by).alias("_k"), "v", "c", "cell")
+    own = Window.partitionBy("_k")
+    sizes = counts.groupBy("_k", "cell").agg(F.sum("c").alias("c"))
+    sizes = sizes.withColumns({"n": F.sum("c").over(own), "upto": F.sum("c").over(own.orderBy("cell"))})
+    ranks = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("n") - 1)).alias("at")) for i, p in enumerate(probs)))
+    ends = F.filter(F.transform(ranks, lambda w: F.struct(w["i"].alias("i"), w["at"].alias("at"), F.floor(w["at"]).alias("r0"), F.ceil(w["at"]).alias("r1"))), lambda w: (w["r1"] >= F.col("upto") - F.col("c")) & (w["r0"] < F.col("upto")))
+    wanted = sizes.withColumn("ws", ends).filter(F.size("ws") > 0)
+    wanted = wanted.select(F.col("_k").alias("_w"), F.col("cell").alias("_cell"), (F.col("upto") - F.col("c")).alias("before"), "ws")
+    hit = counts.join(wanted, F.col("_k").eqNullSafe(F.col("_w")) & (F.col("cell") == F.col("_cell")))
     hit = hit.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("_k", "cell").orderBy("v")))
-    hit = hit.select("_k", "v", "upto", "c", F.explode("ws").alias("w")).filter((F.col("upto") - F.col("c") <= F.col("w.r")) & (F.col("w.r") < F.col("upto")))
-    low, high = F.max(F.when(F.col("w.s") == 0, F.col("v"))), F.max(F.when(F.col("w.s") == 1, F.col("v")))
-    part = F.max("w.at") - F.floor(F.max("w.at"))
-    one = hit.groupBy("_k", F.col("w.i").alias("i")).agg((low * (1 - part) + high * part).alias("x"))
-    out = one.groupBy("_k").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("q"))
+    hit = hit.select("_k", "v", (F.col("upto") - F.col("c")).alias("from"), "upto", F.explode("ws").alias("w"))
+    at = lambda r: F.max(F.when((F.col("from") <= F.col(r)) & (F.col(r) < F.col("upto")), F.col("v")))
+    part = F.first("w.at") - F.floor(F.first("w.at"))
+    one = hit.groupBy("_k", F.col("w.i").alias("i")).agg((at("w.r0") * (1 - part) + at("w.r1") * part).alias("x"))
+    out = one.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("q"))
     return out.select(*(F.col("_k")[k].alias(k) for k in by), "q")
 
 
-def with_medians(out: DataFrame, df: DataFrame, by: str, names: dict[str, str]) -> DataFrame:
-    """``out`` (a row per ``by``) with the median of each column of ``df`` under its new name."""
-    for value, name in names.items():
-        q = quantiles(df, [by], value, [0.5]).select(F.col(by).alias("_by"), F.col("q")[0].alias(name))
-        out = out.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
-    return out
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], cells: int = 4096) -> DataFrame:
+    """Exact quantiles of one column (see ``quantiles_of``); missing values are left out.  Made for a few large groups."""
+    return quantiles_of(value_counts(df, by, value, cells), by, probs)
 
 
 def label_counts(df: DataFrame, keys: Sequence[str], label: str, names: dict, good) -> DataFrame:
@@ -69,13 +81,20 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def pass_summary(df: DataFrame, by: str, key: str, per_row: Sequence[str], per_key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Medians and maxima per pass; ``per_row`` measures use all rows, ``per_key`` ones a row per recording."""
-    first = first_per_key(df, [by, key], order)
-    rows = df.groupBy(by).agg(F.count("*").alias("n_rows"), *(F.max(m).alias(f"{m}_max") for m in per_row))
-    once = first.groupBy(by).agg(F.count("*").alias("n_keys"), *(F.max(m).alias(f"{m}_max") for m in per_key))
-    rows = with_medians(rows, df, by, {m: f"{m}_median" for m in per_row})
-    once = with_medians(once, first, by, {m: f"{m}_median" for m in per_key})
-    return rows.join(once.withColumnRenamed(by, "_once"), F.col(by).eqNullSafe(F.col("_once"))).drop("_once")
+    """Medians and maxima per pass; ``per_row`` measures use all rows, ``per_key`` ones a row per recording.  The rows are
+    read once, into counts per pass, measure and value; all that is told comes from these."""
+    first = F.row_number().over(Window.partitionBy(by, key).orderBy(*order)) == 1
+    cells = [(f"rows {m}", F.lit(True), m) for m in per_row] + [(f"once {m}", F.col("_first"), m) for m in per_key]
+    cells += [("rows", F.lit(True), None), ("once", F.col("_first"), None)]
+    cell = lambda name, on, m: F.when(on, F.struct(F.lit(name).alias("measure"), (F.lit(None) if m is None else F.col(m)).cast("double").alias("v")))
+    long = df.withColumn("_first", first).select(by, F.inline(F.array_compact(F.array(*(cell(*c) for c in cells)))))
+    counts = value_counts(long, [by, "measure"], "v")
+    sums = counts.groupBy(by, "measure").agg(F.sum("c").alias("n"), F.max("v").alias("top"))
+    q = quantiles_of(counts, [by, "measure"], [0.5]).select(F.col(by).alias("_by"), F.col("measure").alias("_m"), F.col("q")[0].alias("mid"))
+    x = sums.join(q, F.col(by).eqNullSafe(F.col("_by")) & (F.col("measure") == F.col("_m")), "left")
+    of = lambda value, name, as_: F.max(F.when(F.col("measure") == name, F.col(value))).alias(as_)
+    each = [of(value, f"{kind} {m}", f"{m}_{as_}") for kind, ms in (("rows", per_row), ("once", per_key)) for m in ms for value, as_ in (("top", "max"), ("mid", "median"))]
+    return x.groupBy(by).agg(of("n", "rows", "n_rows"), of("n", "once", "n_keys"), *each)
 
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -92,10 +111,10 @@ def histogram(df: DataFrame, value: str, bins: int = 40, by: Sequence[str] = ())
 
 
 def box_stats(df: DataFrame, by: str, measures: Sequence[str]) -> DataFrame:
-    """Quartiles per label and measure, after unpivoting."""
-    long = df.select(by, *measures).unpivot([by], list(measures), "measure", "v")
-    ends = long.groupBy(by, "measure").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    q = quantiles(long, [by, "measure"], "v", [0.25, 0.5, 0.75]).select(F.col(by).alias("_by"), F.col("measure").alias("_m"), "q")
+    """Quartiles per label and measure, after unpivoting; the ends come from the same counts."""
+    counts = value_counts(df.select(by, *measures).unpivot([by], list(measures), "measure", "v"), [by, "measure"], "v")
+    ends = counts.groupBy(by, "measure").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    q = quantiles_of(counts, [by, "measure"], [0.25, 0.5, 0.75]).select(F.col(by).alias("_by"), F.col("measure").alias("_m"), "q")
     q = ends.join(q, F.col(by).eqNullSafe(F.col("_by")) & (F.col("measure") == F.col("_m")), "left")
     return q.select(by, "measure", "lo", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "hi")
 
@@ -112,9 +131,10 @@ def status_counts(df: DataFrame, status: str, deviation: str | None = None) -> D
 
 def run_time_stats(df: DataFrame, by: str, seconds: str) -> DataFrame:
     """Mean, median and number of run times; zero and missing ones are skipped."""
-    ran = df.filter(F.col(seconds) != 0)
-    out = ran.groupBy(by).agg(F.avg(seconds).alias("mean_s"), F.count("*").alias("n"))
-    return with_medians(out, ran, by, {seconds: "median_s"}).select(by, "mean_s", "median_s", "n")
+    counts = value_counts(df.filter(F.col(seconds) != 0), [by], seconds).filter("v is not null")
+    out = counts.groupBy(by).agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean_s"), F.sum("c").alias("n"))
+    q = quantiles_of(counts, [by], [0.5]).select(F.col(by).alias("_by"), F.col("q")[0].alias("median_s"))
+    return out.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "mean_s", "median_s", "n")
 
 
 def progress_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:

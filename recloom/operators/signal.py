@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -255,28 +257,85 @@ def label_mode(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     return n.groupBy(*keys).agg(F.max_by(label, F.struct("_n", -F.col(label))).alias(label))
 
 
-def channel_gram(df: DataFrame, chunk: Sequence[str], channel: str, v: str) -> DataFrame:
-    """Upper triangle of the channels' Gram matrix per chunk, and samples per chunk.  Each sample's vector of channels is
-    made first; pairs come from inside it, and sums combine before the shuffle."""
-    own = df.groupBy(*chunk, "i").agg(F.sort_array(F.collect_list(F.struct(F.col(channel).alias("c"), F.col(v).alias("v")))).alias("x"))
-    pair = F.expr("flatten(transform(x, (a, k) -> transform(slice(x, k + 1, size(x)), b -> struct(a.c as a, b.c as b, a.v * b.v as g))))")
-    return own.select(*chunk, F.explode(pair).alias("p")).groupBy(*chunk, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("p.g").alias("g"), F.count("*").alias("n"))
-
-
-def low_rank_report(df: DataFrame, chunk: Sequence[str], channel: str, v: str, keep: float) -> DataFrame:
-    """Kept rank (eigenvalues over ``keep`` times the largest), compression ratio and RMSE of the rest, per chunk.  A
-    group of the numpy step is one Gram matrix of nc x nc."""
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        ch = sorted(set(f.a) | set(f.b))
-        at = {c: k for k, c in enumerate(ch)}
-        g = np.zeros((len(ch), len(ch)))
-        for a, b, x in zip(f.a, f.b, f.g, strict=True):
-            g[at[a], at[b]] = g[at[b], at[a]] = x
-        w = np.linalg.eigvalsh(g)[::-1].clip(0)
-        r, ns = max(1, int((w > keep * w[0]).sum())), int(f.n.max())
-        return pd.DataFrame([[*(f[k].iloc[0] for k in chunk), len(ch), ns, r, len(ch) * ns / (r * (len(ch) + ns)), float(np.sqrt(w[r:].sum() / (ns * len(ch))))]], columns=[*chunk, "nc", "ns", "rank", "ratio", "rmse"])
-
-    return channel_gram(df, chunk, channel, v).groupBy(*chunk).applyInPandas(run, _kinds(df, chunk) + "nc long, ns long, rank long, ratio double, rmse double")
+def sample_vectors(df: DataFrame, chunk: Sequence[str], i: str, channel: str, v: str) -> DataFrame:
+    """Long rows to one row per sample: ``c`` (its channels in order) and ``x`` (their values); missing values are left out."""
+    own = df.filter(F.col(v).isNotNull()).groupBy(*chunk, i).agg(F.array_sort(F.collect_list(F.struct(F.col(channel).alias("c"), F.col(v).alias("v")))).alias("s"))
+    return own.select(*chunk, F.col("s.c").alias("c"), F.col("s.v").alias("x"))
+
+
+def gram_packs(vectors: DataFrame, chunk: Sequence[str], held: int = 32 << 20) -> DataFrame:
+    """Partial sums of the channels' Gram matrix: chunk, ``c`` (the channels), ``n`` (samples) and ``g``, the upper triangle
+    row by row.  ``vectors``: chunk, ``c``, ``x`` (an array per sample, channels in the order of ``c``; null or empty samples
+    count for nothing).  A task multiplies the samples of a batch block by block and adds up what belongs to one chunk and
+    set of channels, so that it hands on some matrices, not rows per pair and sample; it holds ``held`` bytes of them."""
+    kinds, keys = dict(vectors.dtypes), [*chunk, "c"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            own = list(sums.values())
+            tri = [g[np.triu_indices(len(g))] for _, _, g in own]
+            columns = [pa.concat_arrays([first[k] for first, _, _ in own]) for k in range(len(keys))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n, _ in own], pa.int64()), pa.array(tri, pa.list_(pa.float64()))], names=[*keys, "n", "g"])
+
+        for b in batches:
+            b = b.filter(pc.greater(pc.fill_null(pc.list_value_length(b.column("x")), 0), 0))
+            x, length = b.column("x"), pc.list_value_length(b.column("x")).to_numpy(zero_copy_only=False)
+            c = b.column("c")
+            alike = b.num_rows and len(c.flatten()) == b.num_rows * len(c[0]) and c[0] == c[-1] and (c.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) == np.array(c[0].as_py())).all()
+            sets = [tuple(c[0].as_py())] * b.num_rows if alike else map(tuple, c.to_pylist())
+            names = list(zip(*(b.column(k).to_pylist() for k in chunk), sets, strict=True))
+            own: dict[tuple, list[int]] = {}
+            for at, name in enumerate(names):
+                own.setdefault(name, []).append(at)
+            flat, ends = x.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(length)))
+            for name, rows in own.items():
+                nc, at = len(name[-1]), np.array(rows)
+                if (length[at] != nc).any():
+                    raise ValueError(f"samples of another length than their {nc} channels")
+                block = flat[ends[at][:, None] + np.arange(nc)].astype(float)
+                if name not in sums:
+                    sums[name] = [[b.column(k).slice(rows[0], 1) for k in keys], 0, np.zeros((nc, nc))]
+                    size += 8 * nc * nc
+                sums[name][1] += len(rows)
+                sums[name][2] += block.T @ block
+                if size > held:
+                    yield packed()
+                    sums.clear()
+                    size = 0
+        if sums:
+            yield packed()
+
+    return vectors.select(*keys, "x").mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, g array<double>")
+
+
+def channel_gram(packs: DataFrame, chunk: Sequence[str]) -> DataFrame:
+    """Upper triangle of the channels' Gram matrix per chunk: ``a``, ``b``, ``g`` and ``n``, the samples that have both."""
+    pair = F.expr("flatten(transform(c, (a, k) -> transform(slice(c, k + 1, size(c)), b -> struct(a as a, b as b))))")
+    cells = packs.select(*chunk, "n", F.explode(F.arrays_zip(pair.alias("p"), F.col("g"))).alias("_p")).select(*chunk, "n", F.col("_p.p.a").alias("a"), F.col("_p.p.b").alias("b"), F.col("_p.g").alias("g"))
+    return cells.groupBy(*chunk, "a", "b").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
+
+
+def low_rank_report(packs: DataFrame, chunk: Sequence[str], keep: float) -> DataFrame:
+    """Kept rank (eigenvalues over ``keep`` times the largest), compression ratio and RMSE of the rest, per chunk, from
+    ``gram_packs``.  A group of the numpy step is the packs of one chunk: a matrix of nc x nc per task that had samples."""
+    kinds = dict(packs.dtypes)
+
+    def run(t: pa.Table) -> pa.Table:
+        sets = [np.array(c) for c in t.column("c").to_pylist()]
+        channels, ns = np.unique(np.concatenate(sets)), t.column("n").to_numpy()
+        g = np.zeros((len(channels),) * 2)
+        for c, tri in zip(sets, t.column("g"), strict=True):
+            at, (i, j) = np.searchsorted(channels, c), np.triu_indices(len(c))
+            np.add.at(g, (at[i], at[j]), tri.values.to_numpy(zero_copy_only=False))
+        w = np.linalg.eigvalsh(np.triu(g) + np.triu(g, 1).T)[::-1].clip(0)
+        r, n, nc = max(1, int((w > keep * w[0]).sum())), int(ns.sum()), len(channels)
+        numbers = {"nc": nc, "ns": n, "rank": r, "ratio": nc * n / (r * (nc + n)), "rmse": float(np.sqrt(w[r:].sum() / (n * nc))), "kept": float(w[:r].sum()), "total": float(w.sum())}
+        return pa.table({k: t.column(k).slice(0, 1) for k in chunk} | {k: [v] for k, v in numbers.items()})
+
+    return packs.groupBy(*chunk).applyInArrow(run, "".join(f"`{k}` {kinds[k]}, " for k in chunk) + "nc long, ns long, rank long, ratio double, rmse double, kept double, total double")
 
 
 def detect_spikes(df: DataFrame, keys: Sequence[str], i: str, v: str, k: float) -> DataFrame:

@@ -85,8 +85,19 @@ def acg_by_rate_decile(s, d):
     return x.select("user_id", F.col("decile").cast("long").alias("decile"), "bin", "n", F.round("per_event", 6).alias("per_event"))
 
 
-@query()
+@query(f"""with {E}, k as (select user_id, count(*) n from e group by 1), tl as (select a.t * 60.0::double tau, l from (select unnest(range(1, 31)) t) a, (select unnest([1, 2, 5, 10, 15, 20]) l) b),
+p as (select a.user_id, b.tm - a.tm lag from e a join e b on a.user_id = b.user_id and b.tm > a.tm and b.tm - a.tm <= 1800),
+v as (select user_id, t.tau, count(lag) v from k cross join (select distinct tau from tl) t left join p using (user_id) where lag is null or lag < t.tau group by 1, 2),
+g as (select k.user_id, n, tau, l, coalesce(v, 0) v, 2 * tau * n * (n / 2592000.0) * (l / 100.0) * (1 - l / 200.0) mean from k cross join tl left join v using (user_id, tau)),
+c as (select *, 100 * (1 - list_sum(list_transform(range(0, v + 1), lambda j: exp(j * ln(mean) - mean - lgamma(j + 1))))) conf from g),
+b as (select user_id, n, coalesce(max(conf) filter (tau >= 120 and l <= 10), 0) best, arg_min(struct_pack(l := l, tau := tau), l * 1e6 + tau) filter (tau >= 120 and conf >= 70) low, max(v) n_violations from c group by 1, 2)
+select user_id, n n_spikes, round(n / 2592000.0, 12) firing_rate, round(best, 6) max_confidence, low.l::double min_contamination, low.tau rp_min, n_violations, best >= 70 passed, best >= 70 or n_violations = 0 forced from b""")
 def sliding_rp(s, d):
+    x = refractory(s, d)
+    return x.withColumns({"firing_rate": F.round("firing_rate", 12), "max_confidence": F.round("max_confidence", 6)})
+
+
+def refractory(s, d):
     return ev.sliding_rp(spikes(s, d), ["user_id"], "tm", 30 * DAY, [60.0 * k for k in range(1, 31)], [1, 2, 5, 10, 15, 20], rp_reject=120.0)
 
 
@@ -94,7 +105,7 @@ def sliding_rp(s, d):
 select user_id, n_spikes, round(n_spikes / 2592000.0, 12) firing_rate, coalesce(n, 0) n_violations from k left join p using (user_id)""")
 def refractory_counts(s, d):
     """What the confidences are computed from."""
-    return sliding_rp(s, d).select("user_id", "n_spikes", F.round("firing_rate", 12).alias("firing_rate"), "n_violations")
+    return refractory(s, d).select("user_id", "n_spikes", F.round("firing_rate", 12).alias("firing_rate"), "n_violations")
 
 
 _H = "h as (select floor(tm / 3600)::bigint i, sum(value) v from e group by 1)"

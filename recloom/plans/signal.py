@@ -285,16 +285,27 @@ def bad_channels(s, d):
     return sp.outside_labels(x, ["pid", "chunk"], "vec_id")
 
 
+def gram_packs(s, d):
+    """Vectors are samples of 64 channels, labels chunks."""
+    x = t(s, d, "embeddings").select("label", F.lit(list(range(64))).alias("c"), F.col("embedding").alias("x"))
+    return sg.gram_packs(x, ["label"])
+
+
 @query()
 def low_rank_report(s, d):
-    x = long_vectors(s, d).select("label", F.col("vec_id").alias("i"), "pos", "v")
-    return sg.low_rank_report(x, ["label"], "pos", "v", 0.5)
+    return sg.low_rank_report(gram_packs(s, d), ["label"], 0.5).drop("kept", "total")
+
+
+@query(f"with {_X} select label, 64::bigint nc, count(distinct vec_id) ns, round(sum(v * v), 6) total, round(sum(v * v), 6) kept_and_rest from x group by 1")
+def low_rank_energy(s, d):
+    """What the eigenvalues hold together is the samples' energy, and what is kept and the error of the rest add up to it."""
+    x = sg.low_rank_report(gram_packs(s, d), ["label"], 0.5)
+    return x.select("label", "nc", "ns", F.round("total", 6).alias("total"), F.round(F.col("kept") + F.col("rmse") ** 2 * F.col("ns") * F.col("nc"), 6).alias("kept_and_rest"))
 
 
 @query(f"with {_X}, c as (select * from x) select a.label, a.pos a, b.pos b, round(sum(a.v * b.v), 6) g, count(*) n from c a join c b on a.vec_id = b.vec_id and a.pos <= b.pos group by 1, 2, 3")
 def channel_gram(s, d):
-    x = long_vectors(s, d).select("label", F.col("vec_id").alias("i"), "pos", "v")
-    return sg.channel_gram(x, ["label"], "pos", "v").withColumn("g", F.round("g", 6))
+    return sg.channel_gram(gram_packs(s, d), ["label"]).withColumn("g", F.round("g", 6))
 
 
 @query()

@@ -154,7 +154,7 @@ def test_poisson_of_large_counts():
 
 
 def test_quantiles_are_exact(spark):
-    skew = np.concatenate((RNG.normal(size=400), [1e6, -1e9], np.zeros(300)))
+    skew = np.concatenate((RNG.normal(size=400), [1e6, -1e9, 5e-324, -5e-324, 1e308], 1e6 + RNG.normal(size=50) * 1e-6, np.zeros(300)))
     rows = [("a", float(v)) for v in skew] + [("b", 2.5)] * 7 + [("c", 1.0), ("c", 4.0), (None, 3.0), (None, 5.0), ("d", None), ("d", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
@@ -258,11 +258,33 @@ def test_zscore_of_a_constant(spark):
 
 def test_low_rank_is_truncated_svd(spark):
     v = RNG.normal(size=(50, 6)) @ np.diag([9, 5, 1, 0.1, 0.05, 0.01])
-    df = spark.createDataFrame([(0, i, c, float(v[i, c])) for i in range(50) for c in range(6)], "chunk int, i long, c int, v double")
-    r = signal.low_rank_report(df, ["chunk"], "c", "v", 0.05).first()
+    df = spark.createDataFrame([(0, i, c, float(v[i, c])) for i in range(50) for c in range(6)], "chunk int, i long, c int, v double").repartition(3)
+    r = signal.low_rank_report(signal.gram_packs(signal.sample_vectors(df, ["chunk"], "i", "c", "v"), ["chunk"]), ["chunk"], 0.05).first()
     u, s, w = np.linalg.svd(v, full_matrices=False)
     approx = (u[:, : r["rank"]] * s[: r["rank"]]) @ w[: r["rank"]]
     assert r.rmse == pytest.approx(np.sqrt(((v - approx) ** 2).mean()), rel=1e-6)
+    assert (r.nc, r.ns) == (6, 50) and r.total == pytest.approx((v**2).sum()) and r.kept == pytest.approx((approx**2).sum())
+
+
+def test_gram_of_samples_that_lack_channels(spark):
+    """Missing values and samples, null chunks, a budget of one matrix, and rows whose length is wrong."""
+    rows = [(k, i, c, None if (i + c) % 5 == 0 else float(RNG.normal())) for k in ("a", None) for i in range(40) for c in range(4) if (i, c) != (3, 2)]
+    df = spark.createDataFrame(rows, "chunk string, i long, c int, v double")
+    vectors = signal.sample_vectors(df, ["chunk"], "i", "c", "v")
+    for held in (1, 1 << 20):
+        got = {(r.chunk, r.a, r.b): (r.g, r.n) for r in signal.channel_gram(signal.gram_packs(vectors, ["chunk"], held), ["chunk"]).collect()}
+        of = {(k, i, c): v for k, i, c, v in rows if v is not None}
+        want = {}
+        for (k, i, c), v in of.items():
+            for e in range(c, 4):
+                if (k, i, e) in of:
+                    g, n = want.get((k, c, e), (0, 0))
+                    want[k, c, e] = g + v * of[k, i, e], n + 1
+        assert set(got) == set(want) and all(got[x] == (pytest.approx(want[x][0]), want[x][1]) for x in want)
+    empty = spark.createDataFrame([(1, [0, 1], []), (1, [0, 1], None), (2, [], [])], "chunk int, c array<int>, x array<double>")
+    assert signal.gram_packs(empty, ["chunk"]).count() == 0
+    with pytest.raises(Exception, match="another length"):
+        signal.gram_packs(spark.createDataFrame([(1, [0, 1], [1.0])], "chunk int, c array<int>, x array<double>"), ["chunk"]).collect()
 
 
 def test_bad_channels(spark):

@@ -86,12 +86,6 @@ def half_round_trip(v: np.ndarray) -> np.ndarray:
         return np.asarray(v, np.float32).astype(np.float16).astype(np.float32)
 
 
-def ridge(system: np.ndarray, cross: np.ndarray) -> np.ndarray:
-    """System w = cross by Cholesky; raises ``LinAlgError`` where that is not positive definite."""
-    low = np.linalg.cholesky(system)
-    return np.linalg.solve(low.T, np.linalg.solve(low, cross))
-
-
 def logistic(x: np.ndarray, y: np.ndarray, lam: float, steps: int = 30) -> np.ndarray:
     """Weights, then the intercept, of two-class (0, 1) models with a ridge on the weights, by Newton's method; a step that
     would raise the loss is halved, so that separable classes end at finite weights.  Columns of ``y`` are targets that are

@@ -7,15 +7,14 @@ penalties, dropped groups) is small linear algebra on these statistics, one reco
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recloom.functions.kernels import logistic, ridge
 from recloom.operators.qc import quantiles
 
 
@@ -78,14 +77,6 @@ def pack(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate(([len(x)], x.sum(0), y.sum(0), (y**2).sum(0), (x.T @ x)[iu], (x.T @ y).ravel()))
 
 
-def unpack(s: np.ndarray, p: int, m: int) -> dict[str, np.ndarray]:
-    at = np.cumsum([1, p, m, m, p * (p + 1) // 2])
-    n, sx, sy, sq, tri, xy = np.split(np.asarray(s, float), at)
-    g = np.zeros((p, p))
-    g[np.triu_indices(p)] = tri
-    return {"n": n[0], "x": sx, "y": sy, "yy": sq, "xx": g + np.triu(g, 1).T, "xy": xy.reshape(p, m)}
-
-
 def chunk_packs(rows: DataFrame, keys: Sequence[str], b: np.ndarray, n_pre: int, n_folds: int, size: int = 15_000) -> DataFrame:
     """Packed statistics (``s``) per key, fold and chunk; those of a key and fold add up.  ``rows``: keys, ``i``, ``n``,
     ``x`` (array of base regressors), ``y`` (array of targets).  A group of the numpy step is one chunk of ``size`` samples
@@ -148,78 +139,128 @@ def second_difference(m: int) -> np.ndarray:
 
 
 def penalty(groups: Sequence[str], n_basis: int, strength: Mapping[str, float]) -> np.ndarray:
-    """E5: along the diagonal, a smoothness block for each base regressor whose group has a strength."""
-    block, out = second_difference(n_basis), np.zeros((len(groups) * n_basis,) * 2)
-    for r, group in enumerate(groups):
-        own = slice(r * n_basis, (r + 1) * n_basis)
-        out[own, own] = strength.get(group, 0.0) * block
+    """E5: along the diagonal, a smoothness block for each base regressor, times its group's strength (none: 0)."""
+    return np.kron(np.diag([float(strength.get(g, 0.0)) for g in groups]), second_difference(n_basis))
+
+
+def centred(s: np.ndarray, p: int, m: int) -> dict[str, np.ndarray]:
+    """A stack of packs as means and centred products of ``p`` regressors and ``m`` targets, the stack's axis first."""
+    n, sx, sy, sq, tri, xy = np.split(s, np.cumsum([1, p, m, m, p * (p + 1) // 2]), axis=1)
+    x, y, (i, j) = sx / n, sy / n, np.triu_indices(p)
+    xx = np.zeros((len(s), p, p))
+    xx[:, i, j] = xx[:, j, i] = tri
+    return {"n": n, "x": x, "y": y, "raw": sq, "xx": xx - n[:, :, None] * x[:, :, None] * x[:, None], "xy": xy.reshape(-1, p, m) - n[:, :, None] * x[:, :, None] * y[:, None], "yy": sq - n * y**2}
+
+
+def fits(train: dict, pen: np.ndarray, lambdas: Sequence[float], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (stack, penalty, ``keep``, target) of the columns ``keep``, and which of them there are: a system that
+    is not positive definite has none.  Products and penalty are made diagonal together once a system, and each penalty is
+    then a scaling of this."""
+    at = np.ix_(range(len(train["n"])), keep, keep)
+    least = min((v for v in lambdas if v > 0), default=0.0)
+    low, turn = np.linalg.eigh(train["xx"][at] + least * pen[np.ix_(keep, keep)])
+    good = (low[:, :1] > len(keep) * np.finfo(float).eps * np.abs(low[:, -1:])).all(1) if len(keep) else np.ones(len(low), bool)
+    turn = turn / np.sqrt(np.where(good[:, None], low, 1.0))[:, None]
+    scale = np.ones((len(low), len(lambdas), len(keep)))
+    if any(v != least for v in lambdas):
+        share, more = np.linalg.eigh(np.swapaxes(turn, 1, 2) @ pen[np.ix_(keep, keep)] @ turn)
+        turn = turn @ more
+        scale += (np.array(lambdas) - least)[None, :, None] * share[:, None]
+    there = good[:, None] & (scale > 1e-12).all(2)
+    cross = np.swapaxes(turn, 1, 2) @ train["xy"][:, keep]
+    return turn[:, None] @ (cross[:, None] / np.where(there[:, :, None], scale, 1.0)[..., None]), there
+
+
+def r2(scored: dict, train: dict, w: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """(stack, penalty, target), from the scored statistics alone.  NaN where the target doesn't vary."""
+    xx, xy = scored["xx"][:, keep][:, :, keep][:, None], scored["xy"][:, None, keep]
+    rest = scored["yy"][:, None] - 2 * (w * xy).sum(2) + (w * (xx @ w)).sum(2)
+    off = (scored["y"] - train["y"])[:, None] - ((scored["x"] - train["x"])[:, None, keep, None] * w).sum(2)
+    rest = rest + scored["n"][:, :, None] * off**2
+    varies = (scored["yy"] > 1e-12 * np.maximum(scored["raw"], 1e-300))[:, None]
+    return np.where(varies, 1 - rest / np.where(varies, scored["yy"][:, None], 1), np.nan)
+
+
+def codes(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """A number per row, the same for rows of the same key."""
+    out = np.zeros(t.num_rows, np.int64)
+    for k in keys:
+        column = t.column(k).combine_chunks().dictionary_encode("encode")
+        out = out * max(1, len(column.dictionary)) + column.indices.to_numpy(zero_copy_only=False)
     return out
 
 
-def scatter(stats: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Centred products of regressors and targets in one matrix, and their means.  Of two different targets the product is
-    not among the statistics: 0."""
-    whole = np.block([[stats["xx"], stats["xy"]], [stats["xy"].T, np.diag(stats["yy"])]])
-    mean = np.concatenate((stats["x"], stats["y"])) / stats["n"]
-    p = len(stats["x"])
-    shift = stats["n"] * np.outer(mean, mean)
-    shift[p:, p:] *= np.eye(len(mean) - p)
-    return whole - shift, mean
-
-
-def centred(stats: dict) -> tuple[np.ndarray, np.ndarray]:
-    """``scatter``, kept with the statistics, as every penalty and dropped group asks for it again."""
-    if "centred" not in stats:
-        stats["centred"] = scatter(stats)
-    return stats["centred"]
-
-
-def fit_weights(train: dict, pen: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and intercepts.  A column that is left out keeps its place in the system, where it is tied to
-    nothing and its weight is 0."""
-    s, mean = centred(train)
-    p = len(train["x"])
-    live = np.isin(np.arange(p), keep)
-    system = np.where(np.outer(live, live), s[:p, :p] + pen, np.eye(p))
-    w = ridge(system, live[:, None] * s[:p, p:])
-    return w, mean[p:] - mean[:p] @ w
-
-
-def r2(scored: dict, w: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """From the scored statistics alone.  A target's residual is a linear form of regressors and target, so its sum of
-    squares is the form's square in ``scatter`` and n times its squared mean.  NaN where the target doesn't vary."""
-    s, mean = centred(scored)
-    form = np.vstack((-w, np.eye(w.shape[1])))
-    rest = (form * (s @ form)).sum(0) + scored["n"] * (mean @ form - c) ** 2
-    spread = np.diag(s)[len(w) :]
-    varies = spread > 1e-12 * np.maximum(scored["yy"], 1e-300)
-    return np.where(varies, 1 - rest / np.where(varies, spread, 1), np.nan)
-
-
-def by_fold(t: pa.Table) -> np.ndarray:
-    """One summed pack per fold, in order."""
-    fold = t.column("fold").to_numpy()
-    flat = t.column("s").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(fold), -1)
-    out = np.zeros((len(np.unique(fold)), flat.shape[1]))
-    np.add.at(out, np.unique(fold, return_inverse=True)[1], flat)
-    return out
+def summed(t: pa.Table, keys: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per length of pack: a row of each part (key and fold), the part's key (numbered from 0), and the parts' sums, by key, then
+    fold."""
+    length = pc.list_value_length(t.column("s")).to_numpy()
+    key, fold = codes(t, keys), t.column("fold").to_numpy()
+    for size in np.unique(length):
+        rows = np.flatnonzero(length == size)
+        rows = rows[np.lexsort((fold[rows], key[rows]))]
+        new_key = np.concatenate(([True], key[rows][1:] != key[rows][:-1]))
+        first = np.flatnonzero(new_key | np.concatenate(([True], fold[rows][1:] != fold[rows][:-1])))
+        flat = t.column("s").take(pa.array(rows)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size)
+        yield rows[first], (np.cumsum(new_key) - 1)[first], np.add.reduceat(flat, first)
+
+
+def partly_summed(packs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Packs of one key and fold that lie together, added up before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            for rows, _, sums in summed(t, keys) if t.num_rows else ():
+                own = b.take(pa.array(rows)).select([*keys, "fold"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(list(sums), pa.list_(pa.float64()))], names=[*keys, "fold", "s"])
+
+    return packs.select(*keys, "fold", "s").mapInArrow(run, packs.select(*keys, "fold", "s").schema)
+
 
+#: Bytes of matrices that a task works on at a time.
+STACK_BYTES = 48 << 20
 
-def per_key(packs: DataFrame, keys: Sequence[str], columns: dict[str, str], rows: Callable[[np.ndarray], list[tuple]]) -> DataFrame:
-    """``rows`` of each key's packs by fold, with the key before them.  ``packs``: ``chunk_packs`` or ``statistics``."""
+
+def per_key(packs: DataFrame, keys: Sequence[str], n_targets: int, columns: dict[str, str], rows: Callable[[np.ndarray, np.ndarray], tuple]) -> DataFrame:
+    """``rows`` of stacks of many keys.  ``packs``: ``chunk_packs`` or ``statistics``.  ``rows`` gets the parts' sums and each part's
+    key, numbered from 0, of as many keys as fit ``STACK_BYTES``, and gives the key of each row and the columns.  Keys come
+    sorted, so that a task streams them; no group is made per key."""
     kinds = dict(packs.dtypes)
-    packs = gathered(packs, keys) if "at" in packs.columns else packs
-    names = [*keys, *columns]
+    packs = gathered(packs, keys) if "at" in packs.columns else partly_summed(packs, keys)
     types = {"double": pa.float64(), "string": pa.string(), "int": pa.int32()}
 
-    def run(t: pa.Table) -> pa.Table:
-        got = rows(by_fold(t))
-        own = [t.column(k).slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(got), np.int64))) for k in keys]
-        cols = zip(*got, strict=True) if got else [[]] * len(columns)
-        return pa.Table.from_arrays([*own, *(pa.array(c, types[k]) for c, k in zip(cols, columns.values(), strict=True))], names=names)
+    def stacks(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for first, key, sums in summed(t, keys):
+            p = columns_of(sums.shape[1], n_targets)
+            most = max(1, STACK_BYTES // (48 * p * p + 8 * sums.shape[1]))
+            start = 0
+            while start < len(key):
+                end = min(len(key), start + most)
+                if end < len(key):  # whole keys only
+                    end = max(np.searchsorted(key, key[end], "left"), np.searchsorted(key, key[start], "right"))
+                own = key[start:end] - key[start]
+                owner, values = rows(sums[start:end], own)
+                at = first[start:end][np.searchsorted(own, owner, "left")]
+                found = [pa.array(v, types[k], mask=np.isnan(v) if k == "double" else None) for v, k in zip(values, columns.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(t.column(k).take(pa.array(at)).combine_chunks() for k in keys), *found], names=[*keys, *columns])
+                start = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, b]).combine_chunks()
+            key = codes(t, keys)
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+            held = t.slice(cut).to_batches()
+            if cut:
+                yield from stacks(t.slice(0, cut))
+        if held:
+            yield from stacks(pa.Table.from_batches(held))
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{c} {k}" for c, k in columns.items())])
-    return packs.groupBy(*keys).applyInArrow(run, schema)
+    return packs.repartition(*keys).sortWithinPartitions(*keys, "fold").mapInArrow(run, schema)
 
 
 def columns_of(size: int, n_targets: int) -> int:
@@ -233,50 +274,53 @@ def solve(stats: DataFrame, keys: Sequence[str], groups: Sequence[str] | Mapping
     regressors a recording has.  A key whose matrix is singular gives rows with a ``status`` and no numbers, and the others
     go on."""
     lists = groups if isinstance(groups, Mapping) else {len(groups): groups}
+    lambdas = [float(v) for v in lambdas]
 
-    def rows(packs: np.ndarray) -> list[tuple]:
-        out, total = [], packs.sum(0)
-        p = columns_of(len(total), n_targets)
+    def rows(parts: np.ndarray, key: np.ndarray) -> tuple:
+        p = columns_of(parts.shape[1], n_targets)
         groups = lists[p // n_basis]
-        cols = np.repeat(np.array(groups), n_basis)
+        of, pen = np.repeat(np.array(groups), n_basis), penalty(groups, n_basis, dict.fromkeys(groups, 1.0))
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        total, folds = np.add.reduceat(parts, first), np.diff(np.append(first, len(key)))
+        every, several = centred(total, p, n_targets), folds[key] > 1
+        parts, key = parts[several], key[several]
+        held, rest = centred(parts, p, n_targets), centred(total[key] - parts, p, n_targets)
+        full, cv, there = [], [], []
         variants = ["", *dict.fromkeys(groups)] if drop else [""]
-        every, parts, rests = unpack(total, p, n_targets), [unpack(s, p, n_targets) for s in packs], [unpack(total - s, p, n_targets) for s in packs]
-        for lam in lambdas:
-            pen = penalty(groups, n_basis, dict.fromkeys(groups, lam))
-            for gone in variants:
-                keep = np.flatnonzero(cols != gone)
-                full = cv = np.full(n_targets, np.nan)
-                status = "ok"
-                try:
-                    full = r2(every, *fit_weights(every, pen, keep))
-                    if len(packs) > 1:
-                        cv = np.mean([r2(s, *fit_weights(rest, pen, keep)) for s, rest in zip(parts, rests, strict=True)], axis=0)
-                except np.linalg.LinAlgError as e:
-                    full, status = np.full(n_targets, np.nan), str(e)
-                out += [(float(lam), gone, t, none(full[t]), none(cv[t]), status) for t in range(n_targets)]
-        return out
-
-    return per_key(stats, keys, {"lam": "double", "dropped": "string", "target": "int", "r2_full": "double", "r2_cv": "double", "status": "string"}, rows)
-
-
-def none(x: float) -> float | None:
-    return None if np.isnan(x) else float(x)
+        for gone in variants:
+            keep = np.flatnonzero(of != gone)
+            w, good = fits(every, pen, lambdas, keep)
+            own = r2(every, every, w, keep)
+            w, fine = fits(rest, pen, lambdas, keep)
+            mean = np.full(own.shape, np.nan)
+            if len(key):
+                at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                mean[key[at]] = np.add.reduceat(r2(held, rest, w, keep), at) / folds[key[at], None, None]
+                good[key[at]] &= np.logical_and.reduceat(fine, at)
+            for out, v in ((full, own), (cv, mean)):
+                out.append(np.where(good[..., None], v, np.nan))
+            there.append(np.repeat(good[..., None], n_targets, axis=2))
+        full, cv, there = (np.stack(v, 2) for v in (full, cv, there))  # key, penalty, dropped, target
+        place = np.indices(full.shape).reshape(4, -1)
+        return place[0], (np.array(lambdas)[place[1]], np.array(variants, object)[place[2]], place[3], full.ravel(), cv.ravel(), np.where(there.ravel(), "ok", "the matrix is not positive definite").astype(object))
+
+    return per_key(stats, keys, n_targets, {"lam": "double", "dropped": "string", "target": "int", "r2_full": "double", "r2_cv": "double", "status": "string"}, rows)
 
 
 def weights(stats: DataFrame, keys: Sequence[str], groups: Sequence[str] | Mapping[int, Sequence[str]], n_basis: int, n_targets: int, lam: float) -> DataFrame:
     """K9: basis weights per (regressor, bump, target) of the fit on all samples; none for a key that can't be fitted."""
     lists = groups if isinstance(groups, Mapping) else {len(groups): groups}
 
-    def rows(packs: np.ndarray) -> list[tuple]:
-        p = columns_of(packs.shape[1], n_targets)
+    def rows(parts: np.ndarray, key: np.ndarray) -> tuple:
+        p = columns_of(parts.shape[1], n_targets)
         groups = lists[p // n_basis]
-        try:
-            w, _ = fit_weights(unpack(packs.sum(0), p, n_targets), penalty(groups, n_basis, dict.fromkeys(groups, lam)), np.arange(p))
-        except np.linalg.LinAlgError:
-            return []
-        return [(i // n_basis, i % n_basis, t, float(w[i, t])) for i in range(p) for t in range(n_targets)]
+        total = np.add.reduceat(parts, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))))
+        w, there = fits(centred(total, p, n_targets), penalty(groups, n_basis, dict.fromkeys(groups, 1.0)), [float(lam)], np.arange(p))
+        own, i, t = np.indices((len(w), p, n_targets)).reshape(3, -1)
+        some = there[own, 0]
+        return own[some], (i[some] // n_basis, i[some] % n_basis, t[some], w[:, 0].ravel()[some])
 
-    return per_key(stats, keys, {"r": "int", "k": "int", "target": "int", "w": "double"}, rows)
+    return per_key(stats, keys, n_targets, {"r": "int", "k": "int", "target": "int", "w": "double"}, rows)
 
 
 def kernels(w: DataFrame, basis: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -407,41 +451,6 @@ def null_packs(rows: DataFrame, keys: Sequence[str], draws: DataFrame, b: np.nda
     return both.groupBy(*keys, "_c", "_g").applyInArrow(run, schema + "perm int, fold int, s array<double>")
 
 
-def decode_scores(trials: DataFrame, keys: Sequence[str], n_folds: int = 5, lam: float = 1.0, model: str = "linear") -> DataFrame:
-    """Cross-validated score of a per-trial ``target`` from binned counts (``counts`` array), per key (a session and
-    pseudo-session), which is one group.  ``linear``: R2; ``logistic``: balanced accuracy of a target of 0 and 1.  Null where
-    the target doesn't vary or a fold has nothing, or for two classes only one of them, to learn from."""
-    if model not in ("linear", "logistic"):
-        raise ValueError(f"no model {model!r}")
-    kinds = dict(trials.dtypes)
-
-    def predicted(x: np.ndarray, y: np.ndarray, new: np.ndarray) -> np.ndarray:
-        mx, my = x.mean(0), y.mean()
-        if model == "linear":
-            return (new - mx) @ ridge((x - mx).T @ (x - mx) + lam * np.eye(x.shape[1]), (x - mx).T @ (y - my)) + my
-        w = logistic(x - mx, y, lam)
-        return ((new - mx) @ w[:-1] + w[-1] > 0).astype(float)
-
-    def score(y: np.ndarray, pred: np.ndarray) -> float:
-        if model == "linear":
-            return float(1 - ((y - pred) ** 2).sum() / ((y - y.mean()) ** 2).sum())
-        return float(np.mean([(pred[y == c] == c).mean() for c in (0.0, 1.0)]))
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("trial")
-        x, y = np.stack([np.asarray(v, float) for v in f["counts"]]), f["target"].to_numpy(float)
-        fold = ((np.arange(len(y)) + 1) * n_folds - 1) // len(y)
-        pred, values = np.full(len(y), np.nan), 1 if model == "linear" else 2
-        for k in np.unique(fold):
-            rest = fold != k
-            if rest.sum() >= 2 and len(np.unique(y[rest])) >= values:
-                pred[~rest] = predicted(x[rest], y[rest], x[~rest])
-        ok = np.isfinite(pred).all() and y.std() > 0
-        return pd.DataFrame([[*(f[k].iloc[0] for k in keys), len(y), score(y, pred) if ok else None]], columns=[*keys, "n_trials", "r2" if model == "linear" else "accuracy"])
-
-    return trials.groupBy(*keys).applyInPandas(run, "".join(f"`{k}` {kinds[k]}, " for k in keys) + f"n_trials long, {'r2' if model == 'linear' else 'accuracy'} double")
-
-
 def per_group(scores: DataFrame, groups: DataFrame, best: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Of scores over a grid of penalties the rows at each target group's own penalty.  ``groups``: ``target``,
     ``grp`` (one row per target of the model); ``best``: keys, ``grp``, ``lam``.  A group without a penalty is an error."""

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from recloom.operators import catalog, steps
+from recloom.operators import decoding as de
 from recloom.operators import encoding as en
 
 
@@ -71,13 +72,11 @@ def test_two_classes_are_decoded(spark):
             y = float(rng.integers(0, 2))
             rows.append((eid, i, y, (rng.normal(size=4) + gain * y * np.array([1, 0, 0, 1])).tolist()))
     rows += [(2, i, 1.0, [float(i)] * 4) for i in range(10)] + [(3, 0, 1.0, [0.0] * 4)]
-    x = spark.createDataFrame(rows, "eid int, trial int, target double, counts array<double>")
-    got = {r.eid: r.accuracy for r in en.decode_scores(x, ["eid"], model="logistic").collect()}
+    x = spark.createDataFrame([(e, i, c, [y]) for e, i, y, c in rows], "eid int, trial int, x array<double>, y array<double>")
+    got = {r.eid: r.score for r in de.decode_classes(x, ["eid"], "trial", 1).collect()}
     assert got[0] == 1.0 and 0.3 < got[1] < 0.7 and got[2] is None and got[3] is None
-    line = {r.eid: r.r2 for r in en.decode_scores(x, ["eid"]).collect()}
+    line = {r.eid: r.score for r in de.decode(x, ["eid"], "trial", 1).collect()}
     assert line[0] > 0.8 and line[2] is None
-    with pytest.raises(ValueError, match="no model"):
-        en.decode_scores(x, ["eid"], model="other")
 
 
 def test_logistic_is_at_the_minimum():

@@ -12,8 +12,10 @@ the manifest, a table, holds the files of the tasks that Spark committed.  Files
 so neither a file's size nor its number of members matters.
 
 Edge cases: a null or empty body gives a record of length 0; a truncated, damaged or unreadable record, or gzip member, ends
-its archive with a row whose ``error`` is set, after all records before it; repeated rows give repeated records; an empty
-table gives no record; extra columns are left out.
+its archive with a row whose ``error`` is set, after all records before it; a header of too few fields is such a row, too,
+but the next record is read; URLs may hold white space, and records may be parted by line feeds with or without carriage
+returns; a date that no calendar has is cut to its sound part and kept in ``X-Archive-Date``; repeated rows give repeated
+records; an empty table gives no record; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime
 from itertools import chain
 
 import pyarrow as pa
@@ -56,9 +59,14 @@ def arc_version_block(version: int, name: str) -> bytes:
     return head.encode() + body + b"\n"
 
 
+def one_word(field: str) -> str:
+    """White space and control characters percent-encoded."""
+    return "".join(f"%{ord(c):02X}" if c <= " " or c == "\x7f" else c for c in field)
+
+
 def arc_record(version: int, url: str, content: bytes, offset: int, name: str, date: str = CAPTURED) -> bytes:
     """One record.  White space in the URL is percent-encoded, as fields are parted by it."""
-    url = "".join(f"%{ord(c):02X}" if c in " \t\r\n\f\v" else c for c in url or "unknown:") or "unknown:"
+    url = one_word(url or "unknown:")
     if version == 1:
         head = f"{url} 0.0.0.0 {date} text/html {len(content)}\n"
     else:
@@ -130,33 +138,35 @@ def opened(data) -> Source:
 
 def parse_arc(data) -> Iterator[dict]:
     """Records of one archive (bytes or a stream, plain or gzip members), by the version that its first block declares; that
-    block comes first, with ``kind`` warcinfo."""
+    block comes first, with ``kind`` warcinfo.  The URL is all before the last four (nine) fields, white space included.  A
+    header of too few fields gives a row with ``error``; as its length is declared, the records after it are read."""
     source, version = opened(data), 0
     while True:
-        while not source.ended() and source.ready[:1] == b"\n":  # separators between records
+        while not source.ended() and source.ready[:1] in (b"\n", b"\r"):  # separators between records
             source.take(1)
         if source.ended():
             if source.error:
                 yield {"offset": source.at, "error": source.error}
             return
         at = source.at
-        line = source.until(b"\n")
-        fields = (line or b"").decode("utf-8", "replace").rstrip("\n").split(" ")
-        length = int(fields[-1]) if fields[-1].isascii() and fields[-1].isdigit() and len(fields[-1]) < 19 else -1
+        line = (source.until(b"\n") or b"").decode("utf-8", "replace").rstrip("\r\n")
+        last = line.rpartition(" ")[2]
+        length = int(last) if last.isascii() and last.isdigit() and len(last) < 19 else -1
         body = source.take(length) if length >= 0 else b""
         if length < 0 or len(body) < length:
             yield {"offset": at, "error": source.error or "header or declared length unreadable"}
             return
         kind = "record"
         if not version:
-            version = int(body[:1]) if fields[0].startswith("filedesc://") and body[:2] in (b"1 ", b"2 ") else 0
+            version = int(body[:1]) if line.startswith("filedesc://") and body[:2] in (b"1 ", b"2 ") else 0
             kind = "warcinfo"
             if not version:
                 yield {"offset": at, "error": "no version block"}
                 return
+        fields = line.rsplit(" ", 4 if version == 1 else 9)
         if len(fields) != (5 if version == 1 else 10):
             yield {"offset": at, "error": f"{len(fields)} fields in a version {version} header"}
-            return
+            continue
         yield {"kind": kind, "version": version, "url": fields[0], "ip": fields[1], "date": fields[2], "mime": fields[3], "offset": at, "content": body, "error": None}
 
 
@@ -182,9 +192,20 @@ def sha1_label(payload: bytes) -> str:
 
 
 def warc_date(date14: str) -> str:
-    d = (date14 if date14.isdigit() else "").ljust(14, "0")[:14]
-    month, day = d[4:6] if d[4:6] != "00" else "01", d[6:8] if d[6:8] != "00" else "01"
-    return f"{d[:4]}-{month}-{day}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+    """The ISO form of as much of a 14-digit date as is one: what lies beyond the first part that no calendar has, or is missing,
+    is the earliest it can be; without a year it is 1970."""
+    ascii_digits = date14 if date14.isascii() and date14.isdigit() else ""
+    parts = [ascii_digits[:4], *(ascii_digits[i : i + 2] for i in range(4, 14, 2))]
+    best, own = datetime(1970, 1, 1), []
+    for part, first in zip(parts, (4, 2, 2, 2, 2, 2), strict=True):
+        if len(part) < first:
+            break
+        own.append(int(part))
+        try:
+            best = datetime(*own, *(1, 1)[len(own) - 1 :]) if len(own) < 3 else datetime(*own)
+        except ValueError:
+            break
+    return f"{best.year:04d}{best:-%m-%dT%H:%M:%SZ}"
 
 
 def warc_id(digest: str, key: str) -> str:
@@ -206,8 +227,10 @@ def warc_record(rec: dict, refers_to: str | None = None) -> bytes:
     if kind == "warcinfo":
         head.append(f"WARC-Filename: {rec['url'].removeprefix('filedesc://')}")
     else:
-        head += [f"WARC-Target-URI: {rec['url']}", f"WARC-IP-Address: {rec['ip']}", f"WARC-Payload-Digest: {digest}"]
+        head += [f"WARC-Target-URI: {one_word(rec['url'])}", f"WARC-IP-Address: {one_word(rec['ip'])}", f"WARC-Payload-Digest: {digest}"]
     head += [f"WARC-Block-Digest: {sha1_label(block)}", f"Content-Type: {mime}"]
+    if "".join(c for c in date if c.isdigit()) != rec["date"].ljust(14, "0"):
+        head.append(f"X-Archive-Date: {one_word(rec['date'])}")
     if refers_to:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {warc_id(digest, refers_to)}", f"X-Refers-To-Key: {refers_to}"]
     head.append(f"Content-Length: {len(block)}")
@@ -315,11 +338,22 @@ def assign_revisits(pages: DataFrame, min_bytes: int = 1000, salts: int = 16) ->
 
 
 def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """WARC files with a gzip member per record, and their manifest: ``file``, ``records``, ``bytes``.  To be saved, which
-    runs it: a row stands for a file of a task that was committed."""
+    """WARC files with a gzip member per record, and their manifest: ``file``, ``records``, ``bytes``, ``error``.  To be saved,
+    which runs it: a row stands for a file of a task that was committed, or, without ``file``, for a record of the old archive
+    that could not be converted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (x.as_py() for b in batches for x in b.column("record"))
+        rejects: list[str] = []
+
+        def good() -> Iterator[bytes]:
+            for b in batches:
+                rejects.extend(e for e in b.column("error").to_pylist() if e is not None)
+                yield from (x.as_py() for x in b.column("record") if x.is_valid)
+
+        def manifest(files: list, records: list, sizes: list, errors: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(records, pa.int64()), pa.array(sizes, pa.int64()), pa.array(errors, pa.string())], names=["file", "records", "bytes", "error"])
+
+        rows = good()
         part, attempt, n = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
         while (first := next(rows, None)) is not None:
             count = 0
@@ -336,10 +370,12 @@ def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES)
 
             file = f"{path}/{part:05d}-{n:05d}-{attempt}.warc.gz"
             size = put_whole(file, members())
-            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], names=["file", "records", "bytes"])
+            yield manifest([file], [count], [size], [None])
             n += 1
+        if rejects:
+            yield manifest([None] * len(rejects), [0] * len(rejects), [0] * len(rejects), rejects)
 
-    return records.filter("record is not null").select("record").mapInArrow(run, "file string, records long, bytes long")
+    return records.select("record", "error").mapInArrow(run, "file string, records long, bytes long, error string")
 
 
 READ = T.StructType([
@@ -385,6 +421,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                     while rows := [r for _, r in zip(range(2000), records)]:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=READ.names)
 
+    files = files.filter("file is not null")
     return files.select("file").repartition(max(1, files.count()), "file").mapInArrow(run, READ)
 
 
@@ -392,5 +429,12 @@ def convert_pages(spark: SparkSession, pages: DataFrame, path: str, min_bytes: i
     """Pages to ARC archives, those to WARC archives below ``path``, and the pages' records read back (see ``read_archives``)."""
     marked = assign_revisits(pages.select("page_id", "url", "html"), min_bytes)
     arc = pages_to_arc(marked.select(F.col("page_id").cast("string").alias("key"), "url", "html", F.col("ref_key").cast("string").alias("ref_key")))
-    manifest = Scratch(spark, "warc").save(write_archives(arc_to_warc(arc), path), "manifest")
-    return read_archives(manifest).filter("record_type is distinct from 'warcinfo'")
+    return convert(spark, arc, path).filter("record_type is distinct from 'warcinfo'")
+
+
+def convert(spark: SparkSession, archives: DataFrame, path: str) -> DataFrame:
+    """ARC archives (see ``arc_to_warc``) to WARC archives below ``path``, read back; what could not be converted is a row with
+    ``error``, as is what can't be read back."""
+    manifest = Scratch(spark, "warc").save(write_archives(arc_to_warc(archives), path), "manifest")
+    lost = manifest.filter("file is null").select(*(F.col("error") if f.name == "error" else F.lit(None).cast(f.dataType).alias(f.name) for f in READ))
+    return read_archives(manifest).unionByName(lost.withColumn("intact", F.lit(False)))

@@ -66,6 +66,40 @@ def test_arc_versions_lengths_and_errors():
     assert warc.warc_date("19970102") == "1997-01-02T00:00:00Z"
 
 
+def test_urls_with_spaces_and_carriage_returns():
+    for v, fields in ((1, 5), (2, 10)):
+        head = " ".join(["http://h/a b  c", "0.0.0.0", "20200101000000", "text/html", *["200", "-", "-", "0", "f"][: fields - 5], "3"]).encode()
+        for part in (b"\n", b"\r\n", b"\n\n\r\n", b""):
+            data = warc.arc_version_block(v, "f") + part + head + b"\nabc" + part + head + b"\r\nxyz" + part + b"http://short 3\nqqq" + part + head + b"\n123"
+            got = list(warc.parse_arc(data))[1:]
+            assert [r.get("content") for r in got] == [b"abc", b"xyz", None, b"123"] and "2 fields" in got[2]["error"]
+            assert {r["url"] for r in got if not r["error"]} == {"http://h/a b  c"}
+    (headers, block, error) = list(warc.parse_warc(warc.warc_record(got[0])))[0]
+    assert headers["warc-target-uri"] == "http://h/a%20b%20%20c" and block == b"abc" and error is None
+
+
+@pytest.mark.parametrize("raw, iso", [("20201399999999", "2020-01-01T00:00:00Z"), ("20200230101112", "2020-02-01T00:00:00Z"), ("20200229235959", "2020-02-29T23:59:59Z"), ("20200229236059", "2020-02-29T23:00:00Z"), ("0000", "1970-01-01T00:00:00Z"), ("", "1970-01-01T00:00:00Z"), ("x", "1970-01-01T00:00:00Z"), ("1997", "1997-01-01T00:00:00Z"), ("199701", "1997-01-01T00:00:00Z"), ("08991231", "0899-12-31T00:00:00Z"), ("٢٠٢٠", "1970-01-01T00:00:00Z"), ("2020010100000099", "2020-01-01T00:00:00Z")])
+def test_dates_are_dates(raw, iso):
+    assert warc.warc_date(raw) == iso
+
+
+def test_odd_dates_are_kept():
+    rec = {"content": b"x", "url": "u", "ip": "0.0.0.0", "mime": "text/plain"}
+    for raw, kept in (("20200230101112", "20200230101112"), ("20200101000000", None), ("2020\r\nX: y", "2020%0D%0AX:%20y")):
+        (headers, _, _) = list(warc.parse_warc(warc.warc_record(rec | {"date": raw})))[0]
+        assert headers.get("x-archive-date") == kept and "x" not in headers
+
+
+def test_what_is_lost_is_told(spark, tmp_path):
+    """Damage found while converting comes back as rows, beside all that could be read."""
+    good = warc.arc_version_block(1, "f") + warc.arc_record(1, "http://a", b"HTTP/1.1 200 OK\r\nX-Record-Key: 5\r\n\r\nx", 0, "f")
+    archives = [(good + b"http://short 3\nqqq\n" + warc.arc_record(1, "http://b", b"y", 0, "f"), {}), (good[:-5], {}), (b"no archive", None), (b"", {}), (None, {})]
+    got = warc.convert(spark, spark.createDataFrame(archives, "content binary, refs map<string,string>"), f"file://{tmp_path}/w").collect()
+    assert sorted(r.uri for r in got if r.uri) == ["http://a", "http://b"] and sum(r.record_type == "warcinfo" for r in got) == 2
+    assert sorted(r.error for r in got if r.error) == ["2 fields in a version 1 header", "header or declared length unreadable", "header or declared length unreadable"]
+    assert all(not r.intact for r in got if r.error) and all(r.intact for r in got if not r.error)
+
+
 def test_record_types_and_members():
     arc = warc.arc_version_block(1, "f.arc") + warc.arc_record(1, "http://a/", b"HTTP/1.1 200 OK\r\n\r\nx", 0, "f") + b"dns:a 0.0.0.0 20200101000000 text/dns 3\nabc\n"
     records = [warc.warc_record(r) for r in warc.parse_arc(arc)]

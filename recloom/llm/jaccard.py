@@ -1,46 +1,33 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A text's tokens are its distinct shingles of ``k`` words, as 64-bit hashes.  A text of n tokens can miss at most
-tau = n - ceil(t n) of them in a partner of similarity t.  If all texts order tokens alike, rarest first, two partners thus
-share one of the first tau + 1 tokens of either (the prefix).  Rare tokens of a prefix are indexed singly; where it reaches
-into the frequent ones, it is extended so far that two partners must share two neighbours of it, and neighbours are indexed
-as combinations: as many as there are tokens, whatever the text's length.
+A text's tokens are its distinct shingles of ``k`` words, as 64-bit hashes, in ascending order.  A text of n tokens can miss at
+most tau = n - ceil(t n) of them in a partner of similarity t, so two partners share one of the first tau + 1 tokens of
+either, the prefix.  Tokens that up to ``frequent`` nodes have in their prefix are rare and indexed singly.  Of nodes with a
+frequent token in their prefix, the prefix is extended, and its neighbouring tokens are indexed as combinations: as many as
+there are tokens, whatever the text's length.
 
 In steps:
 
-1. ``sketch``: one pass cuts each text to its token count, a 128-bit key of the set and its window, the tokens of lowest
-   hash (tau and ``SPARE`` percent of n; all up to ``WHOLE``).  Texts with equal keys are one node from here on.
-2. Tokens that several nodes have name a few of these as hubs; nodes that share enough of their window with a hub are
-   verified with it.  This joins large groups of near copies at a cost linear in their size.
-3. Of the rest, only tokens count that lie in more than one component; all others come first in the order.  A node that has
-   fewer of them than any partner in another component must share is done.  The few that remain are dense in shared tokens.
-4. Dense nodes are looked at with all their tokens.  Once more each token names a hub, the node with the largest share of
-   tokens in common with others, which is what near copies are copies of.  Then the counts are made anew, prefixes indexed
-   as above, and nodes of different components that meet in the index are verified.  Their links and the hubs' links give components.
-
-Links lost: none.  A pair that is not verified either cannot link or lies in one component already.  For step 3, let A and B
-link, a >= b be their sizes, s(n) = floor(``SPARE`` n / 100) and the short window of n tokens be its lowest tau(n) + s(n).
-
-* A text with 100 n <= percent ``WHOLE`` has partners of at most ``WHOLE`` tokens, kept whole: n - tau(n) tokens are shared.
-* Any other may have a partner that keeps just its short window, so that only its own short window counts, be it kept
-  whole or not.  The shared tokens of either short window are the lowest shared ones.  At most tau(a) of A are not in B, and
-  tau(b) of B not in A, so B's window has at least s(b) shared ones, A's s(a) >= s(b): B counts s(b) or more.
-  Of A's s(a), B's window must reach as many: with d of B not in A, b - d >= t (a + d), it has tau(b) + s(b) - d shared
-  ones.  That less s(a) is linear in b; it is over (1 - t)(t - ``SPARE`` / 100) a at b = t a, where d = 0, and more at
-  b = a, rounding (under 2) apart, which texts of over ``WHOLE`` tokens exceed up to t = 0.99.  A partner that is kept whole
-  holds all of A's s(a).
-
-For step 4, let v of a node's n tokens lie in its component alone, r of the others be rare, m frequent.  If the first token
-that A and B share is rare, it is among the first tau + 1 of either and indexed singly.  Else all I shared tokens are frequent,
-I <= m, and of the (1 - t) / t I or fewer tokens that only one of the two has v + r of A's are none of its frequent ones:
-at most d = (1 - t) / t m - v - r unshared ones are left among the frequent ones of both (none: no link).  Between the first
-d + 2 shared tokens there are d + 1 gaps, so one gap holds no unshared token of either: two tokens that are neighbours in
-both.  A has these within d + 2 + min(d, tau - v - r) frequent tokens.  d + 2 tokens are shared, as I >= t / (1 - t) >= 3
-times the unshared ones, of which there is one at least; under t = 0.75 all tokens are indexed singly.
+1. ``signed``: token count and a 128-bit key of each text's set.  Rows with equal keys are one node from here on.
+2. ``windows``: the extended prefix of each node, from its whole text.  Prefix tokens are counted, rare ones are indexed, and
+   nodes with frequent ones are indexed by combinations.  Only entries that two nodes have are kept.
+3. Inside the index, long lists are shortened first: each list names as hub its node with the largest share of entries in
+   common with others (which is what near copies are copies of), and each node is verified with the hub that it meets most
+   often.  What links is one component.  This is done twice, at a cost linear in the lists' sizes.
+4. All pairs of different components that meet in a list are verified.  Their links and those of step 3 give the components.
+
+Links lost: none.  Let A and B link and differ, s be the first token that they share, I their shared tokens, and U those that
+only one of them has.  s lies in the prefix of either, so if it is rare, both are in its list.  Else both are indexed by
+combinations.  U <= (1 - t) / t I, and I is at most either's size n, so that U <= d(n) = floor((1 - t) / t n).  Between the
+first U + 2 shared tokens there are U + 1 gaps; one of them holds no unshared token, and the two shared ones beside it are
+neighbours in A and in B.  In either text of n tokens they lie within the first d + 2 + min(d, tau) tokens, which the window
+holds.  U + 2 tokens are shared, as U >= 1 and I >= t / (1 - t) U >= 3 U from t = 0.75 on; under that all tokens are indexed
+singly.  Of a single token's list, pairs go whose sizes and places say that they can't link with it as their
+first shared token.  A pair that is not verified lies in one component already.
 
 Edge cases: null and empty texts have no token and link with nothing; a text shorter than ``k`` words has one token;
-rows with a null id get a null component; repeated rows are one node; an empty table gives an empty one; extra columns are
-left out.
+rows with a null id get a null component; repeated rows are one node, rows of one id with other texts are documents of their
+own; an empty table gives an empty one; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -50,23 +37,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recloom.llm.components import components
 from recloom.llm.store import Scratch
 
-#: Nodes that have it, from which on a token is a frequent one.
+#: Nodes that have it in their prefix, up to which a token is a rare one.
 FREQUENT = 32
-WHOLE = 256
-#: Nodes of one combination that a task pairs with all the others.
+#: Nodes of one list that a task pairs with all the others.
 BLOCK = 4096
 #: Combinations looked back at, so that a pair is not made anew by each of a run of shared ones.
 REPEATS = 4
-#: Percent of a longer text's tokens that its window holds beyond tau.
-SPARE = 7
-#: Ids that are broadcast at most (8 bytes each); beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Rows of ids or nodes that are broadcast at most (some 50 bytes each); beyond, the join shuffles.
+BROADCAST_IDS = 500_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(29)
 
@@ -93,37 +77,59 @@ def tokens(text: str | None, k: int) -> np.ndarray:
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
+def tau_of(n, percent: int):
+    """Tokens of ``n`` that a partner may lack; ``n`` is a number or a column."""
+    return n + (F.floor(F.lit(-percent) * n / 100) if hasattr(n, "alias") else -percent * n // 100)
+
+
 def window_size(n: int, percent: int) -> int:
-    return n if n <= WHOLE else n + (percent * -n // 100) + SPARE * n // 100
+    """Tokens of the extended prefix."""
+    tau = tau_of(n, percent)
+    if percent < 75:
+        return min(n, tau + 1)
+    d = n * (100 - percent) // percent
+    return min(n, d + 2 + min(d, tau))
+
+
+def key_of(found: np.ndarray) -> bytes | None:
+    return xxhash.xxh128_digest(found.tobytes()) if len(found) else None
 
 
-def sketch(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``doc_id``, ``n``, ``key`` (null for an empty set) and ``tokens``, the window in ascending order."""
+def signed(docs: DataFrame, k: int) -> DataFrame:
+    """``doc_id``, ``n`` and ``key`` (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 sets = [tokens(t, k) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([s[: window_size(len(s), percent)] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "key", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(s) for s in sets], pa.binary())], names=["doc_id", "n", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary")
 
 
-def whole_sets(docs: DataFrame, k: int) -> DataFrame:
+def of_nodes(docs: DataFrame, nodes: DataFrame, k: int, percent: int | None) -> DataFrame:
+    """``node``, ``n`` and ``tokens`` (the window, or all without ``percent``) of the documents that stand for ``nodes`` (``node``,
+    ``id``, ``key``), from their texts: by broadcast if the nodes are few, else by a shuffle of the texts."""
+    wanted = nodes.select(F.col("id").alias("doc_id"), "node", "key")
+    rows = docs.join(F.broadcast(wanted) if nodes.count() <= BROADCAST_IDS else wanted, "doc_id").select("node", "key", "text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([tokens(t, k) for t in part.column("text").to_pylist()], pa.list_(pa.int64()))], names=["node", "tokens"])
+                sets = [tokens(t, k) for t in part.column("text").to_pylist()]
+                own = [(v, s) for v, key, s in zip(part.column("node").to_pylist(), part.column("key").to_pylist(), sets, strict=True) if key == key_of(s)]
+                if own:
+                    kept = [s if percent is None else s[: window_size(len(s), percent)] for _, s in own]
+                    yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, tokens array<long>")
+    return rows.mapInArrow(run, "node long, n long, tokens array<long>")
 
 
-def only_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows whose ``column`` is in ``ids`` (``id``): by broadcast if they are few, else by a shuffled semi join."""
-    ids = ids.withColumnRenamed("id", column)
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
+def only_nodes(df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows whose ``node`` is in ``nodes``: by broadcast if they are few, else by a shuffled semi join."""
+    return df.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "node", "left_semi")
 
 
 def verify(scratch: Scratch, sets: DataFrame, pairs: DataFrame, label: str, percent: int) -> DataFrame:
@@ -147,106 +153,119 @@ def verify(scratch: Scratch, sets: DataFrame, pairs: DataFrame, label: str, perc
     return scratch.save(rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), f"{label}-links")
 
 
-def mixed(tokens: DataFrame) -> DataFrame:
-    """``h`` and ``df`` (nodes that have it) of the tokens that lie in more than one component."""
-    return tokens.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).filter("lo != hi").select("h", "df")
-
-
-def combinations(nodes: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """``node``, ``n``, ``comp``, ``u`` (shared tokens) and ``t`` (these as ``df``, ``h``, rarest first) to an index row per
-    combination: ``h`` and ``before``, the ``REPEATS`` combinations in front of it.  See the module's proof for the lengths."""
-    at_most = lambda x: F.greatest(F.lit(0), x).cast("int")
-    n, u, r, p = (F.col(c) for c in "nurp")
-    tau = n + F.floor(F.lit(-percent) * n / 100)
-    x = nodes.withColumn("p", tau + 1 - (n - u)).filter("p >= 1").withColumn("r", F.size(F.filter("t", lambda t: t["df"] <= frequent)))
-    own = F.transform("t", lambda t: t["h"])
-    single = F.slice(own, F.lit(1), at_most(F.least(p, r)))
-    spare = F.floor(F.lit(100 - percent) * (u - r) / percent) - (n - u) - r
-    run = F.slice(own, r + 1, F.when((r < p) & (spare >= 0), at_most(spare + 2 + F.least(spare, p - 1 - r))).otherwise(0))
-    pairs = F.zip_with(F.slice(run, F.lit(1), at_most(F.size(run) - 1)), F.slice(run, F.lit(2), at_most(F.size(run) - 1)), lambda a, b: F.xxhash64(a, b))
-    x = x.select("node", "n", "u", "comp", F.concat(single, pairs).alias("all"))
-    back = lambda i: F.greatest(i - REPEATS, F.lit(0))
+def combinations(windows: DataFrame, repeats: int = 0) -> DataFrame:
+    """``windows`` to a row per pair of neighbouring tokens: ``node``, ``n``, ``h`` and, with ``repeats``, ``before``, the combinations in
+    front of it."""
+    one_less = F.greatest(F.size("tokens") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("tokens", F.lit(1), one_less), F.slice("tokens", F.lit(2), one_less), lambda a, b: F.xxhash64(a, b))
+    x = windows.select("node", "n", pairs.alias("all"))
+    if not repeats:
+        return x.select("node", "n", F.explode("all").alias("h"))
+    back = lambda i: F.greatest(i - repeats, F.lit(0))
     rows = F.transform("all", lambda h, i: F.struct(h.alias("h"), F.slice("all", back(i) + 1, i - back(i)).alias("before")))
-    return x.select("node", "n", "u", "comp", F.explode(rows).alias("x")).select("node", "n", "u", "comp", "x.h", "x.before")
-
-
-def crossing(index: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a`` < ``b`` of nodes in different components that share a combination and could be similar enough if all their
-    tokens that lie in several components (``u`` of ``n``) were the same.  A combination of more than ``BLOCK`` nodes is cut:
-    each part of its nodes meets all of them in a task of its own.  Both sides are shuffled and sorted, which spills."""
-    sizes = index.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo != hi")
-    index = index.join(sizes.select("h", F.ceil(F.col("c") / BLOCK).alias("parts")).hint("merge"), "h")
-    x = index.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("x")
-    y = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
-    most = F.least("x.u", "y.u")
-    near = 100 * most >= F.lit(percent) * (F.col("x.n") + F.col("y.n") - most)
+    return x.select("node", "n", F.inline(rows))
+
+
+def shared(scratch: Scratch, entries: DataFrame, label: str) -> DataFrame:
+    """``entries`` whose ``h`` several rows have, with ``df``, their number.  The counts are stored first, so that both sides of the
+    join are shuffled and Spark can split a hot one."""
+    counts = scratch.save(entries.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), f"{label}-counts")
+    return entries.join(counts, "h")
+
+
+def token_index(scratch: Scratch, windows: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """``h``, ``node``, ``n``, ``at``: rare prefix tokens singly, with their place, and combinations (no place) for nodes that have
+    frequent tokens in their prefix."""
+    prefix = windows.select("node", "n", F.posexplode(F.slice("tokens", F.lit(1), (tau_of(F.col("n"), percent) + 1).cast("int"))).alias("at", "h"))
+    met = scratch.save(shared(scratch, prefix, "prefix"), "prefix")
+    if percent < 75:
+        return met.select("h", "node", "n", "at")
+    dense = scratch.save(met.filter(F.col("df") > frequent).select("node").distinct(), "dense")
+    both = shared(scratch, combinations(only_nodes(windows, dense)), "combination")
+    rare = met.filter(F.col("df") <= frequent)
+    return rare.select("h", "node", "n", "at").unionByName(both.select("h", "node", "n", F.lit(None).cast("int").alias("at")))
+
+
+def crossed(index: DataFrame, comp: DataFrame) -> DataFrame:
+    """The index with each node's component, without lists that lie in one."""
+    own = index.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    lists = own.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo != hi")
+    return own.join(lists.select("h", "c").hint("merge"), "h")
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether two entries of a list (structs or aliases ``x`` and ``y``) can be of a link whose first shared token this is."""
+    own = lambda side, name: F.col(f"{side}.{name}")
+    n, m = own(x, "n"), own(y, "n")
+    # what follows the first shared token is shared at most
+    place = (100 + percent) * F.least(n - own(x, "at"), m - own(y, "at")) >= percent * (n + m)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & F.coalesce(place, F.lit(True))
+
+
+def with_hubs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b``: each node of ``lists`` with the hub that it meets in most of them, if their sizes allow a link."""
+    share = lists.groupBy("node").agg((F.count("*") / F.first("n") + F.pmod(F.xxhash64("node"), F.lit(1_000_003)) * 1e-12).alias("share"))
+    hubs = lists.join(share, "node").groupBy("h").agg(F.max_by(F.struct("node", "n", "comp", "at"), F.struct("share", "node")).alias("hub"))
+    met = lists.alias("own").join(hubs, "h").filter((F.col("comp") != F.col("hub.comp")) & may_link("own", "hub", percent))
+    met = met.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("c"))
+    best = met.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def crossing(lists: DataFrame, windows: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``a`` < ``b`` of nodes in different components that meet in a list and whose sizes allow a link.  A list of more
+    than ``BLOCK`` nodes is cut: each part of its nodes meets all of them in a task of its own.  Both sides are shuffled and
+    sorted, which spills."""
+    live = lists.filter("at is null").select("node").distinct()
+    before = combinations(only_nodes(windows, live), REPEATS).select("node", "h", "before")
+    x = lists.join(before, ["node", "h"], "left").withColumn("parts", F.ceil(F.col("c") / BLOCK))
+    y = x.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
+    x = x.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("x")
     # of combinations that two nodes share one after the other, only the first makes the pair
-    again = F.arrays_overlap("x.before", "y.before")
-    on = (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & near & ~again
+    again = F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False))
+    on = (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y", percent) & ~again
     return x.join(y.hint("merge"), on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def index_links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, k: int, percent: int, frequent: int) -> DataFrame:
+    """Steps 2 to 4: ``a``, ``b`` of links that connect what all links connect."""
+    windows = scratch.save(of_nodes(docs, nodes, k, percent), "windows")
+    index = scratch.save(token_index(scratch, windows, percent, frequent), "index")
+    scratch.drop("prefix", "prefix-counts", "combination-counts", "dense")
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = scratch.save(pairs, f"{label}-pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = scratch.save(of_nodes(docs, only_nodes(nodes, ends), k, None), f"{label}-sets")
+        links = verify(scratch, sets, pairs, label, percent)
+        scratch.drop(f"{label}-pairs", f"{label}-sets")
+        return links
+
+    links = None
+    comp = index.select("node", F.col("node").alias("component")).limit(0)
+    for turn in ("hub", "again", "rest"):
+        lists = scratch.save(crossed(index, comp), f"{turn}-lists")
+        scratch.drop("index")
+        more = verified(crossing(lists, windows, percent) if turn == "rest" else with_hubs(lists, percent), turn)
+        links = more if links is None else links.unionByName(more)
+        if turn != "rest":
+            comp = scratch.save(components(scratch, links, turn), f"{turn}-components")
+            index = lists.select("h", "node", "n", "at")
+    scratch.drop("windows", "hub-lists", "again-lists", "rest-lists", "hub-components", "again-components")
+    return links
+
+
 def join_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``: the smallest id that links of similarity ``percent`` / 100 or more
     over ``k``-word shingles reach."""
     scratch = Scratch(spark, "jaccard")
     docs = docs.select("doc_id", "text")
-    raw = scratch.save(sketch(docs, k, percent), "sketch")
-    sig = scratch.save(raw.select("doc_id", "n", "key"), "keys")
-    nodes = scratch.save(sig.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
-    own = raw.join(nodes, (raw["key"] == nodes["key"]) & (raw["doc_id"] == nodes["node"])).select("node", "n", "tokens")
-    n = F.col("n")
-    tau = n + F.floor(F.lit(-percent) * n / 100)
-    # a text that may have a partner over WHOLE counts with the window that it would have there, however much of it is kept
-    width = F.when(100 * n <= percent * WHOLE, n).otherwise(tau + F.floor(n * SPARE / 100))
-    own = scratch.save(own, "windows")
-    scratch.drop("sketch")
-    sizes = scratch.save(own.select("node", "n"), "sizes")
-    tok = own.select("node", width.alias("width"), F.posexplode("tokens").alias("at", "h")).select("node", "h", (F.col("at") < F.col("width")).alias("low"))
-
-    spread = F.xxhash64("node")
-    hubs = tok.groupBy("h").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.min_by("node", spread).alias("u"), F.max_by("node", spread).alias("v")).filter("p != q")
-    shared = scratch.save(tok.join(hubs, "h"), "shared")
-    scratch.drop("windows")
-    to_hub = shared.filter("low").select("node", F.explode(F.array_distinct(F.array("p", "q", "u", "v"))).alias("hub")).filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
-    to_hub = to_hub.join(sizes.select("node", "n"), "node").filter(F.col("c") >= 0.3 * width)
-    pairs = scratch.save(to_hub.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "hub-pairs")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    links = verify(scratch, scratch.save(whole_sets(only_ids(docs, "doc_id", ends), k), "hub-sets"), pairs, "hub", percent)
-    scratch.drop("hub-sets", "hub-pairs")
-    comp = scratch.save(components(scratch, links, "first"), "first")
-
-    known = comp.withColumnRenamed("component", "comp")
-    own_comp = F.coalesce("comp", "node").alias("comp")
-    live = scratch.save(shared.select("h", "node", "low").join(known, "node", "left").select("h", "node", "low", own_comp), "live")
-    scratch.drop("shared")
-    dense = live.filter("low").join(mixed(live), "h").groupBy("node").agg(F.count("*").alias("m"), F.first("comp").alias("comp")).join(sizes.select("node", "n"), "node")
-    dense = scratch.save(dense.filter(F.col("m") >= width - tau).select("node", "n", "comp"), "dense")
-    sets = scratch.save(whole_sets(only_ids(docs, "doc_id", dense.select(F.col("node").alias("id"))), k), "dense-sets")
-    scratch.drop("live")
-
-    def shared_by(facts: DataFrame) -> DataFrame:
-        every = sets.select("node", F.explode("tokens").alias("h")).join(facts, "node").select("h", "node", "n", "comp")
-        return every.join(mixed(every), "h")
-
-    # once more with the node as hub that has most of its tokens in common with others: what near copies are copies of
-    every = scratch.save(shared_by(dense), "dense-tokens")
-    share = every.groupBy("node").agg((F.count("*") / F.first("n") + F.pmod(F.xxhash64("node"), F.lit(1_000_003)) * 1e-12).alias("share"))
-    hubs = every.join(share, "node").groupBy("h").agg(F.max_by("node", "share").alias("hub"))
-    to_hub = every.join(hubs, "h").filter("node != hub").groupBy("node", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter("c >= 0.3 * n")
-    pairs = scratch.save(to_hub.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "best-pairs")
-    links = links.unionByName(verify(scratch, sets, pairs, "best", percent))
-    comp = scratch.save(components(scratch, links, "second"), "second")
-    dense = scratch.save(dense.drop("comp").join(comp.withColumnRenamed("component", "comp"), "node", "left").select("node", "n", own_comp), "dense-again")
-    scratch.drop("dense-tokens", "best-pairs", "first")
-
-    every = shared_by(dense)
-    per = every.groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t")).withColumn("u", F.size("t"))
-    index = scratch.save(combinations(per, percent, frequent if percent >= 75 else 1 << 62), "index")
-    found = scratch.save(crossing(index, percent), "rest-pairs")
-    more = verify(scratch, sets, found, "rest", percent)
-    comp = scratch.save(components(scratch, links.unionByName(more), "last"), "last")
-    scratch.drop("sizes", "dense", "dense-again", "dense-sets", "index", "rest-pairs", "second")
-    label = nodes.join(comp, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
-    out = sig.select("doc_id", "n", "key").join(label, "key", "left")
+    keys = scratch.save(signed(docs, k), "keys")
+    some = keys.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"))
+    nodes = scratch.save(some.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    links = index_links(scratch, docs, nodes, k, percent, frequent)
+    comp = scratch.save(components(scratch, links, "last"), "components")
+    first = scratch.save(comp.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id")), "first")
+    label = nodes.join(comp.join(first, "component").select("node", "component_id"), "node", "left").select("key", F.coalesce("component_id", "id").alias("component_id"))
+    out = keys.join(label, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -388,8 +388,6 @@ def families(seed, n=260):
 
 @pytest.mark.parametrize(("seed", "k", "percent", "frequent"), [(1, 4, 85, 32), (2, 5, 80, 2), (3, 4, 85, 3)])
 def test_jaccard_loses_no_link(spark, seed, k, percent, frequent, monkeypatch):
-    if seed == 3:
-        monkeypatch.setattr(jaccard, "WHOLE", 40)  # more texts have a window, some run out of rare tokens in it
     if seed == 2:
         monkeypatch.setattr(jaccard, "BLOCK", 3)  # combinations cut into many parts
     texts = families(seed)
@@ -397,19 +395,32 @@ def test_jaccard_loses_no_link(spark, seed, k, percent, frequent, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == link_brute(texts, k, percent)
 
 
-@pytest.mark.parametrize(("k", "percent", "shorts"), [(4, 85, 1), (5, 80, 1), (4, 85, 3)])
-def test_jaccard_across_whole(spark, k, percent, shorts):
-    """Near copies on both sides of WHOLE; the short ones are no token's hub among the long ones."""
-    words = [f"w{i}" for i in range(jaccard.WHOLE + 8)]
-    short = [" ".join([*words[: jaccard.WHOLE - 6 - i], f"s{i}"]) for i in range(shorts)]
-    long = [" ".join([*words[: len(words) - i], *(f"x{i}y{j}" for j in range(i))]) for i in range(12 - shorts)]
-    by_hash = [r.id for r in spark.range(12).orderBy(F.xxhash64("id")).collect()]
-    middle = [i for i in by_hash[1:-1] if 0 < i < 11][:shorts]
-    texts = dict(zip([*middle, *(i for i in range(12) if i not in middle)], [*short, *long], strict=True)) | {20: "other words that link with nothing"}
-    want = link_brute(texts, k, percent)
-    assert {want[i][1] for i in range(12)} == {0} and all(want[i][0] <= jaccard.WHOLE for i in middle) and max(n for n, _ in want.values()) > jaccard.WHOLE
-    got = jaccard.join_components(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k, percent)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+@pytest.mark.parametrize(("seed", "k", "percent"), [(5, 4, 85), (6, 5, 80), (7, 3, 60)])
+def test_jaccard_all_links_come_from_the_index(spark, seed, k, percent):
+    """Without hubs, and with every token frequent, or none."""
+    texts = families(seed, 120)
+    want, rows = link_brute(texts, k, percent), spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    scratch = Scratch(spark, "t")
+    nodes = scratch.save(jaccard.signed(rows, k).filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    id_of = {r.node: r.id for r in nodes.collect()}
+    sets = {i: shingles(t, k) for i, t in texts.items()}
+    links = {tuple(sorted(p)) for p in itertools.combinations(id_of.values(), 2) if 100 * len(sets[p[0]] & sets[p[1]]) >= percent * len(sets[p[0]] | sets[p[1]])}
+    assert len(links) > 10 and len({c for _, c in want.values()}) > 10
+    windows = scratch.save(jaccard.of_nodes(rows, nodes, k, percent), "windows")
+    for frequent in (0, 1 << 40):
+        own = Scratch(spark, "t")
+        index = own.save(jaccard.token_index(own, windows, percent, frequent), "index")
+        lists = own.save(jaccard.crossed(index, index.select("node", F.col("node").alias("component")).limit(0)), "lists")
+        found = {tuple(sorted((id_of[r.a], id_of[r.b]))) for r in jaccard.crossing(lists, windows, percent).collect()}
+        assert links <= found and len(found) < len(id_of) ** 2 / 4
+
+
+def test_jaccard_ids_that_repeat(spark):
+    """Rows of one id with other texts are documents of their own."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(7, " ".join(words)), (7, "quite another text of some words"), (9, " ".join(words[1:])), (3, "quite another text of some words"), (7, " ".join(words)), (12, "alone here")]
+    got = jaccard.join_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(3, 3, 3), (7, 3, 3), (7, 57, 7), (7, 57, 7), (9, 56, 7), (12, 1, 12)]
 
 
 def revisions(seed, n, size, apart):
@@ -436,9 +447,10 @@ def test_jaccard_long_texts_of_one_template(spark, seed, frequent):
 
 def test_jaccard_index_is_linear_in_text_length(spark):
     for m in (300, 3000):
-        t = [(100, h) for h in range(m)]
-        row = spark.createDataFrame([(1, m, 1, t, m)], "node long, n long, comp long, t array<struct<df:long,h:long>>, u int")
-        assert jaccard.combinations(row, 85, 32).count() < 0.4 * m
+        assert jaccard.window_size(m, 85) < 0.34 * m and jaccard.window_size(m, 80) < 0.46 * m
+        t = list(range(jaccard.window_size(m, 85)))
+        row = spark.createDataFrame([(1, m, t)], "node long, n long, tokens array<long>")
+        assert jaccard.combinations(row).count() == len(t) - 1
 
 
 def test_jaccard_awkward(spark):

@@ -35,15 +35,21 @@ def envelope(v: np.ndarray, fs: float, band: tuple[float, float], pad: int | Non
     return np.log(a + 1e-6 * np.median(a) + np.finfo(float).tiny)
 
 
-def welch(v: np.ndarray, fs: float, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies and mean power of Hann windows that overlap by half."""
+def window_powers(v: np.ndarray, fs: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies, and the powers of Hann windows that overlap by half (windows x frequencies); a shorter signal is one window."""
     v = np.asarray(v, float)
     size = min(size, len(v))
     w = np.hanning(size)
     at = np.arange(0, len(v) - size + 1, max(1, size // 2))
     x = v[at[:, None] + np.arange(size)]
     p = np.abs(np.fft.rfft((x - x.mean(1, keepdims=True)) * w, axis=1)) ** 2
-    return np.fft.rfftfreq(size, 1 / fs), p.mean(0) / (fs * (w**2).sum())
+    return np.fft.rfftfreq(size, 1 / fs), p / (fs * (w**2).sum())
+
+
+def welch(v: np.ndarray, fs: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and mean power of the windows."""
+    f, p = window_powers(v, fs, size)
+    return f, p.mean(0)
 
 
 def low_pass(v: np.ndarray, fs: float, cut: float) -> np.ndarray:

@@ -210,47 +210,16 @@ def spectrogram(df: DataFrame, keys: Sequence[str], v: str, fs: float, size: int
     def run(frames):
         for f in frames:
             rows = []
-            for r in f.itertuples(index=False):
-                x = np.asarray(getattr(r, v), float)
-                up = False
-                for k, at in enumerate(range(0, len(x) - size + 1, max(1, size // 2))):
-                    _, p = kernels.welch(x[at : at + size], fs, size)
-                    now = bool(p.sum() > threshold)
-                    rows.append([*(getattr(r, q) for q in keys), k, float(p.sum()), now and not up])
-                    up = now
+            for own, x in zip(f[list(keys)].itertuples(index=False), f[v], strict=True):
+                x = np.asarray(x, float)
+                power = kernels.window_powers(x, fs, size)[1].sum(1) if len(x) >= size else np.zeros(0)
+                over = power > threshold
+                rows += [[*own, k, float(p), bool(up)] for k, (p, up) in enumerate(zip(power, over & ~np.concatenate(([False], over[:-1])), strict=True))]
             yield pd.DataFrame(rows, columns=[*keys, "window", "power", "detected"])
 
     return df.select(*keys, v).mapInPandas(run, _kinds(df, keys) + "window int, power double, detected boolean")
 
 
-def decimated(df: DataFrame, keys: Sequence[str], v: str, fs: float, q: int) -> DataFrame:
-    """Low-pass well below the new Nyquist rate, every q-th sample."""
-    def run(frames):
-        for f in frames:
-            out = f.copy()
-            out[v] = [kernels.low_pass(np.asarray(x, float), fs, 0.4 * fs / q)[::q].tolist() for x in f[v]]
-            yield out[[*keys, v]]
-
-    return df.select(*keys, v).mapInPandas(run, _kinds(df, keys) + f"`{v}` array<double>")
-
-
-def bad_channels(df: DataFrame, group: Sequence[str], channel: str, v: str, dead: float = 0.3, noisy: float = 3.0) -> DataFrame:
-    """G17 (own features): per group (recording and chunk) each channel's correlation with the group's median channel and its
-    high-frequency share (sd of first differences over sd); label 1 dead under ``dead``, 2 noisy over ``noisy`` times the
-    median share, else 0.  A group is one chunk of all channels, so it is bounded by the chunk length."""
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(a, float) for a in f[v]])
-        mid = np.median(x, axis=0)
-        sd = x.std(1)
-        c = np.array([np.corrcoef(a, mid)[0, 1] if s > 0 and mid.std() > 0 else 0.0 for a, s in zip(x, sd, strict=True)])
-        hf = np.where(sd > 0, np.diff(x, axis=1).std(1) / np.maximum(sd, 1e-300), 0)
-        label = np.where(c < dead, 1, np.where(hf > noisy * np.median(hf), 2, 0))
-        return f[[*group, channel]].assign(similarity=c, high=hf, label=label)
-
-    kinds = dict(df.dtypes)
-    return df.groupBy(*group).applyInPandas(run, _kinds(df, group) + f"`{channel}` {kinds[channel]}, similarity double, high double, label int")
-
-
 def label_mode(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """The label that most chunks give; the smaller at a tie."""
     n = df.groupBy(*keys, label).agg(F.count("*").alias("_n"))

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recloom.functions.numbers import correlation
-from recloom.operators import signal as sg
 
 
 def saturation(df: DataFrame, keys: Sequence[str], channel: str, i: str, v: str, limit: float, slew: float, share: float) -> DataFrame:
@@ -61,14 +60,6 @@ def neighbour_correlation(df: DataFrame, keys: Sequence[str], channel: str, i: s
     return a.select(*keys, "channel").distinct().join(best, [*keys, "channel"], "left")
 
 
-def csd_power(arrays: DataFrame, keys: Sequence[str], channel: str, v: str, fs: float, q: int, h: float) -> DataFrame:
-    """Of every channel's array, low-passed and thinned by ``q``, the second difference over depth and its mean square;
-    none for the channels at either end."""
-    low = sg.decimated(arrays, [*keys, channel], v, fs, q).select(*keys, channel, F.posexplode(v).alias("_i", "_v"))
-    x = sg.csd(low, [*keys, "_i"], channel, "_v", h)
-    return x.groupBy(*keys, channel).agg(F.avg(F.col("csd") * F.col("csd")).alias("csd_power"))
-
-
 def separate(found: DataFrame, keys: Sequence[str], channel: str, i: str, v: str, reach: int, dead: int) -> DataFrame:
     """Without the events that have a deeper one (at a tie, of lower channel, then earlier) within ``reach`` channels and
     ``dead`` samples.  Deeper ones are spread over the buckets of time in which what they suppress lies."""

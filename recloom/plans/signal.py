@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recloom.functions import kernels
+from recloom.operators import blocks as bk
 from recloom.operators import events as ev
+from recloom.operators import features as ft
 from recloom.operators import signal as sg
 from recloom.operators import spikes as sp
 from recloom.plans.base import query, t
@@ -259,30 +261,70 @@ def spike_detect(s, d):
     return sg.detect_spikes(long_vectors(s, d), ["vec_id"], "pos", "v", 1.5).select("vec_id", "pos", F.round("v", 6).alias("v"))
 
 
+def _dft(size: int, fs: float) -> str:
+    """Powers of Hann windows that overlap by half, by a plain transform, as ``pw`` (vec_id, k: window, f, p)."""
+    return f"""x as (select vec_id, u.p::integer pos, embedding[u.p + 1]::double v from embeddings, (select unnest(range(64)) p) u),
+w as (select vec_id, k, pos - k * {size // 2} s, v from x, (select unnest(range({(64 - size) // (size // 2) + 1})) k) where pos - k * {size // 2} between 0 and {size - 1}),
+c as (select vec_id, k, s, (v - avg(v) over (partition by vec_id, k)) * (0.5 - 0.5 * cos(2 * pi() * s / {size - 1})) y from w),
+z as (select sum(power(0.5 - 0.5 * cos(2 * pi() * s / {size - 1}), 2)) e from (select unnest(range({size})) s)),
+pw as (select vec_id, k, f.f, (power(sum(y * cos(2 * pi() * f.f * s / {size})), 2) + power(sum(y * sin(2 * pi() * f.f * s / {size})), 2)) / any_value({fs} * e) p from c, (select unnest(range({size // 2 + 1})) f) f, z group by 1, 2, 3)"""
+
+
+def recordings(s, d):
+    """A label's vectors in order are the samples of a recording with 64 channels."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("label")
+    i = F.row_number().over(own.orderBy("vec_id")) - 1
+    return t(s, d, "embeddings").select("label", i.cast("long").alias("i"), F.count("*").over(own).alias("n"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+
+
 @query()
 def band_envelope(s, d):
-    return sg.band_envelopes(t(s, d, "embeddings"), ["vec_id"], "embedding", 250.0)
+    """By blocks of samples with all their channels, floored by the exact median."""
+    return bk.log_envelopes(bk.band_amplitudes(recordings(s, d), ["label"], 250.0), ["label"])
 
 
-@query()
+@query(f"""with {_dft(32, 250.0)}, m as (select vec_id, f, avg(p) p from pw group by 1, 2),
+bn as (select unnest(['delta', 'theta', 'beta', 'gamma']) band, unnest([1.0, 4.0, 15.0, 30.0]) lo, unnest([4.0, 8.0, 30.0, 90.0]) hi)
+select vec_id, band, round(10 * log10(avg(p) + 1e-300), 6) db from bn left join m on f * 250.0 / 32 >= lo and f * 250.0 / 32 < hi where vec_id is not null group by 1, 2
+union all select vec_id, band, null from embeddings, bn where not exists (select 1 from range(17) f(f) where f.f * 250.0 / 32 >= lo and f.f * 250.0 / 32 < hi)""")
 def psd_bands(s, d):
-    return sg.band_powers(t(s, d, "embeddings"), ["vec_id"], "embedding", 250.0, 32)
+    return sg.band_powers(t(s, d, "embeddings"), ["vec_id"], "embedding", 250.0, 32).withColumn("db", F.round("db", 6))
 
 
-@query()
+@query(f"""with {_dft(16, 250.0)}, q as (select vec_id, k, sum(p) q from pw group by 1, 2)
+select vec_id, k::integer "window", round(q, 9) power, q > 0.003 and coalesce(lag(q) over (partition by vec_id order by k) <= 0.003, true) detected from q""")
 def spectrogram(s, d):
-    return sg.spectrogram(t(s, d, "embeddings"), ["vec_id"], "embedding", 250.0, 16, 0.003)
+    return sg.spectrogram(t(s, d, "embeddings"), ["vec_id"], "embedding", 250.0, 16, 0.003).withColumn("power", F.round("power", 9))
 
 
-@query()
+@query("""with r as (select label, row_number() over (partition by label order by vec_id) - 1 i, count(*) over (partition by label) n, [z::double for z in embedding] e from embeddings),
+x as (select label, i, n, c.c, e[c.c + 1] - list_aggregate(e, 'median') v from r, (select unnest(range(64)) c) c),
+h0 as (select k, (case when k = 0 then 1 else sin(pi() * 0.4 * k) / (pi() * 0.4 * k) end) * (0.42 + 0.5 * cos(pi() * k / 29) + 0.08 * cos(2 * pi() * k / 29)) h from (select unnest(range(-28, 29)) k)), h as (select k, h / sum(h) over () h from h0),
+p as (select label, i, n, i + k a, h from r, h where i % 2 = 0),
+s as (select label, i, a src, h w from p where a between 0 and n - 1 union all select label, i, 0, 2 * h from p where a < 0 union all select label, i, least(-a, n - 1), -h from p where a < 0
+  union all select label, i, n - 1, 2 * h from p where a >= n union all select label, i, greatest(2 * (n - 1) - a, 0), -h from p where a >= n),
+w as (select label, i, src, sum(w) w from s group by 1, 2, 3)
+select w.label, w.i // 2 i, x.c::integer channel, round(sum(w * v), 6) v from w join x on x.label = w.label and x.i = w.src group by 1, 2, 3""")
 def decimate(s, d):
-    return sg.decimated(t(s, d, "embeddings").select("vec_id", "embedding"), ["vec_id"], "embedding", 250.0, 4)
+    """Common reference, low-pass and every second sample, in blocks of 16 with their halo."""
+    x = bk.decimated(recordings(s, d), ["label"], 2, 16)
+    return x.select("label", "i", F.posexplode("x").alias("channel", "v")).withColumn("v", F.round("v", 6))
 
 
 @query()
 def bad_channels(s, d):
-    x = sg.bad_channels(t(s, d, "embeddings").withColumnRenamed("label", "pid").withColumn("chunk", F.col("vec_id") % 5), ["pid", "chunk"], "vec_id", "embedding")
-    return sp.outside_labels(x, ["pid", "chunk"], "vec_id")
+    """Features and labels of every chunk are stored, then each channel's label is what most chunks give it."""
+    path = folder(s, "chunk_labels")
+    writers.table(bk.chunk_labels(bk.channel_features(recordings(s, d), ["label"], 250.0, 25, window=12).withColumnRenamed("label", "pid"), ["pid"]), path)
+    return sg.label_mode(s.read.parquet(path), ["pid", "channel"], "label")
+
+
+@query("""select l_suppkey, l_linenumber from (select l_suppkey, l_linenumber, count(*) c from lineitem group by 1, 2) qualify row_number() over (partition by l_suppkey order by c desc, l_linenumber) = 1""")
+def label_mode(s, d):
+    """The most frequent label, the smaller at a tie."""
+    return sg.label_mode(t(s, d, "lineitem"), ["l_suppkey"], "l_linenumber")
 
 
 def gram_packs(s, d):
@@ -308,26 +350,44 @@ def channel_gram(s, d):
     return sg.channel_gram(gram_packs(s, d), ["label"]).withColumn("g", F.round("g", 6))
 
 
-@query()
-def feature_bundle(s, d):
-    """Of re-referenced vectors, one row per channel: RMS, largest correlation with a neighbour, band powers, power of the
-    current-source density, and number and mean depth of spikes.  A channel is a vector's place in its recording (label)."""
+def snippets(s, d):
+    """Vectors of a label as channels of a snippet, their places as its samples, re-referenced."""
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    x = t(s, d, "embeddings").withColumn("ch", place).select("label", "vec_id", "ch", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+    x = t(s, d, "embeddings").withColumn("ch", place).select("label", "ch", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    mid = F.array_sort("x")
+    half = F.size("x") / 2
+    median = (F.get(mid, F.ceil(half).cast("int") - 1) + F.get(mid, F.floor(half).cast("int"))) / 2
+    return x.groupBy("label", F.col("i").cast("long").alias("i")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "v"))), lambda p: p["v"]).alias("x")).withColumn("m", median).select(
+        "label", "i", F.lit(64).cast("long").alias("n"), F.transform("x", lambda v: v - F.col("m")).alias("x"))
+
+
+@query(f"""with ch as (select label, row_number() over (partition by label order by vec_id) - 1 channel, embedding from embeddings), y as (select label, channel, u.p i, embedding[u.p + 1]::double v from ch, (select unnest(range(64)) p) u),
+x as (select label, channel, i, v - median(v) over (partition by label, i) v from y), sd as (select label, channel, median(abs(v)) / 0.6745 sd, sqrt(avg(v * v)) rms from x group by 1, 2),
+l as (select *, lag(v) over w p, lead(v) over w n from x join sd using (label, channel) window w as (partition by label, channel order by i)), c as (select label, channel, i, v from l where v < -1.5 * sd and v <= coalesce(p, v) and v < coalesce(n, 'infinity'::double)),
+ev as (select * from c where not exists (select 1 from c o where o.label = c.label and abs(o.channel - c.channel) <= 2 and abs(o.i - c.i) <= 3 and (o.v < c.v or o.v = c.v and (o.channel < c.channel or o.channel = c.channel and o.i < c.i)))),
+k as (select label, channel, count(*) n, avg(v) depth from ev group by 1, 2), wv as (select ev.label, ev.channel, x.i - ev.i o, avg(x.v) v from ev join x on x.label = ev.label and x.channel = ev.channel and x.i between ev.i - 3 and ev.i + 6 where ev.i >= 3 and ev.i <= 57 group by 1, 2, 3),
+ws as (select label, channel, max(v) - min(v) ptp, arg_max(v, (abs(v), -o)) peak from wv group by 1, 2)
+select label, channel::integer channel, round(rms, 6) rms, coalesce(k.n, 0) n_spikes, round(depth, 6) spike_depth, round(peak, 6) peak_val, round(ptp, 6) ptp from sd left join k using (label, channel) left join ws using (label, channel)""")
+def bundle_columns(s, d):
+    """The columns of the bundle that SQL can say."""
+    x = feature_bundle(s, d)
+    return x.select("label", "channel", "n_spikes", *(F.round(c, 6).alias(c) for c in ("rms", "spike_depth", "peak_val", "ptp")))
+
+
+@query()
+def feature_bundle(s, d):
+    """RMS and band powers, power of the current-source density, largest correlation with a neighbour, and number, depth and
+    mean waveform of spikes, one row per channel, from stored groups of columns."""
+    keys, x = ["label"], snippets(s, d)
     path = folder(s, "bundle")
-    writers.table(sg.car(x.drop("vec_id"), ["label", "pos"], "ch", "v"), path)
-    clean = s.read.parquet(path)
-    keys = ["label", "channel"]
-    arrays = sg.chunks_of(clean, keys, "pos", "v").drop("i")
-    powers = sg.band_powers(arrays, keys, "v", 250.0, 32).groupBy(*keys).pivot("band", list(kernels.BANDS)).agg(F.first("db"))
-    events = sp.separate(sg.detect_spikes(clean, keys, "pos", "v", 1.5), ["label"], "channel", "pos", "v", 2, 3)
-    counts = events.groupBy(*keys).agg(F.count("*").alias("n_spikes"), F.avg("v").alias("spike_depth"))
-    out = sg.rms(clean, keys, "v")
-    for part in (sp.neighbour_correlation(clean, ["label"], "channel", "pos", "v", 2), powers, sp.csd_power(arrays, ["label"], "channel", "v", 250.0, 2, 0.02), counts):
-        out = out.join(part, keys, "left")
-    return out.fillna(0, ["n_spikes"])
+    writers.table(x, f"{path}/clean")
+    groups = {
+        "lf": lambda r: ft.lf(r, keys, 250.0, 32), "csd": lambda r: ft.csd(r, keys, 2, 0.02), "ap": lambda r: ft.ap(r, keys, 2),
+        "wav": lambda r: ft.spiking(r, keys, 1.5, 2, 3, -3, 6),
+    }
+    return ft.bundle(s.read.parquet(f"{path}/clean"), keys, f"{path}/features", groups)[0]
 
 
 @query(f"""with {_X}, p as (select label, vec_id, pos, v, abs(v - lag(v) over (partition by label, pos order by vec_id)) j, lag(vec_id) over (partition by label, pos order by vec_id) k from x),

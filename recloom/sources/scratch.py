@@ -38,6 +38,11 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def clean_up(spark: SparkSession) -> int:
     """Removes all folders that this process has made, and tells how many.  To be called once no DataFrame that reads them
     is needed any more: results are lazy, so no operator can do so itself."""

@@ -331,14 +331,6 @@ def test_gram_of_samples_that_lack_channels(spark):
         signal.gram_packs(spark.createDataFrame([(1, [0, 1], [1.0])], "chunk int, c array<int>, x array<double>"), ["chunk"]).collect()
 
 
-def test_bad_channels(spark):
-    base = RNG.normal(size=200).cumsum()
-    chan = [base + 0.1 * RNG.normal(size=200) for _ in range(8)] + [RNG.normal(size=200), np.zeros(200)]
-    df = spark.createDataFrame([(0, c, [float(x) for x in v]) for c, v in enumerate(chan)], "pid int, c int, v array<double>")
-    lab = {r.c: r.label for r in signal.bad_channels(df, ["pid"], "c", "v").collect()}
-    assert [lab[c] for c in range(8)] == [0] * 8 and lab[8] == 1 and lab[9] == 1
-
-
 def test_strict_lookup_fails(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string")
     with pytest.raises(Exception, match="no k 2"):

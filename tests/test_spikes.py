@@ -65,14 +65,6 @@ def test_outside_is_the_run_at_the_end(spark):
     assert [c for c in range(26) if got[0, c] == 3] == list(range(20, 26)) and all(got[0, c] == 1 for c in range(6, 10)) and not any(got[1, c] for c in range(4))
 
 
-def test_csd_power_of_a_slow_wave(spark):
-    i = np.arange(400)
-    x = np.array([c**2 * np.sin(2 * np.pi * i / 100) for c in range(5)])
-    arrays = spark.createDataFrame([(0, c, row.tolist()) for c, row in enumerate(x)], "pid int, c int, v array<double>")
-    got = {r.c: r.csd_power for r in sp.csd_power(arrays, ["pid"], "c", "v", 100.0, 4, 1.0).collect()}
-    assert got[0] is None and got[4] is None and all(abs(got[c] - 2.0) < 0.05 for c in (1, 2, 3))  # second difference 2, mean of its square's sine 1/2
-
-
 def test_geometry_without_stored_positions_is_skipped(spark):
     stored = spark.createDataFrame([("a", 0, 1.0), ("b", 0, None), ("c", 0, 1.0), ("d", 0, 1.0)], "pid string, ch int, x double")
     computed = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 1.0), ("c", 0, 2.0)], "pid string, ch int, x double")

@@ -3,27 +3,32 @@
 A text's tokens are its distinct shingles of ``k`` words, as 64-bit hashes, in ascending order.  A text of n tokens can miss at
 most tau = n - ceil(t n) of them in a partner of similarity t, so two partners share one of the first tau + 1 tokens of
 either, the prefix.  Tokens that up to ``frequent`` nodes have in their prefix are rare and indexed singly.  Of nodes with a
-frequent token in their prefix, the prefix is extended, and its neighbouring tokens are indexed as combinations: as many as
-there are tokens, whatever the text's length.
+frequent token in their prefix, the prefix is extended, and each three tokens in a row are indexed as a combination: as many
+as there are tokens, whatever the text's length.
 
 In steps:
 
 1. ``signed``: token count and a 128-bit key of each text's set.  Rows with equal keys are one node from here on.
-2. ``windows``: the extended prefix of each node, from its whole text.  Prefix tokens are counted, rare ones are indexed, and
-   nodes with frequent ones are indexed by combinations.  Only entries that two nodes have are kept.
+2. The prefix of each node is stored; its tokens are counted, rare ones are indexed.  Nodes with frequent ones are read again
+   for their extended prefix and indexed by combinations.  Only entries that two nodes have are kept.
 3. Inside the index, long lists are shortened first: each list names as hub its node with the largest share of entries in
    common with others (which is what near copies are copies of), and each node is verified with the hub that it meets most
    often.  What links is one component.  This is done twice, at a cost linear in the lists' sizes.
 4. All pairs of different components that meet in a list are verified.  Their links and those of step 3 give the components.
 
+Pairs are verified by their prefixes first, then those left by their whole sets.
+
 Links lost: none.  Let A and B link and differ, s be the first token that they share, I their shared tokens, and U those that
 only one of them has.  s lies in the prefix of either, so if it is rare, both are in its list.  Else both are indexed by
-combinations.  U <= (1 - t) / t I, and I is at most either's size n, so that U <= d(n) = floor((1 - t) / t n).  Between the
-first U + 2 shared tokens there are U + 1 gaps; one of them holds no unshared token, and the two shared ones beside it are
-neighbours in A and in B.  In either text of n tokens they lie within the first d + 2 + min(d, tau) tokens, which the window
-holds.  U + 2 tokens are shared, as U >= 1 and I >= t / (1 - t) U >= 3 U from t = 0.75 on; under that all tokens are indexed
-singly.  Of a single token's list, pairs go whose sizes and places say that they can't link with it as their
-first shared token.  A pair that is not verified lies in one component already.
+combinations.  U <= (1 - t) / t I, and I is at most either's size n, so that U <= d(n) = floor((1 - t) / t n).  The first
+2 U + 3 shared tokens have 2 U + 2 gaps between them, which are U + 1 couples of neighbouring gaps; one couple holds no unshared
+token, so that three shared tokens are in a row in A and in B.  In either text of n tokens they lie within the first
+2 d + 3 + min(d, tau) tokens, which the extended prefix holds.  There are 2 U + 3 shared tokens, as I >= t / (1 - t) U >= 3 U
+from t = 0.75 on, but for U <= 2 and I <= 6, that is n <= 8; nodes of up to ``SMALL`` tokens are indexed by two in a row, too,
+for which I >= U + 2 will do.  Under t = 0.75 all tokens are indexed singly.  Of a single token's list, pairs go whose sizes and
+places say that they can't link with it as their first shared token.  Of the tokens up to the lower of two prefixes' ends both
+prefixes hold all; if more of these are unshared than (n + m) - 2 ceil(t / (1 + t) (n + m)), the pair can't link.  A pair that is
+not verified lies in one component already.
 
 Edge cases: null and empty texts have no token and link with nothing; a text shorter than ``k`` words has one token;
 rows with a null id get a null component; repeated rows are one node, rows of one id with other texts are documents of their
@@ -32,12 +37,12 @@ own; an empty table gives an empty one; extra columns are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recloom.llm.components import components
@@ -45,6 +50,8 @@ from recloom.llm.store import Scratch
 
 #: Nodes that have it in their prefix, up to which a token is a rare one.
 FREQUENT = 32
+#: Tokens of a node, up to which it is indexed by two tokens in a row as well.
+SMALL = 8
 #: Nodes of one list that a task pairs with all the others.
 BLOCK = 4096
 #: Combinations looked back at, so that a pair is not made anew by each of a run of shared ones.
@@ -77,18 +84,20 @@ def tokens(text: str | None, k: int) -> np.ndarray:
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
-def tau_of(n, percent: int):
-    """Tokens of ``n`` that a partner may lack; ``n`` is a number or a column."""
-    return n + (F.floor(F.lit(-percent) * n / 100) if hasattr(n, "alias") else -percent * n // 100)
+def tau_of(n: int, percent: int) -> int:
+    """Tokens of ``n`` that a partner may lack."""
+    return n + -percent * n // 100
+
+
+def head_size(n: int, percent: int) -> int:
+    """Tokens of the prefix."""
+    return min(n, tau_of(n, percent) + 1)
 
 
 def window_size(n: int, percent: int) -> int:
     """Tokens of the extended prefix."""
-    tau = tau_of(n, percent)
-    if percent < 75:
-        return min(n, tau + 1)
     d = n * (100 - percent) // percent
-    return min(n, d + 2 + min(d, tau))
+    return min(n, 2 * d + 3 + min(d, tau_of(n, percent)))
 
 
 def key_of(found: np.ndarray) -> bytes | None:
@@ -108,9 +117,9 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary")
 
 
-def of_nodes(docs: DataFrame, nodes: DataFrame, k: int, percent: int | None) -> DataFrame:
-    """``node``, ``n`` and ``tokens`` (the window, or all without ``percent``) of the documents that stand for ``nodes`` (``node``,
-    ``id``, ``key``), from their texts: by broadcast if the nodes are few, else by a shuffle of the texts."""
+def of_nodes(docs: DataFrame, nodes: DataFrame, k: int, size: Callable[[int], int] | None = None) -> DataFrame:
+    """``node``, ``n`` and ``tokens`` (the lowest ``size`` of n, else all) of the documents that stand for ``nodes`` (``node``, ``id``,
+    ``key``), from their texts: by broadcast if the nodes are few, else by a shuffle of the texts."""
     wanted = nodes.select(F.col("id").alias("doc_id"), "node", "key")
     rows = docs.join(F.broadcast(wanted) if nodes.count() <= BROADCAST_IDS else wanted, "doc_id").select("node", "key", "text")
 
@@ -121,7 +130,7 @@ def of_nodes(docs: DataFrame, nodes: DataFrame, k: int, percent: int | None) ->
                 sets = [tokens(t, k) for t in part.column("text").to_pylist()]
                 own = [(v, s) for v, key, s in zip(part.column("node").to_pylist(), part.column("key").to_pylist(), sets, strict=True) if key == key_of(s)]
                 if own:
-                    kept = [s if percent is None else s[: window_size(len(s), percent)] for _, s in own]
+                    kept = [s if size is None else s[: size(len(s))] for _, s in own]
                     yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
 
     return rows.mapInArrow(run, "node long, n long, tokens array<long>")
@@ -132,38 +141,57 @@ def only_nodes(df: DataFrame, nodes: DataFrame) -> DataFrame:
     return df.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "node", "left_semi")
 
 
-def verify(scratch: Scratch, sets: DataFrame, pairs: DataFrame, label: str, percent: int) -> DataFrame:
-    """Of ``pairs`` (``a``, ``b``) those whose token sets (``node``, ``tokens``) link."""
-    rows = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
+def compared(sets: DataFrame, pairs: DataFrame, may: Callable[[np.ndarray, np.ndarray, int, int], bool]) -> DataFrame:
+    """Of ``pairs`` (``a``, ``b``) those whose ``tokens`` and sizes in ``sets`` (``node``, ``n``, ``tokens``) ``may`` takes."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}"), F.col("n").alias(f"n{x}"))
+    rows = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
 
     def lists(column: pa.Array) -> tuple[np.ndarray, list[int]]:
         return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (va, oa), (vb, ob), keep = lists(batch.column("ta")), lists(batch.column("tb")), []
-            for i in range(batch.num_rows):
-                both = np.concatenate((va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]))
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(same > 0 and 100 * same >= percent * (len(both) - same))
+            (va, oa), (vb, ob) = lists(batch.column("ta")), lists(batch.column("tb"))
+            na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
+            keep = [may(va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]], na[i], nb[i]) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
             pa.default_memory_pool().release_unused()
 
-    return scratch.save(rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), f"{label}-links")
+    return rows.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(run, "a long, b long")
+
+
+def shared_tokens(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.concatenate((a, b))
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
 
+def verify(scratch: Scratch, docs: DataFrame, nodes: DataFrame, heads: DataFrame, pairs: DataFrame, k: int, percent: int, label: str) -> DataFrame:
+    """The ``pairs`` that link: what their stored prefixes don't rule out is looked at with its whole sets."""
 
-def combinations(windows: DataFrame, repeats: int = 0) -> DataFrame:
-    """``windows`` to a row per pair of neighbouring tokens: ``node``, ``n``, ``h`` and, with ``repeats``, ``before``, the combinations in
-    front of it."""
-    one_less = F.greatest(F.size("tokens") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("tokens", F.lit(1), one_less), F.slice("tokens", F.lit(2), one_less), lambda a, b: F.xxhash64(a, b))
-    x = windows.select("node", "n", pairs.alias("all"))
-    if not repeats:
-        return x.select("node", "n", F.explode("all").alias("h"))
-    back = lambda i: F.greatest(i - repeats, F.lit(0))
-    rows = F.transform("all", lambda h, i: F.struct(h.alias("h"), F.slice("all", back(i) + 1, i - back(i)).alias("before")))
-    return x.select("node", "n", F.inline(rows))
+    def heads_may(a: np.ndarray, b: np.ndarray, n: int, m: int) -> bool:
+        end = min(a[-1], b[-1])
+        a, b = a[: np.searchsorted(a, end, "right")], b[: np.searchsorted(b, end, "right")]
+        return len(a) + len(b) - 2 * shared_tokens(a, b) <= n + m + 2 * (-percent * (n + m) // (100 + percent))
+
+    def sets_link(a: np.ndarray, b: np.ndarray, n: int, m: int) -> bool:
+        same = shared_tokens(a, b)
+        return same > 0 and 100 * same >= percent * (n + m - same)
+
+    some = scratch.save(compared(heads, scratch.save(pairs, f"{label}-pairs"), heads_may), f"{label}-near")
+    ends = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = scratch.save(of_nodes(docs, only_nodes(nodes, ends), k), f"{label}-sets")
+    links = scratch.save(compared(sets, some, sets_link), f"{label}-links")
+    scratch.drop(f"{label}-pairs", f"{label}-near", f"{label}-sets")
+    return links
+
+
+def combinations(windows: DataFrame) -> DataFrame:
+    """``windows`` to a row per three tokens in a row (of small nodes also per two): ``node``, ``n``, ``at`` (place) and ``h``."""
+    run = lambda width: F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - width + 1, F.lit(0)))
+    three = F.transform(run(3), lambda x, i: F.xxhash64(x, F.get("tokens", i + 1), F.get("tokens", i + 2)))
+    two = F.when(F.col("n") <= SMALL, F.transform(run(2), lambda x, i: F.xxhash64(x, F.get("tokens", i + 1)))).otherwise(F.array().cast("array<long>"))
+    return windows.select("node", "n", F.posexplode(F.concat(three, two)).alias("at", "h"))
 
 
 def shared(scratch: Scratch, entries: DataFrame, label: str) -> DataFrame:
@@ -173,17 +201,18 @@ def shared(scratch: Scratch, entries: DataFrame, label: str) -> DataFrame:
     return entries.join(counts, "h")
 
 
-def token_index(scratch: Scratch, windows: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """``h``, ``node``, ``n``, ``at``: rare prefix tokens singly, with their place, and combinations (no place) for nodes that have
-    frequent tokens in their prefix."""
-    prefix = windows.select("node", "n", F.posexplode(F.slice("tokens", F.lit(1), (tau_of(F.col("n"), percent) + 1).cast("int"))).alias("at", "h"))
+def token_index(scratch: Scratch, docs: DataFrame, nodes: DataFrame, heads: DataFrame, k: int, percent: int, frequent: int) -> DataFrame:
+    """``h``, ``node``, ``n``, ``at`` (place) and ``single``: rare prefix tokens singly, and combinations for nodes that have frequent ones
+    in their prefix."""
+    prefix = heads.select("node", "n", F.posexplode("tokens").alias("at", "h"))
     met = scratch.save(shared(scratch, prefix, "prefix"), "prefix")
     if percent < 75:
-        return met.select("h", "node", "n", "at")
+        return met.select("h", "node", "n", "at", F.lit(True).alias("single"))
     dense = scratch.save(met.filter(F.col("df") > frequent).select("node").distinct(), "dense")
-    both = shared(scratch, combinations(only_nodes(windows, dense)), "combination")
+    windows = scratch.save(of_nodes(docs, only_nodes(nodes, dense), k, lambda n: window_size(n, percent)), "windows")
+    both = shared(scratch, combinations(windows), "combination")
     rare = met.filter(F.col("df") <= frequent)
-    return rare.select("h", "node", "n", "at").unionByName(both.select("h", "node", "n", F.lit(None).cast("int").alias("at")))
+    return rare.select("h", "node", "n", "at", F.lit(True).alias("single")).unionByName(both.select("h", "node", "n", "at", F.lit(False).alias("single")))
 
 
 def crossed(index: DataFrame, comp: DataFrame) -> DataFrame:
@@ -199,59 +228,49 @@ def may_link(x: str, y: str, percent: int) -> Column:
     n, m = own(x, "n"), own(y, "n")
     # what follows the first shared token is shared at most
     place = (100 + percent) * F.least(n - own(x, "at"), m - own(y, "at")) >= percent * (n + m)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & F.coalesce(place, F.lit(True))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (place | ~own(x, "single"))
 
 
 def with_hubs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a``, ``b``: each node of ``lists`` with the hub that it meets in most of them, if their sizes allow a link."""
     share = lists.groupBy("node").agg((F.count("*") / F.first("n") + F.pmod(F.xxhash64("node"), F.lit(1_000_003)) * 1e-12).alias("share"))
-    hubs = lists.join(share, "node").groupBy("h").agg(F.max_by(F.struct("node", "n", "comp", "at"), F.struct("share", "node")).alias("hub"))
+    hubs = lists.join(share, "node").groupBy("h").agg(F.max_by(F.struct("node", "n", "comp", "at", "single"), F.struct("share", "node")).alias("hub"))
     met = lists.alias("own").join(hubs, "h").filter((F.col("comp") != F.col("hub.comp")) & may_link("own", "hub", percent))
     met = met.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("c"))
     best = met.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
     return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def crossing(lists: DataFrame, windows: DataFrame, percent: int) -> DataFrame:
+def crossing(lists: DataFrame, percent: int) -> DataFrame:
     """All pairs ``a`` < ``b`` of nodes in different components that meet in a list and whose sizes allow a link.  A list of more
     than ``BLOCK`` nodes is cut: each part of its nodes meets all of them in a task of its own.  Both sides are shuffled and
     sorted, which spills."""
-    live = lists.filter("at is null").select("node").distinct()
-    before = combinations(only_nodes(windows, live), REPEATS).select("node", "h", "before")
-    x = lists.join(before, ["node", "h"], "left").withColumn("parts", F.ceil(F.col("c") / BLOCK))
+    own = Window.partitionBy("node", "single").orderBy("at").rowsBetween(-REPEATS, -1)
+    x = lists.withColumns({"before": F.collect_list("h").over(own), "parts": F.ceil(F.col("c") / BLOCK)})
     y = x.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
     x = x.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("x")
     # of combinations that two nodes share one after the other, only the first makes the pair
-    again = F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False))
+    again = ~F.col("x.single") & F.arrays_overlap("x.before", "y.before")
     on = (F.col("x.h") == F.col("y.h")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y", percent) & ~again
     return x.join(y.hint("merge"), on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def index_links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, k: int, percent: int, frequent: int) -> DataFrame:
     """Steps 2 to 4: ``a``, ``b`` of links that connect what all links connect."""
-    windows = scratch.save(of_nodes(docs, nodes, k, percent), "windows")
-    index = scratch.save(token_index(scratch, windows, percent, frequent), "index")
-    scratch.drop("prefix", "prefix-counts", "combination-counts", "dense")
-
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        pairs = scratch.save(pairs, f"{label}-pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = scratch.save(of_nodes(docs, only_nodes(nodes, ends), k, None), f"{label}-sets")
-        links = verify(scratch, sets, pairs, label, percent)
-        scratch.drop(f"{label}-pairs", f"{label}-sets")
-        return links
-
+    heads = scratch.save(of_nodes(docs, nodes, k, lambda n: head_size(n, percent)), "heads")
+    index = scratch.save(token_index(scratch, docs, nodes, heads, k, percent, frequent), "index")
+    scratch.drop("prefix", "prefix-counts", "combination-counts", "dense", "windows")
     links = None
     comp = index.select("node", F.col("node").alias("component")).limit(0)
     for turn in ("hub", "again", "rest"):
         lists = scratch.save(crossed(index, comp), f"{turn}-lists")
         scratch.drop("index")
-        more = verified(crossing(lists, windows, percent) if turn == "rest" else with_hubs(lists, percent), turn)
+        more = verify(scratch, docs, nodes, heads, crossing(lists, percent) if turn == "rest" else with_hubs(lists, percent), k, percent, turn)
         links = more if links is None else links.unionByName(more)
         if turn != "rest":
             comp = scratch.save(components(scratch, links, turn), f"{turn}-components")
-            index = lists.select("h", "node", "n", "at")
-    scratch.drop("windows", "hub-lists", "again-lists", "rest-lists", "hub-components", "again-components")
+            index = lists.select("h", "node", "n", "at", "single")
+    scratch.drop("heads", "hub-lists", "again-lists", "rest-lists", "hub-components", "again-components")
     return links
 
 

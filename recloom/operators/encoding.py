@@ -353,6 +353,22 @@ def score_table(scores: DataFrame, keys: Sequence[str], groups: Sequence[str], f
     return chosen.select(*first, *(c for c in chosen.columns if c not in first))
 
 
+def with_null(scores: DataFrame, null: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``p_value`` and ``null_p95`` of score rows (``score_table``) from ``null``, the scores of shifted designs over the same
+    penalties (``solve`` of ``null_packs``): each row against the draws at its own penalty.  Rows without draws have nulls."""
+    own = [*keys, "mode", "target"]
+    draws = null.filter("dropped = ''").select(*keys, "target", "lam", "r2_cv").join(scores.select(*own, "lam"), [*keys, "target", "lam"])
+    return scores.join(p_value(draws.select(*own, "r2_cv"), scores.select(*own, "r2_cv"), own, "r2_cv"), own, "left")
+
+
+def described(scores: DataFrame, meta: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Score rows with what is known of their targets (``keys``, ``target``, and columns such as band, channel, acronym), these
+    first.  A target that ``meta`` lacks keeps its row."""
+    about = [c for c in meta.columns if c not in (*keys, "target")]
+    out = scores.join(meta, [*keys, "target"], "left")
+    return out.select(*keys, "target", *about, *(c for c in scores.columns if c not in (*keys, "target")))
+
+
 def pick_lambda(scores: DataFrame, group: Sequence[str]) -> DataFrame:
     """Penalty of the best median score, the smaller at a tie."""
     m = quantiles(scores, [*group, "lam"], "r2", [0.5]).withColumn("objective", F.col("q")[0])

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from recloom.operators import behaviour as bh
 from recloom.operators import encoding as en
 from recloom.operators import signal as sg
-from recloom.plans.base import query
+from recloom.plans.base import query, t
 from recloom.plans.events import DAY, E, spikes
-from recloom.sources import writers
+from recloom.sources import runs, writers
 from recloom.sources.scratch import folder
 
 #: Bumps of the fits' lag basis.  With two, the penalty is a plain ridge, so that sessions of few trials have a solution.
@@ -122,14 +122,34 @@ def design_packs(s, d):
     return en.chunk_packs(design(s, d), ["user_id", "kind"], b, 1, 5)
 
 
+#: Draws of a session's null, and the samples at either end to which no shift goes.
+DRAWS, MARGIN = 30, 2
+
+
 @query()
 def session_fits(s, d):
-    """Every session, both families of targets, one penalty for a whole family and one per target, as score rows."""
-    path = folder(s, "session_fits")
-    scores = en.solve(design_packs(s, d), ["user_id", "kind"], bh.groups_by_size(), BUMPS, 2, LAMBDAS)
-    writers.by_key(scores, f"{path}/grid", ["kind"])
+    """Every session, both families of targets, one penalty for a whole family and one per target, as score rows with
+    p-values and what is known of the targets; published together with the weights, and read back."""
+    path, keys = folder(s, "session_fits"), ["user_id", "kind"]
+    rows = design(s, d)
+    writers.table(rows, f"{path}/design")
+    rows = s.read.schema(rows.schema).parquet(f"{path}/design")
+    b = en.basis_matrix(en.basis_table(s, 1 / STEP, STEP, 2 * STEP, BUMPS))
+    packs = en.chunk_packs(rows, keys, b, 1, 5)
+    scores = en.solve(packs, keys, bh.groups_by_size(), BUMPS, 2, LAMBDAS)
+    writers.table(scores, f"{path}/grid")
     scores = s.read.schema(scores.schema).parquet(f"{path}/grid")
-    return en.score_table(scores, ["user_id", "kind"], ["stimOn", "move", "feedback", "wheel", "pupil"])
+    table = en.score_table(scores, keys, ["stimOn", "move", "feedback", "wheel", "pupil"])
+    draws = en.shift_draws(rows.groupBy(*keys).agg(F.first("n").alias("n")), keys, DRAWS, MARGIN)
+    null = en.solve(en.null_packs(rows, keys, draws, b, 1, 5), [*keys, "perm"], bh.groups_by_size(), BUMPS, 2, LAMBDAS, drop=False)
+    band = F.when(F.col("kind") == "raw", "raw").when(F.col("target") == 0, "delta").otherwise("theta")
+    c = t(s, d, "customer").join(t(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    meta = table.select(*keys, "target").distinct().join(c.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("channel"), F.col("n_name").alias("acronym")), "user_id", "left").withColumn("band", band)
+    runs.publish(f"{path}/run", {
+        "scores": en.described(en.with_null(table, null, keys), meta, keys).withColumn("source", F.lit("full")),
+        "weights": en.weights(packs, keys, bh.groups_by_size(), BUMPS, 2, 1000.0).withColumn("source", F.lit("full")),
+    }, ["source", *keys])
+    return runs.read(s, f"{path}/run", "scores", ["source", *keys]).drop("source")
 
 
 @query()

@@ -14,7 +14,7 @@ from recloom.operators import events as ev
 from recloom.operators import tables
 from recloom.plans.base import query, t
 from recloom.plans.events import HOUR, spikes
-from recloom.sources import writers
+from recloom.sources import runs, writers
 from recloom.sources.scratch import folder
 
 GROUPS = ["move", "stim", "stim"]
@@ -135,16 +135,17 @@ def kernel_expand(s, d):
     return en.kernels(w, en.basis_table(s, 2.0, 1.5, 3.0, 4), ["vec_id"]).select("vec_id", "j", F.round("kernel", 6).alias("kernel"))
 
 
-def _one(table: str, keys: str, lam: float) -> str:
-    """Closed form of a ridge on one regressor: weight, R2 on all samples, mean R2 over held-out folds."""
+def _one(table: str, keys: str, lam, p: str = "", places: int = 6) -> str:
+    """Closed form of a ridge on one regressor: weight, R2 on all samples, mean R2 over held-out folds.  ``lam``: a number or a
+    column among the keys; ``p``: before the names of the tables."""
     fit = lambda a: f"({a}qy - {a}sq * {a}sy / {a}n) / ({a}qq - {a}sq * {a}sq / {a}n + {lam})"
     scored = lambda w, c: f"1 - (syy - 2 * {w} * qy - 2 * {c} * sy + {w} * {w} * qq + 2 * {w} * {c} * sq + n * {c} * {c}) / (syy - sy * sy / n)"
     sums = "count(*)::double n, sum(q) sq, sum(y) sy, sum(y * y) syy, sum(q * q) qq, sum(q * y) qy"
     rest = ", ".join(f"sum({c}) over (partition by {keys}) - {c} r{c}" for c in ("n", "sq", "sy", "qq", "qy"))
-    return f"""f1 as (select {keys}, (((i + 1) * 5 - 1) // n)::integer fold, {sums} from {table} group by {keys}, fold), f2 as (select *, {rest} from f1),
-f3 as (select *, {fit("r")} w from f2), f4 as (select *, (rsy - w * rsq) / rn c from f3), f5 as (select {keys}, count(*) folds, min(syy - sy * sy / n) least, avg({scored("w", "c")}) r2_cv from f4 group by {keys}),
-a1 as (select {keys}, sum(n) n, sum(sq) sq, sum(sy) sy, sum(syy) syy, sum(qq) qq, sum(qy) qy from f1 group by {keys}), a2 as (select *, {fit("")} w from a1), a3 as (select *, (sy - w * sq) / n c from a2)
-select {keys}, round(w, 7) w, round({scored("w", "c")}, 6) r2_full, round(case when folds > 1 and least > 1e-6 then r2_cv end, 6) r2_cv from a3 join f5 using ({keys})"""
+    return f"""{p}f1 as (select {keys}, (((i + 1) * 5 - 1) // n)::integer fold, {sums} from {table} group by {keys}, fold), {p}f2 as (select *, {rest} from {p}f1),
+{p}f3 as (select *, {fit("r")} w from {p}f2), {p}f4 as (select *, (rsy - w * rsq) / rn c from {p}f3), {p}f5 as (select {keys}, count(*) folds, min(syy - sy * sy / n) least, avg({scored("w", "c")}) r2_cv from {p}f4 group by {keys}),
+{p}a1 as (select {keys}, sum(n) n, sum(sq) sq, sum(sy) sy, sum(syy) syy, sum(qq) qq, sum(qy) qy from {p}f1 group by {keys}), {p}a2 as (select *, {fit("")} w from {p}a1), {p}a3 as (select *, (sy - w * sq) / n c from {p}a2)
+select {keys}, round(w, 7) w, round({scored("w", "c")}, {places}) r2_full, round(case when folds > 1 and least > 1e-6 then r2_cv end, {places}) r2_cv from {p}a3 join {p}f5 using ({keys})"""
 
 
 def one_regressor(x):
@@ -173,6 +174,32 @@ def null_one(s, d):
     return _one_fit(en.null_packs(x, ["pid"], draws, np.eye(1), 0, FOLDS), ["pid", "perm"])
 
 
+@query(f"""with {_R}, rl as (select r.*, l.lam from r cross join (select unnest([1.0::double, 1000.0::double]) lam) l), {_one('rl', 'pid, lam', 'lam', 'o', 13)[:_one('rl', 'pid, lam', 'lam', 'o', 13).rindex('select')].rstrip()}, og as ({_one('rl', 'pid, lam', 'lam', 'o', 13)[_one('rl', 'pid, lam', 'lam', 'o', 13).rindex('select pid'):]}),
+sh as (select pid, p.perm::integer perm, ((p.perm * 7 + 5) % any_value(n))::bigint k from r, (select unnest(range(3)) perm) p group by pid, p.perm),
+z as (select t.pid, sh.perm, l.lam, t.i, t.n, b.q, t.y from r t join sh using (pid) join r b on b.pid = t.pid and b.i = (t.i - sh.k + t.n) % t.n cross join (select unnest([1.0::double, 1000.0::double]) lam) l),
+{_one('z', 'pid, perm, lam', 'lam', 'n', 13)[:_one('z', 'pid, perm, lam', 'lam', 'n', 13).rindex('select')].rstrip()}, ng as ({_one('z', 'pid, perm, lam', 'lam', 'n', 13)[_one('z', 'pid, perm, lam', 'lam', 'n', 13).rindex('select pid'):]}),
+bs as (select pid, lam, r2_full, r2_cv, coalesce(max(case when r2_cv >= -0.3 then greatest(-1, least(1, r2_cv)) end) over (partition by pid) = greatest(-1, least(1, r2_cv)) and r2_cv >= -0.3, false) top, bool_or(coalesce(r2_cv >= -0.3, false)) over (partition by pid) fine from og),
+ch as (select * from bs where top or not fine qualify row_number() over (partition by pid order by case when fine then lam else -lam end) = 1),
+pv as (select ch.pid, (1 + count(*) filter (ng.r2_cv >= ch.r2_cv)) / (count(*) + 1) p_value, quantile_cont(ng.r2_cv, 0.95) null_p95 from ch join ng on ng.pid = ch.pid and ng.lam = ch.lam group by 1)
+select ch.pid, m.mode, lam, not fine fell_back, round(r2_full, 6) r2_full, round(r2_cv, 6) r2_cv, round(p_value, 9) p_value, round(null_p95, 6) null_p95, case when ch.pid % 2 = 0 then 'raw' else 'delta' end band, s_name acronym, s_nationkey channel
+from ch join pv using (pid) left join supplier on s_suppkey = ch.pid cross join (select unnest(['pooled', 'per_target']) mode) m""")
+def scored_one(s, d):
+    """Score rows with penalty, p-value and what is known of the target, of one regressor; published and read back."""
+    x, keys = one_regressor(rows(s, d)), ["pid"]
+    packs = en.chunk_packs(x, keys, np.eye(1), 0, FOLDS)
+    grid = [1.0, 1000.0]
+    table = en.score_table(en.solve(packs, keys, ["q"], 1, 1, grid), keys, ["q"])
+    draws = x.groupBy("pid").agg(F.first("n").alias("n")).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    draws = draws.withColumn("shift", F.pmod((F.col("perm") * 7 + 5).cast("long"), F.col("n")))
+    null = en.solve(en.null_packs(x, keys, draws, np.eye(1), 0, FOLDS), ["pid", "perm"], ["q"], 1, 1, grid, drop=False)
+    meta = t(s, d, "supplier").select(F.col("s_suppkey").alias("pid"), F.lit(0).alias("target"), F.when(F.col("s_suppkey") % 2 == 0, "raw").otherwise("delta").alias("band"), F.col("s_name").alias("acronym"), F.col("s_nationkey").alias("channel"))
+    path = folder(s, "scored_one")
+    runs.publish(path, {"scores": en.described(en.with_null(table, null, keys), meta, keys), "weights": en.weights(packs, keys, ["q"], 1, 1, 10.0)}, keys)
+    got = runs.read(s, path, "scores", keys)
+    places = {"r2_full": 6, "r2_cv": 6, "p_value": 9, "null_p95": 6}
+    return got.select("pid", "mode", "lam", "fell_back", *(F.round(c, k).alias(c) for c, k in places.items()), "band", "acronym", "channel")
+
+
 @query()
 def ridge_fit(s, d):
     return en.weights(lagged_statistics(s, d), ["pid"], GROUPS, 3, 1, 10.0)

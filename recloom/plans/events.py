@@ -9,6 +9,8 @@ from recloom.operators import events as ev
 from recloom.operators import steps, tables
 from recloom.plans.base import query, t
 from recloom.plans.tables import unit_tables
+from recloom.sources import writers
+from recloom.sources.scratch import folder
 
 HOUR, DAY = 3600.0, 86400.0
 E = "e as (select event_id, user_id, event_type, value, epoch_us(ts) / 1e6 tm from events)"
@@ -172,7 +174,7 @@ def spike_channel(s, d):
 @query(f"with {E} select user_id, n, burstiness, memory from (select user_id, count(*) n, case when count(*) >= 8 then round((stddev_pop(isi) - avg(isi)) / (stddev_pop(isi) + avg(isi)), 6) end burstiness, case when count(*) >= 8 then round(corr(isi, nxt), 6) end memory from (select *, lead(isi) over (partition by user_id order by tm, event_id) nxt from (select *, tm - lag(tm) over (partition by user_id order by tm, event_id) isi from e)) group by 1)")
 def step_by_name(s, d):
     """A step with an option."""
-    x = steps.run("patch_burstiness", spikes(s, d), unit=["user_id"], time="tm", tie="event_id", least=8)
+    x = steps.run("burstiness", spikes(s, d), unit=["user_id"], time="tm", tie="event_id", least=8)
     return x.withColumns({"burstiness": F.round("burstiness", 6), "memory": F.round("memory", 6)})
 
 
@@ -182,3 +184,15 @@ def trial_counts(s, d):
     """Ten bins around each click, by event type."""
     x = spikes(s, d)
     return ev.trial_counts(x.filter("event_type = 'click'").withColumnRenamed("event_id", "trial"), x.filter("event_type != 'click'"), ["user_id"], "trial", "tm", "event_type", "tm", -6 * HOUR, 1.2 * HOUR, 10)
+
+
+@query(f"""with {E}, k as (select user_id, count(*) n from e group by 1), p as (select a.user_id, count(*) v from e a join e b on a.user_id = b.user_id and b.tm > a.tm and b.tm - a.tm < 1800 group by 1)
+select c_custkey user_id, c_name, n.n slidingRP_n_spikes, case when n.n is not null then coalesce(v, 0) end slidingRP_n_violations from customer left join k n on n.user_id = c_custkey left join p on p.user_id = c_custkey""")
+def patched_units(s, d):
+    """A stored table of units whose refractory columns are renewed; all others stay."""
+    path = folder(s, "units")
+    units = t(s, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name", F.lit(-1).alias("slidingRP_n_spikes"), F.lit("old").alias("slidingRP_note"))
+    writers.table(units, path)
+    options = {"duration": 30 * DAY, "taus": [60.0 * k for k in range(1, 31)], "levels": [1, 2, 5, 10, 15, 20], "rp_reject": 120.0}
+    x = steps.run("patch_slidingrp", s.read.parquet(path), spikes(s, d), unit=["user_id"], time="tm", **options)
+    return x.select("user_id", "c_name", "slidingRP_n_spikes", "slidingRP_n_violations")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recloom.operators import qc
 from recloom.plans.base import query, t
 from recloom.plans.events import DAY, spikes
 from recloom.sources import files, readers, writers
@@ -186,3 +187,27 @@ def name_tags(s, d):
     """S4."""
     tags = {"pass": {"PAGE=1": "first", "": "later"}, "subset": {"ref": "linked", "page": "paged"}}
     return readers.with_tags(t(s, d, "pages"), tags, "url").select("page_id", "pass", "subset")
+
+
+@query("""with x as (select l_returnflag f, l_linestatus k, string_agg(l_orderkey::varchar || ',' || l_linenumber::varchar || ',' || l_partkey::varchar, chr(10) order by l_orderkey, l_linenumber, l_partkey, l_suppkey) || chr(10) c from lineitem group by 1, 2),
+h as (select f, 'part_' || k || '.csv' as file, md5(c) md5 from x) select f, file, md5, md5(string_agg(md5, '' order by md5) over (partition by f rows between unbounded preceding and unbounded following)) folder_md5 from h""")
+def file_checksums(s, d):
+    """a file per flag and status, below a folder per flag."""
+    root = folder(s, "sums")
+    line = F.concat_ws(",", "l_orderkey", "l_linenumber", "l_partkey")
+    rows = t(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))).alias("x"))
+    text = F.concat(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), F.lit("\n"))
+    files.write(rows.select(F.concat(F.col("l_returnflag"), F.lit("/part_"), F.col("l_linestatus"), F.lit(".csv")).alias("name"), F.encode(text, "UTF-8").alias("content")), root)
+    own, folders = readers.checksums(s, root, "*.csv")
+    own = own.select("md5", F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("f"), F.regexp_extract("path", "[^/]+$", 0).alias("file"))
+    return own.join(folders.select(F.regexp_extract("folder", "[^/]+$", 0).alias("f"), F.col("md5").alias("folder_md5")), "f").select("f", "file", "md5", "folder_md5")
+
+
+@query("""select o_orderpriority, count(*) n, count(*) filter (o_orderstatus = 'F') n_dead, count(*) filter (o_orderstatus = 'P') n_noisy, (o_orderkey % 4)::integer task from orders group by o_orderpriority, o_orderkey % 4""")
+def count_tables(s, d):
+    """Each of four tasks leaves a table of counts, and all are read as one."""
+    path = folder(s, "counts")
+    for task in range(4):
+        own = t(s, d, "orders").filter(F.col("o_orderkey") % 4 == task)
+        writers.table(qc.label_counts(own, ["o_orderpriority"], "o_orderstatus", {"dead": "F", "noisy": "P"}, "O"), f"{path}/task={task}")
+    return s.read.parquet(path).select("o_orderpriority", "n", "n_dead", "n_noisy", "task")

@@ -6,6 +6,7 @@ executors share.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -45,6 +46,46 @@ def listing(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "length")
 
 
+def digests(found: DataFrame, part: int = 8 << 20) -> DataFrame:
+    """``path`` and ``md5`` of listed files, read ``part`` bytes at a time."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p in f["path"]:
+                system, name = opened(p)
+                own = hashlib.md5()
+                with system.open_input_stream(name, compression=None) as stream:
+                    while some := stream.read(part):
+                        own.update(some)
+                yield pd.DataFrame({"path": [p], "md5": [own.hexdigest()]})
+
+    return found.select("path").repartition("path").mapInPandas(run, "path string, md5 string")
+
+
+def last_lines(found: DataFrame, part: int = 1 << 16) -> DataFrame:
+    """``path`` and ``line`` (UTF-8) of listed files, the last one that isn't empty; an empty text if all are.  A file is read from
+    its end, ``part`` bytes at a time, until that line is whole."""
+    def last(file) -> str:
+        at, tail = file.size(), b""
+        while at > 0:
+            size = min(part, at)
+            at -= size
+            tail = (file.read_at(size, at) + tail).rstrip(b"\n")
+            if b"\n" in tail:
+                break
+        return tail.rpartition(b"\n")[2].decode("utf-8", "replace")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            lines = []
+            for p in f["path"]:
+                system, name = opened(p)
+                with system.open_input_file(name) as file:
+                    lines.append(last(file))
+            yield pd.DataFrame({"path": f["path"], "line": lines})
+
+    return found.select("path").mapInPandas(run, "path string, line string")
+
+
 def raw(spark: SparkSession, path: str, n_channels: int, dtype: str = "float16", glob: str = "*.bin", samples: int = 1 << 14) -> DataFrame:
     """Flat binary of samples x channels as rows ``path``, ``i``, ``v``; a size that is no whole number of samples is an
     error.  Tasks read ranges of ``samples``, so that no task holds a file."""

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recloom.sources import files
+
 
 def parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """S1."""
@@ -43,15 +45,12 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
-def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "content")
-
-
 def checksums(spark: SparkSession, path: str, glob: str = "*") -> tuple[DataFrame, DataFrame]:
-    """hash per file, and one per folder over its sorted file hashes."""
-    files = _files(spark, path, glob).select("path", F.md5("content").alias("md5"))
-    folders = files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.md5(F.array_join(F.sort_array(F.collect_list("md5")), "").cast("binary")).alias("md5"))
-    return files, folders
+    """``path`` and ``md5`` of every file, and one hash per folder over its sorted file hashes.  A task reads a file part by
+    part, so its size doesn't matter."""
+    found = files.digests(files.listing(spark, path, glob))
+    folders = found.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.md5(F.array_join(F.sort_array(F.collect_list("md5")), "").cast("binary")).alias("md5"))
+    return found, folders
 
 
 def path_list(spark: SparkSession, path: str) -> DataFrame:
@@ -64,11 +63,11 @@ def path_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_durations(spark: SparkSession, path: str) -> DataFrame:
-    """Hours from the seconds at the end of each log's last line, null if it has none.  Logs are read whole; an empty file
-    has no row."""
-    x = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.filter(F.split("value", "\n"), lambda s: s != "").alias("lines"))
-    s = F.regexp_extract(F.try_element_at("lines", F.lit(-1)), r"([0-9.]+)\s*s\s*$", 1)
-    return x.select("path", F.round(F.when(s != "", s.cast("double")) / 3600, 2).alias("hours"))
+    """Hours from the seconds at the end of each log's last line, null if it has none.  Only the end of a log is read; an
+    empty file has no row."""
+    x = files.last_lines(files.listing(spark, path, "*").filter("length > 0"))
+    s = F.regexp_extract("line", r"([0-9.]+)\s*s\s*$", 1)
+    return x.select("path", F.round(F.when(s != "", s.try_cast("double")) / 3600, 2).alias("hours"))
 
 
 def latest(df: DataFrame, label: str) -> DataFrame:

@@ -36,7 +36,7 @@ def test_state_and_run_list(spark):
 
 
 def test_unknown_step():
-    with pytest.raises(ValueError, match="no step 'nothing'; there are acg, cells"):
+    with pytest.raises(ValueError, match="no step 'nothing'; there are acg, burstiness, cells"):
         steps.run("nothing")
 
 

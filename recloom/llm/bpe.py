@@ -5,7 +5,7 @@ holds text, not bytes), scored by its negative rank, so that the merge with the
 identity normalisation, no dummy prefix, no white space rules.  Texts are cut by the pattern into pre-tokens, each encoded
 by itself; ids are decoded by the inverse map.
 
-Edge cases: null and empty texts have no ids; repeated rows repeat; an empty table gives an empty one; extra columns are
+Edge cases: null and empty texts have no ids; what a pattern doesn't match is left out; repeated rows repeat; an empty table gives an empty one; extra columns are
 left out.  A text that is one very long word is one pre-token and is encoded whole.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recloom.llm.pretokens import Chunks
+from recloom.llm.pretokens import PATTERN, Chunks
 
 
 @lru_cache(1)
@@ -86,10 +86,11 @@ class Codec:
         self.pieces = read_ranks(rank_path)
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(model_proto(self.pieces))
-        self.find = regex.compile(pattern).findall
+        own = regex.compile(pattern)
+        self.find = (lambda text: [m.group() for m in own.finditer(text)]) if own.groups else own.findall
         chars = byte_chars()
         self.plain = {b: ord(c) for b, c in enumerate(chars)}
-        self.chunks = Chunks(self._many, 300_000)
+        self.chunks = Chunks(self._many, 300_000) if pattern == PATTERN else None
         self.known: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
@@ -107,7 +108,8 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return list(self.chunks.encode([t or "" for t in texts]))
+        texts = [t or "" for t in texts]
+        return self._many(texts) if self.chunks is None else list(self.chunks.encode(texts))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -8,7 +8,7 @@ marks.  It therefore always cuts, whatever stands around,
 * between a letter or digit and a full stop or comma that is followed by a space or a line feed.
 
 Texts fall there into chunks that are encoded alike wherever they occur.  A text with other white space at such a place (or
-with the mark character) is encoded whole.
+with the mark character) is encoded whole.  This holds for ``PATTERN`` alone; with another one, callers encode whole texts.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: The pattern of byte-level tokenizers for which the cuts hold.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text that are cut up at once, and chunks that a process keeps (some 200 bytes each); both bound memory.
 SLICE, KEPT = 1 << 21, 1_000_000
 #: Stands before a chunk that has no space before it.

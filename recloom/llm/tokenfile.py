@@ -43,7 +43,17 @@ class LibraryEncoder:
         self.vocabulary = self.lib.get_vocab_size(with_added_tokens=True)
         feed = self.lib.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
-        self.chunks = Chunks(self._many)
+        self.chunks = Chunks(self._many) if self._cuts_hold() else None
+
+    def _cuts_hold(self) -> bool:
+        """Whether the file's own cuts are those of ``pretokens``: bytes by the usual pattern, nothing done to the text before,
+        and no added token but special ones."""
+        import json
+
+        own = json.loads(self.lib.to_str())
+        cut = own.get("pre_tokenizer") or {}
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        return bool(plain) and own.get("normalizer") is None and all(t["special"] for t in own.get("added_tokens", ()))
 
     def _one(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -67,7 +77,11 @@ class LibraryEncoder:
         return [next(got) if ok else self._one(t) for t, ok in zip(texts, single, strict=True)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """A text that holds a special token's string is left to the library whole."""
+        """A text that holds a special token's string is left to the library whole, as are all texts of a file whose cuts are
+        others."""
+        if self.chunks is None:
+            yield from map(self._one, texts)
+            return
         plain = [t if not any(s in t for s in self.special) else "" for t in texts]
         for t, p, ids in zip(texts, plain, self.chunks.encode(plain), strict=True):
             yield ids if p or not t else self._one(t)

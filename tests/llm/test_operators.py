@@ -723,3 +723,28 @@ def test_shards_of_one_group(spark):
     docs = awkward(spark)
     assert sharding.shard(spark, docs).count() == docs.count()
     assert sharding.shard(spark, none(spark)).count() == 0
+
+
+def test_other_patterns_are_not_cut(tmp_path):
+    """Patterns and files for which the cuts don't hold are applied to whole texts."""
+    import json
+
+    from recloom.llm import pretokens
+
+    assert pretokens.PATTERN == tokenizers.PATTERN
+    texts = ["two words and two more, again two words", "a b c. d e\nf g", "  spaces   all  over ", "", "x"]
+    for pattern in (r"\p{L}+ \p{L}+|\S+|\s+", r"[^ ]+ [^ ]+|.|\n", r"(\p{L})+|\s|\S", r"\S+\n\S+|."):
+        codec = bpe.Codec(tokenizers.path("byte_bpe_50k.tiktoken"), pattern)
+        import regex
+
+        for t, ids in zip(texts, codec.encode(texts), strict=True):
+            parts = [m.group() for m in regex.finditer(pattern, t)]
+            assert ids == b"".join(codec._piece(x) for x in parts) and codec.decode(ids) == "".join(parts).encode()
+    whole = json.loads(open(tokenizers.path("byte_bpe_50k.json")).read())
+    assert tokenfile.LibraryEncoder(tokenizers.path("byte_bpe_50k.json")).chunks is not None
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}):
+        (tmp_path / "t.json").write_text(json.dumps(whole | change))
+        own = tokenfile.LibraryEncoder(str(tmp_path / "t.json"))
+        assert own.chunks is None
+        for t, ids in zip(["Two Words And", "a b. c\nd", ""], own.encode(["Two Words And", "a b. c\nd", ""]), strict=True):
+            assert ids == np.array(own.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()

@@ -10,7 +10,8 @@ from recloom.llm.store import Scratch
 
 
 def components(scratch: Scratch, edges: DataFrame, label: str) -> DataFrame:
-    """``a``, ``b`` (links, any order) to ``node``, ``component`` (smallest node reachable), for nodes with a link."""
+    """``a``, ``b`` (links, any order) to ``node``, ``component`` (smallest node reachable), for nodes with a link.  Links with a null
+    end or to oneself say nothing and are left out; repeated ones count once; an empty table gives an empty one."""
     now = scratch.save(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-0")
     state, turn = None, 0
     while True:

@@ -184,6 +184,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
     picked = lowest(drawn, "draw", ["doc_id"], max_rows, n, n).drop("draw")
     # at most max_rows ids of two numbers each: the size that is broadcast is bounded by the parameter
     rows = measured(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text"), ["doc_id", "quality"])
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("x").alias("x"))  # rows that repeat an id count once, so max_rows holds
     got = sorted(rows.collect())
     x = np.array([r["x"] for r in got]).reshape(-1, len(MEASURES))
     return fit(x, np.array([r["quality"] for r in got], float))

@@ -300,6 +300,13 @@ def test_quality_awkward(spark):
     assert quality.classify(spark, none(spark), labels, ["doc_id"]).count() == 0
 
 
+def test_repeated_ids_train_once(spark):
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    scores = lambda d: by_id(quality.classify(spark, d, labels, ["doc_id"]))
+    once, often = scores(docs), scores(docs.unionByName(docs).unionByName(docs.filter("doc_id % 2 = 0")))
+    assert once == often
+
+
 # 4
 
 def chat_brute(rows):
@@ -331,6 +338,14 @@ def test_chat(spark):
     assert chat.read_back(chat.expand(df.limit(0))).count() == 0
 
 
+def test_rows_without_a_conversation_are_alone(spark):
+    rows = [(None, 0, "assistant", f"text {i}") for i in range(40)] + [(None, 1, "user", "no reply"), (1, 0, "user", "q"), (1, 1, "assistant", "r")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat.read_back(chat.expand(df)).collect()
+    assert sorted(r.n_turns for r in got if r.conv_id is None) == [1] * 41 and [r.n_turns for r in got if r.conv_id == 1] == [2]
+    assert {r.loss_sha256 for r in got if r.conv_id is None} == {hashlib.sha256(t.encode()).hexdigest() for t in ["", *(f"text {i}" for i in range(40))]}
+
+
 def test_op4(spark):
     rows = [tuple(r) for r in table(spark, SMALL, "conversations").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-7, i, r, "\\### Assistant: </turn> ok") for i, r in enumerate(("user", "assistant"))]

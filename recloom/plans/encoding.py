@@ -129,10 +129,12 @@ def design_columns(s, d):
     return bh.design_columns(kinds.select("user_id", "name", r.cast("long").alias("r"), grp.alias("grp")), 4, ["user_id"])
 
 
-@query("""with w as (select vec_id, u.k::integer k, embedding[u.k + 1]::double w from embeddings, (select unnest(range(4)) k) u), """ + _B + """ select vec_id, j, round(sum(v * w), 6) kernel from w join b using (k) group by 1, 2""")
+@query("""with w as (select vec_id, u.k // 4 part, (u.k % 4)::integer k, embedding[u.k + 1]::double w from embeddings, (select unnest(range(64)) k) u), """ + _B + """ select vec_id, part, j, round(sum(v * w), 6) kernel from w join b using (k) group by 1, 2, 3""")
 def kernel_expand(s, d):
-    w = t(s, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("k", "w")).select("vec_id", F.lit(0).alias("r"), F.lit(0).alias("target"), "k", F.col("w").cast("double").alias("w"))
-    return en.kernels(w, en.basis_table(s, 2.0, 1.5, 3.0, 4), ["vec_id"]).select("vec_id", "j", F.round("kernel", 6).alias("kernel"))
+    """Four values in a row are the weights of one target."""
+    w = t(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "w"))
+    w = w.select("vec_id", F.lit(0).alias("r"), F.floor(F.col("p") / 4).alias("target"), (F.col("p") % 4).alias("k"), F.col("w").cast("double").alias("w"))
+    return en.kernels(w, en.basis_table(s, 2.0, 1.5, 3.0, 4), ["vec_id"]).select("vec_id", F.col("target").alias("part"), "j", F.round("kernel", 6).alias("kernel"))
 
 
 def _one(table: str, keys: str, lam, p: str = "", places: int = 6) -> str:
@@ -244,15 +246,15 @@ def lambda_pick_robust(s, d):
     return en.pick_lambda_robust(x.filter("grp != 'N'"), ["grp"], floor=-0.9).unionByName(en.pick_lambda_robust(x.filter("grp = 'N'"), ["grp"], floor=9.0))
 
 
-@query(f"with {_T} select target, lam, r2 from f where grp = 'A' qualify row_number() over (partition by target order by r2 desc, lam) = 1")
+@query(f"with {_T} select target, grp, lam, r2 from f qualify row_number() over (partition by target, grp order by r2 desc, lam) = 1")
 def argmax_first(s, d):
-    return en.first_best(r2_table(s, d).filter("grp = 'A'"), ["target"], "r2", "lam").select("target", "lam", "r2")
+    return en.first_best(r2_table(s, d), ["target", "grp"], "r2", "lam").select("target", "grp", "lam", "r2")
 
 
-@query(f"with {_T}, b as (select target, min(lam) lam from f where grp = 'A' and r2 > 0.5 group by 1) select target, coalesce(b.lam, mx) lam, b.lam is null fell_back from (select target, max(lam) mx from f where grp = 'A' group by 1) left join b using (target)")
+@query(f"with {_T}, b as (select target, grp, min(lam) lam from f where r2 > 0.5 group by 1, 2) select target, grp, coalesce(b.lam, mx) lam, b.lam is null fell_back from (select target, grp, max(lam) mx from f group by 1, 2) left join b using (target, grp)")
 def fallback_largest(s, d):
-    x = r2_table(s, d).filter("grp = 'A'")
-    return en.fallback_largest(x, x.filter("r2 > 0.5").groupBy("target").agg(F.min("lam").alias("_lam")), ["target"], "lam")
+    x, keys = r2_table(s, d), ["target", "grp"]
+    return en.fallback_largest(x, x.filter("r2 > 0.5").groupBy(*keys).agg(F.min("lam").alias("_lam")), keys, "lam")
 
 
 @query(f"with {_T}, o as (select target, r2 obs from f where grp = 'A' and lam = 1), u as (select f.target, obs, r2 from f join o using (target) where grp <> 'A') select target, round((1 + count(*) filter (r2 >= obs)) / (count(*) + 1), 9) p_value, round(quantile_cont(r2, 0.95), 8) null_p95 from u group by 1")
@@ -262,12 +264,12 @@ def null_pvalue(s, d):
     return p.select("target", F.round("p_value", 9).alias("p_value"), F.round("null_p95", 8).alias("null_p95"))
 
 
-@query(f"""with {_T}, o as (select target, r2 r2_cv from f where grp = 'A' and lam = 1) select target, s_name acronym, case when target % 2 = 0 then 'raw' else 'delta' end band, case when target % 2 = 0 then 10.0 else 1.0 end::double lam, r2_cv, target % 3 = 0 has_wheel from o join supplier on target = s_suppkey""")
+@query(f"""with {_T}, o as (select target, grp, lam asked, r2 r2_cv from f) select target, grp, asked, s_name acronym, case when target % 2 = 0 then 'raw' else 'delta' end band, case when target % 2 = 0 then 10.0 else 1.0 end::double lam, r2_cv, target % 3 = 0 has_wheel from o join supplier on target = s_suppkey""")
 def score_rows(s, d):
-    o = r2_table(s, d).filter("grp = 'A' and lam = 1").select("target", F.col("r2").alias("r2_cv"))
+    o = r2_table(s, d).select("target", "grp", F.col("lam").alias("asked"), F.col("r2").alias("r2_cv"))
     meta = t(s, d, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_name").alias("acronym"))
     x = o.join(meta, "target").withColumn("band", F.when(F.col("target") % 2 == 0, "raw").otherwise("delta"))
-    return x.select("target", "acronym", "band", tables.map_lookup(F.col("band"), {"raw": 10.0, "delta": 1.0}).alias("lam"), "r2_cv", (F.col("target") % 3 == 0).alias("has_wheel"))
+    return x.select("target", "grp", "asked", "acronym", "band", tables.map_lookup(F.col("band"), {"raw": 10.0, "delta": 1.0}).alias("lam"), "r2_cv", (F.col("target") % 3 == 0).alias("has_wheel"))
 
 
 @query()

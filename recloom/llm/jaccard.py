@@ -9,8 +9,9 @@ as there are tokens, whatever the text's length.
 In steps:
 
 1. ``signed``: token count and a 128-bit key of each text's set.  Rows with equal keys are one node from here on.
-2. The prefix of each node is stored; its tokens are counted, rare ones are indexed.  Nodes with frequent ones are read again
-   for their extended prefix and indexed by combinations.  Only entries that two nodes have are kept.
+2. The prefix of each node is stored; its tokens are counted, rare ones are indexed.  Nodes with frequent ones are read again, with
+   all their tokens; those that have a share t of them in common with others, whichever, are indexed by combinations of their
+   extended prefix.  Only entries that two nodes have are kept.
 3. Inside the index, long lists are shortened first: each list names as hub its node with the largest share of entries in
    common with others (which is what near copies are copies of), and each node is verified with the hub that it meets most
    often.  What links is one component.  This is done twice, at a cost linear in the lists' sizes.
@@ -19,8 +20,8 @@ In steps:
 Pairs are verified by their prefixes first, then those left by their whole sets.
 
 Links lost: none.  Let A and B link and differ, s be the first token that they share, I their shared tokens, and U those that
-only one of them has.  s lies in the prefix of either, so if it is rare, both are in its list.  Else both are indexed by
-combinations.  U <= (1 - t) / t I, and I is at most either's size n, so that U <= d(n) = floor((1 - t) / t n).  The first
+only one of them has.  s lies in the prefix of either, so if it is rare, both are in its list.  Else both have all their tokens
+looked at, of which the I >= t n shared ones are in another set, and both are indexed by combinations.  U <= (1 - t) / t I, and I is at most either's size n, so that U <= d(n) = floor((1 - t) / t n).  The first
 2 U + 3 shared tokens have 2 U + 2 gaps between them, which are U + 1 couples of neighbouring gaps; one couple holds no unshared
 token, so that three shared tokens are in a row in A and in B.  In either text of n tokens they lie within the first
 2 d + 3 + min(d, tau) tokens, which the extended prefix holds.  There are 2 U + 3 shared tokens, as I >= t / (1 - t) U >= 3 U
@@ -94,12 +95,6 @@ def head_size(n: int, percent: int) -> int:
     return min(n, tau_of(n, percent) + 1)
 
 
-def window_size(n: int, percent: int) -> int:
-    """Tokens of the extended prefix."""
-    d = n * (100 - percent) // percent
-    return min(n, 2 * d + 3 + min(d, tau_of(n, percent)))
-
-
 def key_of(found: np.ndarray) -> bytes | None:
     return xxhash.xxh128_digest(found.tobytes()) if len(found) else None
 
@@ -186,8 +181,12 @@ def verify(scratch: Scratch, docs: DataFrame, nodes: DataFrame, heads: DataFrame
     return links
 
 
-def combinations(windows: DataFrame) -> DataFrame:
-    """``windows`` to a row per three tokens in a row (of small nodes also per two): ``node``, ``n``, ``at`` (place) and ``h``."""
+def combinations(sets: DataFrame, percent: int) -> DataFrame:
+    """The extended prefix of each of ``sets`` to a row per three tokens in a row (of small nodes also per two): ``node``, ``n``, ``at``
+    (place) and ``h``."""
+    n = F.col("n")
+    d, tau = F.floor(n * (100 - percent) / percent), n + F.floor(F.lit(-percent) * n / 100)
+    windows = sets.select("node", "n", F.slice("tokens", F.lit(1), F.least(n, 2 * d + 3 + F.least(d, tau)).cast("int")).alias("tokens"))
     run = lambda width: F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - width + 1, F.lit(0)))
     three = F.transform(run(3), lambda x, i: F.xxhash64(x, F.get("tokens", i + 1), F.get("tokens", i + 2)))
     two = F.when(F.col("n") <= SMALL, F.transform(run(2), lambda x, i: F.xxhash64(x, F.get("tokens", i + 1)))).otherwise(F.array().cast("array<long>"))
@@ -201,6 +200,12 @@ def shared(scratch: Scratch, entries: DataFrame, label: str) -> DataFrame:
     return entries.join(counts, "h")
 
 
+def mostly_shared(scratch: Scratch, sets: DataFrame, percent: int) -> DataFrame:
+    """``node`` of those ``sets`` of which a share of ``percent`` is in some other set, too: the others have no partner here."""
+    every = sets.select("node", "n", F.explode("tokens").alias("h"))
+    return shared(scratch, every, "token").groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(100 * F.col("c") >= percent * F.col("n")).select("node")
+
+
 def token_index(scratch: Scratch, docs: DataFrame, nodes: DataFrame, heads: DataFrame, k: int, percent: int, frequent: int) -> DataFrame:
     """``h``, ``node``, ``n``, ``at`` (place) and ``single``: rare prefix tokens singly, and combinations for nodes that have frequent ones
     in their prefix."""
@@ -209,8 +214,9 @@ def token_index(scratch: Scratch, docs: DataFrame, nodes: DataFrame, heads: Data
     if percent < 75:
         return met.select("h", "node", "n", "at", F.lit(True).alias("single"))
     dense = scratch.save(met.filter(F.col("df") > frequent).select("node").distinct(), "dense")
-    windows = scratch.save(of_nodes(docs, only_nodes(nodes, dense), k, lambda n: window_size(n, percent)), "windows")
-    both = shared(scratch, combinations(windows), "combination")
+    sets = scratch.save(of_nodes(docs, only_nodes(nodes, dense), k), "dense-sets")
+    alive = scratch.save(mostly_shared(scratch, sets, percent), "alive")
+    both = shared(scratch, combinations(only_nodes(sets, alive), percent), "combination")
     rare = met.filter(F.col("df") <= frequent)
     return rare.select("h", "node", "n", "at", F.lit(True).alias("single")).unionByName(both.select("h", "node", "n", "at", F.lit(False).alias("single")))
 
@@ -259,7 +265,7 @@ def index_links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, k: int, per
     """Steps 2 to 4: ``a``, ``b`` of links that connect what all links connect."""
     heads = scratch.save(of_nodes(docs, nodes, k, lambda n: head_size(n, percent)), "heads")
     index = scratch.save(token_index(scratch, docs, nodes, heads, k, percent, frequent), "index")
-    scratch.drop("prefix", "prefix-counts", "combination-counts", "dense", "windows")
+    scratch.drop("prefix", "prefix-counts", "combination-counts", "dense", "dense-sets", "token-counts", "alive")
     links = None
     comp = index.select("node", F.col("node").alias("component")).limit(0)
     for turn in ("hub", "again", "rest"):

@@ -173,7 +173,15 @@ def waveform_features(s, d):
     return x.withColumns({c: F.round(c, 6) for c in ("peak_val", "trough_val", "tip_val", "ptp")})
 
 
-@query()
+@query("""with e as (select vec_id, [z::double for z in embedding] w, [abs(z::double) for z in embedding] aw from embeddings),
+p as (select *, list_position(aw, list_max(aw)) p, list_max(aw) / 2 half from e), q as (select *, [case when w[p] < 0 then z else -z end for z in w] sw from p),
+r as (select *, p - 1 + list_position(sw[p:], list_max(sw[p:])) tr, list_position(sw[:p], list_max(sw[:p])) tip,
+  coalesce(list_max(list_filter(range(1, p), lambda j: aw[j] < half)), 0) + 1 a, coalesce(list_min(list_filter(range(p + 1, len(w) + 1), lambda j: aw[j] < half)), len(w) + 1) - 1 b from q),
+s as (select *, least(len(w), tr + 16) r from r)
+select vec_id, (p - 1)::double peak_time_idx, round(w[p], 6) peak_val, (tr - 1)::double trough_time_idx, round(w[tr], 6) trough_val, (tip - 1)::double tip_time_idx, round(w[tip], 6) tip_val,
+  (a - 1)::double half_peak_pre_time_idx, (b - 1)::double half_peak_post_time_idx, (r - 1)::double recovery_time_idx, round(w[r], 6) recovery_val,
+  round(case when tip = p then 0 else (w[p] - w[tip]) / (p - tip) * 30000.0 end, 4) depolarisation_slope, round(case when tr = p then 0 else (w[tr] - w[p]) / (tr - p) * 30000.0 end, 4) repolarisation_slope,
+  round(case when r = tr then 0 else (w[r] - w[tr]) / (r - tr) * 30000.0 end, 4) recovery_slope from s""")
 def waveform_shape(s, d):
     import pandas as pd
 
@@ -183,7 +191,8 @@ def waveform_shape(s, d):
         for f in frames:
             yield pd.concat([f[["vec_id"]].reset_index(drop=True), pd.DataFrame([kernels.waveform_shape(w, 30_000.0) for w in f["embedding"]], columns=names).astype(float)], axis=1)
 
-    return t(s, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, " + ", ".join(f"{n} double" for n in names))
+    x = t(s, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, " + ", ".join(f"{n} double" for n in names))
+    return x.withColumns({n: F.round(n, 4 if n.endswith("slope") else 6) for n in names if not n.endswith("idx")})
 
 
 @query(f"with {_X} select vec_id, pos, (pos + o.o)::integer channel, round(v, 6) v from x cross join (select unnest([-1, 0, 1, 2]) o) o where pos + o.o >= 0 and pos + o.o < 64")

@@ -33,9 +33,9 @@ def strict_lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 
 def settings_of(df: DataFrame, settings: DataFrame, key: str) -> DataFrame:
-    """Rows with the settings of their kind; a kind without any is an error while it runs.  Settings are a table that a
-    person wrote down."""
-    return strict_lookup(df, F.broadcast(settings), key)
+    """Rows with the settings of their kind; a kind without any is an error while it runs.  Spark broadcasts the settings if
+    they are as small as a table that a person wrote down."""
+    return strict_lookup(df, settings, key)
 
 
 def fallback(preferred: DataFrame, other: DataFrame, key: str) -> DataFrame:

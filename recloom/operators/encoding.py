@@ -62,13 +62,26 @@ def lag_expand(base: DataFrame, basis: DataFrame, keys: Sequence[str], n_pre: in
     return x.groupBy(*keys, "r", "k", "i").agg(F.sum(F.col("v") * F.col("_b")).alias("x"))
 
 
+#: Lags up to which a basis is summed lag by lag; longer ones go through FFT.
+FEW_LAGS = 16
+
+
 def expand(base: np.ndarray, b: np.ndarray, n_pre: int) -> np.ndarray:
-    """Rows x (regressor, bump) of a whole block, zero beyond it; columns ordered by regressor, then bump."""
-    n, lags = len(base), len(b)
+    """Rows x (regressor, bump) of a whole block, zero beyond it; columns ordered by regressor, then bump.  Axes before the last
+    two are a stack of blocks."""
+    *stack, n, width = base.shape
+    lags = len(b)
+    if lags <= FEW_LAGS:
+        wide = np.zeros((*stack, n + lags - 1, width))
+        wide[..., lags - 1 - n_pre : lags - 1 - n_pre + n, :] = base
+        out = np.zeros((*stack, n, width, b.shape[1]))
+        for j in range(lags):
+            out += wide[..., lags - 1 - j : lags - 1 - j + n, :, None] * b[j]
+        return out.reshape(*stack, n, width * b.shape[1])
     size = 1 << (n + lags - 1).bit_length()
     fb = np.fft.rfft(b, size, axis=0)
-    parts = [np.fft.irfft(np.fft.rfft(base[:, r], size)[:, None] * fb, size, axis=0)[n_pre : n_pre + n] for r in range(base.shape[1])]
-    return np.concatenate(parts, axis=1) if parts else np.zeros((n, 0))
+    parts = [np.fft.irfft(np.fft.rfft(base[..., r], size)[..., None] * fb, size, axis=-2)[..., n_pre : n_pre + n, :] for r in range(width)]
+    return np.concatenate(parts, axis=-1) if parts else np.zeros((*stack, n, 0))
 
 
 def pack(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -155,15 +168,22 @@ def centred(s: np.ndarray, p: int, m: int) -> dict[str, np.ndarray]:
 def fits(train: dict, pen: np.ndarray, lambdas: Sequence[float], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights (stack, penalty, ``keep``, target) of the columns ``keep``, and which of them there are: a system that
     is not positive definite has none.  Products and penalty are made diagonal together once a system, and each penalty is
-    then a scaling of this."""
+    then a scaling of this; a penalty that reaches every direction needs no such check, and systems are solved one by one."""
     at = np.ix_(range(len(train["n"])), keep, keep)
     least = min((v for v in lambdas if v > 0), default=0.0)
-    low, turn = np.linalg.eigh(train["xx"][at] + least * pen[np.ix_(keep, keep)])
-    good = (low[:, :1] > len(keep) * np.finfo(float).eps * np.abs(low[:, -1:])).all(1) if len(keep) else np.ones(len(low), bool)
+    own, eps = pen[np.ix_(keep, keep)], np.finfo(float).eps
+    system = train["xx"][at]
+    size = np.trace(system, axis1=1, axis2=2) + max(lambdas, default=0.0) * np.trace(own)
+    if len(keep) and min(lambdas) > 0 and (1e3 * len(keep) * eps * size < least * np.linalg.eigvalsh(own)[0]).all():
+        # the penalty alone makes every system positive definite
+        cross = train["xy"][:, None, keep]
+        return np.concatenate([np.linalg.solve((system + v * own)[:, None], cross) for v in lambdas], axis=1), np.ones((len(system), len(lambdas)), bool)
+    low, turn = np.linalg.eigh(system + least * own)
+    good = (low[:, :1] > len(keep) * eps * np.abs(low[:, -1:])).all(1) if len(keep) else np.ones(len(low), bool)
     turn = turn / np.sqrt(np.where(good[:, None], low, 1.0))[:, None]
     scale = np.ones((len(low), len(lambdas), len(keep)))
     if any(v != least for v in lambdas):
-        share, more = np.linalg.eigh(np.swapaxes(turn, 1, 2) @ pen[np.ix_(keep, keep)] @ turn)
+        share, more = np.linalg.eigh(np.swapaxes(turn, 1, 2) @ own @ turn)
         turn = turn @ more
         scale += (np.array(lambdas) - least)[None, :, None] * share[:, None]
     there = good[:, None] & (scale > 1e-12).all(2)
@@ -219,31 +239,15 @@ def partly_summed(packs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 #: Bytes of matrices that a task works on at a time.
 STACK_BYTES = 48 << 20
+#: A fit of stacks of parts: its columns with their types, and what makes them.  It gets the parts' sums and each part's key, numbered
+#: from 0, and gives the key of each row and the columns.
+Fit = tuple[dict[str, str], Callable[[np.ndarray, np.ndarray], tuple]]
+TYPES = {"double": pa.float64(), "string": pa.string(), "int": pa.int32()}
 
 
-def per_key(packs: DataFrame, keys: Sequence[str], n_targets: int, columns: dict[str, str], rows: Callable[[np.ndarray, np.ndarray], tuple]) -> DataFrame:
-    """``rows`` of stacks of many keys.  ``packs``: ``chunk_packs`` or ``statistics``.  ``rows`` gets the parts' sums and each part's
-    key, numbered from 0, of as many keys as fit ``STACK_BYTES``, and gives the key of each row and the columns.  Keys come
-    sorted, so that a task streams them; no group is made per key."""
-    kinds = dict(packs.dtypes)
-    packs = gathered(packs, keys) if "at" in packs.columns else partly_summed(packs, keys)
-    types = {"double": pa.float64(), "string": pa.string(), "int": pa.int32()}
-
-    def stacks(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        for first, key, sums in summed(t, keys):
-            p = columns_of(sums.shape[1], n_targets)
-            most = max(1, STACK_BYTES // (48 * p * p + 8 * sums.shape[1]))
-            start = 0
-            while start < len(key):
-                end = min(len(key), start + most)
-                if end < len(key):  # whole keys only
-                    end = max(np.searchsorted(key, key[end], "left"), np.searchsorted(key, key[start], "right"))
-                own = key[start:end] - key[start]
-                owner, values = rows(sums[start:end], own)
-                at = first[start:end][np.searchsorted(own, owner, "left")]
-                found = [pa.array(v, types[k], mask=np.isnan(v) if k == "double" else None) for v, k in zip(values, columns.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(t.column(k).take(pa.array(at)).combine_chunks() for k in keys), *found], names=[*keys, *columns])
-                start = end
+def streamed(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work`` of tables of whole keys.  Keys come sorted, and by ``order`` within one, so that a task streams them; no group is
+    made per key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -255,12 +259,122 @@ def per_key(packs: DataFrame, keys: Sequence[str], n_targets: int, columns: dict
             cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
             held = t.slice(cut).to_batches()
             if cut:
-                yield from stacks(t.slice(0, cut))
+                yield from work(t.slice(0, cut))
         if held:
-            yield from stacks(pa.Table.from_batches(held))
+            yield from work(pa.Table.from_batches(held))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def fitted(own: pa.Table, parts: np.ndarray, key: np.ndarray, row: np.ndarray, n_targets: int, fit: Fit) -> Iterator[pa.RecordBatch]:
+    """``fit`` of as many keys at a time as ``STACK_BYTES`` holds.  ``key``: each part's key in ascending order; ``row``: the row of
+    ``own`` that has its key columns."""
+    columns, rows = fit
+    p = columns_of(parts.shape[1], n_targets)
+    most = max(1, STACK_BYTES // (48 * p * p + 8 * parts.shape[1]))
+    start = 0
+    while start < len(key):
+        end = min(len(key), start + most)
+        if end < len(key):  # whole keys only
+            end = max(np.searchsorted(key, key[end], "left"), np.searchsorted(key, key[start], "right"))
+        number = np.cumsum(np.concatenate(([0], key[start:end][1:] != key[start:end][:-1])))
+        owner, values = rows(parts[start:end], number)
+        at = pa.array(row[start:end][np.searchsorted(number, owner, "left")])
+        found = [pa.array(v, TYPES[k], mask=np.isnan(v) if k == "double" else None) for v, k in zip(values, columns.values(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(c.take(at).combine_chunks() for c in own.columns), *found], names=[*own.column_names, *columns])
+        start = end
+
+
+def per_key(packs: DataFrame, keys: Sequence[str], n_targets: int, fit: Fit) -> DataFrame:
+    """``fit`` of stacks of many keys.  ``packs``: ``chunk_packs`` or ``statistics``."""
+    kinds = dict(packs.dtypes)
+    packs = gathered(packs, keys) if "at" in packs.columns else partly_summed(packs, keys)
 
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{c} {k}" for c, k in columns.items())])
-    return packs.repartition(*keys).sortWithinPartitions(*keys, "fold").mapInArrow(run, schema)
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for first, key, sums in summed(t, keys):
+            yield from fitted(t.select(list(keys)), sums, key, first, n_targets, fit)
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{c} {k}" for c, k in fit[0].items())])
+    return streamed(packs, keys, ["fold"], work, schema)
+
+
+def rolled_packs(i: np.ndarray, n: int, x: np.ndarray, y: np.ndarray, shift: np.ndarray, b: np.ndarray, n_pre: int, n_folds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packs of one whole recording for each shift and fold that has samples, and the place of its shift and its fold.  Regressors roll,
+    targets stay; a target without a regressor on it is left out.  ``i`` ascends."""
+    base, known = np.zeros((n, x.shape[1])), np.zeros(n, bool)
+    base[i], known[i] = x, True
+    source = (np.arange(n) - shift[:, None]) % n
+    full, fold = expand(base[source], b, n_pre)[:, i], ((i + 1) * n_folds - 1) // n
+    there = known[source][:, i]
+    whole = there.all()
+    full = full if whole else np.where(there[..., None], full, 0.0)
+    some, edges = np.unique(fold, return_index=True)
+    edges = np.append(edges, len(i))
+    (p, m), (iu, ju) = (full.shape[2], y.shape[1]), np.triu_indices(full.shape[2])
+    out = np.empty((len(shift), len(some), 1 + p + 2 * m + len(iu) + p * m))
+    for k in range(len(some)):
+        at = slice(edges[k], edges[k + 1])
+        own, t = full[:, at], y[None, at] if whole else np.where(there[:, at, None], y[at], 0.0)
+        across = own.swapaxes(1, 2)
+        out[:, k] = np.concatenate([np.broadcast_to(v, (len(shift), v.shape[1])) for v in (
+            there[:, at].sum(1, keepdims=True), own.sum(1), t.sum(1), (t**2).sum(1), (across @ own)[:, iu, ju], (across @ t).reshape(len(shift), -1))], axis=1)
+    d, k = np.nonzero(out[:, :, 0])
+    return d, some[k], out[d, k]
+
+
+def lists_of(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of arrays, and where each row's begin and end."""
+    column = t.column(name).combine_chunks()
+    length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float), np.concatenate(([0], np.cumsum(length)))
+
+
+def fit_rows(rows: DataFrame, keys: Sequence[str], b: np.ndarray, n_pre: int, n_folds: int, n_targets: int, fit: Fit, draws: DataFrame | None = None, size: int = 15_000) -> DataFrame:
+    """``fit`` of samples (as ``chunk_packs`` takes them), and with ``draws`` (keys, ``perm``, ``shift``) of their rolled designs,
+    keyed by ``perm`` too.  A recording of up to ``size`` samples comes to one task, which makes its statistics, fits them and
+    forgets them, so that what is shuffled is samples and draws; only longer ones leave statistics that are added up."""
+    kinds, rolled = dict(rows.dtypes), draws is not None
+    columns = [*keys, "perm"] if rolled else list(keys)
+    short = rows.filter(F.col("n") <= size).select(*keys, F.col("i").cast("long").alias("i"), F.col("n").cast("long").alias("n"), "x", "y")
+    if rolled:  # before the samples
+        short = short.unionByName(draws.select(*keys, F.lit(-1).cast("long").alias("i"), F.col("perm").cast("int").alias("perm"), F.col("shift").cast("long").alias("shift")), allowMissingColumns=True)
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, i = codes(t, keys), t.column("i").to_numpy()
+        edges = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
+        (x, of_x), (y, of_y) = lists_of(t, "x"), lists_of(t, "y")
+        n = pc.fill_null(t.column("n"), 0).to_numpy()
+        shifts = pc.fill_null(t.column("shift"), 0).to_numpy() if rolled else None
+        held: dict[int, list] = {}
+        bytes_ = number = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for found in held.values():
+                parts, own, row = (np.concatenate(v) for v in zip(*found, strict=True))
+                yield from fitted(t.select(columns), parts, own, row, n_targets, fit)
+            held.clear()
+
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            c = a + int(np.searchsorted(i[a:z], 0))
+            if c == z or rolled and a == c:
+                continue
+            some, of = (shifts[a:c], np.arange(a, c)) if rolled else (np.zeros(1, np.int64), np.array([a]))
+            own_x, own_y = x[of_x[c] : of_x[z]].reshape(z - c, -1), y[of_y[c] : of_y[z]].reshape(z - c, -1)
+            step = max(1, STACK_BYTES // (16 * int(n[c]) * max(1, own_x.shape[1] * b.shape[1])))
+            for first in range(0, len(some), step):
+                d, _, packs = rolled_packs(i[c:z], int(n[c]), own_x, own_y, some[first : first + step], b, n_pre, n_folds)
+                if len(packs):
+                    held.setdefault(packs.shape[1], []).append((packs, number + d, of[first : first + step][d]))
+                number, bytes_ = number + step, bytes_ + packs.nbytes
+                if bytes_ > STACK_BYTES:
+                    yield from flush()
+                    bytes_ = 0
+        yield from flush()
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(["perm int"] if rolled else []), *(f"{c} {k}" for c, k in fit[0].items())])
+    long = rows.filter(F.col("n") > size)
+    packs = null_packs(long, keys, draws, b, n_pre, n_folds, size) if rolled else chunk_packs(long, keys, b, n_pre, n_folds, size)
+    return streamed(short, keys, ["i"], work, schema).unionByName(per_key(packs, columns, n_targets, fit))
 
 
 def columns_of(size: int, n_targets: int) -> int:
@@ -268,7 +382,7 @@ def columns_of(size: int, n_targets: int) -> int:
     return next(p for p in range(size) if 1 + p + 2 * n_targets + p * (p + 1) // 2 + p * n_targets >= size)
 
 
-def solve(stats: DataFrame, keys: Sequence[str], groups: Sequence[str] | Mapping[int, Sequence[str]], n_basis: int, n_targets: int, lambdas: Sequence[float], drop: bool = True) -> DataFrame:
+def scoring(groups: Sequence[str] | Mapping[int, Sequence[str]], n_basis: int, n_targets: int, lambdas: Sequence[float], drop: bool = True) -> Fit:
     """Per key, penalty, dropped group (empty: none) and target the R2 on all samples and its mean over
     held-out folds.  ``groups``: the group of each base regressor, or, where recordings differ, these lists by how many
     regressors a recording has.  A key whose matrix is singular gives rows with a ``status`` and no numbers, and the others
@@ -304,10 +418,15 @@ def solve(stats: DataFrame, keys: Sequence[str], groups: Sequence[str] | Mapping
         place = np.indices(full.shape).reshape(4, -1)
         return place[0], (np.array(lambdas)[place[1]], np.array(variants, object)[place[2]], place[3], full.ravel(), cv.ravel(), np.where(there.ravel(), "ok", "the matrix is not positive definite").astype(object))
 
-    return per_key(stats, keys, n_targets, {"lam": "double", "dropped": "string", "target": "int", "r2_full": "double", "r2_cv": "double", "status": "string"}, rows)
+    return {"lam": "double", "dropped": "string", "target": "int", "r2_full": "double", "r2_cv": "double", "status": "string"}, rows
 
 
-def weights(stats: DataFrame, keys: Sequence[str], groups: Sequence[str] | Mapping[int, Sequence[str]], n_basis: int, n_targets: int, lam: float) -> DataFrame:
+def solve(stats: DataFrame, keys: Sequence[str], groups: Sequence[str] | Mapping[int, Sequence[str]], n_basis: int, n_targets: int, lambdas: Sequence[float], drop: bool = True) -> DataFrame:
+    """``scoring`` of statistics."""
+    return per_key(stats, keys, n_targets, scoring(groups, n_basis, n_targets, lambdas, drop))
+
+
+def weighing(groups: Sequence[str] | Mapping[int, Sequence[str]], n_basis: int, n_targets: int, lam: float) -> Fit:
     """K9: basis weights per (regressor, bump, target) of the fit on all samples; none for a key that can't be fitted."""
     lists = groups if isinstance(groups, Mapping) else {len(groups): groups}
 
@@ -320,7 +439,12 @@ def weights(stats: DataFrame, keys: Sequence[str], groups: Sequence[str] | Mappi
         some = there[own, 0]
         return own[some], (i[some] // n_basis, i[some] % n_basis, t[some], w[:, 0].ravel()[some])
 
-    return per_key(stats, keys, n_targets, {"r": "int", "k": "int", "target": "int", "w": "double"}, rows)
+    return {"r": "int", "k": "int", "target": "int", "w": "double"}, rows
+
+
+def weights(stats: DataFrame, keys: Sequence[str], groups: Sequence[str] | Mapping[int, Sequence[str]], n_basis: int, n_targets: int, lam: float) -> DataFrame:
+    """``weighing`` of statistics."""
+    return per_key(stats, keys, n_targets, weighing(groups, n_basis, n_targets, lam))
 
 
 def kernels(w: DataFrame, basis: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -117,9 +117,9 @@ def design(s, d):
     return bh.design_rows(base(s, d), y, ["user_id"])
 
 
-def design_packs(s, d):
+def lagged_fit(s, rows, fit, draws=None):
     b = en.basis_matrix(en.basis_table(s, 1 / STEP, STEP, 2 * STEP, BUMPS))
-    return en.chunk_packs(design(s, d), ["user_id", "kind"], b, 1, 5)
+    return en.fit_rows(rows, ["user_id", "kind"], b, 1, 5, 2, fit, draws)
 
 
 #: Draws of a session's null, and the samples at either end to which no shift goes.
@@ -134,20 +134,18 @@ def session_fits(s, d):
     rows = design(s, d)
     writers.table(rows, f"{path}/design")
     rows = s.read.schema(rows.schema).parquet(f"{path}/design")
-    b = en.basis_matrix(en.basis_table(s, 1 / STEP, STEP, 2 * STEP, BUMPS))
-    packs = en.chunk_packs(rows, keys, b, 1, 5)
-    scores = en.solve(packs, keys, bh.groups_by_size(), BUMPS, 2, LAMBDAS)
+    scores = lagged_fit(s, rows, en.scoring(bh.groups_by_size(), BUMPS, 2, LAMBDAS))
     writers.table(scores, f"{path}/grid")
     scores = s.read.schema(scores.schema).parquet(f"{path}/grid")
     table = en.score_table(scores, keys, ["stimOn", "move", "feedback", "wheel", "pupil"])
     draws = en.shift_draws(rows.groupBy(*keys).agg(F.first("n").alias("n")), keys, DRAWS, MARGIN)
-    null = en.solve(en.null_packs(rows, keys, draws, b, 1, 5), [*keys, "perm"], bh.groups_by_size(), BUMPS, 2, LAMBDAS, drop=False)
+    null = lagged_fit(s, rows, en.scoring(bh.groups_by_size(), BUMPS, 2, LAMBDAS, drop=False), draws)
     band = F.when(F.col("kind") == "raw", "raw").when(F.col("target") == 0, "delta").otherwise("theta")
     c = t(s, d, "customer").join(t(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     meta = table.select(*keys, "target").distinct().join(c.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("channel"), F.col("n_name").alias("acronym")), "user_id", "left").withColumn("band", band)
     runs.publish(f"{path}/run", {
         "scores": en.described(en.with_null(table, null, keys), meta, keys).withColumn("source", F.lit("full")),
-        "weights": en.weights(packs, keys, bh.groups_by_size(), BUMPS, 2, 1000.0).withColumn("source", F.lit("full")),
+        "weights": lagged_fit(s, rows, en.weighing(bh.groups_by_size(), BUMPS, 2, 1000.0)).withColumn("source", F.lit("full")),
     }, ["source", *keys])
     return runs.read(s, f"{path}/run", "scores", ["source", *keys]).drop("source")
 
@@ -158,7 +156,7 @@ def stored_run(s, d):
     path = folder(s, "stored_run")
     basis = en.basis_table(s, 1 / STEP, STEP, 2 * STEP, BUMPS)
     writers.run_settings(s, f"{path}/run", {"fs": 1 / STEP, "lambda": 1000.0, "n_basis": float(BUMPS), "n_folds": 5.0}, {"groups": bh.NAMES}, basis)
-    w = en.weights(design_packs(s, d), ["user_id", "kind"], bh.groups_by_size(), BUMPS, 2, 1000.0)
+    w = lagged_fit(s, design(s, d), en.weighing(bh.groups_by_size(), BUMPS, 2, 1000.0))
     writers.by_key(w.withColumn("source", F.lit("full")), f"{path}/weights", ["source", "kind"])
     stored = s.read.parquet(f"{path}/weights")
     return en.kernels(stored, s.read.parquet(f"{path}/run/basis"), ["source", "kind", "user_id"])

@@ -140,6 +140,31 @@ def test_keys_stream_in_any_partition(spark):
         assert len(fit) == sum(2 * (1 + len(w)) for w in want.values()) and all(r.status == "ok" and r.r2_cv is not None for r in fit)
 
 
+def test_whole_recordings_are_fitted_where_they_lie(spark):
+    """Samples and draws are what is shuffled; short and long recordings, gaps, and designs of two sizes score as from statistics."""
+    rows, draws = [], []
+    for k, n, p in (("a", 90, 2), ("b", 41, 1), ("c", 200, 2), ("d", 60, 2)):
+        for i in range(n):
+            if k != "d" or i % 7:
+                rows.append((k, i, n, RNG.normal(size=p).tolist(), RNG.normal(size=2).tolist()))
+        draws += [(k, m, 13 * m + 4) for m in range(3)]
+    df = spark.createDataFrame(rows, "pid string, i long, n long, x array<double>, y array<double>")
+    d = spark.createDataFrame(draws, "pid string, perm int, shift long")
+    groups, b, f = {1: ["g"], 2: ["g", "h"]}, RNG.normal(size=(4, 2)), ["pid", "lam", "dropped", "target", "r2_full", "r2_cv"]
+    for lambdas in ([2.0, 50.0], [0.0, 50.0]):
+        fit, got = encoding.scoring(groups, 2, 2, lambdas), {}
+        for name, x in {
+            "seen": encoding.fit_rows(df, ["pid"], b, 1, 4, 2, fit, size=100).withColumn("perm", F.lit(-1)),
+            "seen_packs": encoding.solve(encoding.chunk_packs(df, ["pid"], b, 1, 4), ["pid"], groups, 2, 2, lambdas).withColumn("perm", F.lit(-1)),
+            "null": encoding.fit_rows(df, ["pid"], b, 1, 4, 2, fit, d, size=100),
+            "null_packs": encoding.solve(encoding.null_packs(df, ["pid"], d, b, 1, 4), ["pid", "perm"], groups, 2, 2, lambdas),
+        }.items():
+            got[name] = {(r.pid, r.perm, r.lam, r.dropped, r.target): (r.r2_full, r.r2_cv) for r in x.select("perm", *f).collect()}
+        for name in ("seen", "null"):
+            assert got[name].keys() == got[name + "_packs"].keys() and len({k[0] for k in got[name]}) == 4
+            assert all(np.allclose(v, got[name + "_packs"][k], atol=1e-9) for k, v in got[name].items())
+
+
 def test_selection_rules(spark):
     rows = [("g", 1.0, 0.5), ("g", 1.0, -5.0), ("g", 10.0, 0.2), ("g", 10.0, 0.2), ("g", 100.0, 0.2), ("g", 100.0, 0.2), ("h", 1.0, -9.0), ("h", 10.0, float("nan")), ("h", 100.0, -8.0)]
     got = {r.grp: (r.lam, r.fell_back) for r in encoding.pick_lambda_robust(spark.createDataFrame(rows, "grp string, lam double, r2 double"), ["grp"]).collect()}

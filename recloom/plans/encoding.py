@@ -44,9 +44,26 @@ def lagged_statistics(s, d, keys=("pid",), data=None):
     return en.chunk_packs(rows(s, d) if data is None else data, list(keys), b, 1, FOLDS)
 
 
-def lagged_null(s, x, draws):
+def lagged_fit(s, x, fit, keys=("pid",), n_targets=1, draws=None):
     b = en.basis_matrix(en.basis_table(s, 1.0, 1.0, 2.0, 3))
-    return en.null_packs(x, ["pid"], draws, b, 1, FOLDS)
+    return en.fit_rows(x, list(keys), b, 1, FOLDS, n_targets, fit, draws)
+
+
+def with_own(draws):
+    """Draws of recordings, and -1, which leaves a recording as it is."""
+    return draws.unionByName(draws.select("pid", "n").distinct().select("*", F.lit(-1).alias("perm"), F.lit(0).cast("long").alias("shift")))
+
+
+def stored(s, x, label):
+    path = folder(s, label)
+    writers.table(x, path)
+    return s.read.schema(x.schema).parquet(path)
+
+
+def lagged_null(s, x, n_targets, lambdas, draws, label):
+    """The scores of recordings and those of their draws, from one pass over the samples, stored."""
+    scores = stored(s, lagged_fit(s, x, en.scoring(GROUPS, 3, n_targets, lambdas, drop=False), ("pid",), n_targets, with_own(draws)), label)
+    return scores.filter("perm < 0").drop("perm"), scores.filter("perm >= 0")
 
 
 _B = """b as (select j, (j - 3) / 2.0::double tau, k, case when abs((j - k * 3.0) / 3.0) <= 1 then 0.5 * (1 + cos(pi() * (j - k * 3.0) / 3.0)) else 0 end v from (select unnest(range(10)) j), (select unnest(range(4))::integer k))"""
@@ -187,16 +204,15 @@ select ch.pid, m.mode, lam, not fine fell_back, round(r2_full, 6) r2_full, round
 from ch join pv using (pid) left join supplier on s_suppkey = ch.pid cross join (select unnest(['pooled', 'per_target']) mode) m""")
 def scored_one(s, d):
     """Score rows with penalty, p-value and what is known of the target, of one regressor; published and read back."""
-    x, keys = one_regressor(rows(s, d)), ["pid"]
-    packs = en.chunk_packs(x, keys, np.eye(1), 0, FOLDS)
+    x, keys = stored(s, one_regressor(rows(s, d)), "scored_rows"), ["pid"]
     grid = [1.0, 1000.0]
-    table = en.score_table(en.solve(packs, keys, ["q"], 1, 1, grid), keys, ["q"])
+    table = en.score_table(en.fit_rows(x, keys, np.eye(1), 0, FOLDS, 1, en.scoring(["q"], 1, 1, grid)), keys, ["q"])
     draws = x.groupBy("pid").agg(F.first("n").alias("n")).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(2))))
     draws = draws.withColumn("shift", F.pmod((F.col("perm") * 7 + 5).cast("long"), F.col("n")))
-    null = en.solve(en.null_packs(x, keys, draws, np.eye(1), 0, FOLDS), ["pid", "perm"], ["q"], 1, 1, grid, drop=False)
+    null = en.fit_rows(x, keys, np.eye(1), 0, FOLDS, 1, en.scoring(["q"], 1, 1, grid, drop=False), draws)
     meta = t(s, d, "supplier").select(F.col("s_suppkey").alias("pid"), F.lit(0).alias("target"), F.when(F.col("s_suppkey") % 2 == 0, "raw").otherwise("delta").alias("band"), F.col("s_name").alias("acronym"), F.col("s_nationkey").alias("channel"))
     path = folder(s, "scored_one")
-    runs.publish(path, {"scores": en.described(en.with_null(table, null, keys), meta, keys), "weights": en.weights(packs, keys, ["q"], 1, 1, 10.0)}, keys)
+    runs.publish(path, {"scores": en.described(en.with_null(table, null, keys), meta, keys), "weights": en.fit_rows(x, keys, np.eye(1), 0, FOLDS, 1, en.weighing(["q"], 1, 1, 10.0))}, keys)
     got = runs.read(s, path, "scores", keys)
     places = {"r2_full": 6, "r2_cv": 6, "p_value": 9, "null_p95": 6}
     return got.select("pid", "mode", "lam", "fell_back", *(F.round(c, k).alias(c) for c, k in places.items()), "band", "acronym", "channel")
@@ -220,10 +236,9 @@ def drop_r2(s, d):
 @query()
 def null_r2(s, d):
     """Recordings x draws in one job; the observed score and the null share statistics code and grid."""
-    x = rows(s, d)
+    x = stored(s, rows(s, d), "null_rows")
     draws = en.shift_draws(x.groupBy("pid").agg(F.first("n").alias("n")), ["pid"], DRAWS, 20)
-    null = en.solve(lagged_null(s, x, draws), ["pid", "perm"], GROUPS, 3, 1, [10.0], drop=False)
-    seen = en.solve(lagged_statistics(s, d, ("pid",), x), ["pid"], GROUPS, 3, 1, [10.0], drop=False)
+    seen, null = lagged_null(s, x, 1, [10.0], draws, "null_r2")
     return en.p_value(null.select("pid", F.col("r2_cv").alias("r2")), seen.select("pid", F.col("r2_cv").alias("r2")), ["pid"])
 
 
@@ -292,7 +307,7 @@ def fit_all_sources(s, d):
     y = tiers[0][1]
     for k, c in tiers[1:]:
         y = F.when(F.col("tier") == k, c).otherwise(y)
-    scores = en.solve(lagged_statistics(s, d, ("tier", "pid"), all_rows.withColumn("y", y)), ["tier", "pid"], GROUPS, 3, 1, [10.0], drop=False)
+    scores = lagged_fit(s, all_rows.withColumn("y", y), en.scoring(GROUPS, 3, 1, [10.0], drop=False), ("tier", "pid"))
     return tables.tier_differences(scores.select("tier", "pid", "target", "r2_cv"), "tier", ["pid", "target"], ["r2_cv"], "full")
 
 
@@ -337,14 +352,13 @@ def null_series(s, d):
 def grouped_fit(s, d):
     """Two groups of targets (gross and net price), each with the penalty that suits it, from one table of
     statistics; with it a p-value against circular shifts scored at the same penalty."""
-    x = rows(s, d).withColumn("y", F.array(F.col("y")[0], F.col("y")[0] * (1 - F.col("x")[1])))
+    x = stored(s, rows(s, d).withColumn("y", F.array(F.col("y")[0], F.col("y")[0] * (1 - F.col("x")[1]))), "grouped_rows")
     groups = s.createDataFrame([(0, "gross"), (1, "net")], "target int, grp string")
     grid = [1.0, 100.0, 10_000.0]
-    scores = en.solve(lagged_statistics(s, d, ("pid",), x), ["pid"], GROUPS, 3, 2, grid, drop=False)
+    draws = en.shift_draws(x.groupBy("pid").agg(F.first("n").alias("n")), ["pid"], DRAWS, 20)
+    scores, null = lagged_null(s, x, 2, grid, draws, "grouped_fit")
     best = en.pick_lambda_robust(scores.join(F.broadcast(groups), "target").select("pid", "grp", "lam", F.col("r2_cv").alias("r2")), ["pid", "grp"])
     seen = en.per_group(scores, groups, best, ["pid"])
-    draws = en.shift_draws(x.groupBy("pid").agg(F.first("n").alias("n")), ["pid"], DRAWS, 20)
-    null = en.solve(lagged_null(s, x, draws), ["pid", "perm"], GROUPS, 3, 2, grid, drop=False)
     null = en.per_group(null, groups, best, ["pid"])
     p = en.p_value(null.select("pid", "target", F.col("r2_cv").alias("r2")), seen.select("pid", "target", F.col("r2_cv").alias("r2")), ["pid", "target"])
     return seen.select("pid", "target", "grp", "lam", "r2_full", "r2_cv").join(p, ["pid", "target"])

@@ -6,18 +6,26 @@ series).  All series are scored in one pass over the counts, since they share th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recloom.functions.kernels import logistic
+from recloom.functions.kernels import logistics
 from recloom.operators import encoding as en
 from recloom.operators.catalog import ranked
 
 
+#: Bytes of the rows of models that are fitted side by side.
+STACK_BYTES = 16 << 20
+
+
+#: A logit up to this is no vote for class 1: models are exact to 1e-9, and a trial between two even classes must not be put by rounding.
+TIE = 1e-7
+
+
 class AnySize(dict):
     """One group of regressors, however many a session has."""
 
@@ -70,45 +78,65 @@ def runs_of(rows: DataFrame, keys: Sequence[str], trial: str, n_runs: int, seed:
 def decode(rows: DataFrame, keys: Sequence[str], trial: str, n_series: int, n_runs: int = 1, n_folds: int = 5, lam: float = 1.0) -> DataFrame:
     """E19, linear: per key and ``series`` (0 the target, the others its null) the mean over runs of the cross-validated R2, null
     where a series doesn't vary in some fold.  Trials add up to statistics per fold, which are all that one task sees."""
-    packs = en.chunk_packs(runs_of(rows, keys, trial, n_runs), [*keys, "run"], np.eye(1), 0, n_folds)
-    scores = en.solve(packs, [*keys, "run"], AnySize(), 1, n_series, [lam], drop=False)
+    scores = en.fit_rows(runs_of(rows, keys, trial, n_runs), [*keys, "run"], np.eye(1), 0, n_folds, n_series, en.scoring(AnySize(), 1, n_series, [lam], drop=False))
     mean = F.when(F.count("r2_cv") == F.count("*"), F.avg("r2_cv"))
     return scores.groupBy(*keys, F.col("target").alias("series")).agg(mean.alias("score"))
 
 
 def decode_classes(rows: DataFrame, keys: Sequence[str], trial: str, n_series: int, n_runs: int = 1, n_folds: int = 5, lam: float = 1.0) -> DataFrame:
     """E19, logistic: as ``decode`` for series of 0 and 1, scored by balanced accuracy over all held-out trials of a run; null
-    where a series, or what a fold learns from, has one class only.  A group is one session's trials in one run.  The ridge
+    where a series, or what a fold learns from, has one class only.  A task streams sessions, and the models of
+    all runs, folds and series of one step side by side.  The ridge
     treats all directions alike, so counts are turned into as many columns as there are trials, if these are fewer."""
     kinds = dict(rows.dtypes)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("i")
-        x, y = (np.stack([np.asarray(v, float) for v in f[c]]) for c in ("x", "y"))
-        if x.shape[1] > len(x):
-            u, s, _ = np.linalg.svd(x, full_matrices=False)
-            x = u * s
-        fold = ((np.arange(len(y)) + 1) * n_folds - 1) // len(y)
+    def scores(x: np.ndarray, y: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """Per run and series."""
+        size = int((run == run[0]).sum())
+        fold = ((np.arange(size) + 1) * n_folds - 1) // size
+        if x.shape[1] > size:  # all runs have the same trials
+            back = np.linalg.svd(x[:size], full_matrices=False)[2]
+            x = x @ back.T
+        x, y = x.reshape(-1, size, x.shape[1]), y.reshape(-1, size, n_series)
         pred = np.full(y.shape, np.nan)
-        for k in np.unique(fold):
-            rest = fold != k
-            both = (y[rest].min(0) == 0) & (y[rest].max(0) == 1) if rest.any() else np.zeros(n_series, bool)
-            if both.any():
-                mean = x[rest].mean(0)
-                w = logistic(x[rest] - mean, y[rest][:, both], lam)
-                pred[np.ix_(~rest, both)] = (x[~rest] - mean) @ w[:-1] + w[-1] > 0
-        good = np.isfinite(pred).all(0) & (y.min(0) == 0) & (y.max(0) == 1)
-        hit = lambda t: float(np.mean([(pred[y[:, t] == c, t] == c).mean() for c in (0.0, 1.0)]))
-        out = [(t, hit(t) if good[t] else None) for t in range(n_series)]
-        own = {k: f[k].iloc[0] for k in keys}
-        return pd.DataFrame([own | {"series": t, "score": v} for t, v in out], columns=[*keys, "series", "score"])
-
-    x = runs_of(rows, keys, trial, n_runs).groupBy(*keys, "run").applyInPandas(run, "".join(f"`{k}` {kinds[k]}, " for k in keys) + "series int, score double")
+        used = fold != np.unique(fold)[:, None]
+        both = np.array([(y[:, rest].min(1) == 0) & (y[:, rest].max(1) == 1) if rest.any() else np.zeros((len(y), n_series), bool) for rest in used])
+        which = np.argwhere(both)  # fold, run, series
+        means = np.stack([x[:, v].mean(1) if v.any() else x[:, 0] for v in used])  # fold, run, column
+        most = max(1, STACK_BYTES // (8 * size * (x.shape[2] + 1) + 8 * (x.shape[2] + 1) ** 2))
+        for first in range(0, len(which), most):
+            f, r, t = which[first : first + most].T
+            rest = used[f]
+            own = x[r] - means[f, r][:, None]
+            w = logistics(own, y[r, :, t], rest, lam)
+            hit = (own @ w[:, :-1, None])[:, :, 0] + w[:, -1:] > TIE
+            at, trial = np.nonzero(~rest)
+            pred[r[at], trial, t[at]] = hit[at, trial]
+        good = np.isfinite(pred).all(1) & (y.min(1) == 0) & (y.max(1) == 1)
+        right = [np.where(y == c, pred == c, False).sum(1) / np.maximum((y == c).sum(1), 1) for c in (0.0, 1.0)]
+        return np.where(good, (right[0] + right[1]) / 2, np.nan)
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, run = en.codes(t, keys), t.column("run").to_numpy()
+        edges = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
+        (x, of_x), (y, of_y) = en.lists_of(t, "x"), en.lists_of(t, "y")
+        found = [scores(x[of_x[a] : of_x[z]].reshape(z - a, -1), y[of_y[a] : of_y[z]].reshape(z - a, -1), run[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+        n = [v.size for v in found]
+        row, flat = pa.array(np.repeat(edges[:-1], n)), np.concatenate([v.ravel() for v in found])
+        series = pa.array(np.concatenate([np.tile(np.arange(n_series), len(v)) for v in found]), pa.int32())
+        yield pa.RecordBatch.from_arrays([*(t.column(k).take(row).combine_chunks() for k in keys), series, pa.array(flat, pa.float64(), mask=np.isnan(flat))], names=[*keys, "series", "score"])
+
+    x = en.streamed(runs_of(rows, keys, trial, n_runs), keys, ["run", "i"], work, "".join(f"`{k}` {kinds[k]}, " for k in keys) + "series int, score double")
     return x.groupBy(*keys, "series").agg(F.when(F.count("score") == F.count("*"), F.avg("score")).alias("score"))
 
 
 def against_null(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key the target's score, its p-value and the null's 95 % quantile over series that have a score."""
-    seen = scores.filter("series = 0").select(*keys, "score")
-    null = scores.filter("series > 0 and score is not null").select(*keys, "score")
-    return seen.join(en.p_value(null, seen, keys, "score"), list(keys), "left")
+    """Per key the target's score, its p-value and the null's 95 % quantile over series that have a score; in one pass, as scores are
+    what costs."""
+    x = scores.withColumn("_seen", F.max(F.when(F.col("series") == 0, F.col("score"))).over(Window.partitionBy(*keys)))
+    drawn = (F.col("series") > 0) & F.col("score").isNotNull()
+    over = F.coalesce(drawn & (F.col("score") >= F.col("_seen")) & ~F.isnan("score") & ~F.isnan("_seen"), F.lit(False))
+    n = F.count_if(drawn)
+    p = F.when(n > 0, (1 + F.count_if(over)) / (n + 1))
+    x = x.groupBy(*keys).agg(F.max("_seen").alias("score"), p.alias("p_value"), F.percentile(F.when(drawn, F.col("score")), F.lit(0.95)).alias("null_p95"), F.count_if(F.col("series") == 0).alias("_own"))
+    return x.filter("_own > 0").drop("_own")

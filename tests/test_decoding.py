@@ -87,3 +87,19 @@ def test_features_and_null_series(spark):
     scores = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.6), (1, 2, None), (2, 0, None), (2, 1, 0.1), (3, 0, 0.2)], "k int, series int, score double")
     got = sorted((r.k, r.score, r.p_value) for r in de.against_null(scores, ["k"]).collect())
     assert got == [(1, 0.5, 1.0), (2, None, 0.5), (3, 0.2, None)]
+
+
+def test_models_of_a_stack_are_each_their_own():
+    x, y, used = RNG.normal(size=(7, 20, 3)), (RNG.random((7, 20)) > 0.5).astype(float), RNG.random((7, 20)) > 0.2
+    y[0] = x[0, :, 0] > 0  # separable
+    got = kernels.logistics(x, y, used, 0.5)
+    assert all(np.allclose(got[k], kernels.logistic(x[k][used[k]], y[k][used[k]], 0.5), atol=1e-7) for k in range(7))
+
+
+def test_scores_are_computed_once(spark):
+    """Against the null and alone a score is the same row, so that the models must not run again for each."""
+    x, y, df = sessions(spark, (40, 5), 6)
+    seen = spark.sparkContext.accumulator(0)
+    scores = de.decode(df, ["eid"], "trial", 3, 1, 4).rdd.map(lambda r: seen.add(1) or r).toDF("eid int, series int, score double")
+    got = {r.eid: r for r in de.against_null(scores, ["eid"]).collect()}
+    assert seen.value == 6 and got.keys() == {0, 1} and got[0].p_value == 1 / 3

@@ -62,11 +62,12 @@ def neighbour_correlation(df: DataFrame, keys: Sequence[str], channel: str, i: s
 
 def separate(found: DataFrame, keys: Sequence[str], channel: str, i: str, v: str, reach: int, dead: int) -> DataFrame:
     """Without the events that have a deeper one (at a tie, of lower channel, then earlier) within ``reach`` channels and
-    ``dead`` samples.  Deeper ones are spread over the buckets of time in which what they suppress lies."""
-    width = dead + 1
+    ``dead`` samples.  Deeper ones are spread over the buckets of time and channels in which what they suppress lies."""
+    width, high = dead + 1, reach + 1
     o = found.select(*(F.col(k).alias(f"_o{n}") for n, k in enumerate(keys)), F.struct(F.col(v).alias("v"), F.col(channel).alias("c"), F.col(i).alias("i")).alias("_o"))
     o = o.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_o.i") - dead) / width), F.floor((F.col("_o.i") + dead) / width))))
-    on = (F.floor(F.col(i) / width) == F.col("_b")) & (F.abs(F.col("_o.c") - F.col(channel)) <= reach) & (F.abs(F.col("_o.i") - F.col(i)) <= dead)
+    o = o.withColumn("_d", F.explode(F.sequence(F.floor((F.col("_o.c") - reach) / high), F.floor((F.col("_o.c") + reach) / high))))
+    on = (F.floor(F.col(i) / width) == F.col("_b")) & (F.floor(F.col(channel) / high) == F.col("_d")) & (F.abs(F.col("_o.c") - F.col(channel)) <= reach) & (F.abs(F.col("_o.i") - F.col(i)) <= dead)
     on = on & (F.col("_o") < F.struct(F.col(v).alias("v"), F.col(channel).alias("c"), F.col(i).alias("i")))
     for n, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_o{n}"))

@@ -364,11 +364,11 @@ def snippets(s, d):
 
     place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     x = t(s, d, "embeddings").withColumn("ch", place).select("label", "ch", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    mid = F.array_sort("x")
     half = F.size("x") / 2
-    median = (F.get(mid, F.ceil(half).cast("int") - 1) + F.get(mid, F.floor(half).cast("int"))) / 2
-    return x.groupBy("label", F.col("i").cast("long").alias("i")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "v"))), lambda p: p["v"]).alias("x")).withColumn("m", median).select(
-        "label", "i", F.lit(64).cast("long").alias("n"), F.transform("x", lambda v: v - F.col("m")).alias("x"))
+    # sorted once a row, not once a channel as inside of the subtraction
+    less = lambda s: F.transform("x", lambda v: v - (F.get(s, F.ceil(half).cast("int") - 1) + F.get(s, F.floor(half).cast("int"))) / 2)
+    whole = x.groupBy("label", F.col("i").cast("long").alias("i")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "v"))), lambda p: p["v"]).alias("x"))
+    return whole.select("label", "i", F.lit(64).cast("long").alias("n"), F.get(F.transform(F.array(F.array_sort("x")), less), F.lit(0)).alias("x"))
 
 
 @query(f"""with ch as (select label, row_number() over (partition by label order by vec_id) - 1 channel, embedding from embeddings), y as (select label, channel, u.p i, embedding[u.p + 1]::double v from ch, (select unnest(range(64)) p) u),

@@ -70,3 +70,27 @@ def test_geometry_without_stored_positions_is_skipped(spark):
     computed = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 1.0), ("c", 0, 2.0)], "pid string, ch int, x double")
     got = {r.pid: r.status for r in sg.geometry_check(stored, computed, ["pid", "ch"], ["x"], 0.1).collect()}
     assert got == {"a": "unchanged", "b": "skip", "c": "changed", "d": "no-map"}
+
+
+def test_events_meet_those_of_near_channels_only(spark):
+    """Many channels at one time: candidates are looked for in buckets of channels as well."""
+    found = spark.range(3000).selectExpr("'a' k", "id % 1000 channel", "id div 1000 i", "-1.0 * ((id * 7919) % 1009) v")
+    kept = sp.separate(found, ["k"], "channel", "i", "v", 2, 3)
+    got = {(r.channel, r.i) for r in kept.collect()}
+    e = {(n % 1000, n // 1000): (-float(n * 7919 % 1009), n % 1000, n // 1000) for n in range(3000)}
+    want = {(c, i) for (c, i), own in e.items() if not any((o := e.get((c + d, i + k))) and o < own for d in range(-2, 3) for k in range(-3, 4))}
+    join = next(x for x in kept._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+    assert got == want and "_d#" in join.split("LeftAnti")[0]
+
+
+def test_a_sample_is_sorted_once_for_its_median(spark, tmp_path):
+    from recloom.plans import signal
+
+    x = np.random.default_rng(2).normal(size=(9, 64)).astype("float32")
+    spark.createDataFrame([(k, 1 + (k > 4), v.tolist()) for k, v in enumerate(x)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = signal.snippets(spark, str(tmp_path))
+    for r in df.collect():
+        own = x[:5] if r.label == 1 else x[5:]
+        assert np.array_equal(r.x, own[:, r.i].astype(float) - np.median(own[:, r.i].astype(float)))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort(x#") == 1

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,15 +59,48 @@ def per_key(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], dic
     """``fn`` per key; a key that fails becomes an error row and the others go on.  Returns results and errors."""
     kinds = dict(df.dtypes)
     names = [x.split()[0] for x in schema.split(",")]
+    columns = [*names, "status", "error"]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        own = {k: f[k].iloc[0] for k in keys}
+    def begins(f: pd.DataFrame) -> np.ndarray:
+        """Which rows, from the second on, have another key than the one before."""
+        own = f[list(keys)]
+        last = own.shift()
+        return ~((own == last) | (own.isna() & last.isna())).all(axis=1).to_numpy()[1:]
+
+    def one(f: pd.DataFrame) -> list:
         try:
-            return pd.DataFrame([own | {n: None for n in names} | fn(f) | {"status": "ok", "error": None}])
+            got = dict.fromkeys(names) | fn(f.reset_index(drop=True)) | {"status": "ok", "error": None}
         except Exception as e:  # noqa: BLE001  whatever a key's data raise is that key's error
-            return pd.DataFrame([own | {n: None for n in names} | {"status": "failed", "error": f"{type(e).__name__}: {e}"}])
-
-    out = df.groupBy(*keys).applyInPandas(run, "".join(f"`{k}` {kinds[k]}, " for k in keys) + schema + ", status string, error string")
+            got = dict.fromkeys(names) | {"status": "failed", "error": f"{type(e).__name__}: {e}"}
+        return [got[c] for c in columns]
+
+    def results(f: pd.DataFrame) -> pd.DataFrame:
+        """Of whole keys, which lie together."""
+        edges = np.r_[0, np.flatnonzero(begins(f)) + 1, len(f)]
+        rows = [one(f.iloc[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+        found = {c: pd.Series(v, dtype=object).infer_objects() for c, v in zip(columns, zip(*rows, strict=True), strict=True)}
+        return f[list(keys)].iloc[edges[:-1]].reset_index(drop=True).assign(**found)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the key that may go on
+        for f in frames:
+            if not len(f):
+                continue
+            first = bool(held) and begins(pd.concat([held[-1].iloc[-1:], f.iloc[:1]]))[0]
+            edges = np.flatnonzero(np.r_[first, begins(f)])
+            if len(edges):
+                if held or edges[0]:
+                    yield results(pd.concat([*held, f.iloc[: edges[0]]], ignore_index=True))
+                if edges[-1] > edges[0]:
+                    yield results(f.iloc[edges[0] : edges[-1]])
+                held, f = [], f.iloc[edges[-1] :]
+            held.append(f)
+        if held:
+            yield results(pd.concat(held, ignore_index=True))
+
+    # keys come sorted and are streamed; no group is made per key
+    own = df.repartition(*keys).sortWithinPartitions(*keys)
+    out = own.mapInPandas(run, "".join(f"`{k}` {kinds[k]}, " for k in keys) + schema + ", status string, error string")
     return out.filter("status = 'ok'").drop("status", "error"), out.filter("status != 'ok'").select(*keys, "status", "error")
 
 

@@ -103,3 +103,24 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     assert tuple(spark.table("counted").agg(F.sum("n"), F.count("*")).first()) == tuple(want)
     a = spark.createDataFrame([(1, 2.0)], "k int, v double")
     assert incremental.merged_sums([a, a, a], ["k"]).first().v == 6.0
+
+
+def test_keys_are_streamed_over_batches(spark):
+    """Keys that end within a batch, at its end, or go on over several; null keys; no group is made per key."""
+    rows = [(None if k == 5 else k, "b" if k % 2 else None, j) for k in range(12) for j in range(1 + 5 * k % 7)]
+
+    def fn(f):
+        if f["j"].sum() == 3:
+            raise ValueError("three")
+        return {"n": len(f), "first": int(f.loc[0, "j"] >= 0)}
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in (1, 3, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        try:
+            good, bad = writers.per_key(spark.createDataFrame(rows, "k int, s string, j long"), ["k", "s"], fn, "n long, first long")
+            got = {(r.k, r.s): r.n for r in good.collect()} | {(r.k, r.s): r.error for r in bad.collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+        assert got == {(None if k == 5 else k, "b" if k % 2 else None): "ValueError: three" if 1 + 5 * k % 7 == 3 else 1 + 5 * k % 7 for k in range(12)}
+    assert "FlatMapGroups" not in good._jdf.queryExecution().toString()

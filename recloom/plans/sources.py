@@ -178,7 +178,7 @@ def log_files(s, d):
     last = F.when(F.col("o_custkey") % 5 > 0, F.concat(F.lit("done in "), F.format_string("%.2f", "x"), F.lit(" s\n"))).otherwise("no more space\n")
     text = F.concat(F.lit("start\n"), F.format_string("read %d in 3 s\n", "n"), last)
     files.write(x.select(F.concat(F.lit("run_"), F.col("o_custkey").cast("string"), F.lit(".log")).alias("name"), F.encode(text, "UTF-8").alias("content")), root)
-    got = readers.log_durations(s, f"{root}/*.log")
+    got = readers.log_durations(s, root, "*.log")
     return got.select(F.regexp_extract("path", r"run_(\d+)\.log$", 1).cast("long").alias("o_custkey"), "hours")
 
 

@@ -124,3 +124,13 @@ def test_keys_are_streamed_over_batches(spark):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
         assert got == {(None if k == 5 else k, "b" if k % 2 else None): "ValueError: three" if 1 + 5 * k % 7 == 3 else 1 + 5 * k % 7 for k in range(12)}
     assert "FlatMapGroups" not in good._jdf.queryExecution().toString()
+
+
+def test_many_logs_are_few_tasks(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    for k in range(900):
+        (tmp_path / "logs" / f"run_{k}.log").write_text(f"start\ndone in {k * 36}.00 s\n")
+    (tmp_path / "logs" / "other.txt").write_text("done in 1 s\n")
+    x = readers.log_durations(spark, str(tmp_path / "logs"), "*.log")
+    assert sorted(r.hours for r in x.collect()) == [k / 100 for k in range(900)]
+    assert x.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism

@@ -74,14 +74,23 @@ def separate(found: DataFrame, keys: Sequence[str], channel: str, i: str, v: str
     return found.join(o, on, "left_anti")
 
 
-def cutouts(events: DataFrame, signal: DataFrame, keys: Sequence[str], event: Sequence[str], at: str, lo: int, hi: int) -> DataFrame:
+def cutouts(events: DataFrame, signal: DataFrame, keys: Sequence[str], event: Sequence[str], at: str, lo: int, hi: int, few: int = 0) -> DataFrame:
     """Per event (``event``: what tells it apart) its ``waveform``, the signal (keys, ``i``, ``v``) from ``at`` + lo to
-    ``at`` + hi in order.  Events whose window leaves the signal or meets a gap are dropped."""
-    offsets = F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("_off")
-    cut = events.select(*dict.fromkeys([*keys, *event]), F.col(at).alias("_at"), offsets).withColumn("i", F.col("_at") + F.col("_off"))
-    got = cut.join(signal.select(*keys, "i", "v").filter(F.col("v").isNotNull()), [*keys, "i"])
-    own = got.groupBy(*dict.fromkeys([*keys, *event]), "_at").agg(F.array_sort(F.collect_list(F.struct("_off", "v"))).alias("_w"))
-    return own.filter(F.size("_w") == hi - lo + 1).select(*dict.fromkeys([*keys, *event]), F.col("_at").alias(at), F.transform("_w", lambda x: x["v"]).alias("waveform"))
+    ``at`` + hi in order.  Events whose window leaves the signal or meets a gap are dropped.  A window is cut once for all
+    events at its place, from a block of the signal that holds it whole.  Of a signal of up to ``few`` rows in all the windows
+    of every place are broadcast, so that events stay where they are; a longer one has those of the events' places."""
+    n = hi - lo + 1
+    known = signal.select(*keys, F.col("i").cast("long").alias("i"), "v").filter(F.col("v").isNotNull())
+    own = F.floor(F.col("i") / n)
+    blocks = known.select(*keys, F.explode(F.array(own - 1, own)).alias("_b"), F.struct("i", "v").alias("_s")).groupBy(*keys, "_b").agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+    small = few > 0 and known.count() <= few
+    places = (known.select(*keys, (F.col("i") - lo).alias("_at")) if small else events.select(*keys, F.col(at).cast("long").alias("_at"))).distinct()
+    first = F.col("_at") + lo
+    cut = places.withColumn("_b", F.floor(first / n)).join(blocks, [*keys, "_b"])
+    cut = cut.select(*keys, "_at", F.filter("_s", lambda x: x["i"].between(first, first + n - 1)).alias("_w")).filter(F.size("_w") == n)
+    cut = cut.select(*keys, "_at", F.transform("_w", lambda x: x["v"]).alias("waveform"))
+    found = events.select(*dict.fromkeys([*keys, *event]), F.col(at).alias("_at")).join(F.broadcast(cut) if small else cut, [*keys, "_at"])
+    return found.select(*dict.fromkeys([*keys, *event]), F.col("_at").alias(at), "waveform")
 
 
 def mean_waveforms(cut: DataFrame, unit: Sequence[str]) -> DataFrame:

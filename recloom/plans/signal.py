@@ -10,6 +10,7 @@ from recloom.operators import events as ev
 from recloom.operators import features as ft
 from recloom.operators import signal as sg
 from recloom.operators import spikes as sp
+from recloom.operators import tables
 from recloom.plans.base import query, t
 from recloom.plans.events import DAY, HOUR, E, draw, hourly, spikes
 from recloom.sources import writers
@@ -434,8 +435,9 @@ c as (select user_id, event_id, i - a + 42 sample, g.v from k join g on g.event_
 select user_id, sample::integer sample, round(avg(v), 9) v, count(*) n from c join f using (event_id) group by 1, 2""")
 def unit_waveforms(s, d):
     """Up to 256 events a unit, 128 samples with the event at sample 42, and their mean."""
-    e = spikes(s, d).withColumn("i", F.floor(F.col("tm") / HOUR))
-    g = hourly_by_type(s, d)
-    some = ev.capped_events(e.withColumnRenamed("i", "at"), ["user_id"], "event_id", 256, draw=draw())
-    cut = sp.cutouts(some, g, ["event_type"], ["user_id", "event_id"], "at", -42, 85)
+    e = t(s, d, "events")
+    # a task's units are as many with more events, as each leaves 128 sums
+    e = tables.spread(spikes(s, d).select("user_id", "event_id", "event_type", F.floor(F.col("tm") / HOUR).alias("at")), ["user_id"], e.count())
+    some = ev.capped_events(e, ["user_id"], "event_id", 256, draw=draw())
+    cut = sp.cutouts(some, hourly_by_type(s, d), ["event_type"], ["user_id", "event_id"], "at", -42, 85, few=1 << 16)
     return sp.mean_waveforms(cut, ["user_id"]).withColumn("v", F.round("v", 9))

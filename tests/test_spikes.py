@@ -44,6 +44,19 @@ def test_cutouts_in_order_without_gaps(spark):
     assert mean == {k: (float((k + 3) ** 2), 2) for k in range(6)}
 
 
+def test_cutouts_of_many_events_at_few_places(spark):
+    s = spark.range(-70, 90).selectExpr("cast(id % 2 as int) pid", "floor(id / 2) i", "cast(id * id as double) v").filter("i != 20")
+    e = spark.range(3000).selectExpr("cast(id % 3 as int) pid", "id event", "cast(id % 91 as int) - 45 at")
+    want = e.join(s, "pid").filter("i between at - 7 and at + 8").groupBy("pid", "event", "at").agg(F.count("*").alias("n"), F.sum("v").alias("v")).filter("n = 16")
+    want = {(r.pid, r.event, r["at"], r.v) for r in want.collect()}
+    for few in (0, 159, 1000):
+        cut = sp.cutouts(e, s, ["pid"], ["event"], "at", -7, 8, few=few)
+        assert {(r.pid, r.event, r["at"], sum(r.waveform)) for r in cut.collect()} == want and len(want) > 600
+        # windows are cut by place; no row of an event is multiplied by the window's length
+        plan = cut._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(" not in plan and plan.count("Generate") == 1
+
+
 def test_neighbour_correlation_with_lags_against_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(5, 60))

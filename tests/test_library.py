@@ -82,3 +82,12 @@ def test_uniform_trace_in_blocks_is_the_whole_one(spark):
     assert np.allclose([r.v for r in one], want) and np.allclose([r.velocity for r in one], np.gradient(want, 0.05))
     many = sorted(sg.uniform_trace(x, ["k"], 0.05, 2.0, size=300, halo=200).collect(), key=lambda r: r.i)
     assert [r.i for r in many] == [r.i for r in one] and np.abs(np.array([r.v for r in many]) - want).max() < 0.02
+
+
+def test_spread_keeps_the_rows_of_a_task(spark):
+    x = spark.range(4000).withColumnRenamed("id", "k")
+    for rows, parts in ((10, 4), (4000, 40)):
+        sizes = [len(p) for p in tables.spread(x, ["k"], rows, most=100).rdd.glom().collect()]
+        assert len(sizes) == parts and sum(sizes) == 4000
+    two = tables.spread(x, ["k"], 4000, most=100).join(tables.spread(x, ["k"], 4000, most=100).hint("merge"), "k")
+    assert two.rdd.getNumPartitions() == 40

@@ -197,11 +197,15 @@ def capped_events(df: DataFrame, unit: Sequence[str], key: str, most: int = 256,
 
 def window_average(events: DataFrame, signal: DataFrame, keys: Sequence[str], at: str, by: Sequence[str], lo: int, hi: int) -> DataFrame:
     """Mean of the signal (``i``, ``v``) at offsets lo..hi around events; an event whose window leaves the
-    recording is dropped.  Offsets are exploded beside the events, so the join has equality keys only."""
+    recording is dropped.  Events are counted per place first; offsets are exploded beside the places, so the join has equality
+    keys only and no more rows than places times offsets."""
+    by, at_once = list(by), list(dict.fromkeys([*keys, *by]))
     ends = signal.groupBy(*keys).agg(F.min("i").alias("_lo"), F.max("i").alias("_hi")) if keys else signal.agg(F.min("i").alias("_lo"), F.max("i").alias("_hi"))
-    inside = (events.join(ends, list(keys)) if keys else events.crossJoin(F.broadcast(ends))).filter((F.col(at) + lo >= F.col("_lo")) & (F.col(at) + hi <= F.col("_hi")))
-    cut = inside.select(*dict.fromkeys([*keys, *by]), F.col(at).alias("_at"), F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("offset")).withColumn("i", F.col("_at") + F.col("offset"))
-    return cut.join(signal, [*keys, "i"]).groupBy(*by, "offset").agg(F.avg("v").alias("v"), F.count("*").alias("n"))
+    places = events.groupBy(*at_once, F.col(at).alias("_at")).agg(F.count("*").alias("_k"))
+    inside = (places.join(ends, list(keys)) if keys else places.crossJoin(F.broadcast(ends))).filter((F.col("_at") + lo >= F.col("_lo")) & (F.col("_at") + hi <= F.col("_hi")))
+    cut = inside.select(*at_once, "_at", "_k", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("offset")).withColumn("i", F.col("_at") + F.col("offset"))
+    known = F.sum(F.when(F.col("v").isNotNull(), F.col("_k")))
+    return cut.join(signal, [*keys, "i"]).groupBy(*by, "offset").agg((F.sum(F.col("v") * F.col("_k")) / known).alias("v"), F.sum("_k").alias("n"))
 
 
 def coupling(bins: DataFrame, keys: Sequence[str], lo: int, hi: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recloom.functions import kernels, numbers, text
 from recloom.operators import catalog, qc, tables
+from recloom.operators import events as ev
 from recloom.operators import signal as sg
 
 
@@ -91,3 +92,22 @@ def test_spread_keeps_the_rows_of_a_task(spark):
         assert len(sizes) == parts and sum(sizes) == 4000
     two = tables.spread(x, ["k"], 4000, most=100).join(tables.spread(x, ["k"], 4000, most=100).hint("merge"), "k")
     assert two.rdd.getNumPartitions() == 40
+
+
+def test_window_average_counts_places(spark):
+    signal = spark.createDataFrame([(i, None if i == 5 else float(i * i)) for i in range(12)], "i long, v double")
+    at = [(["a", "b"][k % 2], k % 13 - 1) for k in range(500)]
+    avg = ev.window_average(spark.createDataFrame(at, "g string, at long"), signal, [], "at", ["g"], -1, 2)
+    want = {}
+    for g, a in at:
+        if a - 1 >= 0 and a + 2 <= 11:
+            for o in range(-1, 3):
+                want.setdefault((g, o), []).append(None if a + o == 5 else float((a + o) ** 2))
+    have = {(r.g, r["offset"]): (r.v, r.n) for r in avg.collect()}
+    assert have.keys() == want.keys()
+    for k, v in want.items():
+        known = [z for z in v if z is not None]
+        assert have[k][1] == len(v) and abs(have[k][0] - sum(known) / len(known)) < 1e-9
+    # events are summed up before the offsets multiply them
+    plan = avg._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Generate") :].count("Aggregate") == 2

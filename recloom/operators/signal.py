@@ -382,17 +382,36 @@ def aggregate_probes(df: DataFrame, probe: str, channel: str, about: Sequence[st
 def uniform_trace(samples: DataFrame, keys: Sequence[str], dt: float, cut: float, size: int = 1 << 20, halo: int = 4096) -> DataFrame:
     """Irregular samples (keys, ``t``, ``v``) on a grid of step ``dt`` by linear interpolation, low-passed at ``cut`` (in
     samples a second), with the central difference of the result: keys, ``i``, ``t``, ``v``, ``velocity``.  Blocks of
-    ``size`` grid samples are filtered by themselves, with ``halo`` samples on either side, so that no recording is one group."""
-    ends = samples.groupBy(*keys).agg(F.ceil(F.min("t") / dt).alias("_a"), F.floor(F.max("t") / dt).alias("_b")).filter("_b >= _a")
-    grid = ends.select(*keys, F.explode(F.sequence("_a", "_b")).alias("i")).withColumn("t", F.col("i") * dt)
-    even = resample(samples, grid, keys, width=size * dt)
-    near = F.explode(F.sequence(F.floor((F.col("i") - halo) / size), F.floor((F.col("i") + halo) / size))).alias("_c")
-    kinds = _kinds(samples, keys)
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("i")
-        v = kernels.low_pass(f["v"].to_numpy(float), 1 / dt, cut)
-        f = f.assign(v=v, velocity=np.gradient(v, dt) if len(v) > 1 else np.zeros(len(v)), t=f["i"] * dt)
-        return f[f["i"] // size == f["_c"]][[*keys, "i", "t", "v", "velocity"]]
-
-    return even.select(*keys, "i", "v", near).groupBy(*keys, "_c").applyInPandas(run, kinds + "i long, t double, v double, velocity double")
+    ``size`` grid samples are filtered by themselves, with ``halo`` samples on either side, so that no recording is one group.
+    Only samples are shuffled: a block gets those within it and the nearest on either side, and its grid is made in the task."""
+    at, kinds = F.col("t") / dt, dict(samples.dtypes)
+    x = samples.select(*keys, F.col("t").cast("double").alias("t"), F.col("v").cast("double").alias("v")).filter("t is not null")
+    x = x.withColumns({"_d": F.floor((at - halo) / size), "_u": F.floor((at + halo) / size), "_s": F.when(F.col("v").isNotNull() & ~F.isnan("v"), F.struct("t", "v"))})
+    edges = x.groupBy(*keys, "_d", "_u").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"), F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
+    ends = edges.groupBy(*keys).agg(F.ceil(F.min("_t0") / dt).alias("_a"), F.floor(F.max("_t1") / dt).alias("_z")).filter("_z >= _a")
+    none = F.lit(None).cast("struct<t:double,v:double>")
+    # a block's row, and a row of each edge at the last block that lies wholly before or the first wholly after it
+    c = F.explode(F.sequence(F.floor(F.col("_a") / size), F.floor(F.col("_z") / size))).alias("_c")
+    both = ends.select(*keys, c, "_a", "_z", none.alias("_lo"), none.alias("_hi"))
+    for side, other in (("_d", "_lo"), ("_u", "_hi")):
+        both = both.unionByName(edges.select(*keys, F.col(side).alias("_c"), F.col(other).alias(other)).filter(F.col(other).isNotNull()), allowMissingColumns=True)
+    beyond = lambda v, f, order: f(v).over(Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, -1))
+    both = both.withColumns({"_before": beyond("_hi", F.max, F.col("_c").asc()), "_after": beyond("_lo", F.min, F.col("_c").desc())}).filter("_a is not null")
+    blocks = both.select(*keys, "_c", "_a", "_z", F.inline_outer(F.array_compact(F.array("_before", "_after"))))
+    inside = x.filter("_s is not null").select(*keys, F.explode(F.sequence("_d", "_u")).alias("_c"), "t", "v")
+    rows = blocks.unionByName(inside, allowMissingColumns=True)
+
+    def run(f: pa.Table) -> pa.Table:
+        first, last = pc.max(f.column("_a")).as_py(), pc.max(f.column("_z")).as_py()
+        t, v = (f.column(k).to_numpy() for k in ("t", "v"))
+        have = ~np.isnan(t)
+        t, v, b = t[have], v[have], f.column("_c")[0].as_py()
+        i = np.arange(0) if first is None else np.arange(max(first, b * size - halo), min(last, (b + 1) * size + halo - 1) + 1)
+        order = np.lexsort((v, t))
+        y = kernels.low_pass(kernels.between(t[order], v[order], i * dt), 1 / dt, cut)
+        speed = np.gradient(y, dt) if len(y) > 1 else np.zeros(len(y))
+        own = i // size == b
+        cells = {k: pa.repeat(f.column(k)[0], int(own.sum())) for k in keys}
+        return pa.table(cells | {"i": i[own].astype(np.int64), "t": (i * dt)[own], "v": pa.array(y[own], from_pandas=True), "velocity": pa.array(speed[own], from_pandas=True)})
+
+    return rows.groupBy(*keys, "_c").applyInArrow(run, "".join(f"`{k}` {kinds[k]}, " for k in keys) + "i long, t double, v double, velocity double")

@@ -85,6 +85,19 @@ def test_uniform_trace_in_blocks_is_the_whole_one(spark):
     assert [r.i for r in many] == [r.i for r in one] and np.abs(np.array([r.v for r in many]) - want).max() < 0.02
 
 
+def test_uniform_trace_over_empty_blocks_and_without_values(spark):
+    t, v = [0.3, 1.0, 2.0, 2999.5, 3000.0, 9000.2], [1.0, 4.0, 4.0, -2.0, 8.0, 3.0]
+    rows = [(1, a, b) for a, b in zip(t, v, strict=True)] + [(1, 5000.0, None), (1, None, 7.0), (2, 0.0, None), (2, 4.0, None), (3, 0.2, 1.0), (3, 0.7, 1.0)]
+    x = sg.uniform_trace(spark.createDataFrame(rows, "k int, t double, v double"), ["k"], 1.0, 1e9, size=64, halo=10)
+    got = {(r.k, r.i): (r.v, r.velocity) for r in x.collect()}
+    want = np.interp(np.arange(1, 9001), t, v)
+    assert sorted(i for k, i in got if k == 1) == list(range(1, 9001))
+    assert np.allclose([got[1, i][0] for i in range(1, 9001)], want) and np.allclose([got[1, i][1] for i in range(1, 9001)], np.gradient(want))
+    assert {i: got[2, i] for k, i in got if k == 2} == {i: (None, None) for i in range(5)} and not [k for k in got if k[0] == 3]
+    # rows that are shuffled are samples and blocks, not the grid's
+    assert "sequence(_a" not in x._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_spread_keeps_the_rows_of_a_task(spark):
     x = spark.range(4000).withColumnRenamed("id", "k")
     for rows, parts in ((10, 4), (4000, 40)):

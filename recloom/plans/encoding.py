@@ -206,10 +206,11 @@ def scored_one(s, d):
     """Score rows with penalty, p-value and what is known of the target, of one regressor; published and read back."""
     x, keys = stored(s, one_regressor(rows(s, d)), "scored_rows"), ["pid"]
     grid = [1.0, 1000.0]
-    table = en.score_table(en.fit_rows(x, keys, np.eye(1), 0, FOLDS, 1, en.scoring(["q"], 1, 1, grid)), keys, ["q"])
     draws = x.groupBy("pid").agg(F.first("n").alias("n")).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(2))))
     draws = draws.withColumn("shift", F.pmod((F.col("perm") * 7 + 5).cast("long"), F.col("n")))
-    null = en.fit_rows(x, keys, np.eye(1), 0, FOLDS, 1, en.scoring(["q"], 1, 1, grid, drop=False), draws)
+    # stored, as penalties, scores and p-values each read them
+    fit = stored(s, en.fit_rows(x, keys, np.eye(1), 0, FOLDS, 1, en.scoring(["q"], 1, 1, grid), with_own(draws)), "scored_fits")
+    table, null = en.score_table(fit.filter("perm < 0").drop("perm"), keys, ["q"]), fit.filter("perm >= 0")
     meta = t(s, d, "supplier").select(F.col("s_suppkey").alias("pid"), F.lit(0).alias("target"), F.when(F.col("s_suppkey") % 2 == 0, "raw").otherwise("delta").alias("band"), F.col("s_name").alias("acronym"), F.col("s_nationkey").alias("channel"))
     path = folder(s, "scored_one")
     runs.publish(path, {"scores": en.described(en.with_null(table, null, keys), meta, keys), "weights": en.fit_rows(x, keys, np.eye(1), 0, FOLDS, 1, en.weighing(["q"], 1, 1, 10.0))}, keys)

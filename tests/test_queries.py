@@ -68,3 +68,13 @@ def test_null_of_every_recording(spark, duck, name, monkeypatch):
 
 def test_low_rank_report_has_all_channels(spark):
     assert {r.nc for r in QUERIES["low_rank_report"](spark, D).collect()} == {64}
+
+
+def test_scored_one_fits_each_recording_once(spark, monkeypatch):
+    from recloom.plans import encoding
+
+    stored, labels, fits, made = encoding.stored, [], encoding.en.fit_rows, []
+    monkeypatch.setattr(encoding, "stored", lambda s, x, label: labels.append(label) or stored(s, x, label))
+    monkeypatch.setattr(encoding.en, "fit_rows", lambda *a, **k: made.append(1) or fits(*a, **k))
+    assert QUERIES["scored_one"](spark, D).count() > 0
+    assert labels == ["scored_rows", "scored_fits"] and len(made) == 2  # scores with their null, and weights

@@ -298,6 +298,10 @@ def per_key(packs: DataFrame, keys: Sequence[str], n_targets: int, fit: Fit) ->
     return streamed(packs, keys, ["fold"], work, schema)
 
 
+#: Products of columns up to which a design's statistics are sums of products, not matrix products.
+FEW_PRODUCTS = 6
+
+
 def rolled_packs(i: np.ndarray, n: int, x: np.ndarray, y: np.ndarray, shift: np.ndarray, b: np.ndarray, n_pre: int, n_folds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packs of one whole recording for each shift and fold that has samples, and the place of its shift and its fold.  Regressors roll,
     targets stay; a target without a regressor on it is left out.  ``i`` ascends."""
@@ -311,58 +315,77 @@ def rolled_packs(i: np.ndarray, n: int, x: np.ndarray, y: np.ndarray, shift: np.
     some, edges = np.unique(fold, return_index=True)
     edges = np.append(edges, len(i))
     (p, m), (iu, ju) = (full.shape[2], y.shape[1]), np.triu_indices(full.shape[2])
-    out = np.empty((len(shift), len(some), 1 + p + 2 * m + len(iu) + p * m))
-    for k in range(len(some)):
-        at = slice(edges[k], edges[k + 1])
-        own, t = full[:, at], y[None, at] if whole else np.where(there[:, at, None], y[at], 0.0)
-        across = own.swapaxes(1, 2)
-        out[:, k] = np.concatenate([np.broadcast_to(v, (len(shift), v.shape[1])) for v in (
-            there[:, at].sum(1, keepdims=True), own.sum(1), t.sum(1), (t**2).sum(1), (across @ own)[:, iu, ju], (across @ t).reshape(len(shift), -1))], axis=1)
+    if p * (p + m) <= FEW_PRODUCTS:  # all folds at once; wide designs go by matrix products, a fold each
+        across, t = full.swapaxes(1, 2), np.where(there[:, None], y.T[None], 0.0)
+        crossed = (across[:, :, None] * t[:, None]).reshape(len(shift), p * m, -1)
+        out = np.add.reduceat(np.concatenate([there[:, None], across, t, t**2, across[:, iu] * across[:, ju], crossed], axis=1), edges[:-1], axis=2).swapaxes(1, 2)
+    else:
+        out = np.empty((len(shift), len(some), 1 + p + 2 * m + len(iu) + p * m))
+        for k in range(len(some)):
+            at = slice(edges[k], edges[k + 1])
+            own, t = full[:, at], y[None, at] if whole else np.where(there[:, at, None], y[at], 0.0)
+            across = own.swapaxes(1, 2)
+            out[:, k] = np.concatenate([np.broadcast_to(v, (len(shift), v.shape[1])) for v in (
+                there[:, at].sum(1, keepdims=True), own.sum(1), t.sum(1), (t**2).sum(1), (across @ own)[:, iu, ju], (across @ t).reshape(len(shift), -1))], axis=1)
     d, k = np.nonzero(out[:, :, 0])
     return d, some[k], out[d, k]
 
 
-def lists_of(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+def lists_of(t: pa.Table, name: str, kind: type = float) -> tuple[np.ndarray, np.ndarray]:
     """All values of a column of arrays, and where each row's begin and end."""
     column = t.column(name).combine_chunks()
     length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float), np.concatenate(([0], np.cumsum(length)))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False), np.concatenate(([0], np.cumsum(length)))
+
+
+#: Samples of a row of ``laid``.
+LAID = 1000
+
+
+def laid(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Samples (as ``chunk_packs`` takes them), up to ``LAID`` neighbours of a recording as one row: keys, ``n``, flat arrays ``i``,
+    ``x``, ``y``, and whether it is the ``whole`` recording.  Where a window has brought samples together by ``keys``, nothing is
+    shuffled."""
+    blocks = rows.groupBy(*keys, "n", F.floor(F.col("i") / LAID).alias("_c")).agg(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), "x", "y")).alias("s"))
+    return blocks.select(*keys, F.col("n").cast("long").alias("n"), "s.i", (F.size("s") == F.col("n")).alias("whole"), *(F.flatten(F.col("s")[c]).cast("array<double>").alias(c) for c in "xy"))
 
 
-def fit_rows(rows: DataFrame, keys: Sequence[str], b: np.ndarray, n_pre: int, n_folds: int, n_targets: int, fit: Fit, draws: DataFrame | None = None, size: int = 15_000) -> DataFrame:
-    """``fit`` of samples (as ``chunk_packs`` takes them), and with ``draws`` (keys, ``perm``, ``shift``) of their rolled designs,
-    keyed by ``perm`` too.  A recording of up to ``size`` samples comes to one task, which makes its statistics, fits them and
-    forgets them, so that what is shuffled is samples and draws; only longer ones leave statistics that are added up."""
+def samples(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The samples of ``laid``, a row each."""
+    one = blocks.select(*keys, "n", "x", "y", F.size("i").alias("_m"), F.posexplode("i").alias("_p", "i"))
+    width = lambda c: (F.size(c) / F.col("_m")).cast("int")
+    return one.select(*keys, "i", "n", *(F.slice(c, F.col("_p") * width(c) + 1, width(c)).alias(c) for c in "xy"))
+
+
+def fit_rows(rows: DataFrame, keys: Sequence[str], b: np.ndarray, n_pre: int, n_folds: int, n_targets: int, fit: Fit, draws: DataFrame | Column | None = None, size: int = 15_000) -> DataFrame:
+    """``fit`` of samples (as ``chunk_packs`` takes them, or as ``laid`` lays them), and with ``draws`` (keys, ``perm``, ``shift``; or for
+    ``laid`` samples an array of ``perm``, ``shift`` from keys and ``n``) of their rolled designs, keyed by ``perm`` too.  A recording
+    of up to ``size`` samples comes to one task, which makes its statistics, fits them and forgets them, so that what is shuffled
+    is samples and draws; only longer ones leave statistics that are added up.  Whole recordings that lie in a row are fitted
+    where they lie."""
     kinds, rolled = dict(rows.dtypes), draws is not None
-    columns = [*keys, "perm"] if rolled else list(keys)
-    short = rows.filter(F.col("n") <= size).select(*keys, F.col("i").cast("long").alias("i"), F.col("n").cast("long").alias("n"), "x", "y")
-    if rolled:  # before the samples
-        short = short.unionByName(draws.select(*keys, F.lit(-1).cast("long").alias("i"), F.col("perm").cast("int").alias("perm"), F.col("shift").cast("long").alias("shift")), allowMissingColumns=True)
+    columns, blocks = [*keys, "perm"] if rolled else list(keys), kinds["i"].startswith("array")
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(["perm int"] if rolled else []), *(f"{c} {k}" for c, k in fit[0].items())])
 
-    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, i = codes(t, keys), t.column("i").to_numpy()
-        edges = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
-        (x, of_x), (y, of_y) = lists_of(t, "x"), lists_of(t, "y")
-        n = pc.fill_null(t.column("n"), 0).to_numpy()
-        shifts = pc.fill_null(t.column("shift"), 0).to_numpy() if rolled else None
+    def made(own: pa.Table, recordings: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        """``recordings``: rows of ``own`` and shifts of the draws, and n, i, x, y."""
         held: dict[int, list] = {}
         bytes_ = number = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for found in held.values():
-                parts, own, row = (np.concatenate(v) for v in zip(*found, strict=True))
-                yield from fitted(t.select(columns), parts, own, row, n_targets, fit)
+                parts, owner, row = (np.concatenate(v) for v in zip(*found, strict=True))
+                yield from fitted(own, parts, owner, row, n_targets, fit)
             held.clear()
 
-        for a, z in zip(edges[:-1], edges[1:], strict=True):
-            c = a + int(np.searchsorted(i[a:z], 0))
-            if c == z or rolled and a == c:
-                continue
-            some, of = (shifts[a:c], np.arange(a, c)) if rolled else (np.zeros(1, np.int64), np.array([a]))
-            own_x, own_y = x[of_x[c] : of_x[z]].reshape(z - c, -1), y[of_y[c] : of_y[z]].reshape(z - c, -1)
-            step = max(1, STACK_BYTES // (16 * int(n[c]) * max(1, own_x.shape[1] * b.shape[1])))
+        for of, some, n, i, x, y in recordings:
+            x, y = x.reshape(len(i), -1), y.reshape(len(i), -1)
+            if (i[1:] < i[:-1]).any():  # a list has no order
+                order = np.argsort(i, kind="stable")
+                i, x, y = i[order], x[order], y[order]
+            step = max(1, STACK_BYTES // (16 * n * max(1, x.shape[1] * b.shape[1])))
             for first in range(0, len(some), step):
-                d, _, packs = rolled_packs(i[c:z], int(n[c]), own_x, own_y, some[first : first + step], b, n_pre, n_folds)
+                d, _, packs = rolled_packs(i, n, x, y, some[first : first + step], b, n_pre, n_folds)
                 if len(packs):
                     held.setdefault(packs.shape[1], []).append((packs, number + d, of[first : first + step][d]))
                 number, bytes_ = number + step, bytes_ + packs.nbytes
@@ -371,10 +394,50 @@ def fit_rows(rows: DataFrame, keys: Sequence[str], b: np.ndarray, n_pre: int, n_
                     bytes_ = 0
         yield from flush()
 
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(["perm int"] if rolled else []), *(f"{c} {k}" for c, k in fit[0].items())])
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, at = codes(t, keys), t.column("_at").to_numpy()
+        edges = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
+        (x, of_x), (y, of_y) = lists_of(t, "x"), lists_of(t, "y")
+        i, of_i = lists_of(t, "i", np.int64) if blocks else (at, np.arange(len(at) + 1))
+        n = pc.fill_null(t.column("n"), 0).to_numpy()
+        shifts = pc.fill_null(t.column("shift"), 0).to_numpy() if rolled else None
+
+        def recordings() -> Iterator[tuple]:
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                c = a + int(np.searchsorted(at[a:z], 0))
+                if c == z or rolled and a == c:
+                    continue
+                some, of = (shifts[a:c], np.arange(a, c)) if rolled else (np.zeros(1, np.int64), np.array([a]))
+                yield of, some, int(n[c]), i[of_i[c] : of_i[z]], x[of_x[c] : of_x[z]], y[of_y[c] : of_y[z]]
+
+        yield from made(t.select(columns), recordings())
+
+    def work_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            n, own, of_d, shifts = t.column("n").to_numpy(), t.select(list(keys)), np.arange(t.num_rows + 1), np.zeros(t.num_rows, np.int64)
+            lists = [lists_of(t, "i", np.int64), lists_of(t, "x"), lists_of(t, "y")]
+            if rolled:
+                (shifts, of_d), (perm, _) = lists_of(t, "_shift", np.int64), lists_of(t, "_perm", np.int32)
+                own = own.take(pa.array(np.repeat(np.arange(t.num_rows), np.diff(of_d)))).append_column("perm", pa.array(perm))
+            some = (r for r in range(t.num_rows) if of_d[r] < of_d[r + 1])
+            yield from made(own, ((np.arange(of_d[r], of_d[r + 1]), shifts[of_d[r] : of_d[r + 1]], int(n[r]), *(v[at[r] : at[r + 1]] for v, at in lists)) for r in some))
+
+    there = None
+    if blocks and not isinstance(draws, DataFrame):
+        lie, pair = F.col("whole") & (F.col("n") <= size), [draws[c].alias(f"_{c}") for c in ("perm", "shift")] if rolled else []
+        there = rows.filter(lie).select(*keys, "n", "i", "x", "y", *pair).mapInArrow(work_whole, schema)
+        rows = rows.filter(~lie)
+        draws = rows.select(*keys, "n").distinct().select(*keys, "n", F.inline(draws)) if rolled else None
+    i = F.col("i") if blocks else F.col("i").cast("long")
+    short = rows.filter(F.col("n") <= size).select(*keys, (F.get("i", F.lit(0)) if blocks else i).alias("_at"), i.alias("i"), F.col("n").cast("long").alias("n"), "x", "y")
+    if rolled:  # before the samples
+        short = short.unionByName(draws.select(*keys, F.lit(-1).cast("long").alias("_at"), F.col("perm").cast("int").alias("perm"), F.col("shift").cast("long").alias("shift")), allowMissingColumns=True)
     long = rows.filter(F.col("n") > size)
+    long = samples(long, keys) if blocks else long
     packs = null_packs(long, keys, draws, b, n_pre, n_folds, size) if rolled else chunk_packs(long, keys, b, n_pre, n_folds, size)
-    return streamed(short, keys, ["i"], work, schema).unionByName(per_key(packs, columns, n_targets, fit))
+    out = streamed(short, keys, ["_at"], work, schema).unionByName(per_key(packs, columns, n_targets, fit))
+    return out if there is None else there.unionByName(out)
 
 
 def columns_of(size: int, n_targets: int) -> int:

@@ -25,12 +25,19 @@ _R = """r as (select l_suppkey pid, row_number() over (partition by l_suppkey or
 l_quantity::double q, l_discount::double d, l_tax::double x, l_extendedprice / 1000.0::double y from lineitem)"""
 
 
+#: What orders the samples of a recording.
+ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+
+
 def rows(s, d):
     """One row per sample: a window per recording, which is as long as a recording.  Items of an order can have one number, so
-    their other columns order them."""
-    own = Window.partitionBy("l_suppkey")
-    return t(s, d, "lineitem").select(
-        F.col("l_suppkey").alias("pid"), (F.row_number().over(own.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")) - 1).cast("long").alias("i"), F.count("*").over(own).alias("n"),
+    their other columns order them.  The key has its name before the window and arrays are made after it, so that they are not
+    shuffled and sorted with the columns that they are made of, and what groups by the key needs no other shuffle."""
+    own = Window.partitionBy("pid")
+    x = t(s, d, "lineitem").select(F.col("l_suppkey").alias("pid"), *ORDER)
+    x = x.withColumns({"i": F.row_number().over(own.orderBy(*ORDER)), "n": F.count("*").over(own)})
+    return x.select(
+        "pid", (F.col("i") - 1).cast("long").alias("i"), "n",
         F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double"), F.col("l_tax").cast("double")).alias("x"), F.array(F.col("l_extendedprice") / 1000.0).alias("y"),
     )
 
@@ -204,12 +211,13 @@ select ch.pid, m.mode, lam, not fine fell_back, round(r2_full, 6) r2_full, round
 from ch join pv using (pid) left join supplier on s_suppkey = ch.pid cross join (select unnest(['pooled', 'per_target']) mode) m""")
 def scored_one(s, d):
     """Score rows with penalty, p-value and what is known of the target, of one regressor; published and read back."""
-    x, keys = stored(s, one_regressor(rows(s, d)), "scored_rows"), ["pid"]
+    keys = ["pid"]
+    x = stored(s, en.laid(one_regressor(rows(s, d)), keys), "scored_rows")
     grid = [1.0, 1000.0]
-    draws = x.groupBy("pid").agg(F.first("n").alias("n")).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    draws = draws.withColumn("shift", F.pmod((F.col("perm") * 7 + 5).cast("long"), F.col("n")))
+    # -1 leaves a recording as it is
+    draws = F.transform(F.sequence(F.lit(-1), F.lit(2)), lambda p: F.struct(p.alias("perm"), F.when(p < 0, 0).otherwise(F.pmod((p * 7 + 5).cast("long"), F.col("n"))).alias("shift")))
     # stored, as penalties, scores and p-values each read them
-    fit = stored(s, en.fit_rows(x, keys, np.eye(1), 0, FOLDS, 1, en.scoring(["q"], 1, 1, grid), with_own(draws)), "scored_fits")
+    fit = stored(s, en.fit_rows(x, keys, np.eye(1), 0, FOLDS, 1, en.scoring(["q"], 1, 1, grid), draws), "scored_fits")
     table, null = en.score_table(fit.filter("perm < 0").drop("perm"), keys, ["q"]), fit.filter("perm >= 0")
     meta = t(s, d, "supplier").select(F.col("s_suppkey").alias("pid"), F.lit(0).alias("target"), F.when(F.col("s_suppkey") % 2 == 0, "raw").otherwise("delta").alias("band"), F.col("s_name").alias("acronym"), F.col("s_nationkey").alias("channel"))
     path = folder(s, "scored_one")

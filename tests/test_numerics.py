@@ -165,6 +165,31 @@ def test_whole_recordings_are_fitted_where_they_lie(spark):
             assert all(np.allclose(v, got[name + "_packs"][k], atol=1e-9) for k, v in got[name].items())
 
 
+def test_laid_samples_are_fitted_as_samples(spark, monkeypatch):
+    """Recordings in one row, in several, with gaps, and long ones; draws as a table and as an array."""
+    monkeypatch.setattr(encoding, "LAID", 50)
+    rows = [(k, i, n, RNG.normal(size=p).tolist(), RNG.normal(size=2).tolist()) for k, n, p in (("a", 90, 2), ("b", 41, 1), ("c", 200, 2), ("d", 45, 2)) for i in RNG.permutation(n).tolist() if k != "d" or i % 7]
+    df = spark.createDataFrame(rows, "pid string, i long, n long, x array<double>, y array<double>")
+    laid = encoding.laid(df, ["pid"])
+    assert sorted((r.pid, len(r.i), r.whole) for r in laid.collect()) == [("a", 40, False), ("a", 50, False), ("b", 41, True), *[("c", 50, False)] * 4, ("d", 38, False)]
+    assert {(r.pid, r.i, r.n, *r.x, *r.y) for r in encoding.samples(laid, ["pid"]).collect()} == {(k, i, n, *x, *y) for k, i, n, x, y in rows}
+    table = df.select("pid", "n").distinct().selectExpr("pid", "explode(sequence(0, 2)) as perm").withColumn("shift", F.col("perm") * 13 + 4)
+    array = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda p: F.struct(p.alias("perm"), (p * 13 + 4).cast("long").alias("shift")))
+    groups, b = {1: ["g"], 2: ["g", "h"]}, RNG.normal(size=(4, 2))
+    for fit in (encoding.scoring(groups, 2, 2, [2.0, 50.0]), encoding.weighing(groups, 2, 2, 2.0)):
+        for few in (0, 100):
+            monkeypatch.setattr(encoding, "FEW_PRODUCTS", few)
+            got = []
+            for x, d in ((df, None), (laid, None), (df, table), (laid, table), (laid, array)):
+                found = encoding.fit_rows(x, ["pid"], b, 1, 4, 2, fit, d, size=100)
+                keys = [c for c, k in found.dtypes if k != "double"] + ["lam"] * ("lam" in found.columns)
+                numbers = [c for c in found.columns if c not in keys]
+                got.append({tuple(r[c] for c in keys): tuple(r[c] for c in numbers) for r in found.collect()})
+            for want, other in ((0, 1), (2, 3), (2, 4)):
+                assert got[want].keys() == got[other].keys() and len({k[0] for k in got[want]}) == 4
+                assert all(np.allclose(v, got[other][k], atol=1e-9) for k, v in got[want].items())
+
+
 def test_selection_rules(spark):
     rows = [("g", 1.0, 0.5), ("g", 1.0, -5.0), ("g", 10.0, 0.2), ("g", 10.0, 0.2), ("g", 100.0, 0.2), ("g", 100.0, 0.2), ("h", 1.0, -9.0), ("h", 10.0, float("nan")), ("h", 100.0, -8.0)]
     got = {r.grp: (r.lam, r.fell_back) for r in encoding.pick_lambda_robust(spark.createDataFrame(rows, "grp string, lam double, r2 double"), ["grp"]).collect()}

@@ -78,3 +78,17 @@ def test_scored_one_fits_each_recording_once(spark, monkeypatch):
     monkeypatch.setattr(encoding.en, "fit_rows", lambda *a, **k: made.append(1) or fits(*a, **k))
     assert QUERIES["scored_one"](spark, D).count() > 0
     assert labels == ["scored_rows", "scored_fits"] and len(made) == 2  # scores with their null, and weights
+
+
+def test_scored_one_shuffles_samples_once(spark, duck, monkeypatch):
+    """Only what is read of a line item goes through one shuffle; a recording is then a row, and is fitted where it lies."""
+    from recloom.plans import encoding
+
+    stored, seen = encoding.stored, {}
+    monkeypatch.setattr(encoding, "stored", lambda s, x, label: seen.setdefault(label, (x, stored(s, x, label)))[1])
+    assert QUERIES["scored_one"](spark, D).count() > 0
+    made, rows = seen["scored_rows"]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "array(" not in plan[plan.index("Exchange hashpartitioning") :]
+    sizes = dict(duck.execute("select l_suppkey, count(*) from lineitem group by 1").fetchall())
+    assert {r.pid: len(r.i) for r in rows.collect()} == sizes and rows.count() == len(sizes)

@@ -64,7 +64,7 @@ def path_list(spark: SparkSession, path: str) -> DataFrame:
 
 def log_durations(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Hours from the seconds at the end of each log's last line, null if it has none.  Only the end of a log is read; an
-    empty file has no row.  For many logs name their folder and ``glob``: a pattern in ``path`` makes each file a path of its own."""
+    empty file has no row.  For many logs name their folder and ``glob``: files that a pattern in ``path`` names are listed by the driver."""
     x = files.last_lines(files.listing(spark, path, glob).filter("length > 0"))
     s = F.regexp_extract("line", r"([0-9.]+)\s*s\s*$", 1)
     return x.select("path", F.round(F.when(s != "", s.try_cast("double")) / 3600, 2).alias("hours"))

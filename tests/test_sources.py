@@ -143,3 +143,28 @@ def test_lines_of_a_file_come_from_many_tasks(spark, tmp_path):
         want = sorted((i * 37 % 5000, i) for i in range(5000) if (i % 10 == 0) == (name[0] == "b"))
         assert (tmp_path / name).read_text() == "".join(f"{i},{k}\n" for k, i in want)
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    for name in ("a.log", "b.txt", "x/c.log", "x/y/z/d.log", "x/k=1/_k=2.log", "x/_metadata.log", "empty/e.txt", ".f/f.log", "_g/g.log", "x/_h.log", "x/.i.log", "x/j.log._COPYING_", "äö/ü.log"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("l" * len(name))
+    (tmp_path / "x/nothing.log").write_text("")
+    by_spark = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    for glob in ("*.log", "*", "[a-c].*", "[^a]*.log", "{a,d}.log", "none"):
+        found = files.listing(spark, str(tmp_path), glob)
+        want = by_spark.option("pathGlobFilter", glob).load(str(tmp_path))
+        assert sorted(map(tuple, found.collect())) == sorted((r.path, r.length) for r in want.select("path", "length").collect())
+        assert not found.inputFiles()  # the driver holds no path of a file
+    assert [r.length for r in files.listing(spark, f"file://{tmp_path}/x/c.log", "*").collect()] == [7]
+    with pytest.raises(Exception, match="exist"):
+        files.listing(spark, str(tmp_path / "none"), "*")
+
+
+def test_logs_of_a_query_do_not_pass_the_driver(spark):
+    from recloom.plans import registry
+    from tests.session import TESTDATA
+
+    x = registry.QUERIES["log_files"](spark, f"{TESTDATA}/sf0.001")
+    assert x.count() == spark.read.parquet(f"{TESTDATA}/sf0.001/orders.parquet").select("o_custkey").distinct().count()
+    assert not x.inputFiles()
